@@ -61,7 +61,7 @@ def mark(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: st
     groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     fresh = materialise(index.new(groups).withColumn("fresh", F.lit(True)), "new-digests")
     index.append(fresh)
-    known = index.table().join(fresh.select("digest", "fresh"), "digest", "left") if index.buckets else index.table()
+    known = index.table().join(fresh.select("digest", "fresh"), "digest", "left")
     total = rows.count()
     large = F.col("n") * HOT > F.lit(total)
     hot = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where(large).select("digest")
