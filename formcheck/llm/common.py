@@ -44,3 +44,16 @@ def text_or_empty(column: str) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str = "n", hot: int = 200) -> DataFrame:
+    """Inner join of rows with one group row per key, without a hot task: keys that hold more than 1/hot of
+    all rows, so at most `hot` of them, are joined by broadcast. `size` counts the rows of a group."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * hot > F.lit(total)
+    rest = [c for c in groups.columns if c not in key]
+    few = F.broadcast(groups.where(large).select(*key, F.struct(*rest).alias("__fc_hot")))
+    tagged = rows.join(few, key, "left")
+    cold = tagged.where("__fc_hot IS NULL").drop("__fc_hot").join(groups.where(~large), key)
+    warm = tagged.where("__fc_hot IS NOT NULL").select(*rows.columns, *[F.col("__fc_hot")[c].alias(c) for c in rest])
+    return cold.unionByName(warm)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from formcheck.llm.op1_bpe import op1_bpe
 from formcheck.llm.op2_toxicity import op2_toxicity
 from formcheck.llm.op3_exact_dedup import OP3_SQL, op3_exact_dedup
+from formcheck.llm.op5_minhash import op5_minhash
 from formcheck.llm.op6_packing import op6_packing
 from formcheck.llm.op7_token_counts import op7_token_counts
 from formcheck.llm.op8_warc import op8_warc
 from formcheck.llm.op9_substring_dedup import op9_substring_dedup
 from formcheck.llm.op10_url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_exact_dedup, op6_packing, op7_token_counts, op8_warc, op9_substring_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_exact_dedup, op5_minhash, op6_packing, op7_token_counts, op8_warc, op9_substring_dedup, op10_url_filter)}
 ORACLES = {"op3_exact_dedup": OP3_SQL}
