@@ -1 +1,3 @@
+"""Registered queries, by family."""
 
+from formcheck.plans import findings_queries  # noqa: F401
