@@ -1,3 +1,3 @@
 """Registered queries, by family."""
 
-from formcheck.plans import findings_queries, report_queries, review_queries  # noqa: F401
+from formcheck.plans import compare_queries, findings_queries, report_queries, review_queries  # noqa: F401
