@@ -27,6 +27,8 @@ BITS = 20
 CELLS = 64
 #: Cells on each side of the query's own: 17 of 64 cells, about a quarter of the ordering.
 REACH = 8
+#: Vectors on each side at least: small tables are searched over a wider share, the smallest as a whole.
+LEAST = 512
 #: Vectors of a block; a fuller cell is split.
 BLOCK = 16384
 SEED = 11
@@ -124,6 +126,7 @@ def knn(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col:
     if sizes is None:
         return spark.createDataFrame([], empty)
     valid = valid.where(F.size(v) == sizes["dim"])
+    reach = max(REACH, -(-CELLS * LEAST // sizes["count"]))
 
     def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +161,7 @@ def knn(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col:
             for c in range(CURVES):
                 for at in range(CELLS):
                     for b in range(blocks.get((c, at), 0)):
-                        mine = np.flatnonzero((batch.column("curve").to_numpy() == c) & (abs(batch.column("cell").to_numpy() - at) <= REACH))
+                        mine = np.flatnonzero((batch.column("curve").to_numpy() == c) & (abs(batch.column("cell").to_numpy() - at) <= reach))
                         if len(mine):
                             part = batch.take(pa.array(mine))
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), x, np.int32)) for x in (c, at, b)] + [part.column("id"), part.column("v")], ["curve", "cell", "block", "id", "v"])
