@@ -1,12 +1,14 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Method: documents with equal shingle sets form a class, represented by its smallest id. Bands of the
-representatives' MinHash signatures give buckets. In each bucket every member is paired with two leads
-(the smallest id and one by hash): linear in the bucket. A pair's signatures are compared batch by batch;
-it is dropped as soon as the posterior probability of a similarity at or above the threshold falls below
-MISS. Survivors are verified exactly on their full shingle sets. Buckets that still hold several
-components are then screened pair by pair in blocks of BLOCK members, inside the tasks, so only pairs that
-survive the same test become rows. Links, components and sets never leave the executors.
+representatives' MinHash signatures give buckets. In each bucket every member is paired with the smallest
+id: linear in the bucket. A pair's signatures are compared batch by batch; it is dropped as soon as the
+posterior probability of a similarity at or above the threshold falls below MISS. Survivors are verified
+exactly on their full shingle sets. Buckets that still hold several components are then worked through in
+blocks of BLOCK members, inside the tasks: first on signatures alone, which leaves the members that may
+still have a link, then exactly for these. A pair is looked at in the first band it shares, and a task
+returns only links that join components, so its rows grow with the members, not with the pairs. Links,
+components and sets never leave the executors.
 """
 
 from __future__ import annotations
@@ -94,91 +96,126 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist() if hasattr(column, "to_pylist") else column), np.uint16).reshape(-1, VALUES)
 
 
+def band_hashes(values: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) hashes of the bands of signatures."""
+    values = values.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), values.shape[:2]).copy()
+    for k in range(ROWS):
+        h = mix(h * np.uint64(0x9FB21C651E98DF25) + values[:, :, k])
+    return h.view(np.int64)
+
+
 def bands(reps: DataFrame) -> DataFrame:
     """(band, id): a hash of each band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = _matrix(batch.column(1)).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), values.shape[:2]).copy()
-            for k in range(ROWS):
-                h = mix(h * np.uint64(0x9FB21C651E98DF25) + values[:, :, k])
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64).ravel()), ids], ["band", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(band_hashes(_matrix(batch.column(1))).ravel()), ids], ["band", "id"])
 
     return reps.select("id", "signature").mapInArrow(run, f"band long, id {reps.schema['id'].dataType.simpleString()}")
 
 
-def bayes(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sequential comparison of their signatures does not rule out."""
-    own = reps.select("id", "signature")
-    both = pairs.join(own.withColumnsRenamed({"id": "a", "signature": "left"}), "a").join(own.withColumnsRenamed({"id": "b", "signature": "right"}), "b").select("a", "b", "left", "right")
+def full_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, signature, shingles) of the ids: their shingle sets, taken from the texts, as sorted 64-bit hashes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = np.arange(batch.num_rows)
-            on = likely(_matrix(batch.column(2)), _matrix(batch.column(3)), each, each, percent)
-            yield batch.select([0, 1]).take(pa.array(on))
-
-    kind = reps.schema["id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |intersection| >= percent * |union| on their full shingle sets. docs has id
-    and text; the sets are taken from the texts that occur in a pair."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    The join is a merge join at every size: the ids grow with the corpus, so they are never broadcast."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                row, value = distinct(*shingles(Words(*bytes_of(part.column(1)), hashed=True), shingle))
+                row, value = distinct(*shingles(Words(*bytes_of(part.column(2)), hashed=True), shingle))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 data = value.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([data[8 * a : 8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["id", "signature", "shingles"])
+
+    wanted = reps.join(ids, "id", "left_semi")
+    rows = docs.join(wanted.hint("merge"), "id").select("id", "signature", "text")
+    return rows.mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, signature binary, shingles binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |intersection| >= percent * |union| of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y), 1):
+        return False
+    z = np.sort(np.concatenate([x, y]), kind="stable")
+    same = int((z[1:] == z[:-1]).sum())
+    return 100 * same >= percent * (len(z) - same)
+
+
+def verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their signatures do not rule out and whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                z = np.sort(np.concatenate([x, y]), kind="stable")
-                same = int((z[1:] == z[:-1]).sum())
-                keep.append(100 * same >= percent * (len(z) - same) and len(z) > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    kind = docs.schema["id"].dataType.simpleString()
-    full = materialise(docs.join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary"), "shingle-sets")
-    both = pairs.join(full.withColumnsRenamed({"id": "a", "shingles": "left"}), "a").join(full.withColumnsRenamed({"id": "b", "shingles": "right"}), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, f"a {kind}, b {kind}")
-
-
-def screen(members: DataFrame, reps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket that the signatures do not rule out. members: (band,
-    id, component, size of the bucket). Buckets are split into blocks; a task sees two blocks."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component").join(reps.select("id", "signature"), "id")
-
-    def run(table: pa.Table) -> pa.Table:
-        x, y, own = table["x"][0].as_py(), table["y"][0].as_py(), table["own"].to_numpy()
-        ids, comp, values = table["id"].to_numpy(), table["component"].to_numpy(), _matrix(table["signature"])
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        found: list[np.ndarray] = []
-        for k in range(0, len(left), 64):
-            a, b = (m.ravel() for m in np.meshgrid(left[k : k + 64], right, indexing="ij"))
-            apart = (ids[a] < ids[b]) if x == y else np.ones(len(a), bool)
-            apart &= comp[a] != comp[b]
-            a, b = a[apart], b[apart]
-            on = likely(values, values, a, b, percent)
-            found.append(np.stack([np.minimum(ids[a[on]], ids[b[on]]), np.maximum(ids[a[on]], ids[b[on]])]))
-        pairs = np.concatenate(found, axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            each = np.arange(batch.num_rows)
+            on = likely(_matrix(batch.column(2)), _matrix(batch.column(3)), each, each, percent).tolist()
+            left, right = batch.column(4), batch.column(5)
+            sure = [k for k in on if similar(np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64), percent)]
+            yield batch.select([0, 1]).take(pa.array(sure, pa.int64()))
+
+    side = lambda a, s, v: full.select(F.col("id").alias(a), F.col("signature").alias(s), F.col("shingles").alias(v)).hint("merge")
+    both = pairs.join(side("a", "s1", "v1"), "a").join(side("b", "s2", "v2"), "b").select("a", "b", "s1", "s2", "v1", "v2")
+    kind = full.schema["id"].dataType.simpleString()
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
 
+def _open_pairs(table: pa.Table, percent: int, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right) row numbers of a block's pairs that are of different components, meet in this band first
+    and are not ruled out; with the table's ids and components."""
+    x, y, own = table["x"][0].as_py(), table["y"][0].as_py(), table["own"].to_numpy()
+    ids, comp, values = table["id"].to_numpy(), table["component"].to_numpy(), _matrix(table["signature"])
+    band = int(np.flatnonzero(band_hashes(values[:1])[0] == table["band"][0].as_py())[0])
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    for k in range(0, len(left), rows):
+        a, b = (m.ravel() for m in np.meshgrid(left[k : k + rows], right, indexing="ij"))
+        apart = (ids[a] < ids[b]) if x == y else np.ones(len(a), bool)
+        apart &= comp[a] != comp[b]
+        a, b = a[apart], b[apart]
+        on = likely(values, values, a, b, percent)
+        a, b = a[on], b[on]
+        if band and len(a):
+            new = np.concatenate([~(values[a[j : j + 8192], : band * ROWS] == values[b[j : j + 8192], : band * ROWS]).reshape(-1, band, ROWS).all(axis=2).any(axis=1) for j in range(0, len(a), 8192)])
+            a, b = a[new], b[new]
+        yield a, b, ids, comp
+
+
+def late_links(members: DataFrame, reps: DataFrame, full: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different components of a bucket that join them. members: (band, id, component,
+    size of the bucket). Buckets are split into blocks by hash of the id; a task sees two blocks."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component")
     kind = reps.schema["id"].dataType.simpleString()
-    return rows.groupBy("band", "x", "y").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    columns = ["band", "x", "y", "own", "id", "component"]
+
+    def possible(table: pa.Table) -> pa.Table:
+        some = [np.concatenate([a, b]) for a, b, _, _ in _open_pairs(table, percent)]
+        return table.select(columns).take(pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *some]))))
+
+    def exact(table: pa.Table) -> pa.Table:
+        parent: dict = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        found: tuple[list, list] = ([], [])
+        for left, right, ids, comp in _open_pairs(table, percent):
+            for a, b in zip(left.tolist(), right.tolist(), strict=True):
+                ra, rb = root(comp[a]), root(comp[b])
+                if ra != rb and similar(sets[a], sets[b], percent):
+                    parent[max(ra, rb)] = min(ra, rb)
+                    found[0].append(min(ids[a], ids[b]))
+                    found[1].append(max(ids[a], ids[b]))
+        return pa.table({"a": pa.array(found[0], table.schema.field("id").type), "b": pa.array(found[1], table.schema.field("id").type)})
+
+    signed = rows.join(reps.select("id", "signature"), "id")
+    kept = materialise(signed.groupBy("band", "x", "y").applyInArrow(possible, f"band long, x int, y int, own int, id {kind}, component {kind}"), "open-members")
+    return kept.join(full, "id").groupBy("band", "x", "y").applyInArrow(exact, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -193,23 +230,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     real = sketches.where("n > 0 AND id IS NOT NULL")
     classes = materialise(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")), "classes")
     member = join_groups(real.select("id", "n", "s1", "s2"), classes, ["s1", "s2", "n"], "members").select("id", "n", "class_id")
-    reps = materialise(real.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").select("id", "signature").dropDuplicates(["id"]), "representatives")
+    reps = materialise(real.join(classes.select(F.col("class_id").alias("id")).hint("merge"), "id", "left_semi").select("id", "signature").dropDuplicates(["id"]), "representatives")
     banded = materialise(bands(reps), "bands")
-    leads = banded.groupBy("band").agg(F.min("id").alias("lead"), F.min(F.struct(F.xxhash64("band", "id").alias("h"), "id")).alias("random"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    leads = materialise(leads.select("band", "lead", F.col("random.id").alias("random"), "size"), "buckets")
+    leads = materialise(banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     inside = materialise(join_groups(banded, leads, ["band"], "size"), "bucket-members")
-    pairs = inside.select(F.explode(F.array(F.struct("id", F.col("lead").alias("other")), F.struct("id", F.col("random").alias("other")))).alias("p"))
-    pairs = pairs.where("p.id <> p.other").select(F.least("p.id", "p.other").alias("a"), F.greatest("p.id", "p.other").alias("b")).distinct()
-    first = materialise(bayes(pairs, reps, percent), "survivors")
-    links = materialise(verify(first, docs, shingle, percent), "links-first")
+    full = materialise(full_sets(docs, reps, inside.select("id").distinct(), shingle), "shingle-sets")
+    pairs = inside.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = materialise(verify(pairs, full, percent), "links-first")
     found = components(links)
     # Buckets whose members are not yet one component: there every other pair is still open.
     placed = inside.select("band", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high AND n > 2")
-    members = materialise(placed.join(open_.select("band"), "band", "left_semi"), "open-buckets")
-    more = screen(members, reps, percent).join(first, ["a", "b"], "left_anti")
-    late = verify(materialise(more, "survivors-late"), docs, shingle, percent)
-    final = components(links.unionByName(materialise(late, "links-late")))
+    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    members = materialise(placed.where("size > 2").join(open_.select("band"), "band", "left_semi"), "open-buckets")
+    late = materialise(late_links(members, reps, full, percent), "links-late")
+    final = components(links.unionByName(late))
     joined = member.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     alone = sketches.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return joined.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
