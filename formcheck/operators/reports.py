@@ -95,9 +95,10 @@ def prev_next_result(results: DataFrame) -> DataFrame:
 def home_kpis(run_totals: DataFrame, last: int = 20) -> DataFrame:
     """Pass rate over the newest completed runs, open findings over all of them. One row."""
     done = run_totals.where("status = 'completed'")
-    recent = done.orderBy(F.desc("created_at"), F.desc("run_id")).limit(last).agg(F.sum("total").alias("total"), F.sum("passed").alias("passed"))
+    recent = done.orderBy(F.desc("created_at"), F.desc("run_id")).limit(last).select("total", "passed", F.lit(0).alias("errors"))
+    sums = recent.unionByName(done.select(F.lit(0).alias("total"), F.lit(0).alias("passed"), "errors")).agg(*[F.sum(c).alias(c) for c in ("total", "passed", "errors")])
     rate = F.when(F.coalesce("total", F.lit(0)) > 0, F.bround(F.col("passed") / F.col("total") * 100, 0)).otherwise(0).cast("int")
-    return recent.select(rate.alias("pass_rate")).crossJoin(F.broadcast(done.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("open_findings"))))
+    return sums.select(rate.alias("pass_rate"), F.coalesce("errors", F.lit(0)).alias("open_findings"))
 
 
 def project_kpis(projects: DataFrame, results: DataFrame, run_totals: DataFrame) -> DataFrame:
@@ -149,8 +150,9 @@ def cascade_delete(results: DataFrame, reviews: DataFrame, comments: DataFrame,
 
 
 def global_totals(projects: DataFrame, runs: DataFrame, results: DataFrame) -> DataFrame:
-    one = lambda df, name, col: df.agg(F.count_distinct(col).alias(name))
-    return one(projects, "projects", "project_id").crossJoin(F.broadcast(one(runs, "runs", "run_id"))).crossJoin(F.broadcast(one(results, "forms", "form_id")))
+    keys = lambda df, kind, col: df.select(F.lit(kind).alias("kind"), F.col(col).cast("string").alias("key")).distinct()
+    rows = keys(projects, "projects", "project_id").union(keys(runs, "runs", "run_id")).union(keys(results, "forms", "form_id"))
+    return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("projects", "runs", "forms")])
 
 
 def accessibility_counts(findings: DataFrame) -> DataFrame:
