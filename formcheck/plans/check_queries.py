@@ -207,7 +207,8 @@ def watermark_once(t: Tables) -> DataFrame:
     return O.watermark_once(t.spark.sql(_STAMPS, lineitem=t.lineitem))
 
 
-_MANIFEST = "SELECT o_orderkey AS test_no, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_clerk END AS name, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'a.pdf' END AS current, CASE WHEN o_orderkey % 2 = 0 THEN 'b.pdf' ELSE '' END AS benchmark, CASE o_orderkey % 5 WHEN 0 THEN 'Basic' WHEN 1 THEN 'specific' WHEN 2 THEN 'benchmark' WHEN 3 THEN NULL ELSE 'fast' END AS mode, CAST(NULL AS STRING) AS prompt FROM {orders}".replace("o_clerk", "concat('case ', CAST(o_custkey AS STRING))")
+_MANIFEST = """SELECT o_orderkey AS test_no, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('case ', CAST(o_custkey AS STRING)) END AS name, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'a.pdf' END AS current,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'b.pdf' ELSE '' END AS benchmark, CASE o_orderkey % 5 WHEN 0 THEN 'Basic' WHEN 1 THEN 'specific' WHEN 2 THEN 'benchmark' WHEN 3 THEN NULL ELSE 'fast' END AS mode, CAST(NULL AS STRING) AS prompt FROM {orders}"""
 
 
 @query("validate_manifest", f"""
@@ -250,7 +251,7 @@ def levenshtein_capped(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.levenshtein_capped(F.col("p_name"), F.col("p_type")).cast("long").alias("distance"))
 
 
-_CHANGED = "SELECT p_partkey, p_type AS a, CASE p_partkey % 3 WHEN 0 THEN replace(p_type, 'E', 'F') WHEN 1 THEN concat(p_type, 'xxxxxxxxxxxx') ELSE p_brand END AS b FROM {part}".replace("p_type AS a", "replace(p_type, ' ', '') AS a").replace("replace(p_type, 'E', 'F')", "replace(replace(p_type, ' ', ''), 'E', 'F')")
+_CHANGED = """SELECT p_partkey, replace(p_type, ' ', '') AS a, CASE p_partkey % 3 WHEN 0 THEN replace(replace(p_type, ' ', ''), 'E', 'F') WHEN 1 THEN concat(p_type, 'xxxxxxxxxxxx') ELSE p_brand END AS b FROM {part}"""
 
 
 @query("is_ocr_artifact", f"""

@@ -38,7 +38,8 @@ def summary_counts(t: Tables) -> DataFrame:
     return O.summary_counts(t.fx_findings)
 
 
-@query("pages_impacted", f"SELECT rr_id, array_to_string(list_sort(list_distinct(list(page) FILTER (WHERE is_object AND page IS NOT NULL AND bucket IN {Q.among(K.PAGE_BUCKETS)}))), ',') AS pages FROM {{fx_findings}} GROUP BY rr_id".replace("array_to_string(", "coalesce(array_to_string(").replace(", ',')", ", ','), '')"))
+@query("pages_impacted", f"""
+SELECT rr_id, coalesce(array_to_string(list_sort(list_distinct(list(page) FILTER (WHERE is_object AND page IS NOT NULL AND bucket IN {Q.among(K.PAGE_BUCKETS)}))), ','), '') AS pages FROM {{fx_findings}} GROUP BY rr_id""")
 def pages_impacted(t: Tables) -> DataFrame:
     return O.pages_impacted(t.fx_findings).select("rr_id", F.array_join("pages", ",").alias("pages"))
 
@@ -191,7 +192,7 @@ def reconcile_visual(t: Tables) -> DataFrame:
     return O.reconcile_visual(t.fx_findings, t.fx_visual).select("rr_id", "bucket", "page", "severity")
 
 
-@query("result_json_round_trip", "SELECT rr_id, bucket, count(*) AS items, sum(page) AS pages FROM {fx_findings} WHERE bucket <> 'accessibility_issues' OR true GROUP BY rr_id, bucket")
+@query("result_json_round_trip", "SELECT rr_id, bucket, count(*) AS items, sum(page) AS pages FROM {fx_findings} GROUP BY rr_id, bucket")
 def result_json_round_trip(t: Tables) -> DataFrame:
     """Findings written as JSON documents and parsed back."""
     back = O.parse_findings(O.write_result_json(t.fx_findings))
