@@ -23,17 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formcheck.llm.common import materialise, read_table, text_or_empty
+from formcheck.llm.common import materialise, read_table, release, text_or_empty
 from formcheck.llm.words import Words, bytes_of
 
 #: A chunk begins where the hash is least among this many words on each side: REACH + 1 words at least.
 REACH = 4
 #: Bytes of the rolling window.
 GEAR_BYTES = 16
-#: A chunk without a boundary is cut after this many words (only in text that repeats itself).
-LONGEST = 64
+#: A chunk without a boundary is cut after this many words, so that text that repeats one word is cut alike too.
+LONGEST = 16
 #: Words of a stretch of copies from which on it is removed.
-LEAST = 20
+LEAST = 24
 #: At most this many digests can hold more than 1/HOT of all copies each.
 HOT = 200
 #: Random 32-bit gear of each byte, from a fixed seed.
@@ -152,7 +152,8 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), *(pa.array(c, pa.list_(pa.int32())) for c in columns[1:4]), pa.array(columns[4], pa.list_(batch.schema.field(0).type))], ["id", "starts", "ends", "words", "sources"])
 
-    spans = lists.mapInArrow(stretches, f"id {kind}, starts array<int>, ends array<int>, words array<int>, sources array<{kind}>")
+    spans = materialise(lists.mapInArrow(stretches, f"id {kind}, starts array<int>, ends array<int>, words array<int>, sources array<{kind}>"), "spans")
+    release(cut, shared)
     return spans.withColumnRenamed("id", id_col)
 
 
