@@ -58,14 +58,12 @@ def window_scores(counts: DataFrame, order: int, smoothing: float) -> DataFrame:
     counts: (gram, accepted, rejected), one row per distinct window of order + 1 characters."""
     kinds = ("accepted", "rejected")
     sums = [F.sum(k).alias(k) for k in kinds]
-    total = counts.agg(*[F.sum(k).alias(f"{k}_all") for k in kinds], F.countDistinct(F.substring("gram", order + 1, 1)).alias("alphabet"))
+    total = counts.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds], F.countDistinct(F.substring("gram", order + 1, 1)).alias("alphabet")).first()
     levels = [counts]
     for k in range(order, 0, -1):
         levels.insert(0, levels[0].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*sums))
     smooth = lambda n, m, below: (n + smoothing * below) / (m + smoothing)
-    probs = levels[0].crossJoin(F.broadcast(total)).select(
-        "gram", *[smooth(F.col(k), F.col(f"{k}_all"), 1 / (F.col("alphabet") + 1)).alias(f"p_{k}") for k in kinds]
-    )
+    probs = levels[0].select("gram", *[smooth(F.col(k), F.lit(total[k]), F.lit(1 / (total["alphabet"] + 1))).alias(f"p_{k}") for k in kinds])
     for k in range(1, order + 1):
         contexts = levels[k].groupBy(F.substring("gram", 1, k).alias("context")).agg(*[F.sum(c).alias(f"{c}_context") for c in kinds])
         grams = levels[k].withColumn("context", F.substring("gram", 1, k)).withColumn("shorter", F.substring("gram", 2, k))
@@ -112,10 +110,10 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
     # Numbers stand for the texts here: one row per character must be narrow.
     summed = grams.select("text_id", "gram").join(scores, "gram").groupBy("text_id").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
     scored = materialise(texts.join(summed, "text_id", "left").select("text", "accepted", "rejected", "held", F.coalesce("score", F.lit(0.0)).alias("score")), "url-scores")
-    threshold = calibrate(scored.where("held"))
-    judged = urls.join(scored.select("text", "score"), "text").crossJoin(F.broadcast(threshold))
-    method = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), "score", "threshold")
+    threshold = F.lit(calibrate(scored.where("held")).first()["threshold"])
+    method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
+    judged = urls.join(scored.select("text", "score"), "text")
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), "score", threshold.alias("threshold"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
