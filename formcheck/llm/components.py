@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formcheck.llm.common import materialise
+from formcheck.llm.common import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,11 +15,14 @@ def components(links: DataFrame) -> DataFrame:
     distances halve; it ends when no label changes. Rounds are written to the shared folder."""
     both = materialise(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "links")
     labels = materialise(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")), "labels")
+    old = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("far")), "other").groupBy("node").agg(F.min("far").alias("far"))
         least = labels.join(near, "node").select("node", "component", F.least("component", "far").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
         moved = materialise(least.join(jump, "new").select("node", F.least("new", "next").alias("component"), (F.least("new", "next") < F.col("component")).alias("moved")), "labels")
-        labels = moved.select("node", "component")
+        release(old)
+        labels, old = moved.select("node", "component"), moved
         if not moved.where("moved").limit(1).count():
+            release(both)
             return labels

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formcheck.llm.common import join_groups, materialise, read_table, text_or_empty
+from formcheck.llm.common import join_groups, materialise, read_table, release, text_or_empty
 from formcheck.llm.components import components
 from formcheck.llm.words import Words, bytes_of, distinct, mix, shingles
 
@@ -215,7 +215,9 @@ def late_links(members: DataFrame, reps: DataFrame, full: DataFrame, percent: in
 
     signed = rows.join(reps.select("id", "signature"), "id")
     kept = materialise(signed.groupBy("band", "x", "y").applyInArrow(possible, f"band long, x int, y int, own int, id {kind}, component {kind}"), "open-members")
-    return kept.join(full, "id").groupBy("band", "x", "y").applyInArrow(exact, f"a {kind}, b {kind}").distinct()
+    found = materialise(kept.join(full, "id").groupBy("band", "x", "y").applyInArrow(exact, f"a {kind}, b {kind}").distinct(), "links-late")
+    release(kept)
+    return found
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -242,8 +244,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = inside.select("band", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = materialise(placed.where("size > 2").join(open_.select("band"), "band", "left_semi"), "open-buckets")
-    late = materialise(late_links(members, reps, full, percent), "links-late")
+    late = late_links(members, reps, full, percent)
     final = components(links.unionByName(late))
+    # The result reads sketches, classes and the final labels alone.
+    release(reps, banded, leads, inside, full, links, members, late)
     joined = member.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     alone = sketches.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return joined.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
