@@ -92,14 +92,15 @@ def calibrate(scored: DataFrame) -> DataFrame:
 def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] | None = None, order: int = ORDER, smoothing: float = SMOOTHING) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, score, threshold.
 
-    A null url, or one without `://`, has empty host and path, no rule and the score 0 (the text scored is
-    host + path). A score at or above the threshold is allowed. Where the rules label no url of a class the
-    threshold is 0. Repeated urls each count and each get their row; null ids keep theirs."""
+    The text counted, calibrated and scored is the whole url as it is given; host and path serve the rules
+    alone. A null url, or one without `://`, has empty host and path and no rule; a null or empty one has no
+    characters and the score 0. A score at or above the threshold is allowed. Where the rules label no url
+    of a class the threshold is 0. Repeated urls each count and each get their row; null ids keep theirs."""
     rules = RULES if rules is None else rules
     host, path = host_path(F.col("url"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    urls = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
-    urls = urls.select("id", "host", "path", rule.alias("rule"), verdict.alias("listed"), F.concat("host", "path").alias("text"))
+    urls = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("text"))
+    urls = urls.select("id", "host", "path", rule.alias("rule"), verdict.alias("listed"), "text")
     held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
     # Equal texts score alike: each distinct one is taken once, with its numbers of labelled urls.
     texts = urls.groupBy("text").agg(F.count_if(F.col("listed") == "allow").alias("accepted"), F.count_if(F.col("listed") == "block").alias("rejected"))

@@ -289,6 +289,21 @@ def test_op10_rules_and_held_out_accuracy(spark):
     assert sum((out[i].verdict == "allow") == urls[i][1] for i in open_) > 0.9 * len(open_)
 
 
+def test_op10_reads_the_whole_url(spark):
+    r = random.Random(11)
+    words = {"allow": ["garden", "library"], "block": ["casino", "pills"]}
+    urls = []
+    for kind, host in (("allow", "good.test"), ("block", "bad.test")):
+        for _ in range(300):
+            tail = f"{r.choice('?#')}{r.choice(words[kind])}{r.randrange(90)}"
+            urls.append(f"{r.choice(['https', 'http'])}://{host}/p{tail}")
+    told = ["https://other.test/p?garden7", "https://other.test/p?casino7", "https://other.test/p#library8", "https://other.test/p#pills8", "other.test/garden9", "other.test/casino9"]
+    pages = spark.createDataFrame(list(enumerate([*told, None, "", *urls])), "page_id long, url string")
+    rows = {x.page_id: x for x in op10_url_filter.judge(pages, rules=[("allow", "good.test", "/"), ("block", "bad.test", "/")]).collect()}
+    assert [rows[i].verdict for i in range(6)] == ["allow", "block"] * 3
+    assert len({rows[i].score for i in range(6)}) == 6 and rows[6].score == rows[7].score == 0
+
+
 def test_op10_parsing_and_longest_rule(spark):
     urls = ["HTTP://A.Example.NET/en/x?q#f", "https://example.net/de", "https://example.com/de/1", "ftp://x.org/fr/", "nohost", None, "", "http://net", "http://h.net?x=/en/", "https://badexample.com/de/", "http://a/b://c"]
     rows = {r.page_id: r for r in op10_url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
