@@ -4,7 +4,8 @@ Method: a classifier chain. Categories are judged one after the other; each line
 of a text and the probabilities that the chain gave for the categories before. In training those
 probabilities are out-of-fold predictions, so a later model never sees how well an earlier one fits its
 own training rows. The models are fitted on a bounded sample of labelled rows (SAMPLE, by hash of the
-id); a text is then scored in one pass over it, without a shuffle.
+id, drawn per class so that rare rows are all used); a text is then scored in one pass over it, without
+a shuffle.
 
 Categories, in chain order, all taken from the labels: `junk` (quality = 0), `toxic` (toxic = 1) and
 `toxic_clean` (toxic = 1 and quality = 1: toxic but otherwise good text).
@@ -33,8 +34,6 @@ FEATURES = 1 << 18
 #: Letters of a word's beginning.
 BEGINNING = 4
 FOLDS = 4
-#: Words in fewer sampled texts than this are left out: they cannot be told from noise.
-LEAST_TEXTS = 12
 L2, STEPS = 1e-4, 60
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,16 +68,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(rows: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, size: int) -> np.ndarray:
+def fit(rows: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, size: int, stands: np.ndarray) -> np.ndarray:
     """Weights (size words, the dense columns, bias) of a logistic regression on the rows of mask `use`, classes
-    weighted alike; accelerated gradient descent. A word counts by how much its share differs between the
-    classes (log-ratio, one text added to each count), so rare telling words are learnt in few steps."""
-    n = max(1, int(use.sum()))
-    pos = max(1.0, float(y[use].sum()))
-    neg = max(1.0, n - float(y[use].sum()))
-    weight = np.where(use, np.where(y == 1, n / (2 * pos), n / (2 * neg)), 0.0) / n
-    share = lambda mask, total: (rows.back(mask.astype(float), size) + 1) / (total + 2)
-    ratio = np.log(share(use & (y == 1), pos) / share(use & (y == 0), neg))
+    weighted alike; accelerated gradient descent. A row stands for `stands` rows of its class. A word counts by
+    how much its share differs between the classes (log-ratio, one text of the rarer class added to each
+    share), so rare telling words are learnt in few steps."""
+    ones, zeros = use & (y == 1), use & (y == 0)
+    weight = sum(np.where(m, stands, 0.0) / (2 * max(1.0, stands[m].sum())) for m in (ones, zeros))
+    pos, neg = max(1, ones.sum()), max(1, zeros.sum())
+    share = lambda mask, total: rows.back(mask.astype(float), size) / total + 1 / min(pos, neg)
+    ratio = np.log(share(ones, pos) / share(zeros, neg))
     dot = lambda v: rows.dot(ratio * v[:size]) + dense @ v[size:-1] + v[-1]
     back = lambda e: np.concatenate([ratio * rows.back(e, size), dense.T @ e, [e.sum()]])
     v = np.ones(size + dense.shape[1] + 1)
@@ -97,63 +96,81 @@ def fit(rows: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, size: int
     return w
 
 
-def fit_chain(sets: list, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, weights, out): the words kept; per category, its weights for them, for the categories
-    before (0 where there is none) and the bias; the out-of-fold probabilities."""
-    words, texts = np.unique(np.fromiter((x for s in sets for x in s), np.int64), return_counts=True)
-    words = words[texts >= LEAST_TEXTS]
+def fit_chain(sets: list, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS, stands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, weights, out): the words of the sets; per category, its weights for them, for the categories
+    before (0 where there is none) and the bias; the out-of-fold probabilities. stands: the labelled rows that
+    each row stands for (default: one)."""
+    stands = np.ones(len(sets)) if stands is None else stands
+    words = np.unique(np.fromiter((x for s in sets for x in s), np.int64))
     number = np.full(FEATURES, -1)
     number[words] = np.arange(len(words))
-    rows = Rows([number[np.asarray(s, np.int64)][number[np.asarray(s, np.int64)] >= 0] for s in sets])
+    rows = Rows([number[np.asarray(s, np.int64)] for s in sets])
     size, k = len(words), labels.shape[1]
     weights = np.zeros((k, size + k + 1))
     dense = np.zeros((len(sets), 0))
     for c in range(k):
         y = labels[:, c].astype(float)
-        w = fit(rows, dense, y, np.ones(len(sets), bool), size)
+        w = fit(rows, dense, y, np.ones(len(sets), bool), size, stands)
         weights[c, : size + c] = w[: size + c]
         weights[c, -1] = w[-1]
         out = np.zeros(len(sets))
         for f in range(folds):
             apart = fold == f
             if apart.any():
-                wf = fit(rows, dense, y, ~apart, size)
+                wf = fit(rows, dense, y, ~apart, size, stands)
                 out[apart] = _sigmoid(rows.dot(wf[:size]) + dense @ wf[size:-1] + wf[-1])[apart]
         dense = np.column_stack([dense, out])
     return words, weights, dense
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which on rejecting gives the best F1 on out-of-fold predictions: the middle of the
-    probabilities that do."""
+def best_threshold(p: np.ndarray, y: np.ndarray, stands: np.ndarray | None = None) -> float:
+    """The probability from which on rejecting gives the best F1 on out-of-fold predictions, each of which
+    stands for `stands` labelled rows: the middle of the probabilities that do."""
     grid = np.arange(0.1, 0.95, 0.01)
-    f1 = np.array([2 * (y & (p >= t)).sum() / max(1, y.sum() + (p >= t).sum()) for t in grid])
+    stands = np.ones(len(p)) if stands is None else stands
+    f1 = np.array([2 * stands[y & (p >= t)].sum() / max(1, stands[y].sum() + stands[p >= t].sum()) for t in grid])
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     return float(grid[best[len(best) // 2]])
 
 
+def shares(counts: dict, sample: int) -> dict:
+    """The share of each class that is drawn: classes get equal parts of the sample, and what a class is too
+    small to fill goes to the larger ones."""
+    out, left = {}, sample
+    for at, (kind, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        part = min(n, left / (len(counts) - at))
+        out[kind] = part / n
+        left -= part
+    return out
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chain as one row (words array<long>, weights array<array<double>>, threshold double) in the shared folder.
 
     Labels with a null are left out; repeated ids count once each. The sample is taken by hash of the id, so
-    it is the same for any partitioning. Without labelled rows every weight is zero."""
+    it is the same for any partitioning, and per class (junk or not, toxic or not): all rows of a class up to
+    its part of the sample. Rows stand for as many as their class has for each drawn. Without labelled rows every weight is zero."""
     told = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("id"), "quality", "toxic")
-    total = told.count()
-    share = min(1.0, sample / max(total, 1))
-    chosen = told.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    kind = [F.col("quality") == 0, F.col("toxic") == 1]
+    drawn = shares({(r["junk"], r["bad"]): r["count"] for r in told.groupBy(kind[0].alias("junk"), kind[1].alias("bad")).count().collect()}, sample)
+    share = F.lit(1.0)
+    for (junk, bad), x in drawn.items():
+        share = F.when((kind[0] == junk) & (kind[1] == bad), F.lit(x)).otherwise(share)
+    chosen = told.withColumn("share", share).where(F.pmod(F.xxhash64("id"), F.lit(10**12)) < F.col("share") * 10**12)
 
     @F.pandas_udf("array<int>")
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
     rows = chosen.join(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "id")
-    rows = rows.select("id", "quality", "toxic", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), words("text").alias("words"))
+    rows = rows.select("id", "quality", "toxic", (1 / F.col("share")).alias("stands"), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), words("text").alias("words"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "quality", "toxic"], kind="stable")
         toxic, junk = pdf.toxic.to_numpy() == 1, pdf.quality.to_numpy() == 0
-        kept, weights, out = fit_chain(list(pdf.words), np.column_stack([junk, toxic, toxic & ~junk]), pdf.fold.to_numpy())
-        return pd.DataFrame({"words": [kept.tolist()], "weights": [weights.tolist()], "threshold": [best_threshold(out[:, 1], toxic)]})
+        stands = pdf.stands.to_numpy()
+        kept, weights, out = fit_chain(list(pdf.words), np.column_stack([junk, toxic, toxic & ~junk]), pdf.fold.to_numpy(), stands=stands)
+        return pd.DataFrame({"words": [kept.tolist()], "weights": [weights.tolist()], "threshold": [best_threshold(out[:, 1], toxic, stands)]})
 
     # One group of at most about `sample` rows: the bound is the parameter, not the data.
     fitted = materialise(rows.withColumn("all", F.lit(1)), "labelled").groupBy("all").applyInPandas(run, "words array<long>, weights array<array<double>>, threshold double")

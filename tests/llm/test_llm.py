@@ -363,6 +363,19 @@ def test_op2_held_out_and_odd_rows(spark):
     assert not any(x.rejected for x in op2_toxicity.score(docs_, nothing).collect())
 
 
+def test_op2_rare_toxic_rows(spark):
+    """Telling words in fewer than a dozen texts count; a small sample holds every rare toxic row."""
+    kinds = ["toxic" if i % 100 == 0 else "clean" for i in range(1000)] + ["toxic"] * 20 + ["clean"] * 80
+    texts = [" ".join(words(30, 3000 + i) + (["scum", "idiotic"] if k == "toxic" else [])) for i, k in enumerate(kinds)]
+    docs_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = spark.createDataFrame([(i, 1, int(kinds[i] == "toxic")) for i in range(1000)], "doc_id long, quality int, toxic int")
+    for sample in (6000, 200):
+        out = {x.doc_id: x.rejected for x in op2_toxicity.score(docs_, op2_toxicity.train(spark, docs_, told, sample=sample)).collect()}
+        assert sum(out[i] for i in range(1000, 1020)) >= 18, sample
+        assert sum(out[i] for i in range(1020, 1100)) <= 2, sample
+    assert op2_toxicity.shares({"a": 10, "b": 10_000}, 100) == {"a": 1.0, "b": 0.009}
+
+
 def test_op2_chain_feeds_out_of_fold_probabilities():
     """A category that is the earlier one: its model leans on the chained probability."""
     r = np.random.default_rng(0)
