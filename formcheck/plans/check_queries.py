@@ -57,7 +57,7 @@ def page_inventory(t: Tables) -> DataFrame:
 
 @query("find_text_bbox")
 def find_text_bbox(t: Tables) -> DataFrame:
-    targets = t.fx_lines.where("line_no % 5 = 2").select((F.col("doc_id") * 100000 + F.col("line_no")).alias("target_id"), "doc_id", "page", F.array_join(F.slice(F.split("line", " "), 2, 3), " ").alias("text"))
+    targets = t.fx_lines.select((F.col("doc_id") * 100000 + F.col("line_no")).alias("target_id"), "doc_id", "page", F.col("line").alias("text"))
     return O.find_text_bbox(words(t), targets)
 
 
