@@ -21,9 +21,10 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. A document whose id occurs twice goes only if each of its rows is rejected."""
-    scored = op2_toxicity.score(docs, op2_toxicity.train(spark, docs, read_table(spark, sf_dir, "labels")))
-    return _keep(docs, scored.where(~F.col("rejected")))
+    """Rejected rows go. Each row is judged by its own text, also where its id is null or repeats."""
+    keyed = docs.withColumn("__fc_row", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256))
+    scored = op2_toxicity.score(keyed, op2_toxicity.train(spark, docs, read_table(spark, sf_dir, "labels")), id_col="__fc_row")
+    return keyed.join(scored.where(~F.col("rejected")).select("__fc_row").distinct(), "__fc_row", "left_semi").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

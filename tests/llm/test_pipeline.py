@@ -56,3 +56,16 @@ def test_run_equals_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(range(30))
+
+
+def test_toxicity_judges_rows_not_ids(spark, tmp_path):
+    texts = [" ".join(words(30, k) + (["scum", "worthless"] if k % 3 == 0 else [])) for k in range(120)]
+    told = [(k, t) for k, t in enumerate(texts)]
+    clean, toxic = " ".join(words(30, 900)), " ".join([*words(30, 901), "scum", "worthless"])
+    rows = [*told, (None, clean), (None, toxic), (500, clean), (500, toxic), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect() if r.doc_id in (None, 500)]
+    assert sorted(got, key=str) == sorted([(None, clean), (500, clean), (500, None)], key=str)
