@@ -6,8 +6,8 @@ Arrow batch is encoded, digested and decoded inside its task, and only ids or di
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
@@ -17,16 +17,11 @@ from pyspark.sql import functions as F
 
 from formcheck.llm.bpe import encoder
 from formcheck.llm.common import read_table, text_or_empty
+from formcheck.llm.words import bytes_of, slices
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _slices(values: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-    ends = np.cumsum(sizes)
-    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-        yield values[a:b]
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = MULTI, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """One row per input row: its id and ids array<int>. A null text is empty and has no ids; repeated
     rows each get a row; a null id is kept. Special tokens are neither added nor recognised in .tiktoken
@@ -35,9 +30,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(vocabulary, pattern)
         for batch in batches:
-            ids, sizes = encode_texts(batch.column(1).to_pylist())
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["id", "ids"])
+            for part in slices(batch, 1, 1 << 20):
+                ids, sizes = encode_texts.encode(*bytes_of(part.column(1)))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
@@ -62,13 +58,16 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(vocabulary, pattern)
+        _, lengths, _ = encode_texts.vocabulary.token_table
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids, sizes = encode_texts(part.column(1).to_pylist())
-                shas = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in _slices(ids, sizes)]
-                back = [hashlib.sha256(encode_texts.decode(x)).hexdigest() for x in _slices(ids, sizes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(shas), pa.array(back)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part in slices(batch, 1, 1 << 20):
+                ids, sizes = encode_texts.encode(*bytes_of(part.column(1)))
+                ends = np.cumsum(sizes)
+                data, back = memoryview(ids.astype("<u4").tobytes()), memoryview(encode_texts.decode(ids))
+                after = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], ends])].tolist()
+                shas = [sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                decoded = [sha256(back[a:b]).hexdigest() for a, b in zip(after[:-1], after[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(shas), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

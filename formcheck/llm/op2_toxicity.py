@@ -7,61 +7,104 @@ own training rows. The models are fitted on a bounded sample of labelled rows (S
 id, drawn per class so that rare rows are all used); a text is then scored in one pass over it, without
 a shuffle.
 
-Categories, in chain order, all taken from the labels: `junk` (quality = 0), `toxic` (toxic = 1) and
-`toxic_clean` (toxic = 1 and quality = 1: toxic but otherwise good text).
+Categories, in chain order, all taken from the labels: `junk` (quality = 0), `toxic_clean` (toxic = 1 and
+quality = 1: toxic but otherwise good text) and `toxic` (toxic = 1), which decides and sees both others.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formcheck.llm.common import materialise, read_table, text_or_empty
+from formcheck.llm.words import mix, slices, span_hashes
 
 #: At most about this many labelled rows are fitted on; words of a text beyond the hashed set add nothing.
 SAMPLE = 6000
-CATEGORIES = ("junk", "toxic", "toxic_clean")
+CATEGORIES = ("junk", "toxic_clean", "toxic")
+#: The category that decides: the last, whose model sees the probabilities of both others.
+DECIDES = 2
 #: Hashed word features; the chained probabilities and the bias follow.
 FEATURES = 1 << 18
 #: Letters of a word's beginning.
 BEGINNING = 4
 FOLDS = 4
 L2, STEPS = 1e-4, 60
-WORD = re.compile(r"[^\W\d_]+")
 
 
-@lru_cache(maxsize=400_000)
-def _hashed(word: str) -> tuple[int, int]:
-    """Of a word and of its beginning, which holds for its other forms too."""
-    return zlib.crc32(word.encode()) & (FEATURES - 1), zlib.crc32(b"^" + word[:BEGINNING].encode()) & (FEATURES - 1)
+@lru_cache
+def letters() -> np.ndarray:
+    """Which code points belong to words: letters and the like, no digits, no underscore."""
+    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature), sorted and distinct: hashes of the lower-cased words of whole texts and, apart from them, of
+    the words' beginnings, which hold for their other forms too."""
+    texts = [t.lower() for t in texts]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(points) + 1, bool)
+    inside[:-1] = letters()[points]
+    heads = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    begin, over = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    begin[heads] = inside[heads]
+    over[:-1] &= ~inside[1:]
+    tails = ends[ends > 0] - 1
+    over[tails] = inside[tails]
+    start, end = np.flatnonzero(begin), np.flatnonzero(over) + 1
+    row = np.searchsorted(ends, start, "right")
+    whole, head = span_hashes(points, start, end), mix(span_hashes(points, start, np.minimum(start + BEGINNING, end)) + np.uint64(1))
+    each = np.concatenate([whole, head]) & np.uint64(FEATURES - 1)
+    key = np.sort(np.concatenate([row, row]) * FEATURES + each.astype(np.int64))
+    key = key[np.diff(key, prepend=-1) > 0]
+    return key // FEATURES, key % FEATURES
 
 
-def features(text: str) -> list[int]:
-    """Hashes of the distinct lower-cased words of the whole text and of their beginnings, sorted."""
-    return sorted({h for w in set(WORD.findall(text.lower())) for h in _hashed(w)})
+class Rows:
+    """Word sets as flat arrays: (row, feature) of n rows, sorted by row."""
 
+    def __init__(self, row: np.ndarray, flat: np.ndarray, n: int):
+        self.row, self.flat, self.n = row, flat, n
 
-class Rows:
-    """Word sets as flat arrays."""
+    @classmethod
+    def of(cls, sets: list) -> Rows:
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        return cls(np.repeat(np.arange(len(sets)), sizes), np.concatenate([np.zeros(0, np.int64), *map(np.asarray, sets)]), len(sets))
+
+    @staticmethod
+    def _groups(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        return first, sorted_[first]
+
+    @cached_property
+    def by_row(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._groups(self.row)
 
-    def __init__(self, sets: list):
-        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        self.flat = np.fromiter((x for s in sets for x in s), np.int64, int(self.sizes.sum()))
-        self.row = np.repeat(np.arange(len(sets)), self.sizes)
+    @cached_property
+    def by_feature(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(self.flat, kind="stable")
+        return self.row[order], *self._groups(self.flat[order])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.flat], len(self.sizes))
+        out = np.zeros(self.n)
+        first, rows = self.by_row
+        if len(first):
+            out[rows] = np.add.reduceat(weights[self.flat], first)
+        return out
 
     def back(self, errors: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.flat, errors[self.row], size)
+        out = np.zeros(size)
+        row, first, features = self.by_feature
+        if len(first):
+            out[features] = np.add.reduceat(errors[row], first)
+        return out
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -96,24 +139,23 @@ def fit(rows: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, size: int
     return w
 
 
-def fit_chain(sets: list, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS, stands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, weights, out): the words of the sets; per category, its weights for them, for the categories
+def fit_chain(rows: Rows, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS, stands: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, weights, out): the words of the rows; per category, its weights for them, for the categories
     before (0 where there is none) and the bias; the out-of-fold probabilities. stands: the labelled rows that
     each row stands for (default: one)."""
-    stands = np.ones(len(sets)) if stands is None else stands
-    words = np.unique(np.fromiter((x for s in sets for x in s), np.int64))
-    number = np.full(FEATURES, -1)
-    number[words] = np.arange(len(words))
-    rows = Rows([number[np.asarray(s, np.int64)] for s in sets])
+    n = rows.n
+    stands = np.ones(n) if stands is None else stands
+    words, number = np.unique(rows.flat, return_inverse=True)
+    rows = Rows(rows.row, number.astype(np.int32), n)
     size, k = len(words), labels.shape[1]
     weights = np.zeros((k, size + k + 1))
-    dense = np.zeros((len(sets), 0))
+    dense = np.zeros((n, 0))
     for c in range(k):
         y = labels[:, c].astype(float)
-        w = fit(rows, dense, y, np.ones(len(sets), bool), size, stands)
+        w = fit(rows, dense, y, np.ones(n, bool), size, stands)
         weights[c, : size + c] = w[: size + c]
         weights[c, -1] = w[-1]
-        out = np.zeros(len(sets))
+        out = np.zeros(n)
         for f in range(folds):
             apart = fold == f
             if apart.any():
@@ -158,31 +200,37 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         share = F.when((kind[0] == junk) & (kind[1] == bad), F.lit(x)).otherwise(share)
     chosen = told.withColumn("share", share).where(F.pmod(F.xxhash64("id"), F.lit(10**12)) < F.col("share") * 10**12)
 
-    @F.pandas_udf("array<int>")
-    def words(texts: pd.Series) -> pd.Series:
-        return texts.map(features)
-
-    rows = chosen.join(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "id")
-    rows = rows.select("id", "quality", "toxic", (1 / F.col("share")).alias("stands"), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), words("text").alias("words"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "quality", "toxic"], kind="stable")
-        toxic, junk = pdf.toxic.to_numpy() == 1, pdf.quality.to_numpy() == 0
-        stands = pdf.stands.to_numpy()
-        kept, weights, out = fit_chain(list(pdf.words), np.column_stack([junk, toxic, toxic & ~junk]), pdf.fold.to_numpy(), stands=stands)
-        return pd.DataFrame({"words": [kept.tolist()], "weights": [weights.tolist()], "threshold": [best_threshold(out[:, 1], toxic, stands)]})
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 5):
+                row, feature = features(part.column(5).to_pylist())
+                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(5)), pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))], ["id", "quality", "toxic", "stands", "fold", "words"])
+
+    # What is drawn is bounded by `sample`, so it is sent to the texts.
+    rows = F.broadcast(chosen).join(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "id")
+    rows = rows.select("id", "quality", "toxic", (1 / F.col("share")).alias("stands"), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:5])
+    rows = rows.mapInArrow(words, f"{kinds}, words array<int>")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("id", "ascending"), ("quality", "ascending"), ("toxic", "ascending"), ("fold", "ascending")]).combine_chunks()
+        toxic, junk = table["toxic"].to_numpy() == 1, table["quality"].to_numpy() == 0
+        stands = table["stands"].to_numpy()
+        words = table["words"].combine_chunks()
+        sets = Rows(np.repeat(np.arange(len(words), dtype=np.int32), np.diff(words.offsets.to_numpy())), words.flatten().to_numpy(), len(words))
+        kept, weights, out = fit_chain(sets, np.column_stack([junk, toxic & ~junk, toxic]), table["fold"].to_numpy(), stands=stands)
+        each = pa.ListArray.from_arrays(np.arange(0, weights.size + 1, weights.shape[1], dtype=np.int32), pa.array(weights.ravel()))
+        nested = lambda values: pa.ListArray.from_arrays(np.array([0, len(values)], np.int32), values)
+        return pa.table({"words": nested(pa.array(kept.astype(np.int64))), "weights": nested(each), "threshold": [best_threshold(out[:, DECIDES], toxic, stands)]})
 
     # One group of at most about `sample` rows: the bound is the parameter, not the data.
-    fitted = materialise(rows.withColumn("all", F.lit(1)), "labelled").groupBy("all").applyInPandas(run, "words array<long>, weights array<array<double>>, threshold double")
+    fitted = materialise(rows.withColumn("all", F.lit(1)), "labelled").groupBy("all").applyInArrow(run, "words array<long>, weights array<array<double>>, threshold double")
     return materialise(fitted, "toxicity-chain")
 
 
-def score(docs: DataFrame, chain: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
-    """One row per input row: id, p_junk, p_toxic, p_toxic_clean, rejected.
-
-    Rejected are texts whose toxic probability reaches the threshold (default: the chain's own, calibrated
-    on out-of-fold predictions). A null or empty text has no words and is never rejected; without a chain (no labelled rows) nothing is.
-    Repeated rows score alike."""
+def _judge(docs: DataFrame, chain: DataFrame, threshold: float | None):
+    """Function from texts to their probabilities by category and the threshold, for use in the tasks."""
     # The chain is at most FEATURES words times three categories, whatever the data.
     row = chain.first()
     threshold = threshold if threshold is not None else row["threshold"] if row else 1.0
@@ -190,29 +238,55 @@ def score(docs: DataFrame, chain: DataFrame, id_col: str = "doc_id", text_col: s
     weights = np.array(row["weights"] if row else np.zeros((len(CATEGORIES), len(CATEGORIES) + 1)))
     table = np.zeros((FEATURES, len(CATEGORIES)), np.float32)
     table[words] = weights[:, : len(words)].T
-    chained, bias = weights[:, len(words) : -1], weights[:, -1]
-    trained = bool(len(words))
-    shared = docs.sparkSession.sparkContext.broadcast((table, chained, bias))
+    shared = docs.sparkSession.sparkContext.broadcast((table, weights[:, len(words) : -1], weights[:, -1], bool(len(words))))
+
+    def judge(texts: list[str]) -> list[np.ndarray]:
+        table, chained, bias, trained = shared.value
+        rows = Rows(*features(texts), len(texts))
+        some = (np.bincount(rows.row, minlength=len(texts)) > 0) & trained
+        probs: list[np.ndarray] = []
+        for c in range(len(CATEGORIES)):
+            z = rows.dot(table[:, c]) + bias[c]
+            for k, p in enumerate(probs):
+                z = z + chained[c, k] * p
+            probs.append(np.where(some, _sigmoid(z), 0.0))
+        return probs
+
+    return judge, threshold
+
+
+def score(docs: DataFrame, chain: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float | None = None) -> DataFrame:
+    """One row per input row: id, p_junk, p_toxic_clean, p_toxic, rejected.
+
+    Rejected are texts whose toxic probability reaches the threshold (default: the chain's own, calibrated
+    on out-of-fold predictions). A null or empty text has no words and is never rejected; without a chain (no labelled rows) nothing is.
+    Repeated rows score alike."""
+    judge, threshold = _judge(docs, chain, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, chained, bias = shared.value
         for batch in batches:
-            rows = [features(x) for x in batch.column(1).to_pylist()]
-            some = np.array([bool(x) for x in rows]) & trained
-            sizes = Rows(rows)
-            probs: list[np.ndarray] = []
-            for c in range(len(CATEGORIES)):
-                z = sizes.dot(table[:, c]) + bias[c]
-                for k, p in enumerate(probs):
-                    z = z + chained[c, k] * p
-                probs.append(np.where(some, _sigmoid(z), 0.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, probs), pa.array(probs[1] >= threshold)], ["id", *(f"p_{c}" for c in CATEGORIES), "rejected"])
+            for part in slices(batch, 1):
+                probs = judge(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, probs), pa.array(probs[DECIDES] >= threshold)], ["id", *(f"p_{c}" for c in CATEGORIES), "rejected"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     schema = f"id {texts.schema['id'].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", rejected boolean"
     return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, chain: DataFrame, text_col: str = "text", threshold: float | None = None) -> DataFrame:
+    """The rows of docs that score() does not reject, with all their columns and without a shuffle."""
+    judge, threshold = _judge(docs, chain, threshold)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(judge([t or "" for t in part.column(at).to_pylist()])[DECIDES] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, train(spark, docs, read_table(spark, sf_dir, "labels")))

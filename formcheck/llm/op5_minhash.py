@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from formcheck.llm.common import join_groups, materialise, read_table, release, text_or_empty
 from formcheck.llm.components import components
-from formcheck.llm.words import Words, bytes_of, distinct, mix, shingles
+from formcheck.llm.words import Words, bytes_of, distinct, mix, shingles, slices
 
 #: Words of a shingle and least similarity in per cent, unless told otherwise.
 SHINGLE, PERCENT = 5, 80
@@ -66,28 +66,36 @@ def likely(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, pe
     return on
 
 
+def fingerprints(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, s1, s2): size and 128-bit fingerprint of the set of each row."""
+    n = np.bincount(row, minlength=rows)
+    some = np.flatnonzero(n)
+    at = np.cumsum(n)[some] - n[some]
+    s1, s2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    if len(some):
+        s1[some] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), at)
+        s2[some] = np.add.reduceat(mix(value ^ np.uint64(0x14057B7EF767814F)), at)
+    return n, s1.view(np.int64), s2.view(np.int64)
+
+
 def signatures(df: DataFrame, shingle: int) -> DataFrame:
     """df has id and text. (id, n, s1, s2, signature): size and 128-bit fingerprint of the shingle set, and
     its MinHash values, 16 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices(batch, 1):
                 row, value = distinct(*shingles(Words(*bytes_of(part.column(1)), hashed=True), shingle))
-                n = np.bincount(row, minlength=part.num_rows)
+                n, s1, s2 = fingerprints(row, value, part.num_rows)
                 some = np.flatnonzero(n)
                 at = np.cumsum(n)[some] - n[some]
-                s1, s2 = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.uint64)
                 least = np.zeros((part.num_rows, VALUES), np.uint16)
                 if len(some):
-                    s1[some] = np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), at)
-                    s2[some] = np.add.reduceat(mix(value ^ np.uint64(0x14057B7EF767814F)), at)
                     low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint32)
                     for v in range(VALUES):
                         least[some, v] = np.minimum.reduceat(low * FIRST[v] + high * SECOND[v], at).astype(np.uint16)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * VALUES), part.num_rows, [None, pa.py_buffer(least.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), packed], ["id", "n", "s1", "s2", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(s1), pa.array(s2), packed], ["id", "n", "s1", "s2", "signature"])
 
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, signature binary")
 
@@ -118,20 +126,23 @@ def bands(reps: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(id, signature, shingles) of the ids: their shingle sets, taken from the texts, as sorted 64-bit hashes.
+    Of rows that repeat an id those count whose set is the representative's.
 
     The join is a merge join at every size: the ids grow with the corpus, so they are never broadcast."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                row, value = distinct(*shingles(Words(*bytes_of(part.column(2)), hashed=True), shingle))
+            for part in slices(batch, 4):
+                row, value = distinct(*shingles(Words(*bytes_of(part.column(4)), hashed=True), shingle))
+                _, s1, s2 = fingerprints(row, value, part.num_rows)
+                own = pa.array((s1 == part.column(2).to_numpy()) & (s2 == part.column(3).to_numpy()))
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 data = value.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([data[8 * a : 8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["id", "signature", "shingles"])
+                sets = pa.array([data[8 * a : 8 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], ["id", "signature", "shingles"]).filter(own)
 
     wanted = reps.join(ids, "id", "left_semi")
-    rows = docs.join(wanted.hint("merge"), "id").select("id", "signature", "text")
+    rows = docs.join(wanted.hint("merge"), "id").select("id", "signature", "s1", "s2", "text")
     return rows.mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, signature binary, shingles binary")
 
 
@@ -149,11 +160,13 @@ def verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = np.arange(batch.num_rows)
-            on = likely(_matrix(batch.column(2)), _matrix(batch.column(3)), each, each, percent).tolist()
-            left, right = batch.column(4), batch.column(5)
-            sure = [k for k in on if similar(np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64), percent)]
-            yield batch.select([0, 1]).take(pa.array(sure, pa.int64()))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                each = np.arange(part.num_rows)
+                on = likely(_matrix(part.column(2)), _matrix(part.column(3)), each, each, percent).tolist()
+                left, right = part.column(4), part.column(5)
+                sure = [k for k in on if similar(np.frombuffer(left[k].as_buffer(), np.uint64), np.frombuffer(right[k].as_buffer(), np.uint64), percent)]
+                yield part.select([0, 1]).take(pa.array(sure, pa.int64()))
 
     side = lambda a, s, v: full.select(F.col("id").alias(a), F.col("signature").alias(s), F.col("shingles").alias(v)).hint("merge")
     both = pairs.join(side("a", "s1", "v1"), "a").join(side("b", "s2", "v2"), "b").select("a", "b", "s1", "s2", "v1", "v2")
@@ -225,14 +238,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs without ASCII white space, A-Z lower-cased; a text with fewer than `shingle` words has
     its whole sequence as one shingle; a null, empty or blank text has no shingles and is linked with
-    nothing. class_id is the smallest id with the same set. Ids are integers; rows with the same id count as
-    one document; a null id is linked with nothing and kept."""
+    nothing. class_id is the smallest id with the same set. Ids are integers; a null id is linked with nothing
+    and kept. Of rows that repeat an id with different texts each belongs to the class of its own text; as a class's
+    smallest id such an id is compared with other classes by one of its sets, that of the smallest fingerprint."""
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     sketches = materialise(signatures(docs, shingle), "signatures")
     real = sketches.where("n > 0 AND id IS NOT NULL")
     classes = materialise(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members")), "classes")
     member = join_groups(real.select("id", "n", "s1", "s2"), classes, ["s1", "s2", "n"], "members").select("id", "n", "class_id")
-    reps = materialise(real.join(classes.select(F.col("class_id").alias("id")).hint("merge"), "id", "left_semi").select("id", "signature").dropDuplicates(["id"]), "representatives")
+    reps = materialise(real.join(classes.select(F.col("class_id").alias("id")).hint("merge"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("s1", "s2", "signature")).alias("least")).select("id", "least.*"), "representatives")
     banded = materialise(bands(reps), "bands")
     leads = materialise(banded.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     inside = materialise(join_groups(banded, leads, ["band"], "size"), "bucket-members")
@@ -254,4 +268,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4).drop("class_id")
+
+
+#: Exact links by counting shared shingles, and their closure.
+OP5_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+      ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')))) END AS shingles FROM w),
+c AS (SELECT shingles, min(doc_id) AS rep FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+e AS (SELECT rep, len(shingles) AS n, unnest(shingles) AS x FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(rep, node) AS (SELECT rep, rep FROM c UNION SELECT r.rep, l.b FROM r JOIN l ON l.a = r.node),
+m AS (SELECT rep, min(node) AS component FROM r GROUP BY rep)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.shingles = s.shingles LEFT JOIN m ON m.rep = c.rep
+"""

@@ -2,9 +2,9 @@
 
 Method: documents are cut into full windows and one remainder each; the histogram of piece lengths has at
 most WINDOW rows whatever the input. Shallow combinations of lengths (one to three pieces) that fill a
-window are enumerated, their repeat counts solved against the histogram by non-negative least squares,
-rounded down, and what is left over is packed greedily, again on the histogram. The plan, a few thousand
-rows, is joined to the pieces by their rank within their length, so no task or driver sees all pieces.
+window are enumerated (a number bounded by the window), their repeat counts solved against the histogram by
+non-negative least squares, rounded down, and what is left over is packed greedily, again on the histogram.
+Each piece then finds its row of the plan by its rank within its length, so no task or driver sees all pieces.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ from pyspark.sql import functions as F
 
 from formcheck.llm.bpe import encoder
 from formcheck.llm.common import materialise, read_table, text_or_empty
+from formcheck.llm.words import bytes_of, slices
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW = 2048
 END = 1
 #: Pairs may leave this many tokens of a window free; triples fill it.
 SLACK = 8
+#: Triples hold one of so many most frequent lengths.
+FREQUENT = 8
 #: Steps of the least-squares solver.
-STEPS = 300
+STEPS = 200
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = JSON, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -37,28 +40,31 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(vocabulary)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids, sizes = encode_texts(part.column(1).to_pylist())
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                a = 0
-                for row, n in enumerate(sizes.tolist()):
-                    own = np.append(ids[a : a + n], end).astype("<u4")
-                    a += n
-                    for start in range(0, n + 1, window):
-                        piece = own[start : start + window]
-                        for out, x in zip(rows, (row, start, len(piece), zlib.crc32(piece.tobytes()), n + 1), strict=True):
-                            out.append(x)
-                at, *rest = rows
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+            for part in slices(batch, 1, 1 << 20):
+                ids, sizes = encode_texts.encode(*bytes_of(part.column(1)))
+                tokens = sizes + 1
+                # The ids with an end id after each text, and the pieces as slices of them.
+                last = np.cumsum(tokens) - 1
+                own = np.full(int(tokens.sum()), end, "<u4")
+                own[np.delete(np.arange(len(own)), last)] = ids
+                count = -(-tokens // window)
+                row = np.repeat(np.arange(len(tokens)), count)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * window
+                length = np.minimum(window, tokens[row] - start)
+                at = 4 * ((last + 1 - tokens)[row] + start)
+                data = memoryview(own.tobytes())
+                sums = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(tokens[row])], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def combinations(lengths: np.ndarray, window: int, slack: int = SLACK) -> np.ndarray:
+def combinations(histogram: np.ndarray, window: int, slack: int = SLACK, frequent: int = FREQUENT) -> np.ndarray:
     """Rows of three lengths (0: none), largest first, that fill a window: full single pieces, pairs that
-    leave at most slack free, triples that leave nothing."""
+    leave at most slack free, triples that leave nothing and hold one of the `frequent` most frequent lengths.
+    So there are at most window * (slack + 1 + frequent) of them, whatever the data."""
+    lengths = np.flatnonzero(histogram)
     here = np.zeros(window + 1, bool)
     here[lengths] = True
     found = [np.array([[window, 0, 0]])] if here[window] else []
@@ -69,14 +75,13 @@ def combinations(lengths: np.ndarray, window: int, slack: int = SLACK) -> np.nda
         a, b = low[ok], other[ok]
         keep = here[b]
         found.append(np.stack([a[keep], b[keep], np.zeros(keep.sum(), np.int64)], axis=1))
-    for a in low.tolist():
-        b = low[low <= a]
-        c = window - a - b
-        ok = (c >= 1) & (c <= b)
-        b, c = b[ok], c[ok]
+    for a in low[np.argsort(-histogram[low], kind="stable")[:frequent]].tolist():
+        c = window - a - low
+        ok = (c >= 1) & (c <= low)
+        b, c = low[ok], c[ok]
         keep = here[c]
         found.append(np.stack([np.full(keep.sum(), a), b[keep], c[keep]], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    return np.unique(np.sort(np.concatenate(found), axis=1)[:, ::-1], axis=0) if found else np.zeros((0, 3), np.int64)
 
 
 def solve(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
@@ -121,7 +126,7 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, int
             offset += length * per
         base += times
 
-    combos = combinations(np.flatnonzero(left), window)
+    combos = combinations(left, window)
     if len(combos):
         x = solve(combos, left.astype(float))
         counts = np.floor(x + 1e-6).astype(np.int64)
@@ -165,16 +170,32 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "start")) - 1
     ranked = salted.withColumn("own", rank).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
-    schema = "length long, first_rank long, last_rank long, per long, base long, place long"
-    # At most a few rows per length and combination: bounded by the window, not by the data.
-    rows = spark.createDataFrame(plan(histogram, window), schema)
-    placed = ranked.join(F.broadcast(rows), "length").where("rank BETWEEN first_rank AND last_rank")
-    k = F.col("rank") - F.col("first_rank")
-    return placed.select(
-        F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("base") + F.floor(k / F.col("per"))).cast("long").alias("sequence_id"),
-        (F.col("place") + F.pmod(k, F.col("per")) * F.col("length")).cast("long").alias("offset"),
-    )
+    # A few rows for each length and combination: bounded by the window, not by the data.
+    rows = np.array(plan(histogram, window), np.int64).reshape(-1, 6)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    shared = spark.sparkContext.broadcast(rows)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The plan row of each piece by a search for its length and rank: one row in, one row out."""
+        rows = shared.value
+        lengths = np.unique(rows[:, 0])
+        low, high = np.searchsorted(rows[:, 0], lengths), np.searchsorted(rows[:, 0], lengths, "right")
+        bounds = {n: (a, b) for n, a, b in zip(lengths.tolist(), low.tolist(), high.tolist(), strict=True)}
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            at = np.zeros(len(length), np.int64)
+            order = np.argsort(length, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else ():
+                a, b = bounds[int(length[own[0]])]
+                at[own] = a + np.searchsorted(rows[a:b, 1], rank[own], "right") - 1
+            _, first, _, per, base, offset = rows[at].T
+            k = rank - first
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(base + k // per), pa.array(offset + k % per * length)], [*columns, "sequence_id", "offset"])
+
+    columns = ["id", "start", "length", "ids_crc32", "doc_tokens"]
+    kind = cut.schema["id"].dataType.simpleString()
+    placed = ranked.select(*columns, "rank").mapInArrow(place, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.withColumnRenamed("id", id_col)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,14 +17,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from formcheck.llm.common import materialise, read_table, release, text_or_empty
-from formcheck.llm.words import Words, bytes_of
+from formcheck.llm.words import Words, bytes_of, slices
 
 #: A chunk begins where the hash is least among this many words on each side: REACH + 1 words at least.
 REACH = 4
@@ -94,8 +93,7 @@ def chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blake = hashlib.blake2b
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for part in slices(batch, 1):
                 rows, number, start, end, size = chunk(part.column(1))
                 text, offsets = bytes_of(part.column(1))
                 data = text.tobytes()
@@ -157,26 +155,35 @@ def duplicate_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans.withColumnRenamed("id", id_col)
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-    out = []
-    for text, a, b in zip(texts, starts, ends, strict=True):
-        data, kept, at = text.encode(), [], 0
-        for start, end in zip(a, b, strict=True):
-            kept.append(data[at:start])
-            at = end
-        out.append((b"".join(kept) + data[at:]).decode(errors="ignore"))
-    return pd.Series(out)
+def _without(text: str, starts: list[int], ends: list[int]) -> str:
+    data, kept, at = text.encode(), [], 0
+    for start, end in zip(starts, ends, strict=True):
+        kept.append(data[at:start])
+        at = end
+    return (b"".join(kept) + data[at:]).decode(errors="ignore")
 
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """The same rows and columns; from each text the stretches of copies are cut out. A text that is wholly
-    copied becomes empty; nulls stay null."""
+    copied becomes empty; nulls stay null.
+
+    Spans grow with the corpus, so the join is a merge join at every size: texts are shuffled once."""
     spans = duplicate_spans(df, id_col, text_col, least).select(F.col(id_col).alias("__fc_id"), F.col("starts").alias("__fc_starts"), F.col("ends").alias("__fc_ends"))
-    joined = df.join(spans, F.col(id_col) == F.col("__fc_id"), "left")
-    changed = joined.where(F.col("__fc_id").isNotNull() & F.col(text_col).isNotNull()).withColumn(text_col, _without(F.col(text_col), "__fc_starts", "__fc_ends"))
-    same = joined.where(F.col("__fc_id").isNull() | F.col(text_col).isNull())
-    return same.unionByName(changed).select(*df.columns)
+    joined = df.join(spans.hint("merge"), F.col(id_col) == F.col("__fc_id"), "left").select(*df.columns, "__fc_starts", "__fc_ends")
+    at = df.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                text, starts, ends = part.column(at), part.column(part.num_columns - 2), part.column(part.num_columns - 1)
+                if starts.null_count < part.num_rows:
+                    # One pass over the rows that lose something; the others are taken as they are.
+                    some = pc.and_(pc.is_valid(starts), pc.is_valid(text))
+                    new = [_without(*x) for x in zip(*(c.filter(some).to_pylist() for c in (text, starts, ends)), strict=True)]
+                    text = pc.replace_with_mask(text, some, pa.array(new, text.type))
+                yield pa.RecordBatch.from_arrays([text if k == at else part.column(k) for k in range(len(part.schema) - 2)], part.schema.names[:-2])
+
+    return joined.mapInArrow(cut, df.schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multiplier of the polynomial hash, and the multipliers of the final mixing (public constants of splitmix64).
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 2**64)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -18,10 +22,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps of each base.
+KEPT = (1 << 20) + 1
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first n powers of base."""
+    known = _powers.get(base)
+    if known is not None and n <= len(known):
+        return known[:n]
+    out = np.full(max(n, 1 << 16), base, np.uint64)
+    out[0] = 1
+    out = np.cumprod(out, dtype=np.uint64)
+    if len(out) <= KEPT:
+        _powers[base] = out
+    return out[:n]
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[start:end]: polynomials, through sums over all values, brought to a common power
+    at the end."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
+    size = (end - start).astype(np.uint64)
+    return mix((sums[end] - sums[start]) * powers(INVERSE, n + 1)[start] + size * np.uint64(0xD6E8FEB86659FD93))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 19, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch: rows whose texts have at most `most` bytes together (a longer text is a part of its
+    own), and at most `rows` rows."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right"))
+        stop = min(max(at + 1, fits), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +97,7 @@ class Words:
         if not hashed:
             return
         text = np.where((text >= 65) & (text <= 90), text + 32, text)
-        # Polynomial hash of each word through sums over the whole batch, brought to a common power at the end.
-        inverse = powers(pow(BASE, -1, 2**64), n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + size * np.uint64(0xD6E8FEB86659FD93))
+        self.hash = span_hashes(text, self.start, self.end)
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
