@@ -1,43 +1,48 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Method: each vector is projected to DIMENSIONS random directions, shifted at random, and ordered by its
-Hilbert key; CURVES such orderings differ in directions and shift. The keys of a curve are range-partitioned
-into CELLS cells at their quantiles (cells that hold many rows are split into blocks). A query goes to the
-cells within its key window on every curve, meets their vectors in blocks, and the partial top lists are
-merged and ranked by the exact cosine of the original vectors.
-
-The window is a share of the ordering, not a number of rows: on vectors without structure neighbours are
-spread over the curve, and only a share keeps recall the same at every size.
+Method: each vector is projected to DIMENSIONS orthogonal directions, shifted at random, and ordered by its
+Hilbert key; CURVES such orderings differ in directions and shift. Spark range-partitions and sorts the keys
+of all curves; a query meets the vectors next to it in each ordering, compared by codes of at most CODE bytes,
+which travel in place of the vectors. The windows of all curves merge, the best SHORTLIST candidates by code are
+ranked again by the exact cosine of the original vectors.
+
+A window has WIDTH * sqrt(n) vectors on each side: on vectors without structure a fixed number would lose
+recall as tables grow. Work is thus n^1.5, not n^2: the codes compared for a query are about
+2 * CURVES * WIDTH / sqrt(n) of the table (half of it at 10,000 vectors, a sixth at 100,000), the vectors
+scored SHORTLIST.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formcheck.llm.common import materialise, read_table
+from formcheck.llm.common import join_groups, materialise, read_table
 
-CURVES, DIMENSIONS = 6, 3
+CURVES, DIMENSIONS = 64, 12
 #: Bits of a coordinate; a key has DIMENSIONS times as many.
-BITS = 20
-CELLS = 64
-#: Cells on each side of the query's own: 17 of 64 cells, about a quarter of the ordering.
-REACH = 8
-#: Vectors on each side at least: small tables are searched over a wider share, the smallest as a whole.
-LEAST = 512
-#: Vectors of a block; a fuller cell is split.
-BLOCK = 16384
+BITS = 5
+#: Bytes by which vectors are compared before they are scored: one for each of at most so many components.
+CODE = 64
+#: Vectors on each side of a query in an ordering: WIDTH times the root of their number.
+WIDTH = 0.8
+#: Candidates that a query keeps of an ordering, and that are scored for it in the end.
+KEPT, SHORTLIST = 16, 64
+#: Keys of a range partition: its ends, where a window is cut short, are a small part of it.
+PART = 65536
 SEED = 11
 
 
 def curves(dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(directions, shift) of each curve; from a fixed seed, so the same in every task."""
     random = np.random.default_rng([SEED, dim])
-    return [(random.normal(size=(dim, DIMENSIONS)), random.uniform(0, 1, DIMENSIONS)) for _ in range(CURVES)]
+    wide = max(dim, DIMENSIONS)
+    return [(np.linalg.qr(random.normal(size=(wide, DIMENSIONS)))[0][:dim] * sqrt(dim), random.uniform(0, 1, DIMENSIONS)) for _ in range(CURVES)]
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -64,48 +69,42 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def keys(vectors: np.ndarray) -> np.ndarray:
-    """(rows, CURVES) keys. The projections of a unit vector have variance 1: four deviations each way are kept."""
-    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+def keys(unit: np.ndarray) -> np.ndarray:
+    """(rows, CURVES) keys of unit vectors. Their projections have variance 1: four deviations each way are kept."""
     out = []
-    for directions, shift in curves(vectors.shape[1]):
+    for directions, shift in curves(unit.shape[1]):
         place = (unit @ directions + 4 + shift) / 9
         out.append(hilbert((np.clip(place, 0, 1 - 1e-9) * (1 << BITS)).astype(np.int64)))
     return np.stack(out, axis=1)
 
 
+def codes(unit: np.ndarray) -> np.ndarray:
+    """(rows, at most CODE) bytes: the components of unit vectors in an orthogonal system, largest 127."""
+    dim = unit.shape[1]
+    system = np.linalg.qr(np.random.default_rng([SEED, dim, 1]).normal(size=(dim, min(dim, CODE))))[0]
+    turned = unit @ system
+    return np.round(127 * turned / np.maximum(np.abs(turned).max(axis=1), 1e-12)[:, None]).astype(np.int8)
+
+
 def _vectors(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def nearest(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, id, score) of each query's k largest cosines among the points, ties to the smaller id.
-
-    Equal vectors are taken once with their k + 1 smallest ids; candidates within rounding of the k-th are
-    scored again one by one, so that a score does not depend on the block it was found in."""
-    order = np.argsort(ids, kind="stable")
-    points, ids = points[order], ids[order]
-    _, first, inverse = np.unique(points.view(np.dtype((np.void, points.dtype.itemsize * points.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by = np.argsort(inverse, kind="stable")
-    nth = np.arange(len(by)) - np.searchsorted(inverse[by], inverse[by])
-    kept = np.sort(by[nth <= k])
-    points, ids = points[kept], ids[kept]
-    unit = points / np.linalg.norm(points, axis=1)[:, None]
-    out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(queries), 256):
-        q = queries[at : at + 256]
-        scores = (q / np.linalg.norm(q, axis=1)[:, None]) @ unit.T
-        most = min(k + 1, len(points))
-        bar = np.partition(scores, len(points) - most, axis=1)[:, len(points) - most] - 1e-9
-        for row, (vector, own) in enumerate(zip(q, query_ids[at : at + 256], strict=True)):
-            near = np.flatnonzero(scores[row] >= bar[row])
-            near = near[ids[near] != own]
-            exact = np.einsum("ij,j->i", points[near], vector) / np.sqrt(np.einsum("ij,ij->i", points[near], points[near]) * np.einsum("j,j->", vector, vector))
-            best = np.lexsort((ids[near], -exact))[:k]
-            out[0].append(np.full(len(best), own))
-            out[1].append(ids[near[best]])
-            out[2].append(exact[best])
-    return tuple(np.concatenate(x) for x in out)
+def neighbours(curve: np.ndarray, code: np.ndarray, queries: np.ndarray, width: int, kept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, closeness): of each query row (a position in the sorted rows) the `kept` rows whose codes are closest
+    among the `width` before and after it that are of the same curve; itself among them."""
+    code = code.astype(np.float32)
+    code /= np.maximum(np.linalg.norm(code, axis=1), 1e-12)[:, None]
+    low, high = np.searchsorted(curve, curve[queries], "left"), np.searchsorted(curve, curve[queries], "right")
+    low, high = np.maximum(low, queries - width), np.minimum(high, queries + width + 1)
+    rows, values = [], []
+    for q, a, b in zip(queries.tolist(), low.tolist(), high.tolist(), strict=True):
+        close = code[a:b] @ code[q]
+        best = np.argpartition(-close, kept - 1)[:kept] if b - a > kept else np.arange(b - a)
+        rows.append(a + best)
+        values.append(close[best])
+    sizes = [len(r) for r in rows]
+    return np.repeat(queries, sizes), np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.float32), *values])
 
 
 def knn(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -114,7 +113,9 @@ def knn(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col:
     Vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another
     length than the most frequent (ties: the greater). A row is no candidate of its own id. Ids are long; null ids
     take no part. Of rows that repeat an id and a vector one counts; an id with several vectors counts with
-    each, at its best score. No valid vector: no rows."""
+    each, at its best score. Equal vectors are one point of the orderings, which answers with its k + 1 smallest ids, so ties
+    are exact however many copies there are. A window has 2 * k vectors on each side at least, so fewer than k
+    candidates are all found. No valid vector: no rows."""
     spark = df.sparkSession
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -122,63 +123,72 @@ def knn(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col:
         F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0)
     )
     sizes = valid.groupBy(F.size(v).alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
-        return spark.createDataFrame([], empty)
-    valid = valid.where(F.size(v) == sizes["dim"])
-    reach = max(REACH, -(-CELLS * LEAST // sizes["count"]))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                own = keys(vectors)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x.tobytes() for x in np.ascontiguousarray(vectors)], pa.binary()), batch.column(2), pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, CURVES, dtype=np.int32)), pa.array(own.ravel()))],
-                    ["id", "v", "query", "keys"],
-                )
-
-    keyed = materialise(valid.mapInArrow(key_rows, "id long, v binary, query boolean, keys array<long>"), "hilbert-keys")
-    # Boundaries and cell counts: CURVES * CELLS numbers, whatever the data.
-    quantiles = keyed.select(F.posexplode("keys").alias("curve", "key")).groupBy("curve").agg(F.percentile_approx("key", [i / CELLS for i in range(1, CELLS)], 4000).alias("cuts"))
-    cuts = {r["curve"]: np.array(r["cuts"]) for r in quantiles.collect()}
-
-    def cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) + 0.0
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in vectors], pa.binary()), batch.column(2)], ["id", "v", "query"])
+
+    rows = valid.where(F.size(v) == sizes["dim"]).mapInArrow(packed, "id long, v binary, query boolean")
+    rows = materialise(rows.groupBy("id", "v").agg(F.max("query").alias("query")), "vectors")
+    # Points: distinct vectors, with their smallest ids.
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = rows.select("id", "v").withColumn("nth", nth).where(F.col("nth") <= k + 1)
+    points = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    asked = rows.groupBy("v").agg(F.max("query").alias("asked"), F.count(F.lit(1)).alias("copies"))
+    # Numbers name the points from here on; the written table fixes them.
+    points = materialise(points.join(asked, "v").withColumn("point", F.monotonically_increasing_id()), "points")
+    width = max(2 * k, ceil(WIDTH * sqrt(points.count())))
+
+    def curve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, -1)
-            for c in range(CURVES):
-                cells = np.searchsorted(cuts[c], own[:, c], "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), c, np.int32)), pa.array(cells), *(batch.column(x) for x in ("id", "v", "query"))], ["curve", "cell", "id", "v", "query"])
-
-    placed = keyed.mapInArrow(cell_rows, "curve int, cell int, id long, v binary, query boolean")
-    counts = {(r["curve"], r["cell"]): r["count"] for r in placed.groupBy("curve", "cell").count().collect()}
-    blocks = {at: -(-n // BLOCK) for at, n in counts.items()}
-    split = spark.createDataFrame([(*at, n) for at, n in blocks.items()], "curve int, cell int, blocks int")
-    points = placed.join(F.broadcast(split), ["curve", "cell"]).select("curve", "cell", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int").alias("block"), "id", "v")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                vectors = _vectors(part.column(1))
+                unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+                own, words = keys(unit), pa.array([x.tobytes() for x in codes(unit)], pa.binary())
+                for c in range(CURVES):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, c, np.int32)), pa.array(own[:, c]), part.column(0), part.column(2), words], ["curve", "key", "point", "asked", "code"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A range partition of about PART narrow rows.
+        whole = pa.Table.from_batches(list(batches), pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("point", pa.int64()), ("asked", pa.bool_()), ("code", pa.binary())])).combine_chunks()
+        if len(whole):
+            code = np.frombuffer(b"".join(whole["code"].to_pylist()), np.int8).reshape(len(whole), -1)
+            q, row, close = neighbours(whole["curve"].to_numpy(), code, np.flatnonzero(whole["asked"].to_numpy(zero_copy_only=False)), width, KEPT)
+            name = whole["point"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(q)), name.take(pa.array(row)), pa.array(close)], ["query", "point", "close"])
+
+    ordered = points.select("point", "v", "asked").mapInArrow(curve_rows, "curve int, key long, point long, asked boolean, code binary")
+    parts = max(1, ceil(points.count() * CURVES / PART))
+    ordered = ordered.repartitionByRange(parts, "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
+    met = ordered.mapInArrow(windows, "query long, point long, close float").groupBy("query", "point").agg(F.max("close").alias("close"))
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("close"), "point"))
+    short = met.withColumn("nth", best).where(F.col("nth") <= SHORTLIST).select("query", "point")
+    pairs = short.join(points.select("point", F.col("v").alias("candidate"), "ids"), "point").join(points.select(F.col("point").alias("query"), "v", "copies"), "query").select("query", "v", "candidate", "ids", "copies")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in range(CURVES):
-                for at in range(CELLS):
-                    for b in range(blocks.get((c, at), 0)):
-                        mine = np.flatnonzero((batch.column("curve").to_numpy() == c) & (abs(batch.column("cell").to_numpy() - at) <= reach))
-                        if len(mine):
-                            part = batch.take(pa.array(mine))
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), x, np.int32)) for x in (c, at, b)] + [part.column("id"), part.column("v")], ["curve", "cell", "block", "id", "v"])
-
-    asked = placed.where("query").select("curve", "cell", "id", "v").mapInArrow(windows, "curve int, cell int, block int, id long, v binary")
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, i, s = nearest(_vectors(left["v"]), left["id"].to_numpy(), _vectors(right["v"]), right["id"].to_numpy(), k)
-        return pa.table({"query_id": q, "id": i, "score": s})
-
-    key = ["curve", "cell", "block"]
-    found = points.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, "query_id long, id long, score double")
-    best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+            if batch.num_rows:
+                a, b = _vectors(batch.column(1)), _vectors(batch.column(2))
+                cosine = np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(4), pa.array(cosine)], ["query", "ids", "copies", "score"])
+
+    scored = pairs.mapInArrow(exact, "query long, ids array<long>, copies long, score double").select("query", "copies", F.explode("ids").alias("id"), "score")
+    # An answer of a point holds k + 1 ids, so k are left without the asking one, whichever copy asks.
+    scored = scored.groupBy("query", "copies", "id").agg(F.max("score").alias("score"))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    answers = materialise(scored.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("query", "copies").agg(F.collect_list(F.struct("score", "id")).alias("near")), "answers")
+    # Copies that ask share their point's answer; a point of very many copies is a hot key.
+    named = points.select("v", F.col("point").alias("query"), F.col("copies").alias("n"))
+    asking = join_groups(rows.where("query").select(F.col("id").alias("query_id"), "v"), named, ["v"], "n").select("query_id", "query")
+    found = join_groups(asking, answers.withColumnRenamed("copies", "n"), ["query"], "n").select("query_id", F.explode("near").alias("near"))
+    found = found.where("near.id <> query_id").groupBy("query_id", F.col("near.id").alias("vec_id")).agg(F.max("near.score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
