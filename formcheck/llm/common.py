@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +11,17 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="formcheck-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a session in one process
+    gets a folder of its own; on a cluster, where nodes would each have another, it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="formcheck-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -56,10 +58,12 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str = "n", hot: int = 200) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str = "n", hot: int = 200, total: int | None = None) -> DataFrame:
     """Inner join of rows with one group row per key, without a hot task: keys that hold more than 1/hot of
-    all rows, so at most `hot` of them, are joined by broadcast. `size` counts the rows of a group."""
-    total = groups.agg(F.sum(size)).first()[0] or 0
+    all rows, so at most `hot` of them, are joined by broadcast, the others by a merge join. `size` counts the
+    rows of a group, `total` all rows (default: the sum of the sizes)."""
+    if total is None:
+        total = groups.agg(F.sum(size)).first()[0] or 0
     large = F.col(size) * hot > F.lit(total)
     rest = [c for c in groups.columns if c not in key]
     few = F.broadcast(groups.where(large).select(*key, F.struct(*rest).alias("__fc_hot")))

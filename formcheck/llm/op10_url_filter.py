@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formcheck.llm.common import lower_ascii, materialise, read_table
+from formcheck.llm.common import join_groups, lower_ascii, materialise, read_table
 
 #: Characters of context.
 ORDER = 4
@@ -101,15 +101,17 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     urls = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"), F.coalesce("url", F.lit("")).alias("text"))
     urls = urls.select("id", "host", "path", rule.alias("rule"), verdict.alias("listed"), "text")
-    held = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
+    held = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % HELD_OUT == 0
     # Equal texts score alike: each distinct one is taken once, with its numbers of labelled urls.
     texts = urls.groupBy("text").agg(F.count_if(F.col("listed") == "allow").alias("accepted"), F.count_if(F.col("listed") == "block").alias("rejected"))
     texts = materialise(texts.select(F.monotonically_increasing_id().alias("text_id"), "text", "accepted", "rejected", held.alias("held")), "urls")
-    grams = _windows(texts, order)
-    counts = grams.groupBy("gram").agg(*[F.sum(F.when(F.col("held"), 0).otherwise(F.col(k))).alias(k) for k in ("accepted", "rejected")])
-    scores = materialise(window_scores(materialise(counts, "url-grams"), order, smoothing), "gram-scores")
-    # Numbers stand for the texts here: one row per character must be narrow.
-    summed = grams.select("text_id", "gram").join(scores, "gram").groupBy("text_id").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
+    # Urls are short: their table may be one file, their windows are many times as long.
+    grams = _windows(texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_id"), order)
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("held"), 0).otherwise(F.col(k))).alias(k) for k in ("accepted", "rejected")])
+    counts = materialise(counts, "url-grams")
+    scores = materialise(window_scores(counts, order, smoothing).join(counts.select("gram", "n"), "gram"), "gram-scores")
+    # Numbers stand for the texts here: one row per character must be narrow. The beginnings of urls are hot keys.
+    summed = join_groups(grams.select("text_id", "gram"), scores, ["gram"]).groupBy("text_id").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
     scored = materialise(texts.join(summed, "text_id", "left").select("text", "accepted", "rejected", "held", F.coalesce("score", F.lit(0.0)).alias("score")), "url-scores")
     threshold = F.lit(calibrate(scored.where("held")).first()["threshold"])
     method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
@@ -118,4 +120,40 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read_table(spark, sf_dir, "pages"))
+    return judge(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    """The query in DuckDB's SQL: rules, counts, smoothed models, calibration, verdicts."""
+    fits = [(k, d + p, f"(host = '{d}' OR host LIKE '%.{d}') AND starts_with(path, '{p}')") for k, d, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
+    rule = " ".join(f"WHEN {test} THEN '{name}'" for _, name, test in fits)
+    listed = " ".join(f"WHEN rule = '{name}' THEN '{kind}'" for kind, name, _ in fits)
+    n = ORDER + 1
+    levels = "".join(f"c{k} AS (SELECT substr(gram, 2, {k}) AS gram, sum(a) AS a, sum(r) AS r FROM c{k + 1} GROUP BY 1),\n" for k in range(ORDER, 0, -1))
+    smooth = lambda c, m, below: f"({c} + {SMOOTHING} * {below}) / ({m} + {SMOOTHING})"
+    probs = f"p1 AS (SELECT gram, {smooth('a', 'ta', '(1 / (letters + 1))')} AS pa, {smooth('r', 'tr', '(1 / (letters + 1))')} AS pr FROM c1, total),\n"
+    for k in range(2, n + 1):
+        probs += (
+            f"x{k} AS (SELECT substr(gram, 1, {k - 1}) AS context, sum(a) AS ma, sum(r) AS mr FROM c{k} GROUP BY 1),\n"
+            f"p{k} AS (SELECT c{k}.gram, {smooth('a', 'ma', 'pa')} AS pa, {smooth('r', 'mr', 'pr')} AS pr FROM c{k} JOIN x{k} ON context = substr(c{k}.gram, 1, {k - 1}) JOIN p{k - 1} ON p{k - 1}.gram = substr(c{k}.gram, 2, {k - 1})),\n"
+        )
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS text, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, text, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+      coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+l AS (SELECT *, CASE {rule} END AS rule, CASE {listed} END AS listed FROM h),
+t AS (SELECT text, count(*) FILTER (listed = 'allow') AS acc, count(*) FILTER (listed = 'block') AS rej, ('0x' || substr(md5(text), 1, 8))::BIGINT % {HELD_OUT} = 0 AS held FROM l GROUP BY text),
+g AS (SELECT text, acc, rej, held, substr(repeat(chr({ord(START)}), {ORDER}) || text, i, {n}) AS gram FROM t, unnest(range(1, length(text) + 1)) AS o(i)),
+c{n} AS (SELECT gram, sum(CASE WHEN held THEN 0 ELSE acc END)::DOUBLE AS a, sum(CASE WHEN held THEN 0 ELSE rej END)::DOUBLE AS r FROM g GROUP BY gram),
+{levels}total AS (SELECT sum(a) AS ta, sum(r) AS tr, count(DISTINCT substr(gram, {n}, 1))::DOUBLE AS letters FROM c{n}),
+{probs}s AS (SELECT text, sum(ln(pa) - ln(pr)) / count(*) AS score FROM g JOIN p{n} USING (gram) GROUP BY text),
+d AS (SELECT t.*, coalesce(score, 0) AS score FROM t LEFT JOIN s USING (text)),
+b AS (SELECT floor(greatest(least(score, {LIMIT}), -{LIMIT}) * {BINS})::BIGINT AS bin, sum(acc)::DOUBLE AS a, sum(rej)::DOUBLE AS r FROM d WHERE held GROUP BY 1),
+w AS (SELECT bin, coalesce(sum(coalesce(a, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS la, coalesce(sum(coalesce(r, 0)) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lr,
+      sum(coalesce(a, 0)) OVER () AS ta, sum(coalesce(r, 0)) OVER () AS tr FROM (SELECT unnest(range(-{LIMIT * BINS}, {LIMIT * BINS + 2})) AS bin) LEFT JOIN b USING (bin)),
+e AS (SELECT coalesce(first(bin / {BINS} ORDER BY round((la / ta + (tr - lr) / tr) / 2, 12), abs(bin), bin), 0) AS threshold FROM w WHERE ta > 0 AND tr > 0)
+SELECT page_id, host, path, rule, coalesce(listed, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict FROM l JOIN d USING (text), e
+"""
+
+
+OP10_SQL = _sql()

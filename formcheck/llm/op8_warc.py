@@ -8,12 +8,8 @@ bytes move when the first copies are stored and when records are rebuilt.
 
 from __future__ import annotations
 
-import base64
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from formcheck.llm.common import materialise, read_table, shared_path, text_or_empty
 
@@ -22,10 +18,10 @@ HOT = 200
 CRLF = "\r\n"
 
 
-@F.pandas_udf(T.StringType())
-def base32(hex_digest: pd.Series) -> pd.Series:
-    """Bare upper-case base32 of hexadecimal digests."""
-    return hex_digest.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
+def base32(hex_digest: Column) -> Column:
+    """Bare upper-case base32 of 160-bit hexadecimal digests: ten hexadecimal digits are eight of base 32."""
+    parts = [F.lpad(F.conv(F.substring(hex_digest, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _header(record_type: Column, id_: Column, url: Column, date: str, digest: Column, size: Column, refers_to: Column, refers_url: Column) -> Column:
@@ -122,4 +118,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_summary(spark, path)
 
 
-#: DuckDB has no SHA-1; the digest is compared by a brute-force test instead.
+_BASE32 = " || ".join(f"lpad(to_base(('0x' || substr(sha1, {10 * k + 1}, 10))::BIGINT, 32), 8, '0')" for k in range(4))
+OP8_SQL = f"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha1 FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM t)
+SELECT page_id, strlen(html) AS payload_bytes,
+       translate(upper({_BASE32}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""

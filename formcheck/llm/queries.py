@@ -6,12 +6,12 @@ from formcheck.llm.op1_bpe import op1_bpe
 from formcheck.llm.op2_toxicity import op2_toxicity
 from formcheck.llm.op3_exact_dedup import OP3_SQL, op3_exact_dedup
 from formcheck.llm.op4_hilbert_ann import op4_hilbert_ann
-from formcheck.llm.op5_minhash import op5_minhash
+from formcheck.llm.op5_minhash import OP5_SQL, op5_minhash
 from formcheck.llm.op6_packing import op6_packing
 from formcheck.llm.op7_token_counts import op7_token_counts
-from formcheck.llm.op8_warc import op8_warc
+from formcheck.llm.op8_warc import OP8_SQL, op8_warc
 from formcheck.llm.op9_substring_dedup import op9_substring_dedup
-from formcheck.llm.op10_url_filter import op10_url_filter
+from formcheck.llm.op10_url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_toxicity, op3_exact_dedup, op4_hilbert_ann, op5_minhash, op6_packing, op7_token_counts, op8_warc, op9_substring_dedup, op10_url_filter)}
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_minhash": OP5_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}

@@ -137,6 +137,101 @@ def test_op3_against_brute_force_and_later_batches(spark):
     assert op3_exact_dedup.mark(docs(spark, texts).where("false"), op3_exact_dedup.DigestIndex(spark)).count() == 0
 
 
+def test_op3_index_batches(spark):
+    """Every batch meets the index; a batch tried again changes nothing; compaction leaves one file a bucket."""
+    index = op3_exact_dedup.DigestIndex(spark, buckets=3)
+    assert index.table().count() == 0
+    first = docs(spark, ["a", "b", "b", None])
+    tries = [sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in op3_exact_dedup.mark(first, index, batch="one").collect()) for _ in range(2)]
+    assert tries[0] == tries[1] == [(0, 0, 1, True), (1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)]
+    assert index.table().count() == 3
+    for k in range(3):
+        op3_exact_dedup.mark(docs(spark, [f"x{k}", "A"], start=10 * (k + 1)), index, batch=f"more-{k}").collect()
+    before = sorted(index.table().collect())
+    index.compact()
+    files = spark.table(index.name).inputFiles()
+    buckets = [re.search(r"_(\d{5})\.c", f).group(1) for f in files]
+    assert sorted(index.table().collect()) == before and len(before) == 6 and len(set(buckets)) == len(buckets), files
+    assert [r.kept for r in op3_exact_dedup.mark(docs(spark, ["b", "new"], start=90), index, batch="last").orderBy("doc_id").collect()] == [False, True]
+    index.drop()
+
+
+def test_op3_in_batches_equals_one_batch(spark):
+    r = random.Random(8)
+    texts = [r.choice("abcdefgh") * r.randint(0, 2) for _ in range(300)]
+    df = docs(spark, texts).unionByName(spark.createDataFrame([(None, "a", "", "", "", 0), (None, "only", "", "", "", 0), (7, "again", "", "", "", 0), (7, "again", "", "", "", 0)], DOCS))
+    one = sorted(map(str, op3_exact_dedup.mark(df, op3_exact_dedup.DigestIndex(spark)).collect()))
+    for batches in (2, 5):
+        index = op3_exact_dedup.DigestIndex(spark)
+        assert sorted(map(str, op3_exact_dedup.mark_in_batches(df, index, batches).collect())) == one
+        assert index.table().select("batch").distinct().count() > 1
+    assert op3_exact_dedup.mark_in_batches(df.where("false"), op3_exact_dedup.DigestIndex(spark)).count() == 0
+
+
+def test_encoder_keeps_a_bounded_number_of_bytes(monkeypatch):
+    """Texts without spaces are one pre-token each: none is kept, and what is kept stays below its bound."""
+    from formcheck.llm import bpe
+
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 12_000_000)
+    known = bpe.Encoder(op1_bpe.MULTI)
+    r = random.Random(6)
+    letters = "".join(chr(0x4E00 + k) for k in range(3000))
+    for _ in range(40):
+        known(["".join(r.choices(letters, k=500)) for _ in range(20)])
+    assert known.text.n == known.start.n == 0
+    for k in range(25):
+        known([" ".join(f"w{r.randrange(10**9)}" for _ in range(9000))])
+        assert known.text.n + 4 * known.ids.n + bpe.EACH * known.start.n < bpe.KEPT_BYTES + 2_000_000
+
+
+def test_encoder_survives_equal_hashes(monkeypatch, reference_bpe):
+    """Pre-tokens that share a hash are told apart by their bytes."""
+    from formcheck.llm import bpe
+
+    monkeypatch.setattr(bpe, "span_hashes", lambda values, start, end: (end - start).astype(np.uint64))
+    texts = ["cat dog catalogue cat", "owl cat", "dog"]
+    ids, sizes = bpe.Encoder(op1_bpe.MULTI)(texts)
+    want = [reference_bpe.encode_ordinary(t) for t in texts]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+
+
+def test_op1_op7_repeated_rows_null_ids_and_other_patterns(spark, reference_bpe):
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "c"), (3, "c"), (3, "d e f")], "doc_id long, text string")
+    counted = sorted(((r.doc_id or -1), r.n_tokens) for r in op7_token_counts.count_tokens(rows).collect())
+    assert counted == sorted(((r.doc_id or -1), r.n_tokens) for r in op1_bpe.encode_digests(rows).collect()) == [(-1, 2), (-1, 2), (3, 1), (3, 1), (3, 3)]
+    assert op7_token_counts.count_tokens(rows.where("false")).count() == 0
+    ids, sizes = encoder(op1_bpe.MULTI, r"\\s+|\\S+".replace("\\\\", "\\"))(["two  words é", "", "x"])
+    assert sizes[1] == 0 and sizes.sum() == len(ids) and encoder(op1_bpe.MULTI).decode(ids) == "two  words éx".encode()
+
+
+def test_op4_recall_of_narrow_windows(spark):
+    """20,000 vectors without structure, a third of them equal: windows hold a few per cent of an ordering."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(20000, 24))
+    x[r.permutation(20000)[:6600]] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for row in op4_hilbert_ann.knn(df, F.col("vec_id") % 200 == 0).orderBy("query_id", "rank").collect():
+        got[row.query_id].append(row.vec_id)
+    n, hit, asked = np.linalg.norm(x, axis=1), 0, 0
+    for q in range(0, 20000, 200):
+        cos = x @ x[q] / (n * n[q])
+        cos[(x == x[q]).all(axis=1)] = 1
+        cos[q] = -9
+        want = np.lexsort((np.arange(20000), -cos))[:5].tolist()
+        if (x[q] == x[0]).all():
+            assert got[q] == want
+        else:
+            asked, hit = asked + 1, hit + len(set(got[q]) & set(want))
+    assert hit / (5 * asked) >= 0.9
+
+
+def test_op4_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [-1.0, 0.0])]
+    out = op4_hilbert_ann.knn(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [2, 3, 4] and out[0].score == out[1].score > 0.99 and abs(out[2].score) < 1e-12
+
+
 def test_op4_recall_ties_and_bad_vectors(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(900, 16))
@@ -197,6 +292,14 @@ def test_op5_against_brute_force(spark, size):
     assert {i: (rows[i].n_shingles, rows[i].component_id, rows[i].kept) for i in rows} == {i: (len(sets[i]), root[i], root[i] == i) for i in range(len(texts))}
 
 
+def test_op5_repeated_ids_with_different_texts(spark):
+    """Each row belongs to the class of its own text; the same result in any order of the rows."""
+    base, other = words(100, 1), words(100, 2)
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, " ".join([*base[:-1], "x"])), (3, " ".join(other)), (4, " ".join(words(100, 3)))]
+    outs = [sorted((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in op5_minhash.near_duplicates(spark.createDataFrame(x, "doc_id long, text string")).collect()) for x in (rows, rows[::-1])]
+    assert outs[0] == outs[1] and {(3, 96, 1, 1), (4, 96, 4, 4)} <= set(outs[0]) and len(outs[0]) == 5
+
+
 def test_op5_empty_and_null_ids(spark):
     assert op5_minhash.near_duplicates(docs(spark, ["a"]).where("false")).count() == 0
     rows = op5_minhash.near_duplicates(spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "a b")], "doc_id long, text string")).collect()
@@ -207,7 +310,7 @@ def test_late_links_split_blocks(spark):
     """Members of one bucket in several blocks: links across blocks are found, those within a component skipped."""
     texts = [" ".join(words(60, 5) + [f"w{k // 2}"] * (k % 3)) for k in range(24)]
     frame = docs(spark, texts).select(F.col("doc_id").alias("id"), "text")
-    reps = op5_minhash.signatures(frame, 4).select("id", "signature").cache()
+    reps = op5_minhash.signatures(frame, 4).select("id", "s1", "s2", "signature").cache()
     full = op5_minhash.full_sets(frame, reps, reps.select("id"), 4)
     first = op5_minhash.bands(reps).groupBy("band").agg(F.collect_list("id").alias("ids")).orderBy(F.size("ids").desc(), "band").first()
     members = spark.createDataFrame([(first.band, i, i, len(first.ids)) for i in first.ids], "band long, id long, component long, size long")
@@ -223,6 +326,13 @@ def test_components(spark):
     assert all(out[k] == 10 for k in range(10, 41)) and out[61] == out[60] == out[5] == 5
 
 
+def test_components_of_a_star(spark):
+    """One node with 100,000 links, and one label of all of them: hot keys of both joins."""
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    out = components(star.union(spark.createDataFrame([(200_000, 200_001)], "a long, b long")))
+    assert {(r.component, r["count"]) for r in out.groupBy("component").count().collect()} == {(0, 100_001), (200_000, 2)}
+
+
 def test_op8_round_trip(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "é" * 10, "<p>a</p>", "long " * 30000]
     rows = [(i, f"http://h/{i}\r\nX: y", h, "clash", "clash") for i, h in enumerate(html)] + [(20, None, "only", "c", "c")]
@@ -261,6 +371,51 @@ def test_op9_passages(spark):
     assert op9_substring_dedup.remove(df.where("false")).count() == 0
 
 
+def test_op9_against_a_plain_chunker(spark):
+    """Chunks cut by a plain loop over words, copies found in a dictionary: the same spans."""
+    import pyarrow as pa
+
+    passage = words(80, 40)
+    texts = [" ".join(words(60, k) + (passage[k : 60 + k] if k % 2 else []) + words(20, 70 + k)) for k in range(12)] + ["x y " * 40, None, ""]
+    gear = op9_substring_dedup.GEAR.tolist()
+    owner, cut = {}, []
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        value = []
+        for a, b in spans:
+            at = min(a + 4, b)
+            value.append(sum(gear[data[at - 1 - j]] << j for j in range(min(at, op9_substring_dedup.GEAR_BYTES))) & 0xFFFFFFFF)
+        begin = [0]
+        for k in range(1, len(spans)):
+            low = [value[j] for j in range(max(0, k - 4), k)], [value[j] for j in range(k + 1, min(len(spans), k + 5))]
+            if (all(value[k] < v for v in low[0]) and all(value[k] <= v for v in low[1])) or (k - begin[-1]) % op9_substring_dedup.LONGEST == 0:
+                begin.append(k)
+        own = []
+        for a, b in zip(begin, [*begin[1:], len(spans)], strict=True):
+            if a < b:
+                start, end = spans[a][0], spans[b][0] if b < len(spans) else len(data)
+                own.append((start, end, b - a, data[start:end].rstrip()))
+                owner.setdefault(own[-1][3], i)
+        cut.append(own)
+    got = op9_substring_dedup.chunk(pa.array([t or "" for t in texts]))
+    assert [(int(r), int(s), int(e), int(w)) for r, _, s, e, w in zip(*got, strict=True)] == [(i, s, e, w) for i, own in enumerate(cut) for s, e, w, _ in own]
+    want = {}
+    for i, own in enumerate(cut):
+        stretches, last = [], None
+        for k, (start, end, size, content) in enumerate(own):
+            if owner[content] < i:
+                if last == k - 1 and stretches:
+                    stretches[-1] = (stretches[-1][0], end, stretches[-1][2] + size)
+                else:
+                    stretches.append((start, end, size))
+                last = k
+        if long := [s for s in stretches if s[2] >= op9_substring_dedup.LEAST]:
+            want[i] = ([s[0] for s in long], [s[1] for s in long])
+    found = {r.doc_id: (r.starts, r.ends) for r in op9_substring_dedup.duplicate_spans(docs(spark, texts)).collect()}
+    assert found == want and len(want) >= 4
+
+
 def test_op9_chunks_do_not_depend_on_the_batch(spark):
     import pyarrow as pa
 
@@ -381,6 +536,6 @@ def test_op2_chain_feeds_out_of_fold_probabilities():
     r = np.random.default_rng(0)
     sets = [sorted(set(r.integers(0, 200, 12).tolist())) for _ in range(600)]
     first = np.array([3 in s or 7 in s for s in sets])
-    words_, weights, out = op2_toxicity.fit_chain(sets, np.column_stack([first, first]), r.integers(0, 4, 600))
+    words_, weights, out = op2_toxicity.fit_chain(op2_toxicity.Rows.of(sets), np.column_stack([first, first]), r.integers(0, 4, 600))
     assert out.shape == (600, 2) and weights[1, len(words_)] > 0.5 and weights[0, len(words_) : -1].tolist() == [0.0, 0.0]
     assert ((out[:, 1] > 0.5) == first).mean() > 0.9

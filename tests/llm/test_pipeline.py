@@ -69,3 +69,24 @@ def test_toxicity_judges_rows_not_ids(spark, tmp_path):
     assert out.columns == docs.columns
     got = [(r.doc_id, r.text) for r in out.collect() if r.doc_id in (None, 500)]
     assert sorted(got, key=str) == sorted([(None, clean), (500, clean), (500, None)], key=str)
+
+
+def test_stages_on_null_and_repeated_ids(spark, tmp_path):
+    """Near-dedup and substring dedup judge rows: a null or repeated id hides no copy and loses no other row."""
+    base, passage = words(100, 1), words(70, 2)
+    near, other = [" ".join([*base[:-1], w]) for w in ("one", "two")], " ".join(words(80, 3))
+    rows = [(None, near[0]), (None, near[1]), (None, None), (7, other), (7, " ".join(words(30, 4) + passage)), (7, " ".join(words(30, 5) + passage))]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    texts = [r.text for r in kept.collect()]
+    assert kept.columns == docs.columns and len(texts) == 5 and len(set(near) & set(texts)) == 1
+    cut = corpus_pipeline.substring_dedup(spark, docs, str(tmp_path))
+    out = [r.text for r in cut.collect()]
+    assert cut.columns == docs.columns and len(out) == 6 and other in out and sum(" ".join(passage) in (t or "") for t in out) == 1
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
