@@ -14,17 +14,18 @@ from formcheck.llm import op2_toxicity, op3_exact_dedup, op5_minhash, op6_packin
 from formcheck.llm.common import materialise, read_table
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in kept (one row per id); each id once, with all columns of docs."""
-    ids = kept.select(F.col("doc_id").alias("__fc_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__fc_id")), "left_semi")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of its rows, and the key's name: doc_id where no id is null or repeats, else row numbers, fixed by
+    a table in the shared folder."""
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("doc_id IS NULL OR count > 1").limit(1).count():
+        return materialise(docs.withColumn("__fc_row", F.monotonically_increasing_id()), "rows"), "__fc_row"
+    return docs, "doc_id"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected rows go. Each row is judged by its own text, also where its id is null or repeats."""
-    keyed = docs.withColumn("__fc_row", F.sha2(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"), 256))
-    scored = op2_toxicity.score(keyed, op2_toxicity.train(spark, docs, read_table(spark, sf_dir, "labels")), id_col="__fc_row")
-    return keyed.join(scored.where(~F.col("rejected")).select("__fc_row").distinct(), "__fc_row", "left_semi").select(*docs.columns)
+    return op2_toxicity.accepted(docs, op2_toxicity.train(spark, docs, read_table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +42,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    return _keep(docs, op5_minhash.near_duplicates(docs).where("kept"))
+    rows, key = _numbered(docs)
+    kept = op5_minhash.near_duplicates(rows, key).where("kept").select(key)
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat across documents are cut from all but the first; n_chars follows the text."""
-    return op9_substring_dedup.remove(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    rows, key = _numbered(docs)
+    return op9_substring_dedup.remove(rows, key).select(*docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
