@@ -159,7 +159,10 @@ def check_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
     signature, selection, conditional (cond_field = cond_value implies field = arg1). Rules are joined on the
     field's name; a rule for all documents has a null doc_scope. Compares as text; a missing value is empty."""
     value = F.coalesce("field_value", F.lit(""))
-    rows = fields.join(rules.select("rule_id", "doc_scope", "kind", "field_name", "arg1", "arg2", "cond_field", "cond_value"), "field_name").where(F.col("doc_scope").isNull() | (F.col("doc_scope") == F.col("doc_id")))
+    rules = rules.select("rule_id", "doc_scope", "kind", "field_name", "arg1", "arg2", "cond_field", "cond_value")
+    # Rules of one document meet that document alone.
+    scoped = rules.where("doc_scope IS NOT NULL").withColumn("doc_id", F.col("doc_scope").cast(fields.schema["doc_id"].dataType))
+    rows = fields.join(rules.where("doc_scope IS NULL"), "field_name").unionByName(fields.join(scoped, ["doc_id", "field_name"]))
     of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
     exact = _violations(of("exact", "selection").where(value != F.coalesce("arg1", F.lit(""))), "value_mismatches")
     pattern = _violations(of("pattern").where(~F.regexp_like(value, F.col("arg1"))), "format_issues")
@@ -172,10 +175,11 @@ def check_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def assert_calculation(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """rules(rule_id, field_name, op sum|product, operands): fields that differ from the sum or product of others."""
+    """rules(rule_id, field_name, op sum|product|percent, operands): fields that differ from the sum or product of others,
+    or from the first operand's per cent of the second."""
     number = F.col("field_value").try_cast("double")
     parts = rules.select("rule_id", "op", F.explode(S.csv_tokens(F.col("operands"))).alias("field_name")).join(fields.select("doc_id", "field_name", number.alias("v")), "field_name")
-    result = parts.groupBy("doc_id", "rule_id", "op").agg(F.sum("v").alias("s"), F.product("v").alias("p")).select("doc_id", "rule_id", F.when(F.col("op") == "product", F.col("p")).otherwise(F.col("s")).alias("expected"))
+    result = parts.groupBy("doc_id", "rule_id", "op").agg(F.sum("v").alias("s"), F.product("v").alias("p")).select("doc_id", "rule_id", F.when(F.col("op") == "product", F.col("p")).when(F.col("op") == "percent", F.col("p") / 100).otherwise(F.col("s")).alias("expected"))
     own = rules.select("rule_id", "field_name").join(fields.select("doc_id", "field_name", number.alias("actual")), "field_name")
     return own.join(result, ["doc_id", "rule_id"]).where(F.abs(F.col("actual") - F.col("expected")) > 1e-6).select("doc_id", "rule_id", F.lit("value_mismatches").alias("bucket"), "field_name", "expected", "actual")
 
@@ -199,9 +203,12 @@ def label_style_outliers(fields: DataFrame) -> DataFrame:
 
 
 def number_gaps(numbers: DataFrame) -> DataFrame:
-    """numbers(doc_id, value): places where a document's numbering skips values."""
-    w = Window.partitionBy("doc_id").orderBy("value")
-    return numbers.distinct().withColumn("next", F.lead("value").over(w)).where("next - value > 1").select("doc_id", F.col("value").alias("after"), F.col("next").alias("before"))
+    """numbers(doc_id, value and, if given, kind): places where a document's numbering of a kind skips values. A gap
+    in the kind `page` is missing content of medium severity, another a format issue of low severity."""
+    rows = numbers.select("doc_id", "value", F.col("kind") if "kind" in numbers.columns else F.lit("list").alias("kind")).distinct()
+    gaps = rows.withColumn("next", F.lead("value").over(Window.partitionBy("doc_id", "kind").orderBy("value"))).where("next - value > 1")
+    page = F.col("kind") == "page"
+    return gaps.select("doc_id", F.col("value").alias("after"), F.col("next").alias("before"), "kind", F.when(page, "missing_content").otherwise("format_issues").alias("bucket"), F.when(page, "medium").otherwise("low").alias("severity"))
 
 
 def font_outliers(words: DataFrame) -> DataFrame:

@@ -213,31 +213,36 @@ def cluster_paragraphs(lines: DataFrame, gap: float = 0.7) -> DataFrame:
     return numbered.groupBy("doc_id", "page", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"), F.sum("words").alias("words"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
-def sequence_changes(expected: list[str], actual: list[str]) -> list[tuple[str, str, str]]:
-    """Differences of two paragraph lists: deleted, inserted, modified (one for one) or replaced_block."""
+def sequence_changes(expected: list[str], actual: list[str]) -> list[tuple[str, str, str, list[str], list[str]]]:
+    """Differences of two paragraph lists: kind (deleted, inserted, modified: one for one, or replaced_block), both
+    texts, and the removed and added texts: whole paragraphs, or the differing words of a modified one."""
     out = []
     for tag, a, b, c, d in difflib.SequenceMatcher(None, expected, actual, autojunk=False).get_opcodes():
         old, new = "\n".join(expected[a:b]), "\n".join(actual[c:d])
         if tag == "delete":
-            out.append(("deleted", old, ""))
+            out.append(("deleted", old, "", expected[a:b], []))
         elif tag == "insert":
-            out.append(("inserted", "", new))
+            out.append(("inserted", "", new, [], actual[c:d]))
         elif tag == "replace" and b - a == d - c == 1:
-            if old.split() != new.split():
-                out.append(("modified", old, new))
+            before, after = old.split(), new.split()
+            parts = [x for x in difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes() if x[0] != "equal"]
+            if parts:
+                out.append(("modified", old, new, [w for _, i, j, _, _ in parts for w in before[i:j]], [w for _, _, _, i, j in parts for w in after[i:j]]))
         elif tag == "replace":
-            out.append(("replaced_block", old[:200], new[:200]))
+            out.append(("replaced_block", old[:200], new[:200], expected[a:b], actual[c:d]))
     return out
 
 
 def paragraph_diff(pages: DataFrame) -> DataFrame:
     """pages(pair_id, page, expected array<string>, actual array<string>): one row per change. Pages whose two
     sides are equal never reach Python."""
-    changed = pages.where(F.xxhash64("expected") != F.xxhash64("actual"))
+    changed = pages.where(~F.col("expected").eqNullSafe(F.col("actual")))
 
-    @F.pandas_udf("array<struct<kind:string,expected:string,actual:string>>")
+    @F.pandas_udf("array<struct<kind:string,expected:string,actual:string,removed:array<string>,added:array<string>>>")
     def diff(expected: pd.Series, actual: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "expected": e, "actual": a} for k, e, a in sequence_changes(list(x), list(y))] for x, y in zip(expected, actual, strict=True)])
+        keys = ("kind", "expected", "actual", "removed", "added")
+        sides = zip(expected, actual, strict=True)
+        return pd.Series([[dict(zip(keys, x, strict=True)) for x in sequence_changes(*([] if side is None else list(side) for side in pair))] for pair in sides])
 
     rows = changed.select("pair_id", "page", F.posexplode(diff("expected", "actual")).alias("change_no", "c"))
     return rows.select("pair_id", "page", "change_no", "c.*")
@@ -278,9 +283,9 @@ def diff_summaries(changes: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def changed_texts(changes: DataFrame, limit: int = 25) -> DataFrame:
-    """Added and removed texts of a page: trimmed, distinct, sorted, the first 25."""
-    texts = lambda c: F.slice(F.array_sort(F.collect_set(F.nullif(F.trim(c), F.lit("")))), 1, limit)
-    return changes.groupBy("pair_id", "page").agg(texts("actual").alias("added"), texts("expected").alias("removed"))
+    """Added and removed texts of a page, paragraphs or single words: trimmed, distinct, sorted, the first 25."""
+    texts = lambda c: F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(F.flatten(F.collect_list(c)), lambda x: F.trim(x)), lambda x: x != ""))), 1, limit)
+    return changes.groupBy("pair_id", "page").agg(texts("added").alias("added"), texts("removed").alias("removed"))
 
 
 def field_structure_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -300,12 +305,13 @@ def field_sets(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def field_change_status(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Status of each field between two scans (pair_id, field_name, field_type, page, tab_order): unchanged,
-    modified, added, removed, or renamed where a removed and an added field share page, place and type."""
-    side = lambda df, p: df.select("pair_id", "field_name", *[F.col(c).alias(f"{p}_{c}") for c in ("field_type", "page", "tab_order")])
+    modified, added, removed, or renamed where a removed and an added field share page, place and type. Two null types
+    are equal."""
+    side = lambda df, p: df.select("pair_id", "field_name", F.lit(True).alias(f"{p}_here"), *[F.col(c).alias(f"{p}_{c}") for c in ("field_type", "page", "tab_order")])
     both = side(expected, "e").join(side(actual, "a"), ["pair_id", "field_name"], "full_outer")
-    here = both.where("e_field_type IS NOT NULL AND a_field_type IS NOT NULL").select("pair_id", "field_name", F.lit(None).cast("string").alias("previous_name"), F.when(F.col("e_field_type") == F.col("a_field_type"), "unchanged").otherwise("modified").alias("status"))
-    gone = both.where("a_field_type IS NULL").select("pair_id", F.col("e_page").alias("page"), F.col("e_tab_order").alias("tab_order"), F.col("e_field_type").alias("field_type"), F.col("field_name").alias("previous_name"))
-    new = both.where("e_field_type IS NULL").select("pair_id", F.col("a_page").alias("page"), F.col("a_tab_order").alias("tab_order"), F.col("a_field_type").alias("field_type"), "field_name")
+    here = both.where("e_here AND a_here").select("pair_id", "field_name", F.lit(None).cast("string").alias("previous_name"), F.when(F.col("e_field_type").eqNullSafe(F.col("a_field_type")), "unchanged").otherwise("modified").alias("status"))
+    gone = both.where("a_here IS NULL").select("pair_id", F.col("e_page").alias("page"), F.col("e_tab_order").alias("tab_order"), F.col("e_field_type").alias("field_type"), F.col("field_name").alias("previous_name"))
+    new = both.where("e_here IS NULL").select("pair_id", F.col("a_page").alias("page"), F.col("a_tab_order").alias("tab_order"), F.col("a_field_type").alias("field_type"), "field_name")
     place = ["pair_id", "page", "tab_order", "field_type"]
     paired = gone.groupBy(*place).agg(F.min("previous_name").alias("previous_name")).join(new.groupBy(*place).agg(F.min("field_name").alias("field_name")), place)
     renamed = paired.select("pair_id", "field_name", "previous_name", F.lit("renamed").alias("status"))

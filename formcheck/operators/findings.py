@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from formcheck import constants as K
 from formcheck.functions import scalars as S
 
-ITEM = ["page", "severity", "category", "field", "field_name", "name", "label", "description", "text", "expected_value", "actual_value", "baseline_value", "current_value", "evidence", "observation", "confidence", "current_page"]
+ITEM = ["page", "severity", "category", "field", "field_name", "name", "label", "description", "text", "expected_value", "actual_value", "baseline_value", "current_value", "evidence", "details", "reason", "note", "observation", "confidence", "current_page"]
 
 
 def schema_defaults(results: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def parse_findings(results: DataFrame) -> DataFrame:
         "rr_id", "bucket", "bucket_pos", S.safe_page(of("page")).alias("page"), F.lower(of("severity")).alias("severity"), of("category").alias("category"),
         S.pick_first(of("field"), of("field_name"), of("name"), of("label")).alias("field"), F.coalesce(of("description"), F.when(~F.col("is_object"), F.col("raw"))).alias("description"),
         S.pick_first(of("expected_value"), of("baseline_value")).alias("before"), S.pick_first(of("actual_value"), of("current_value")).alias("after"), of("evidence").alias("evidence"), "is_object", "raw",
+        S.pick_first(of("description"), of("details"), of("reason"), of("note"), of("evidence")).alias("told"),
     )
 
 
@@ -69,14 +70,16 @@ def scope_by_mode(findings: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def issue_rows(findings: DataFrame) -> DataFrame:
-    """Object items of the eight issue buckets with their defaults: category, severity, description, order."""
+    """Object items of the eight issue buckets with their defaults: category, severity, description, order. The
+    description is the first given of description, details, reason, note and evidence."""
+    told = [F.col(c) for c in ("description", "told", "evidence") if c in findings.columns]
     rows = [(b, n, c, s) for n, (b, c, s) in enumerate(K.ISSUE_BUCKETS)]
     names = F.create_map(*[F.lit(x) for b, n, c, s in rows for x in (b, f"{n}|{c}|{s}")])
     defaults = F.split(names[F.col("bucket")], r"\|")
     return findings.where(F.col("is_object") & F.col("bucket").isin([r[0] for r in rows])).select(
         "rr_id", "page", "bucket", "bucket_pos", defaults[0].cast("int").alias("bucket_order"),
         (S.pick_first(F.col("category"), defaults[1]) if "category" in findings.columns else defaults[1]).alias("category"),
-        F.lower(S.pick_first(F.col("severity"), defaults[2])).alias("severity"), "field", S.pick_first(F.col("description"), defaults[1]).alias("description"),
+        F.lower(S.pick_first(F.col("severity"), defaults[2])).alias("severity"), "field", S.pick_first(*told, defaults[1]).alias("description"),
     )
 
 

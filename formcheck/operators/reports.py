@@ -171,8 +171,11 @@ def audit_recent(audit: DataFrame, per_project: int = 200) -> DataFrame:
 
 
 def export_audit_rows(audit: DataFrame, limit: int = 500) -> DataFrame:
-    """The newest rows of each project with fixed columns, ready for CSV."""
-    return audit_recent(audit, limit).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "username", "action", "project_id", "nth")
+    """The newest rows of each project with eight fixed columns, ready for CSV, and the project they belong to; a column that
+    the log lacks is null."""
+    have = lambda c: F.col(c).cast("string") if c in audit.columns else F.lit(None).cast("string")
+    when = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    return audit_recent(audit, limit).select("id", "action", *[have(c).alias(c) for c in ("resource_type", "resource_id", "username", "user_ip")], when.alias("created_at"), have("detail").alias("detail"), F.col("project_id").cast("string").alias("project_id"))
 
 
 def append_audit_rows(actions: DataFrame) -> DataFrame:

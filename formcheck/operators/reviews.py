@@ -6,11 +6,9 @@ patterns(pattern_id, project_id, form_id, category, match_mode, pattern, is_acti
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from formcheck import constants as K
 from formcheck.functions import scalars as S
@@ -48,18 +46,13 @@ def review_status_pivot(reviews: DataFrame) -> DataFrame:
 
 def valid_patterns(patterns: DataFrame) -> DataFrame:
     """Active patterns; a regular expression that does not compile never matches, so it is left out before the
-    join (it would fail the job there). Patterns are few beside findings: one pass in Python checks them."""
-
-    def compiles(pattern: str) -> bool:
-        try:
-            re.compile(pattern)
-        except re.error:
-            return False
-        return True
-
-    checked = F.pandas_udf(lambda column: column.map(compiles), T.BooleanType())
+    join (it would fail the job there). The engine that matches also tests; named groups in the form (?P<name>...) and
+    (?P=name) are put into its own form first."""
     active = patterns.where("is_active").withColumn("pattern", F.coalesce("pattern", F.lit("")))
-    return active.where(F.col("match_mode") != "regex").unionByName(active.where("match_mode = 'regex'").where(checked("pattern")))
+    own = F.regexp_replace(F.regexp_replace("pattern", r"\(\?P<", "(?<"), r"\(\?P=(\w+)\)", r"\\k<$1>")
+    active = active.withColumn("pattern", F.when(F.col("match_mode") == "regex", own).otherwise(F.col("pattern")))
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?i)"), F.col("pattern"))).isNotNull()
+    return active.where((F.coalesce("match_mode", F.lit("")) != "regex") | compiles)
 
 
 def pattern_hits(findings: DataFrame, patterns: DataFrame, results: DataFrame) -> DataFrame:
@@ -109,9 +102,9 @@ def learn_false_positives(reviewed: DataFrame, patterns: DataFrame) -> DataFrame
 
 def upsert_reviews(reviews: DataFrame, actions: DataFrame) -> DataFrame:
     """Reviews after actions(rr_id, finding_index, action, issue_key, action_at): the latest action of a finding
-    wins, columns that it does not give keep their value."""
+    wins (of actions at one instant the greater status, the greater key), columns that it does not give keep their value."""
     status = F.when(F.col("action") == "assign", "in_review").when(F.col("action").isin("resolved", "false_positive", "open"), F.col("action")).otherwise("resolved")
-    last = actions.groupBy("rr_id", "finding_index").agg(F.max_by(status, "action_at").alias("new_status"), F.max_by(F.col("issue_key"), F.when(F.col("issue_key").isNotNull(), F.col("action_at"))).alias("new_key"))
+    last = actions.groupBy("rr_id", "finding_index").agg(F.max_by(status, F.struct("action_at", status.alias("status"))).alias("new_status"), F.max_by(F.col("issue_key"), F.when(F.col("issue_key").isNotNull(), F.struct("action_at", "issue_key"))).alias("new_key"))
     joined = reviews.join(last, ["rr_id", "finding_index"], "full_outer")
     return joined.select("rr_id", "finding_index", F.coalesce("new_status", "status").alias("status"), F.coalesce("new_key", "issue_key").alias("issue_key"))
 

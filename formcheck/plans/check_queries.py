@@ -132,16 +132,24 @@ def field_inventory_view(t: Tables) -> DataFrame:
     return O.field_inventory_view(doc_fields(t))
 
 
-_RULES = """SELECT CAST(min(p_partkey) AS BIGINT) AS rule_id, CAST(NULL AS BIGINT) AS doc_scope, CASE min(p_partkey) % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'pattern' WHEN 2 THEN 'signature' ELSE 'conditional' END AS kind, p_name AS field_name,
-  CASE min(p_partkey) % 4 WHEN 1 THEN '#[1-3]' ELSE min(p_brand) END AS arg1, '' AS arg2, p_name AS cond_field, max(p_brand) AS cond_value FROM {part} GROUP BY p_name"""
+_RULES = """SELECT CAST(min(p_partkey) AS BIGINT) AS rule_id, CAST(NULL AS BIGINT) AS doc_scope, CASE min(p_partkey) % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'pattern' WHEN 2 THEN 'signature' WHEN 3 THEN 'selection' WHEN 4 THEN 'date_range' ELSE 'conditional' END AS kind, p_name AS field_name,
+  CASE min(p_partkey) % 6 WHEN 1 THEN '#[1-3]' WHEN 4 THEN '1995-01-01' ELSE min(p_brand) END AS arg1, CASE min(p_partkey) % 6 WHEN 4 THEN '1996-12-31' ELSE '' END AS arg2, p_name AS cond_field, max(p_brand) AS cond_value FROM {part} GROUP BY p_name"""
+
+
+_RULE_FIELDS = f"""SELECT f.* REPLACE (coalesce(CASE WHEN k % 6 = 4 THEN strftime(DATE '1994-01-01' + CAST(k % 1500 AS INTEGER), '%Y-%m-%d') END, field_value) AS field_value)
+  FROM ({FIELDS}) f LEFT JOIN (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name) d ON d.p_name = f.field_name"""
 
 
 @query("check_rules", f"""
-WITH r AS ({_RULES}), f AS ({FIELDS}), j AS (SELECT f.doc_id, r.*, coalesce(f.field_value, '') AS v, f.field_value FROM f JOIN r ON f.field_name = r.field_name)
-SELECT doc_id, rule_id, CASE kind WHEN 'exact' THEN 'value_mismatches' WHEN 'pattern' THEN 'format_issues' WHEN 'signature' THEN 'missing_content' ELSE 'compliance_issues' END AS bucket, field_name FROM j
-WHERE (kind = 'exact' AND v <> arg1) OR (kind = 'pattern' AND NOT regexp_matches(v, arg1)) OR (kind = 'signature' AND trim(v) = '') OR (kind = 'conditional' AND v <> arg1 AND field_value = cond_value)""")
+WITH r AS ({_RULES}), f AS ({_RULE_FIELDS}), j AS (SELECT f.doc_id, r.*, coalesce(f.field_value, '') AS v, f.field_value FROM f JOIN r ON f.field_name = r.field_name)
+SELECT doc_id, rule_id, CASE kind WHEN 'exact' THEN 'value_mismatches' WHEN 'selection' THEN 'value_mismatches' WHEN 'pattern' THEN 'format_issues' WHEN 'date_range' THEN 'format_issues' WHEN 'signature' THEN 'missing_content' ELSE 'compliance_issues' END AS bucket, field_name FROM j
+WHERE (kind IN ('exact', 'selection') AND v <> arg1) OR (kind = 'date_range' AND NOT coalesce(TRY_CAST(field_value AS DATE) BETWEEN TRY_CAST(arg1 AS DATE) AND TRY_CAST(arg2 AS DATE), false)) OR (kind = 'pattern' AND NOT regexp_matches(v, arg1)) OR (kind = 'signature' AND trim(v) = '') OR (kind = 'conditional' AND v <> arg1 AND field_value = cond_value)""")
 def check_rules(t: Tables) -> DataFrame:
-    return O.check_rules(doc_fields(t), t.spark.sql(_RULES, part=t.part)).select("doc_id", "rule_id", "bucket", "field_name")
+    parts = t.part.select(F.col("p_name").alias("field_name"), (F.col("p_partkey") % 6).alias("k"), "p_partkey")
+    dated = F.when(F.col("k") == 4, F.date_format(F.date_add(F.lit("1994-01-01").cast("date"), (F.col("p_partkey") % 1500).cast("int")), "yyyy-MM-dd"))
+    days = parts.groupBy("field_name").agg(F.min("p_partkey").alias("p_partkey")).withColumn("k", F.col("p_partkey") % 6).select("field_name", dated.alias("day"))
+    fields = doc_fields(t).join(days, "field_name", "left").withColumn("field_value", F.coalesce("day", "field_value")).drop("day")
+    return O.check_rules(fields, t.spark.sql(_RULES, part=t.part)).select("doc_id", "rule_id", "bucket", "field_name")
 
 
 @query("assert_calculation", """
@@ -171,7 +179,7 @@ def label_style_outliers(t: Tables) -> DataFrame:
     return O.label_style_outliers(doc_fields(t))
 
 
-@query("number_gaps", "SELECT doc_id, after, before FROM (SELECT doc_id, value AS after, lead(value) OVER (PARTITION BY doc_id ORDER BY value) AS before FROM (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_quantity AS INT) AS value FROM lineitem) v) x WHERE before - after > 1")
+@query("number_gaps", "SELECT doc_id, after, before, 'list' AS kind, 'format_issues' AS bucket, 'low' AS severity FROM (SELECT doc_id, value AS after, lead(value) OVER (PARTITION BY doc_id ORDER BY value) AS before FROM (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_quantity AS INT) AS value FROM lineitem) v) x WHERE before - after > 1")
 def number_gaps(t: Tables) -> DataFrame:
     return O.number_gaps(t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.col("l_quantity").cast("int").alias("value")))
 

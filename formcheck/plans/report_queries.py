@@ -180,7 +180,7 @@ def enrich_results(t: Tables) -> DataFrame:
     return O.enrich_results(t.fx_results, t.fx_projects)
 
 
-@query("export_audit", "SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS timestamp, username, action, project_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS nth FROM {fx_audit}) a WHERE nth <= 500")
+@query("export_audit", "SELECT id, action, CAST(NULL AS VARCHAR) AS resource_type, CAST(NULL AS VARCHAR) AS resource_id, username, CAST(NULL AS VARCHAR) AS user_ip, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, detail, CAST(project_id AS VARCHAR) AS project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS nth FROM {fx_audit}) a WHERE nth <= 500")
 def export_audit(t: Tables) -> DataFrame:
     return O.export_audit_rows(t.fx_audit)
 

@@ -42,7 +42,22 @@ def test_graphics_tolerance(spark):
 
 
 def test_sequence_changes():
-    assert O.sequence_changes(["a b", "c"], ["a x", "c"]) == [("modified", "a b", "a x")]
-    assert O.sequence_changes(["a"], ["a", "b"]) == [("inserted", "", "b")]
-    assert O.sequence_changes(["a", "b"], ["b"]) == [("deleted", "a", "")]
+    assert O.sequence_changes(["a b", "c"], ["a x", "c"]) == [("modified", "a b", "a x", ["b"], ["x"])]
+    assert O.sequence_changes(["a"], ["a", "b"]) == [("inserted", "", "b", [], ["b"])]
+    assert O.sequence_changes(["a", "b"], ["b"]) == [("deleted", "a", "", ["a"], [])]
     assert O.sequence_changes(["a", "b"], ["x", "y"])[0][0] == "replaced_block"
+    assert O.sequence_changes(["a  b"], ["a b"]) == []
+    assert O.sequence_changes(["one two three four"], ["two three 4 four"])[0][3:] == (["one"], ["4"])
+
+
+def test_changed_texts_are_words_of_modified_and_whole_paragraphs(spark):
+    pages = spark.createDataFrame([(1, 1, ["same", "due in ten days", "gone"], ["same", "due in 14 days"]), (2, 1, None, ["new one", " new one ", ""])], "pair_id int, page int, expected array<string>, actual array<string>")
+    rows = {r.pair_id: r for r in O.changed_texts(O.paragraph_diff(pages)).collect()}
+    assert (rows[2].added, rows[2].removed) == (["new one"], [])
+    assert "gone" in rows[1].removed and "same" not in rows[1].removed
+
+
+def test_field_change_status_of_null_types(spark):
+    scan = spark.createDataFrame([(1, "a", None, 1, 1), (1, "b", "text", 1, 2)], "pair_id int, field_name string, field_type string, page int, tab_order int")
+    assert {(r.field_name, r.status) for r in O.field_change_status(scan, scan).collect()} == {("a", "unchanged"), ("b", "unchanged")}
+    assert {(r.field_name, r.status) for r in O.field_change_status(scan, scan.where("field_name = 'b'")).collect()} == {("a", "removed"), ("b", "unchanged")}

@@ -61,3 +61,21 @@ def test_suppression_edges(spark):
     assert [(h.rr_id, h.pattern_id) for h in hits] == [(1, 2)]
     kept = R.suppress_false_positives(findings, patterns, results).collect()
     assert [k.rr_id for k in kept] == [2]
+
+
+def test_patterns_that_do_not_compile_match_nothing(spark):
+    from formcheck.operators import reviews
+
+    findings = spark.createDataFrame([(1, "format_issues", 0, "abc here"), (1, "format_issues", 1, "other")], "rr_id int, bucket string, bucket_pos int, description string")
+    results = spark.createDataFrame([(1, 1, 1)], "rr_id int, project_id int, form_id int")
+    told = [(k, 1, None, None, "regex", p, True) for k, p in enumerate(["(", "(?P<x>abc)", "[z-a]", "(?P<y>o)the(?P=y)"])]
+    patterns = spark.createDataFrame(told, "pattern_id int, project_id int, form_id int, category string, match_mode string, pattern string, is_active boolean")
+    assert [(r.bucket_pos, r.pattern_id) for r in reviews.pattern_hits(findings, patterns, results).collect()] == [(0, 1)]
+
+
+def test_description_falls_back(spark):
+    from formcheck.operators import findings as O
+
+    told = '{"missing_content": [{"details": "d"}, {"reason": "r"}, {"note": "n"}, {"evidence": "e"}, {"description": "", "note": "x"}, {}]}'
+    rows = O.issue_rows(O.parse_findings(spark.createDataFrame([(1, told)], "rr_id int, result_json string"))).orderBy("bucket_pos").collect()
+    assert [r.description for r in rows] == ["d", "r", "n", "e", "x", "Missing content"]
