@@ -8,8 +8,8 @@ ranked again by the exact cosine of the original vectors.
 
 A window has WIDTH * sqrt(n) vectors on each side: on vectors without structure a fixed number would lose
 recall as tables grow. Work is thus n^1.5, not n^2: the codes compared for a query are about
-2 * CURVES * WIDTH / sqrt(n) of the table (half of it at 10,000 vectors, a sixth at 100,000), the vectors
-scored SHORTLIST.
+2 * CURVES * WIDTH / sqrt(n) of the table (once at 10,000 vectors, a third at 100,000, a hundredth at 100
+million), the vectors scored SHORTLIST.
 """
 
 from __future__ import annotations
