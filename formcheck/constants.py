@@ -59,3 +59,22 @@ STUCK_MINUTES = 15
 WATERMARKS = ["SPECIMEN", "SAMPLE", "DRAFT", "VOID", "COPY", "CONFIDENTIAL", "DUPLICATE", "CANCELLED", "CANCELED", "SUPERSEDED"]
 SIGNATURE_WORDS = ["signature", "president", "secretary", "approval", "signed"]
 SIGNATURE_LABELS = ["PRESIDENT", "SECRETARY", "SIGNATURE"]
+
+# Weights of red, green and blue in a grey value, times 65536.
+LUMA = [19595, 38470, 7471]
+
+# Openings of the formatting sentence, in order.
+FORMAT_TEXTS = [
+    ("bold_added", "Text became bold: "), ("bold_removed", "Text lost bold: "), ("size", "Font size changed: "),
+    ("list_shift", "List marker(s) alignment shifted: "),
+]
+
+# Characters of document text and of page texts in a request, by mode.
+TEXT_LIMITS = {"basic": (5000, 3000), "specific": (5000, 3000), "benchmark": (6000, 4000)}
+
+#: Named formats of pattern rules: dates by the engine's format, others by expression.
+DATE_FORMATS = {"MM/DD/YYYY": "MM/dd/yyyy", "DD/MM/YYYY": "dd/MM/yyyy", "YYYY-MM-DD": "yyyy-MM-dd"}
+NAMED_PATTERNS = {
+    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "phone": r"^\+?[0-9][0-9 ().-]{6,18}[0-9]$", "postal": r"^([0-9]{5}(-[0-9]{4})?|[A-Za-z][0-9][A-Za-z] ?[0-9][A-Za-z][0-9])$",
+    "currency": r"^[$€£]?\s?-?[0-9]{1,3}((,[0-9]{3})*|[0-9]*)(\.[0-9]{2})?$",
+}

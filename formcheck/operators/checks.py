@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formcheck import constants as K
 from formcheck.functions import scalars as S
 
 LABEL, LANGUAGE, TITLE, IMAGE, REQUIRED = "1.3.1 Info and Relationships (Level A)", "3.1.1 Language of Page (Level A)", "2.4.2 Page Titled (Level A)", "1.1.1 Non-text Content (Level A)", "3.3.2 Labels or Instructions (Level A)"
@@ -70,10 +71,26 @@ def find_text_bbox(words: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("target_id", "doc_id", "page", F.when(F.size("starts") > 0, "sequence").otherwise("word").alias("found_by"), *box)
 
 
-def request_rows(test_cases: DataFrame, texts: DataFrame, text_limit: int = 5000) -> DataFrame:
-    """One inference request per test case(test_case_id, doc_id, mode, rules): effective mode and truncated text."""
-    rows = test_cases.join(texts, "doc_id", "left")
-    return rows.select("test_case_id", "doc_id", S.effective_mode(F.col("mode"), F.col("rules")).alias("mode"), S.truncate_block(F.col("text"), text_limit).alias("text"))
+def request_rows(test_cases: DataFrame, texts: DataFrame, page_texts: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
+    """One inference request per test case(test_case_id, doc_id, mode, rules): effective mode, document text and, if
+    page_texts(doc_id, pages) and fields(doc_id, field_name, field_value) are given, page texts and fields as JSON.
+    Texts are cut at the mode's limits; a benchmark request marks the cut. Fields are never cut."""
+    rows = test_cases.join(texts.select("doc_id", "text"), "doc_id", "left")
+    if page_texts is not None:
+        rows = rows.join(page_texts.select("doc_id", "pages"), "doc_id", "left")
+    if fields is not None:
+        lists = fields.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("field_name", "field_value")))).alias("fields"))
+        rows = rows.join(lists, "doc_id", "left")
+    rows = rows.withColumn("mode", S.effective_mode(F.col("mode"), F.col("rules")))
+
+    def cut(column: str, k: int) -> Column:
+        text, limits = F.coalesce(column, F.lit("")), K.TEXT_LIMITS
+        plain = F.when(F.col("mode") == "specific", F.substring(text, 1, limits["specific"][k])).otherwise(F.substring(text, 1, limits["basic"][k]))
+        return F.when(F.col("mode") == "benchmark", S.truncate_block(text, limits["benchmark"][k])).otherwise(plain).alias(column)
+
+    more = [] if page_texts is None else [cut("pages", 1)]
+    more += [] if fields is None else [F.coalesce("fields", F.lit("[]")).alias("fields")]
+    return rows.select("test_case_id", "doc_id", "mode", cut("text", 0), *more)
 
 
 def compare_context_text(changes: DataFrame, limit: int = 20) -> DataFrame:
@@ -154,8 +171,19 @@ def _violations(rows: DataFrame, bucket: str) -> DataFrame:
     return rows.select("doc_id", "rule_id", F.lit(bucket).alias("bucket"), "field_name", F.col("arg1").alias("expected"), F.col("field_value").alias("actual"))
 
 
+def follows_format(value: Column, wanted: Column) -> Column:
+    """Does the value follow a named format (dates that exist, e-mail, phone, postal code, currency) or else a regular
+    expression? A null expression is followed by nothing, an empty one by everything."""
+    out = F.coalesce(F.regexp_like(value, F.when(wanted.isin(*K.DATE_FORMATS, *K.NAMED_PATTERNS), "").otherwise(wanted)), F.lit(False))
+    for name, layout in K.DATE_FORMATS.items():
+        out = F.when(wanted == name, (F.length(value) == len(layout)) & F.try_to_timestamp(value, F.lit(layout)).isNotNull()).otherwise(out)
+    for name, expression in K.NAMED_PATTERNS.items():
+        out = F.when(wanted == name, value.rlike(expression)).otherwise(out)
+    return out
+
+
 def check_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per failed rule. Kinds: exact, pattern (arg1 a regular expression), date_range (arg1 to arg2),
+    """One row per failed rule. Kinds: exact, pattern (arg1 a regular expression or a named format), date_range (arg1 to arg2),
     signature, selection, conditional (cond_field = cond_value implies field = arg1). Rules are joined on the
     field's name; a rule for all documents has a null doc_scope. Compares as text; a missing value is empty."""
     value = F.coalesce("field_value", F.lit(""))
@@ -165,7 +193,7 @@ def check_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
     rows = fields.join(rules.where("doc_scope IS NULL"), "field_name").unionByName(fields.join(scoped, ["doc_id", "field_name"]))
     of = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
     exact = _violations(of("exact", "selection").where(value != F.coalesce("arg1", F.lit(""))), "value_mismatches")
-    pattern = _violations(of("pattern").where(~F.regexp_like(value, F.col("arg1"))), "format_issues")
+    pattern = _violations(of("pattern").where(~follows_format(value, F.col("arg1"))), "format_issues")
     day = lambda c: F.col(c).try_cast("date")
     dates = _violations(of("date_range").where(~F.coalesce(day("field_value").between(day("arg1"), day("arg2")), F.lit(False))), "format_issues")
     signature = _violations(of("signature").where(F.trim(value) == ""), "missing_content")
@@ -231,6 +259,19 @@ def layout_outliers(boxes: DataFrame, share: float = 0.15, margin: float = 0.0,
     return boxes.join(middle, ["doc_id", "kind"]).withColumn("reason", reason).where("reason IS NOT NULL").select("doc_id", "page", "box_id", "reason")
 
 
+def overlapping_boxes(boxes: DataFrame, cell: float = 100.0) -> DataFrame:
+    """Pairs of boxes (box_id < other_id) of a page whose areas overlap; boxes that only touch do not. Boxes meet in the
+    grid cells that they cover, and a pair counts in the one cell that holds the corner of what they share."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    rows = boxes.where("x0 < x1 AND top < bottom").select("doc_id", "page", "box_id", "x0", "top", "x1", "bottom").distinct()
+    placed = rows.withColumn("cx", span("x0", "x1")).withColumn("cy", span("top", "bottom"))
+    other = placed.select("doc_id", "page", "cx", "cy", F.col("box_id").alias("other_id"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "top", "x1", "bottom")])
+    left, high = F.greatest("x0", "o_x0"), F.greatest("top", "o_top")
+    shared = (left < F.least("x1", "o_x1")) & (high < F.least("bottom", "o_bottom")) & (F.floor(left / cell) == F.col("cx")) & (F.floor(high / cell) == F.col("cy"))
+    hits = placed.join(other, ["doc_id", "page", "cx", "cy"]).where((F.col("box_id") < F.col("other_id")) & shared)
+    return hits.select("doc_id", "page", "box_id", "other_id").distinct().withColumn("severity", F.lit("high"))
+
+
 def required_empty(fields: DataFrame) -> DataFrame:
     rows = fields.where(F.col("is_required") & (F.trim(F.coalesce("field_value", F.lit(""))) == ""))
     return rows.select("doc_id", "field_name", F.lit("missing_content").alias("bucket"), F.lit("critical").alias("severity"))

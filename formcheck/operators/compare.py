@@ -19,6 +19,7 @@ from formcheck.functions import scalars as S
 THRESHOLD = 25
 GRID_COLUMNS, GRID_ROWS, CELL_PCT, REGIONS = 8, 14, 8.0, 8
 RASTER = "struct<diff_pct:double,similarity:double,bbox:array<int>,bbox_area_pct:double,zone_pcts:map<string,double>,regions:array<array<int>>,blank:boolean>"
+PLACE = ["pair_id", "page", "para", "line", "pos"]
 RASTER_COLUMNS = ["diff_pct", "similarity", "bbox", "bbox_area_pct", "zone_pcts", "regions", "blank"]
 
 
@@ -42,12 +43,21 @@ def merge_boxes(boxes: list[tuple[int, int, int, int]], gap: int) -> list[tuple[
         boxes = [tuple(b) for b in out]
 
 
+def luma(pixels: np.ndarray) -> np.ndarray:
+    """Grey values of colour pixels; grey ones as they are."""
+    return pixels if pixels.ndim == 2 else (pixels @ np.array(K.LUMA) + 0x8000) >> 16
+
+
 def compare_rasters(expected: np.ndarray, actual: np.ndarray) -> dict:
-    """Two grey pages (rows x columns), padded with white to the larger: share of changed pixels, box, zones,
-    regions; and whether the actual page is blank."""
+    """Two pages, grey (rows x columns) or colour (rows x columns x 3), padded with white to the larger: share of
+    changed pixels, box, zones, regions; and whether the actual page is blank. A pixel changed where the luma of its
+    absolute difference is over the threshold; a grey page beside a coloured one has three equal channels."""
     h, w = max(expected.shape[0], actual.shape[0]), max(expected.shape[1], actual.shape[1])
-    padded = [np.pad(p, ((0, h - p.shape[0]), (0, w - p.shape[1])), constant_values=255).astype(np.int16) for p in (expected, actual)]
-    mask = np.abs(padded[0] - padded[1]) > THRESHOLD
+    colour = expected.ndim == 3 or actual.ndim == 3
+    deep = [np.repeat(p[:, :, None], 3, 2) if colour and p.ndim == 2 else p for p in (expected, actual)]
+    padded = [np.pad(p, ((0, h - p.shape[0]), (0, w - p.shape[1]), *([(0, 0)] if colour else [])), constant_values=255).astype(np.int32) for p in deep]
+    mask = luma(np.abs(padded[0] - padded[1])) > THRESHOLD
+    actual = luma(actual.astype(np.int32))
     pct = float(mask.sum()) / max(mask.size, 1) * 100
     ys, xs = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
     box = [int(xs[0]), int(ys[0]), int(xs[-1]) + 1, int(ys[-1]) + 1] if len(xs) else None
@@ -64,8 +74,8 @@ def compare_rasters(expected: np.ndarray, actual: np.ndarray) -> dict:
 
 
 def raster_diff(pairs: DataFrame, expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """pairs(pair_id, expected_page, actual_page) with rasters(page, width, height, pixels binary): one row of
-    differences per pair. Pixels are joined last and travel once for each side."""
+    """pairs(pair_id, expected_page, actual_page) with rasters(page, width, height, pixels binary; one byte a pixel or
+    three): one row of differences per pair. Pixels are joined last and travel once for each side."""
     side = lambda df, p: df.select(F.col("page").alias(f"{p}_page"), F.col("width").alias(f"{p}_w"), F.col("height").alias(f"{p}_h"), F.col("pixels").alias(f"{p}_pixels"))
     rows = pairs.join(side(expected, "expected"), "expected_page").join(side(actual, "actual"), "actual_page")
 
@@ -73,7 +83,7 @@ def raster_diff(pairs: DataFrame, expected: DataFrame, actual: DataFrame) -> Dat
     def compare(ep: pd.Series, ew: pd.Series, eh: pd.Series, ap: pd.Series, aw: pd.Series, ah: pd.Series) -> pd.DataFrame:
         out = []
         for p, w, h, q, x, y in zip(ep, ew, eh, ap, aw, ah, strict=True):
-            out.append(compare_rasters(np.frombuffer(p, np.uint8).reshape(h, w), np.frombuffer(q, np.uint8).reshape(y, x)))
+            out.append(compare_rasters(*(np.frombuffer(b, np.uint8).reshape((r, c, 3) if len(b) == 3 * r * c > 0 else (r, c)) for b, r, c in ((p, h, w), (q, y, x)))))
         return pd.DataFrame(out, columns=RASTER_COLUMNS)
 
     return rows.select("pair_id", "expected_page", "actual_page", compare("expected_pixels", "expected_w", "expected_h", "actual_pixels", "actual_w", "actual_h").alias("d")).select("pair_id", "expected_page", "actual_page", "d.*")
@@ -248,14 +258,13 @@ def paragraph_diff(pages: DataFrame) -> DataFrame:
     return rows.select("pair_id", "page", "change_no", "c.*")
 
 
-def format_diff(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0, least_body: int = 3, most: int = 30) -> DataFrame:
-    """words(pair_id, page, side, para, line, pos, text, fontname, size, x0) of corresponding paragraphs: bold, size
-    and shift changes of words at the same place. Shifts of body text count from three a page on; at most 30 of a
-    kind are listed."""
+def format_changes(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0) -> DataFrame:
+    """words(pair_id, page, side, para, line, pos, text, fontname, size, x0) of corresponding paragraphs: one row per
+    bold, size or shift change of words at the same place."""
     cols = ("text", "fontname", "size", "x0")
-    side = lambda s, p: words.where(F.col("side") == s).select("pair_id", "page", "para", "line", "pos", *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    key = ["pair_id", "page", "para", "line", "pos"]
-    both = side("expected", "e").join(side("actual", "a"), key).where((F.trim("e_text") != "") & (F.trim("a_text") != ""))
+    written = words.where(F.trim("text") != "")
+    side = lambda s, p: written.where(F.col("side") == s).select("pair_id", "page", "para", "line", "pos", *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    both = side("expected", "e").join(side("actual", "a"), PLACE)
     eb, ab, marker = S.is_bold_font(F.col("e_fontname")), S.is_bold_font(F.col("a_fontname")), S.is_list_marker(F.col("a_text"))
     shift, grown = F.col("a_x0") - F.col("e_x0"), F.col("a_size") - F.col("e_size")
     kinds = F.array_compact(F.array(
@@ -263,14 +272,43 @@ def format_diff(words: DataFrame, size_tolerance: float = 1.2, body_shift: float
         F.when((F.col("e_size") > 0) & (F.col("a_size") > 0) & (F.abs(grown) > size_tolerance), F.when(grown > 0, "larger").otherwise("smaller")),
         F.when(marker & (F.abs(shift) > list_shift), "list_shift").when(~marker & (F.abs(shift) > body_shift), "body_shift"),
     ))
-    rows = both.select(*key, F.trim("a_text").alias("text"), F.round(shift, 1).alias("x_shift"), F.explode(kinds).alias("change"))
-    w = Window.partitionBy("pair_id", "page", "change")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("nth", F.row_number().over(w.orderBy("para", "line", "pos")))
-    return rows.where((F.col("nth") <= most) & ((F.col("change") != "body_shift") | (F.col("n") >= least_body))).drop("n")
+    return both.select(*PLACE, F.trim("a_text").alias("text"), F.round(shift, 1).alias("x_shift"), "e_size", "a_size", F.explode(kinds).alias("change"))
 
 
-def diff_summaries(changes: DataFrame, limit: int = 20) -> DataFrame:
-    """One text per page: its first changes as lines."""
+def format_diff(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0, least_body: int = 3, most: int = 30) -> DataFrame:
+    """The first 30 format changes of each kind on a page; shifts of body text count from three a page on. The rank
+    is limited in each task before the shuffle, and counts are taken of what it leaves."""
+    rows = format_changes(words, size_tolerance, body_shift, list_shift)
+    w = Window.partitionBy("pair_id", "page", "change")
+    rows = rows.withColumn("nth", F.row_number().over(w.orderBy("para", "line", "pos"))).where(F.col("nth") <= max(most, least_body))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(w)).where((F.col("nth") <= most) & ((F.col("change") != "body_shift") | (F.col("n") >= least_body)))
+    return rows.drop("n", "e_size", "a_size")
+
+
+def _quoted(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def formatting_sentences(changes: DataFrame, shown: int = 5, least_body: int = 3) -> DataFrame:
+    """format_changes -> (pair_id, page, formatting): one sentence per page with changes: the first five words of a
+    kind, and the numbers of body words moved right and left from three a page on."""
+    size = F.col("change").isin("larger", "smaller")
+    group = F.when(size, "size").otherwise(F.col("change"))
+    text = F.when(size, F.concat(_quoted(F.col("text")), F.lit(" ("), F.col("e_size").cast("string"), F.lit("pt→"), F.col("a_size").cast("string"), F.lit("pt)"))).otherwise(_quoted(F.col("text")))
+    rows = changes.where("change <> 'body_shift'").select(*PLACE, group.alias("kind"), text.alias("word"))
+    nth = F.row_number().over(Window.partitionBy("pair_id", "page", "kind").orderBy("para", "line", "pos"))
+    item = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("nth", "word")))), lambda x: x["word"]), ", ")
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= shown).groupBy("pair_id", "page").agg(*[item(k).alias(k) for k, _ in K.FORMAT_TEXTS])
+    moved = changes.where("change = 'body_shift'").groupBy("pair_id", "page").agg(F.count_if(F.col("x_shift") > 0).alias("right"), F.count_if(F.col("x_shift") < 0).alias("left")).where(F.col("right") + F.col("left") >= least_body)
+    both = first.join(moved, ["pair_id", "page"], "full_outer")
+    parts = [F.when(F.col(k) != "", F.concat(F.lit(t), F.col(k))) for k, t in K.FORMAT_TEXTS]
+    parts += [F.when(F.col(d) > 0, F.concat(F.col(d).cast("string"), F.lit(f" body text element(s) indented {d}"))) for d in ("right", "left")]
+    return both.select("pair_id", "page", F.concat_ws(" | ", *parts).alias("formatting")).where("formatting <> ''")
+
+
+def diff_summaries(changes: DataFrame, limit: int = 20, formats: DataFrame | None = None) -> DataFrame:
+    """One text per page: its first changes as lines, then the formatting sentence of formats(pair_id, page,
+    formatting), which stands alone on pages without text changes."""
     cut = lambda c, n: F.substring(c, 1, n)
     line = (
         F.when(F.col("kind") == "deleted", F.concat(F.lit('  REMOVED: "'), cut("expected", 120), F.lit('"')))
@@ -279,7 +317,12 @@ def diff_summaries(changes: DataFrame, limit: int = 20) -> DataFrame:
         .otherwise(F.concat(F.lit('  BLOCK WAS: "'), cut("expected", 100), F.lit('"\n  BLOCK NOW: "'), cut("actual", 100), F.lit('"')))
     )
     rows = changes.where(F.col("change_no") < limit).withColumn("line", line)
-    return rows.groupBy("pair_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_no", "line"))), lambda x: x["line"]), "\n").alias("summary"))
+    texts = rows.groupBy("pair_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_no", "line"))), lambda x: x["line"]), "\n").alias("summary"))
+    if formats is None:
+        return texts
+    head = F.when(F.col("summary").isNull(), "FORMATTING: ").otherwise("\n  FORMATTING: ")
+    added = F.when(F.col("formatting").isNotNull(), F.concat(head, "formatting"))
+    return texts.join(formats, ["pair_id", "page"], "full_outer").select("pair_id", "page", F.concat(F.coalesce("summary", F.lit("")), F.coalesce(added, F.lit(""))).alias("summary"))
 
 
 def changed_texts(changes: DataFrame, limit: int = 25) -> DataFrame:
@@ -329,18 +372,21 @@ def metadata_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def graphics_diff(expected: DataFrame, actual: DataFrame, snap: float = 5.0) -> DataFrame:
     """shapes(pair_id, page, x0, top, x1, bottom): those of one side without a counterpart within the tolerance in
-    all four coordinates. The equi-join is on a grid cell as wide as the tolerance; a shape is probed in the nine
-    cells around its corner, so a page with thousands of lines meets only neighbours."""
-    cell = lambda c: F.floor(F.col(c) / snap)
-    rounded = lambda df: df.select("pair_id", "page", *[F.bround(c, 1).alias(c) for c in ("x0", "top", "x1", "bottom")]).withColumn("shape_id", F.monotonically_increasing_id())
+    all four coordinates. Equal shapes go first, by key; the rest is joined on a grid cell a little wider than twice
+    the tolerance, so a shape is probed in four cells at most and meets only neighbours."""
+    corners = ["x0", "top", "x1", "bottom"]
+    key, width = ["pair_id", "page", *corners], 2 * snap + 0.01
+    rounded = lambda df: df.select("pair_id", "page", *[F.bround(c, 1).alias(c) for c in corners])
+    cell = lambda c: F.floor(c / width)
+    near = lambda c: F.explode(F.array_distinct(F.array(cell(F.col(c) - snap - 1e-6), cell(F.col(c) + snap + 1e-6))))
 
     def missing(a: DataFrame, b: DataFrame, change: str) -> DataFrame:
-        near = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
-        probe = a.withColumn("cx", near("x0")).withColumn("cy", near("top"))
-        other = b.select("pair_id", "page", cell("x0").alias("cx"), cell("top").alias("cy"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "top", "x1", "bottom")])
-        close = [F.bround(F.abs(F.col(c) - F.col(f"b_{c}")), 6) <= snap for c in ("x0", "top", "x1", "bottom")]
-        hit = probe.join(other, ["pair_id", "page", "cx", "cy"]).where(close[0] & close[1] & close[2] & close[3]).select("pair_id", "page", "x0", "top", "x1", "bottom").distinct()
-        return a.join(hit, ["pair_id", "page", "x0", "top", "x1", "bottom"], "left_anti").select("pair_id", "page", F.lit(change).alias("change"), "x0", "top", "x1", "bottom")
+        left = a.join(b, key, "left_anti")
+        probe = left.withColumn("cx", near("x0")).withColumn("cy", near("top"))
+        other = b.select("pair_id", "page", cell(F.col("x0")).alias("cx"), cell(F.col("top")).alias("cy"), *[F.col(c).alias(f"b_{c}") for c in corners])
+        close = [F.bround(F.abs(F.col(c) - F.col(f"b_{c}")), 6) <= snap for c in corners]
+        hit = probe.join(other, ["pair_id", "page", "cx", "cy"]).where(close[0] & close[1] & close[2] & close[3]).select(key).distinct()
+        return left.join(hit, key, "left_anti").select("pair_id", "page", F.lit(change).alias("change"), *corners)
 
     e, a = rounded(expected), rounded(actual)
     return missing(e, a, "removed").unionByName(missing(a, e, "added"))

@@ -9,6 +9,10 @@ from formcheck.constants import STUCK_MINUTES
 from formcheck.functions import scalars as S
 
 
+# File names of a result's folder, by the column that tells whether there is one.
+BUNDLE_FILES = [("result_json", "findings.json"), ("report_html_path", "report.html"), ("form_path", "tested_form.pdf"), ("benchmark_path", "golden_copy.pdf")]
+
+
 def visible_projects(projects: DataFrame, members: DataFrame, user_id: int, is_admin: bool) -> DataFrame:
     """Admins see all projects, others those they belong to."""
     return projects if is_admin else projects.join(members.where(F.col("user_id") == user_id), "project_id", "left_semi")
@@ -183,9 +187,22 @@ def append_audit_rows(actions: DataFrame) -> DataFrame:
     return actions.select(F.coalesce(F.nullif("username", F.lit("")), F.lit("system")).alias("username"), "action", "project_id", F.when(F.col("detail").isNotNull(), F.to_json(F.struct("detail"))).alias("detail"), "created_at")
 
 
+def evidence_files(results: DataFrame) -> DataFrame:
+    """results(rr_id, test_case_id and, where known, result_json, report_html_path, form_path, benchmark_path,
+    visual_diff_images as a JSON list) -> (rr_id, path): the files of each result's folder in the bundle."""
+    folder = F.concat(F.lit("results/result_"), F.col("rr_id").cast("string"), F.lit("_tc_"), F.col("test_case_id").cast("string"), F.lit("/"))
+    present = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != "" if c in results.columns else F.lit(False)
+    single = [F.when(present(c), F.concat(folder, F.lit(name))) for c, name in BUNDLE_FILES]
+    images = F.from_json("visual_diff_images", "array<string>") if "visual_diff_images" in results.columns else F.array().cast("array<string>")
+    shown = F.transform(F.array_compact(F.coalesce(images, F.array().cast("array<string>"))), lambda x: F.concat(folder, F.lit("visual_diffs/"), x))
+    return results.select("rr_id", F.explode(F.concat(F.array_compact(F.array(*single)), shown)).alias("path"))
+
+
 def evidence_manifest(results: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One nested document per run: header and list of results."""
-    item = F.struct("rr_id", F.concat(F.lit("tc_"), F.col("test_case_id").cast("string")).alias("test_case"), "status", "errors", "warnings")
-    rows = results.select("rr_id", "run_id", "test_case_id").join(metrics, "rr_id")
+    """One nested document per run: header and list of results, each with the files of its folder."""
+    files = evidence_files(results).groupBy("rr_id").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    rows = results.select("rr_id", "run_id", "test_case_id").join(metrics, "rr_id").join(files, "rr_id", "left")
+    item = F.struct("rr_id", F.concat(F.lit("tc_"), F.col("test_case_id").cast("string")).alias("test_case"), "status", "errors", "warnings", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
     lists = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("results"))
-    return lists.select("run_id", F.size("results").alias("n_results"), F.to_json(F.struct("run_id", "results")).alias("document"))
+    n_files = F.aggregate("results", F.lit(0), lambda n, x: n + F.size(x["files"]))
+    return lists.select("run_id", F.size("results").alias("n_results"), n_files.alias("n_files"), F.to_json(F.struct("run_id", "results")).alias("document"))

@@ -160,6 +160,13 @@ def requirement_tags(reviews: DataFrame, requirements: DataFrame) -> DataFrame:
     return ids.join(requirements, "requirement_id")
 
 
+def standard_requirements(standards: DataFrame, requirements: DataFrame) -> DataFrame:
+    """standards(standard_id, code, name) with their requirements(requirement_id, standard_id, code, title, level); a
+    standard without requirements has one row of nulls."""
+    inner = requirements.select("standard_id", "requirement_id", F.col("code").alias("requirement_code"), "title", "level")
+    return standards.select("standard_id", F.col("code").alias("standard_code"), "name").join(inner, "standard_id", "left")
+
+
 def latest_review(actions: DataFrame, key: list[str], at: str, order: Column | None = None) -> DataFrame:
     """The latest row of each key."""
     w = Window.partitionBy(*key).orderBy(F.col(at).desc(), *([order] if order is not None else []))

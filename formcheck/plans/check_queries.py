@@ -61,13 +61,18 @@ def find_text_bbox(t: Tables) -> DataFrame:
     return O.find_text_bbox(words(t), targets)
 
 
+_LIMITED = lambda text, mode_limit, benchmark_limit: f"CASE WHEN mode <> 'benchmark' THEN substr(coalesce({text}, ''), 1, {mode_limit}) WHEN length(coalesce({text}, '')) > {benchmark_limit} THEN substr({text}, 1, {benchmark_limit}) || chr(10) || '[... truncated ...]' ELSE coalesce({text}, '') END"
+
+
 @query("request_rows", f"""
-SELECT d.doc_id AS test_case_id, d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN 'basic' WHEN 1 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'specific' ELSE 'basic' END ELSE 'benchmark' END AS mode,
-  CASE WHEN length(coalesce(x.text, '')) > 5000 THEN substr(x.text, 1, 5000) || chr(10) || '[... truncated ...]' ELSE coalesce(x.text, '') END AS text
-FROM documents d LEFT JOIN (SELECT doc_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY page) AS text FROM ({PAGES}) p WHERE trim(text) <> '' GROUP BY doc_id) x ON d.doc_id = x.doc_id""")
+SELECT test_case_id, doc_id, mode, {_LIMITED("text", 5000, 6000)} AS text, {_LIMITED("pages", 3000, 4000)} AS pages, CAST(fields AS BIGINT) AS fields FROM (
+  SELECT d.doc_id AS test_case_id, d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN 'basic' WHEN 1 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'specific' ELSE 'basic' END ELSE 'benchmark' END AS mode, x.text, x.pages, coalesce(f.n, 0) AS fields
+  FROM documents d LEFT JOIN (SELECT doc_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY page) AS text, string_agg('[Page ' || page || ']' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY page) AS pages FROM ({PAGES}) p WHERE trim(text) <> '' GROUP BY doc_id) x ON d.doc_id = x.doc_id
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({FIELDS}) g GROUP BY doc_id) f ON d.doc_id = f.doc_id) y""")
 def request_rows(t: Tables) -> DataFrame:
     cases = t.documents.select(F.col("doc_id").alias("test_case_id"), "doc_id", F.element_at(F.array(F.lit("basic"), F.lit("specific"), F.lit("benchmark")), (F.col("doc_id") % 3 + 1).cast("int")).alias("mode"), F.when(F.col("doc_id") % 2 == 0, "rule").alias("rules"))
-    return O.request_rows(cases, O.document_text(doc_pages(t)))
+    rows = O.request_rows(cases, O.document_text(doc_pages(t)), O.document_text(doc_pages(t), headers=True).withColumnRenamed("text", "pages"), doc_fields(t))
+    return rows.withColumn("fields", F.json_array_length("fields").cast("long"))
 
 
 @query("compare_context_text")
@@ -116,7 +121,19 @@ def unexplained_required(t: Tables) -> DataFrame:
     return O.unexplained_required(O.document_text(doc_pages(t))).select("doc_id")
 
 
-@query("check_accessibility")
+_FINDING = "SELECT doc_id, '{}' AS type, '{}' AS severity, {} AS field_name, CAST({} AS INT) AS page, {} AS description, '{}' AS wcag_criterion FROM ({}) x"
+_META_DUCKDB = "SELECT d.doc_id, v FROM (SELECT DISTINCT doc_id FROM ({})) d LEFT JOIN (SELECT page_id, nullif(trim({}), '') AS v FROM pages) m ON d.doc_id = page_id"
+_ACCESS = " UNION ALL ".join(_FINDING.format(*x) for x in [
+    ("missing_label", "high", "field_name", "NULL", "'Form field ''' || field_name || ''' has no accessible label or tooltip.'", O.LABEL, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tab_order, field_name) AS n FROM ({FIELDS}) f WHERE length(trim(coalesce(nullif(label, ''), nullif(tooltip, ''), ''))) < 2) y WHERE n <= 10"),
+    ("missing_language", "medium", "NULL", "NULL", "'PDF document does not declare a language (lang attribute missing).'", O.LANGUAGE, f"SELECT * FROM ({_META_DUCKDB.format(PAGES, """CASE WHEN page_id % 5 = 0 THEN '' ELSE regexp_extract(html, 'lang="([a-z]*)"', 1) END""")}) y WHERE v IS NULL"),
+    ("missing_title", "medium", "NULL", "NULL", "'PDF does not have a descriptive document title.'", O.TITLE, f"SELECT * FROM ({_META_DUCKDB.format(PAGES, "CASE WHEN page_id % 7 = 0 THEN ' Untitled ' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END")}) y WHERE v IS NULL OR lower(v) = 'untitled'"),
+    ("unlabeled_signature", "high", "field_name", "NULL", "'Signature field ''' || field_name || ''' lacks an accessible label.'", O.LABEL, f"SELECT * FROM ({FIELDS}) f WHERE regexp_matches(lower(field_name), 'sign|signature|authorized|approval') AND coalesce(label, '') = ''"),
+    ("image_only_page", "medium", "NULL", "page", "'Page ' || page || ' appears to contain little or no text — may be an image-only page with no alt text.'", O.IMAGE, f"SELECT * FROM ({PAGES}) p WHERE length(trim(text)) < 20"),
+    ("unexplained_required_indicator", "low", "NULL", "NULL", "'Form uses asterisks (*) or ''required'' labels but may not explain their meaning to all users.'", O.REQUIRED, f"SELECT * FROM (SELECT doc_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY page) AS text FROM ({PAGES}) p WHERE trim(text) <> '' GROUP BY doc_id) y WHERE regexp_matches(text, '(?i)\\*|required|mandatory') AND NOT regexp_matches(text, '(?i)\\*\\s*(=|means?|denotes?|indicates?|required)')"),
+])
+
+
+@query("check_accessibility", _ACCESS)
 def check_accessibility(t: Tables) -> DataFrame:
     return O.check_accessibility(doc_pages(t), doc_fields(t), meta(t))
 
@@ -153,14 +170,33 @@ def check_rules(t: Tables) -> DataFrame:
 
 
 @query("assert_calculation", """
-SELECT o_orderkey AS doc_id, 1 AS rule_id, round(s, 2) AS expected, round(o_totalprice, 2) AS actual FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey) l ON o_orderkey = l_orderkey WHERE abs(o_totalprice - s) > 0.000001""")
+SELECT o_orderkey AS doc_id, 1 AS rule_id, round(s, 2) AS expected, round(o_totalprice, 2) AS actual FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY l_orderkey) l ON o_orderkey = l_orderkey WHERE abs(o_totalprice - s) > 0.000001""")
 def assert_calculation(t: Tables) -> DataFrame:
-    lines = t.lineitem.where("l_linenumber <= 3").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("field_name"), F.col("l_extendedprice").cast("double").cast("string").alias("field_value"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("line"), F.col("l_linenumber").cast("string")).alias("field_name"), F.col("l_extendedprice").cast("double").cast("string").alias("field_value"))
     totals = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.lit("total").alias("field_name"), F.col("o_totalprice").cast("double").cast("string").alias("field_value"))
-    rules = t.spark.sql("SELECT 1 AS rule_id, 'total' AS field_name, 'sum' AS op, 'line1,line2,line3' AS operands")
+    rules = t.spark.sql("SELECT 1 AS rule_id, 'total' AS field_name, 'sum' AS op, 'line1,line2,line3,line4,line5,line6,line7' AS operands")
     return O.assert_calculation(lines.unionByName(totals), rules).select("doc_id", "rule_id", F.round("expected", 2).alias("expected"), F.round("actual", 2).alias("actual"))
 
 
+#: One value an order, in one of eight shapes, some of them wrong; the order's rule is a named format or an expression.
+_SHAPED = """SELECT o_orderkey AS doc_id, concat('field', CAST(o_orderkey % 8 AS STRING)) AS field_name, CASE WHEN o_orderkey % 16 >= 8 THEN CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'x 1' END
+  WHEN o_orderkey % 8 = 0 THEN concat('user', CAST(o_custkey AS STRING), '@example.com') WHEN o_orderkey % 8 = 1 THEN concat('+1 555-', CAST(1000000 + o_custkey AS STRING)) WHEN o_orderkey % 8 = 2 THEN CAST(10000 + o_custkey % 80000 AS STRING)
+  WHEN o_orderkey % 8 = 3 THEN concat('$1,', CAST(100 + o_custkey % 900 AS STRING), '.50') WHEN o_orderkey % 8 = 4 THEN concat('0', CAST(1 + o_custkey % 9 AS STRING), '/', CAST(10 + o_custkey % 25 AS STRING), '/1996')
+  WHEN o_orderkey % 8 = 5 THEN concat(CAST(10 + o_custkey % 25 AS STRING), '/0', CAST(1 + o_custkey % 9 AS STRING), '/1996') WHEN o_orderkey % 8 = 6 THEN concat('1995-0', CAST(1 + o_custkey % 9 AS STRING), '-', CAST(10 + o_custkey % 25 AS STRING))
+  ELSE concat('A', CAST(o_custkey % 2000 AS STRING)) END AS field_value FROM {orders}"""
+
+
+@query("assert_pattern", f"""
+SELECT doc_id, field_name, 'format_issues' AS bucket FROM ({_SHAPED}) v WHERE NOT CASE doc_id % 8 WHEN 0 THEN regexp_matches(field_value, '{K.NAMED_PATTERNS["email"]}') WHEN 1 THEN regexp_matches(field_value, '{K.NAMED_PATTERNS["phone"]}')
+  WHEN 2 THEN regexp_matches(field_value, '{K.NAMED_PATTERNS["postal"]}') WHEN 3 THEN regexp_matches(field_value, '{K.NAMED_PATTERNS["currency"]}') WHEN 4 THEN try_strptime(field_value, '%m/%d/%Y') IS NOT NULL
+  WHEN 5 THEN try_strptime(field_value, '%d/%m/%Y') IS NOT NULL WHEN 6 THEN try_strptime(field_value, '%Y-%m-%d') IS NOT NULL ELSE regexp_matches(field_value, '^A[0-9]{{1,3}}$') END""")
+def assert_pattern(t: Tables) -> DataFrame:
+    kinds = ["email", "phone", "postal", "currency", *K.DATE_FORMATS, "^A[0-9]{1,3}$"]
+    rows = ", ".join(f"({k}, 'field{k}', '{kind}')" for k, kind in enumerate(kinds))
+    rules = t.spark.sql(f"SELECT k AS rule_id, CAST(NULL AS BIGINT) AS doc_scope, 'pattern' AS kind, field_name, arg1, '' AS arg2, '' AS cond_field, '' AS cond_value FROM VALUES {rows} AS r(k, field_name, arg1)")
+    return O.check_rules(t.spark.sql(_SHAPED, orders=t.orders), rules).select("doc_id", "field_name", "bucket")
+
+
 @query("placeholder_text", f"SELECT doc_id, page FROM ({PAGES}) p WHERE doc_id % 13 = 0 OR regexp_matches(text, '(?i)lorem ipsum|\\btest data\\b|\\bsample\\b|\\btbd\\b|\\bn/a\\b|\\[insert')")
 def placeholder_text(t: Tables) -> DataFrame:
     return O.placeholder_text(doc_pages(t).withColumn("text", F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit(" [INSERT NAME]"))).otherwise(F.col("text")))).select("doc_id", "page")
@@ -202,6 +238,14 @@ def layout_outliers(t: Tables) -> DataFrame:
     return O.layout_outliers(t.spark.sql(_BOXES, lineitem=t.lineitem)).select("doc_id", "box_id", "reason")
 
 
+_PLACED = "SELECT DISTINCT l_orderkey AS doc_id, CAST(1 AS INT) AS page, CAST(l_linenumber AS BIGINT) AS box_id, CAST(l_suppkey % 300 AS DOUBLE) AS x0, CAST(l_partkey % 400 AS DOUBLE) AS top, CAST(l_suppkey % 300 + 120 AS DOUBLE) AS x1, CAST(l_partkey % 400 + 150 AS DOUBLE) AS bottom FROM {lineitem}"
+
+
+@query("overlapping_boxes", f"WITH b AS ({_PLACED}) SELECT DISTINCT a.doc_id, a.page, a.box_id, b.box_id AS other_id, 'high' AS severity FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page = b.page AND a.box_id < b.box_id WHERE a.x0 < b.x1 AND b.x0 < a.x1 AND a.top < b.bottom AND b.top < a.bottom")
+def overlapping_boxes(t: Tables) -> DataFrame:
+    return O.overlapping_boxes(t.spark.sql(_PLACED, lineitem=t.lineitem))
+
+
 @query("required_empty", f"SELECT doc_id, field_name FROM ({FIELDS}) f WHERE is_required AND trim(coalesce(field_value, '')) = ''")
 def required_empty(t: Tables) -> DataFrame:
     return O.required_empty(doc_fields(t)).select("doc_id", "field_name")

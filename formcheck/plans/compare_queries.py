@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formcheck import constants as K
 from formcheck.operators import compare as O
 from formcheck.plans.registry import query
+from formcheck.plans.sqltext import among
 from formcheck.sources.fixtures import Tables
 
 #: Synthetic words of a line: word k has x0 = 60 * (k % 10), top = 14 * line_no + (doc_id + k) % 3.
@@ -58,10 +60,20 @@ def raster_bbox(t: Tables) -> DataFrame:
     return raster_rows(t).select("pair_id", *[F.col("bbox")[k].cast("long").alias(c) for k, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
-@query("zone_analysis")
+#: Changed pixels of each zone of a 32 x 32 page, from the changed cells of its eight cell rows, of four pixel rows each.
+_ZONES = f"""SELECT pair_id, blank, 3 * r[1] / 24 > 0.015 AS h, (r[1] + 4 * r[2] + 4 * r[3] + r[4]) / 80 > 0.015 AS u, (3 * r[4] + 4 * r[5] + 3 * r[6]) / 80 > 0.015 AS m, (r[6] + 3 * r[7]) / 32 > 0.015 AS l, (r[7] + 4 * r[8]) / 40 > 0.015 AS f
+FROM (SELECT pair_id, list(n ORDER BY y) AS r, sum(white) / 64 >= 0.98 AS blank FROM (
+  SELECT a.vec_id AS pair_id, (a.i - 1) // 8 AS y, count(*) FILTER (WHERE abs(a.p - b.p) > 25) AS n, count(*) FILTER (WHERE b.p >= 250) AS white FROM ({_PIXELS}) a JOIN ({_PIXELS}) b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY ALL) c GROUP BY pair_id) z"""
+
+
+@query("zone_analysis", f"""
+SELECT pair_id, concat_ws(',', CASE WHEN h THEN 'header' END, CASE WHEN u THEN 'upper_body' END, CASE WHEN m THEN 'middle_body' END, CASE WHEN l THEN 'lower_body' END, CASE WHEN f THEN 'footer' END) AS changed_zones,
+  CASE WHEN NOT (h OR u OR m OR l OR f) THEN 'no_change' WHEN CAST(h AS INT) + CAST(u AS INT) + CAST(m AS INT) + CAST(l AS INT) + CAST(f AS INT) >= 4 THEN 'page_wide' WHEN h AND NOT (u OR m OR l OR f) THEN 'header_only'
+    WHEN NOT (m OR l OR f) THEN 'header_and_fields' WHEN NOT (h OR f) THEN 'body_content' WHEN l OR f THEN 'footer_area' ELSE 'partial' END AS pattern, blank
+FROM ({_ZONES}) x""")
 def zone_analysis(t: Tables) -> DataFrame:
     zones = O.changed_zones(F.col("zone_pcts"))
-    return raster_rows(t).select("pair_id", zones.alias("changed_zones"), O.change_pattern(zones).alias("pattern"), "blank")
+    return raster_rows(t).select("pair_id", F.array_join(zones, ",").alias("changed_zones"), O.change_pattern(zones).alias("pattern"), "blank")
 
 
 @query("diff_regions")
@@ -103,7 +115,8 @@ def aligned(t: Tables) -> tuple[DataFrame, DataFrame]:
     nth = F.expr("row_number() OVER (PARTITION BY pair_id, side ORDER BY page)")
     both = pages.where("side = 'expected'").unionByName(actual).withColumn("page", nth)
     counts = both.groupBy("pair_id").agg(F.count_if(F.col("side") == "expected").alias("n_expected"), F.count_if(F.col("side") == "actual").alias("n_actual"))
-    return O.align_pages(counts, O.page_similarity(both)), counts
+    unequal = counts.where("n_expected <> n_actual").select("pair_id")
+    return O.align_pages(counts, O.page_similarity(both.join(unequal, "pair_id", "left_semi"))), counts
 
 
 @query("align_pages")
@@ -122,14 +135,21 @@ def direct_comparison_rows(t: Tables) -> DataFrame:
     return O.direct_comparison_rows(rows, counts)
 
 
-@query("cluster_lines")
+#: Lines with a word that is neither blank nor a stamp, numbered by page: the words' tops tell the lines apart.
+_LINES = f"""SELECT doc_id, page, line_no, count(*) AS words, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS line
+  FROM ({WORDS_DUCKDB}) w WHERE upper(trim(text)) NOT IN {among(["", *K.WATERMARKS])} GROUP BY doc_id, page, line_no"""
+
+
+@query("cluster_lines", f"SELECT doc_id, page, count(*) AS lines, CAST(sum(words) AS BIGINT) AS words FROM ({_LINES}) l GROUP BY doc_id, page")
 def cluster_lines(t: Tables) -> DataFrame:
-    return O.cluster_lines(words(t)).groupBy("doc_id", "page").agg(F.max("line").alias("lines"), F.count(F.lit(1)).alias("words"))
+    return O.cluster_lines(words(t)).groupBy("doc_id", "page").agg(F.max("line").cast("long").alias("lines"), F.count(F.lit(1)).alias("words"))
 
 
-@query("cluster_paragraphs")
+@query("cluster_paragraphs", f"""
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY first_line) AS para, words, first_line, last_line
+FROM (SELECT doc_id, page, CAST(sum(words) AS BIGINT) AS words, min(line) AS first_line, max(line) AS last_line FROM ({_LINES}) l GROUP BY doc_id, page, line_no - line) p""")
 def cluster_paragraphs(t: Tables) -> DataFrame:
-    return O.cluster_paragraphs(O.cluster_lines(words(t))).select("doc_id", "page", "para", "words", "first_line", "last_line")
+    return O.cluster_paragraphs(O.cluster_lines(words(t))).select("doc_id", "page", F.col("para").cast("long").alias("para"), "words", F.col("first_line").cast("long").alias("first_line"), F.col("last_line").cast("long").alias("last_line"))
 
 
 def changes(t: Tables) -> DataFrame:
@@ -145,7 +165,7 @@ def paragraph_diff(t: Tables) -> DataFrame:
 
 @query("diff_summaries")
 def diff_summaries(t: Tables) -> DataFrame:
-    return O.diff_summaries(changes(t))
+    return O.diff_summaries(changes(t), formats=O.formatting_sentences(O.format_changes(format_words(t))))
 
 
 @query("changed_texts")
@@ -171,6 +191,20 @@ def format_diff(t: Tables) -> DataFrame:
     return O.format_diff(format_words(t)).select("pair_id", "page", "change", "nth", "line", "pos")
 
 
+@query("formatting_sentences", f"""
+WITH w AS (SELECT doc_id AS pair_id, page, line_no AS line, word_no % 100000 AS pos, trim(text) AS text, fontname, size, word_no % 100000 + doc_id AS k FROM ({WORDS_DUCKDB}) x WHERE trim(text) <> ''),
+q AS (SELECT *, CASE WHEN contains(text, '''') AND NOT contains(text, '"') THEN '"' || text || '"' ELSE '''' || replace(text, '''', '\\''') || '''' END AS word,
+  regexp_matches(text, '^(\\([a-zA-Z0-9]\\)|[a-zA-Z]\\.|[0-9]+\\.|\\([ivxIVX]+\\)|[ivxIVX]+\\.|[•‣◦⁃∙–-])$') AS marker FROM w),
+u AS (SELECT pair_id, page, line, pos, 1 AS kind, word FROM q WHERE k % 11 = 0 AND fontname = 'Arial' UNION ALL SELECT pair_id, page, line, pos, 2, word || ' (' || size || 'pt→' || (size + 2) || 'pt)' FROM q WHERE k % 7 = 0
+  UNION ALL SELECT pair_id, page, line, pos, 3, word FROM q WHERE k % 5 = 0 AND marker),
+p AS (SELECT pair_id, page, kind, CASE kind WHEN 1 THEN 'Text became bold: ' WHEN 2 THEN 'Font size changed: ' ELSE 'List marker(s) alignment shifted: ' END || string_agg(word, ', ' ORDER BY nth) AS part
+  FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, page, kind ORDER BY line, pos) AS nth FROM u) v WHERE nth <= 5 GROUP BY pair_id, page, kind
+  UNION ALL SELECT pair_id, page, 4, count(*) || ' body text element(s) indented right' FROM q WHERE k % 5 = 0 AND NOT marker GROUP BY pair_id, page HAVING count(*) >= 3)
+SELECT pair_id, page, string_agg(part, ' | ' ORDER BY kind) AS formatting FROM p GROUP BY pair_id, page""")
+def formatting_sentences(t: Tables) -> DataFrame:
+    return O.formatting_sentences(O.format_changes(format_words(t)))
+
+
 @query("field_structure_diff", """
 SELECT pair_id, field_name, expected_type, actual_type, CASE WHEN actual_type IS NULL THEN 'removed' WHEN expected_type IS NULL THEN 'added' ELSE 'changed' END AS change
 FROM (SELECT coalesce(e.pair_id, a.pair_id) AS pair_id, coalesce(e.field_name, a.field_name) AS field_name, e.field_type AS expected_type, a.field_type AS actual_type

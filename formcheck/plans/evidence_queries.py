@@ -104,11 +104,20 @@ def schema_defaults(t: Tables) -> DataFrame:
     return FO.schema_defaults(FO.write_result_json(t.fx_findings)).groupBy("rr_id").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.size("items")).alias("items"))
 
 
-_STANDARDS = "SELECT CAST(p_partkey AS STRING) AS requirement_id, p_brand AS standard, p_type AS title FROM {part} WHERE p_partkey <= 60"
-_TAGGED = "SELECT rr_id, finding_index, concat(CAST(rr_id % 80 AS STRING), ', ', CAST(finding_index AS STRING)) AS compliance_tags FROM {fx_reviews}"
+_STANDARDS = "SELECT CAST(p_partkey AS STRING) AS requirement_id, p_brand AS standard, p_type AS title FROM {part}"
+_TAGGED = "SELECT rr_id, finding_index, concat(CAST(rr_id AS STRING), ', ', CAST(finding_index AS STRING)) AS compliance_tags FROM {fx_reviews}"
 
 
 @query("requirement_tags", f"""
 SELECT rr_id, finding_index, s.requirement_id, standard FROM (SELECT rr_id, finding_index, trim(unnest(string_split(compliance_tags, ','))) AS requirement_id FROM ({_TAGGED}) t) x JOIN ({_STANDARDS}) s ON x.requirement_id = s.requirement_id""")
 def requirement_tags(t: Tables) -> DataFrame:
     return R.requirement_tags(t.spark.sql(_TAGGED, fx_reviews=t.fx_reviews), t.spark.sql(_STANDARDS, part=t.part)).select("rr_id", "finding_index", "requirement_id", "standard")
+
+
+_BRANDS = "SELECT p_brand AS standard_id, min(p_brand) AS code, max(p_type) AS name FROM {part} GROUP BY p_brand"
+_REQUIREMENTS = "SELECT CAST(p_partkey AS BIGINT) AS requirement_id, p_brand AS standard_id, concat('1.', CAST(p_size AS STRING)) AS code, p_name AS title, CASE WHEN p_size % 3 = 0 THEN 'A' ELSE 'AA' END AS level FROM {part} WHERE p_size > 3"
+
+
+@query("standard_requirements", f"SELECT s.standard_id, s.code AS standard_code, name, requirement_id, r.code AS requirement_code, title, level FROM ({_BRANDS}) s LEFT JOIN ({_REQUIREMENTS}) r ON s.standard_id = r.standard_id")
+def standard_requirements(t: Tables) -> DataFrame:
+    return R.standard_requirements(t.spark.sql(_BRANDS, part=t.part), t.spark.sql(_REQUIREMENTS, part=t.part))

@@ -195,9 +195,12 @@ def append_audit(t: Tables) -> DataFrame:
     return O.append_audit_rows(t.fx_audit).groupBy("username", "action", "project_id", F.col("detail").isNotNull().alias("has_detail")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("evidence_manifest", "SELECT run_id, count(*) AS n_results FROM {fx_results} GROUP BY run_id")
+@query("evidence_manifest", "SELECT run_id, count(*) AS n_results, CAST(sum(CASE WHEN run_state = 'completed' THEN 1 ELSE 0 END + CASE WHEN rr_id % 3 = 0 THEN 1 ELSE 0 END + 1 + CASE WHEN mode = 'benchmark' THEN 3 ELSE 0 END) AS BIGINT) AS n_files FROM {fx_results} GROUP BY run_id")
 def evidence_manifest(t: Tables) -> DataFrame:
-    return O.evidence_manifest(t.fx_results, metrics(t)).select("run_id", "n_results")
+    benchmark = F.col("mode") == "benchmark"
+    stored = t.fx_results.withColumn("result_json", F.when(F.col("run_state") == "completed", "{}")).withColumn("report_html_path", F.when(F.col("rr_id") % 3 == 0, "r.html")).withColumn("form_path", F.lit("f.pdf"))
+    stored = stored.withColumn("benchmark_path", F.when(benchmark, "g.pdf")).withColumn("visual_diff_images", F.when(benchmark, '["p1.png", "p2.png"]'))
+    return O.evidence_manifest(stored, metrics(t)).select("run_id", "n_results", F.col("n_files").cast("long").alias("n_files"))
 
 
 @query("time_ago", f"""

@@ -115,7 +115,7 @@ VIEWS = {
     "fx_projects": FX_PROJECTS, "fx_runs": FX_RUNS, "fx_lines": FX_LINES,
 }
 DUCKDB = VIEWS | {"fx_lines": FX_LINES_DUCKDB}
-NAME = re.compile(r"\{(\w+)\}")
+NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 class Tables:

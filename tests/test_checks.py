@@ -1,5 +1,9 @@
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from formcheck.operators import checks as O
+from formcheck.operators.reports import evidence_files
 from formcheck.plans.check_queries import find_text_bbox
 
 
@@ -8,3 +12,33 @@ def test_find_text_bbox_looks_up_every_line(spark):
     t = SimpleNamespace(spark=spark, fx_lines=spark.createDataFrame(lines, "doc_id long, page int, line_no int, line string, in_expected boolean, in_actual boolean"))
     rows = find_text_bbox(t).collect()
     assert {(r.target_id, r.found_by) for r in rows} == {(100000 + n, "sequence") for n in range(10)}
+
+
+def test_named_formats(spark):
+    rows = [("MM/DD/YYYY", "02/29/1996", True), ("MM/DD/YYYY", "02/30/1996", False), ("DD/MM/YYYY", "30/01/2020", True), ("YYYY-MM-DD", "2020-1-1", False), ("email", "a@b.org", True), ("email", "a b@c.org", False),
+            ("phone", "+1 (555) 010-0000", True), ("postal", "K1A 0B1", True), ("postal", "1234", False), ("currency", "$1,234.50", True), ("currency", "1.2.3", False), ("^x+$", "xx", True), ("^x+$", "xy", False), (None, "x", False), ("email", "", False)]
+    table = spark.createDataFrame(rows, "wanted string, value string, ok boolean")
+    assert [r.value for r in table.where(O.follows_format(F.col("value"), F.col("wanted")) != F.col("ok")).collect()] == []
+
+
+def test_request_limits_by_mode(spark):
+    cases = spark.createDataFrame([(1, 1, "basic", None), (2, 1, "specific", "r"), (3, 1, "benchmark", None), (4, 9, None, None)], "test_case_id int, doc_id int, mode string, rules string")
+    texts = spark.createDataFrame([(1, "x" * 7000)], "doc_id int, text string")
+    fields = spark.createDataFrame([(1, "b", "2"), (1, "a", "1")], "doc_id int, field_name string, field_value string")
+    out = {r.test_case_id: r for r in O.request_rows(cases, texts, texts.withColumnRenamed("text", "pages"), fields).collect()}
+    mark = "\n[... truncated ...]"
+    assert [out[k].text for k in (1, 2, 3, 4)] == ["x" * 5000, "x" * 5000, "x" * 6000 + mark, ""]
+    assert [out[k].pages for k in (1, 2, 3, 4)] == ["x" * 3000, "x" * 3000, "x" * 4000 + mark, ""]
+    assert out[1].fields == '[{"field_name":"a","field_value":"1"},{"field_name":"b","field_value":"2"}]' and out[4].fields == "[]"
+
+
+def test_overlapping_boxes(spark):
+    rows = [(1, 1, 1, 0.0, 0.0, 250.0, 250.0), (1, 1, 2, 240.0, 240.0, 300.0, 300.0), (1, 1, 3, 300.0, 240.0, 310.0, 300.0), (1, 2, 4, 0.0, 0.0, 9.0, 9.0), (1, 1, 5, -50.0, -50.0, 1.0, 1.0), (1, 1, 6, 5.0, 5.0, 5.0, 9.0)]
+    boxes = spark.createDataFrame(rows, "doc_id int, page int, box_id int, x0 double, top double, x1 double, bottom double")
+    assert sorted((r.box_id, r.other_id) for r in O.overlapping_boxes(boxes).collect()) == [(1, 2), (1, 5)]
+
+
+def test_evidence_files(spark):
+    rows = [(1, 7, "{}", None, "f.pdf", '["a.png"]'), (2, 8, "", None, None, "no list")]
+    results = spark.createDataFrame(rows, "rr_id int, test_case_id int, result_json string, report_html_path string, form_path string, visual_diff_images string")
+    assert sorted(r.path for r in evidence_files(results).collect()) == ["results/result_1_tc_7/" + x for x in ("findings.json", "tested_form.pdf", "visual_diffs/a.png")]

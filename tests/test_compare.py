@@ -61,3 +61,34 @@ def test_field_change_status_of_null_types(spark):
     scan = spark.createDataFrame([(1, "a", None, 1, 1), (1, "b", "text", 1, 2)], "pair_id int, field_name string, field_type string, page int, tab_order int")
     assert {(r.field_name, r.status) for r in O.field_change_status(scan, scan).collect()} == {("a", "unchanged"), ("b", "unchanged")}
     assert {(r.field_name, r.status) for r in O.field_change_status(scan, scan.where("field_name = 'b'")).collect()} == {("a", "removed"), ("b", "unchanged")}
+
+
+def test_colour_rasters():
+    page = np.full((16, 16, 3), 255, np.uint8)
+    other = page.copy()
+    other[0:4, :, 0] = 150  # red is down by 105: luma 31
+    assert O.compare_rasters(page, other)["diff_pct"] == 25.0
+    other[0:4, :, 0] = 200  # by 55: luma 16
+    assert O.compare_rasters(page, other)["diff_pct"] == 0.0
+    assert O.compare_rasters(page[:, :, 0], page)["bbox"] is None
+
+
+def test_raster_diff_takes_grey_and_colour(spark):
+    schema = "page int, width int, height int, pixels binary"
+    grey, colour = spark.createDataFrame([(1, 4, 2, bytearray(8))], schema), spark.createDataFrame([(1, 4, 2, bytearray(24))], schema)
+    pairs = spark.createDataFrame([(1, 1, 1)], "pair_id int, expected_page int, actual_page int")
+    assert [r.diff_pct for r in O.raster_diff(pairs, grey, colour).collect()] == [0.0]
+
+
+def test_formatting_sentences(spark):
+    schema = "pair_id int, page int, side string, para int, line int, pos int, text string, fontname string, size double, x0 double"
+    rows = [(1, 1, "expected", 1, 1, k, w, "Arial", 10.0, 0.0) for k, w in enumerate(["it's", "b", "c", "d", "1."])]
+    moved = [(1, 1, "actual", 1, 1, k, w, "Arial-Bold" if k == 0 else "Arial", 12.0 if k == 1 else 10.0, -20.0 if k == 3 else 20.0 if k != 4 else 6.0) for k, w in enumerate(["it's", "b", "c", "d", "1."])]
+    words = spark.createDataFrame([*rows, *moved], schema)
+    text = "Text became bold: \"it's\" | Font size changed: 'b' (10.0pt→12.0pt) | List marker(s) alignment shifted: '1.' | 3 body text element(s) indented right | 1 body text element(s) indented left"
+    sentences = O.formatting_sentences(O.format_changes(words))
+    assert [r.formatting for r in sentences.collect()] == [text]
+    changes = O.paragraph_diff(spark.createDataFrame([(1, 1, ["x"], []), (2, 1, ["y"], [])], "pair_id int, page int, expected array<string>, actual array<string>"))
+    out = {r.pair_id: r.summary for r in O.diff_summaries(changes, formats=sentences).collect()}
+    assert out == {1: '  REMOVED: "x"\n  FORMATTING: ' + text, 2: '  REMOVED: "y"'}
+    assert [r.summary for r in O.diff_summaries(changes.where("pair_id = 3"), formats=sentences).collect()] == ["FORMATTING: " + text]
