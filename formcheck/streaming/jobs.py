@@ -63,19 +63,53 @@ def activity_windows(audit: DataFrame, size: str = "7 days", slide: str | None =
     return counted.select(F.col("w.start").alias("start"), "action", "n")
 
 
-def review_state_batch(path: str):
-    """foreachBatch function: merge a batch of review actions into the review table at a path. The table is written
-    anew beside the old one, so a failed batch leaves it whole; a repeated batch gives the same table."""
+REVIEWS = "rr_id long, finding_index long, status string, issue_key string"
+
+
+def review_state(spark: SparkSession, path: str) -> DataFrame:
+    """The review table that review_state_batch keeps at a path; empty before the first batch."""
+    table = f"{path}/reviews"
+    whole = f"{REVIEWS}, bucket int"
+    return spark.read.schema(whole).parquet(table) if _exists(spark, table) else spark.createDataFrame([], whole)
+
+
+def review_state_batch(path: str, buckets: int = 64):
+    """foreachBatch function: merge a batch of review actions into the review table at a path. The table is split by a
+    hash of rr_id, and a batch writes only the buckets that it touches: first beside the table, then over them. A
+    batch that failed is tried again from what it had written whole, so no bucket is lost; a repeated batch changes
+    nothing. A path belongs to one stream with its checkpoint. `buckets` must stay what it was when the table was begun; at most that many numbers reach the driver."""
     from formcheck.operators.reviews import upsert_reviews
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{batch_id}") if batch_id else spark.createDataFrame([], "rr_id long, finding_index long, status string, issue_key string")
-        upsert_reviews(old, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id + 1}")
+        spark, staged = batch.sparkSession, f"{path}/batches/{batch_id}"
+        bucket = F.pmod(F.xxhash64("rr_id"), F.lit(buckets)).cast("int")
+        if not _exists(spark, f"{staged}/_SUCCESS"):
+            touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+            old = review_state(spark, path).where(F.col("bucket").isin(touched)).drop("bucket")
+            merged = upsert_reviews(old, batch).withColumn("bucket", bucket)
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        rows = spark.read.schema(f"{REVIEWS}, bucket int").parquet(staged)
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/reviews")
+        _delete(spark, f"{path}/batches/{batch_id - 1}")
 
     return merge
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, where = _hadoop(spark, path)
+    return files.exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it wrote: appended rows, or the last complete table."""
     spark = stream.sparkSession
@@ -89,6 +123,11 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the one that spark.checkpoint.dir names; an own one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="formcheck-")
+    """A fresh folder in the one that spark.checkpoint.dir names; an own one where it is unset and all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="formcheck-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 """Streams give what the batch gives; a late or missing end of a result is noticed."""
 
+import shutil
 from datetime import datetime, timedelta
 
 from formcheck.operators.reviews import upsert_reviews
@@ -31,7 +32,15 @@ def test_review_state(spark, tmp_path):
     merge = jobs.review_state_batch(str(tmp_path))
     merge(first, 0)
     merge(second, 1)
-    rows = {(r.rr_id, r.finding_index): (r.status, r.issue_key) for r in spark.read.parquet(f"{tmp_path}/v2").collect()}
-    assert rows == {(1, 0): ("open", "K-1"), (2, 0): ("resolved", None)}
+    state = lambda: {(r.rr_id, r.finding_index): (r.status, r.issue_key) for r in jobs.review_state(spark, str(tmp_path)).collect()}
+    assert state() == {(1, 0): ("open", "K-1"), (2, 0): ("resolved", None)}
+    # A batch that broke off after it was staged, with a bucket already removed, is finished from what it staged.
+    merge(spark.createDataFrame([(2, 0, "open", None, 4)], schema), 2)
+    for r in jobs.review_state(spark, str(tmp_path)).where("rr_id = 2").select("bucket").collect():
+        shutil.rmtree(f"{tmp_path}/reviews/bucket={r.bucket}")
+    merge(spark.createDataFrame([(2, 0, "open", None, 4)], schema), 2)
+    assert state() == {(1, 0): ("open", "K-1"), (2, 0): ("open", None)}
+    merge(first.where("rr_id > 9"), 3)
+    assert len(state()) == 2
     empty = spark.createDataFrame([], "rr_id long, finding_index long, status string, issue_key string")
     assert upsert_reviews(empty, first).count() == 2
