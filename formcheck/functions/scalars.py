@@ -174,6 +174,11 @@ def verdict_text(summary: Column, error: Column) -> Column:
     )
 
 
+def compiles(expression: Column) -> Column:
+    """Is it a regular expression of the engine that matches? False for null."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), expression).isNotNull()
+
+
 def effective_mode(mode: Column, rules: Column) -> Column:
     """A specific check without rules is a basic one."""
     m = F.lower(F.coalesce(F.nullif(mode, F.lit("")), F.lit("basic")))

@@ -185,8 +185,10 @@ def follows_format(value: Column, wanted: Column) -> Column:
 def check_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per failed rule. Kinds: exact, pattern (arg1 a regular expression or a named format), date_range (arg1 to arg2),
     signature, selection, conditional (cond_field = cond_value implies field = arg1). Rules are joined on the
-    field's name; a rule for all documents has a null doc_scope. Compares as text; a missing value is empty."""
+    field's name; a rule for all documents has a null doc_scope. Compares as text; a missing value is empty. A pattern
+    that does not compile is left out."""
     value = F.coalesce("field_value", F.lit(""))
+    rules = rules.where((F.coalesce("kind", F.lit("")) != "pattern") | F.col("arg1").isNull() | S.compiles(F.col("arg1")))
     rules = rules.select("rule_id", "doc_scope", "kind", "field_name", "arg1", "arg2", "cond_field", "cond_value")
     # Rules of one document meet that document alone.
     scoped = rules.where("doc_scope IS NOT NULL").withColumn("doc_id", F.col("doc_scope").cast(fields.schema["doc_id"].dataType))

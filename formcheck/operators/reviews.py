@@ -51,28 +51,31 @@ def valid_patterns(patterns: DataFrame) -> DataFrame:
     active = patterns.where("is_active").withColumn("pattern", F.coalesce("pattern", F.lit("")))
     own = F.regexp_replace(F.regexp_replace("pattern", r"\(\?P<", "(?<"), r"\(\?P=(\w+)\)", r"\\k<$1>")
     active = active.withColumn("pattern", F.when(F.col("match_mode") == "regex", own).otherwise(F.col("pattern")))
-    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?i)"), F.col("pattern"))).isNotNull()
-    return active.where((F.coalesce("match_mode", F.lit("")) != "regex") | compiles)
+    return active.where((F.coalesce("match_mode", F.lit("")) != "regex") | S.compiles(F.concat(F.lit("(?i)"), F.col("pattern"))))
 
 
 def pattern_hits(findings: DataFrame, patterns: DataFrame, results: DataFrame) -> DataFrame:
     """(rr_id, bucket, bucket_pos, pattern_id): for each finding of a review bucket that a pattern of its project
     matches, the first pattern. Matching ignores case; an empty category fits all buckets, a null form all forms.
 
-    The join is on the project: one finding meets the patterns of its own project alone, and the least pattern id
-    is taken with partial aggregation."""
+    The join is on the project and a key: an exact pattern meets the findings of its text's hash, another one those of its
+    category, or all of the project where it names none. The least pattern id is taken with partial aggregation."""
     text = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("description", "text", "field_name") if c in findings.columns])
     rows = findings.where(F.col("bucket").isin(K.REVIEW_BUCKETS)).select("rr_id", "bucket", "bucket_pos", text.alias("told")).join(results.select("rr_id", "project_id", "form_id"), "rr_id")
     own = valid_patterns(patterns).select("pattern_id", "project_id", F.col("form_id").alias("pattern_form"), "category", "match_mode", "pattern")
     scope = (F.coalesce("category", F.lit("")) == "") | (F.col("category") == F.col("bucket"))
     form = F.col("pattern_form").isNull() | ((F.coalesce("form_id", F.lit(0)) != 0) & (F.col("pattern_form") == F.col("form_id")))
     told, pattern = F.lower("told"), F.lower("pattern")
+    hashed = lambda c: F.concat(F.lit("text:"), F.xxhash64(c).cast("string"))
+    of = lambda c: F.concat(F.lit("bucket:"), c)
+    rows = rows.withColumn("key", F.explode(F.array(hashed(told), of(F.col("bucket")), of(F.lit("")))))
+    own = own.withColumn("key", F.when(F.col("match_mode") == "exact", hashed(pattern)).otherwise(of(F.coalesce("category", F.lit("")))))
     match = (
         F.when(F.col("match_mode") == "exact", told == pattern)
         .when(F.col("match_mode") == "regex", F.regexp_like("told", F.concat(F.lit("(?i)"), F.col("pattern"))))
         .otherwise(F.contains(told, pattern))
     )
-    joined = rows.join(own, "project_id").where(scope & form & match)
+    joined = rows.join(own, ["project_id", "key"]).where(scope & form & match)
     return joined.groupBy("rr_id", "bucket", "bucket_pos").agg(F.min("pattern_id").alias("pattern_id"))
 
 

@@ -42,3 +42,10 @@ def test_evidence_files(spark):
     rows = [(1, 7, "{}", None, "f.pdf", '["a.png"]'), (2, 8, "", None, None, "no list")]
     results = spark.createDataFrame(rows, "rr_id int, test_case_id int, result_json string, report_html_path string, form_path string, visual_diff_images string")
     assert sorted(r.path for r in evidence_files(results).collect()) == ["results/result_1_tc_7/" + x for x in ("findings.json", "tested_form.pdf", "visual_diffs/a.png")]
+
+
+def test_rules_that_do_not_compile_are_left_out(spark):
+    fields = spark.createDataFrame([(1, "f", "x")], "doc_id long, field_name string, field_value string")
+    rules = spark.createDataFrame([(1, None, "pattern", "f", "(", None, None, None), (2, None, "pattern", "f", "^y$", None, None, None), (3, None, "pattern", "f", "email", None, None, None), (4, 2, "exact", "f", "z", None, None, None), (5, 1, "exact", "f", "z", None, None, None)],
+                                  "rule_id int, doc_scope long, kind string, field_name string, arg1 string, arg2 string, cond_field string, cond_value string")
+    assert sorted(r.rule_id for r in O.check_rules(fields, rules).collect()) == [2, 3, 5]
