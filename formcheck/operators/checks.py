@@ -54,21 +54,25 @@ def page_inventory(pages: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def find_text_bbox(words: DataFrame, targets: DataFrame) -> DataFrame:
     """targets(target_id, doc_id, page, text): box of the first place where its tokens follow one another in the
-    page's words, else of the first word that contains its longest token of five letters or more."""
-    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("word_no", F.lower("text").alias("text"), "x0", "x1", "top", "bottom"))).alias("w"))
+    page's words, else of the first word that contains its longest token (the first of these) of five letters or more.
+
+    A page's words are one string, each between line feeds, so a place is found by one string search."""
+    word = F.translate(F.lower(F.coalesce("text", F.lit(""))), "\n", " ")
+    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("word_no", word.alias("text"), "x0", "x1", "top", "bottom"))).alias("w"))
+    pages = pages.select("doc_id", "page", F.concat(F.lit("\n"), F.array_join(F.transform("w", lambda x: x["text"]), "\n"), F.lit("\n")).alias("whole"), F.transform("w", lambda x: F.struct(x["x0"], x["x1"], x["top"], x["bottom"])).alias("w"))
     tokens = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda x: x != "")
     wanted = targets.select("target_id", "doc_id", "page", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    size = F.array_max(F.transform("tokens", F.length))
+    longest = F.when(size >= 5, F.element_at(F.filter("tokens", lambda t: F.length(t) == size), 1))
+    wanted = wanted.select("target_id", "doc_id", "page", F.size("tokens").alias("n"), F.concat(F.lit("\n"), F.array_join("tokens", "\n"), F.lit("\n")).alias("run"), longest.alias("longest"))
     rows = wanted.join(pages, ["doc_id", "page"])
-    n = F.size("tokens")
-    texts = F.transform("w", lambda x: x["text"])
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.slice(texts, i, n) == F.col("tokens"))
-    longest = F.try_element_at(F.array_sort(F.transform(F.filter("tokens", lambda t: F.length(t) >= 5), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), F.lit(1))["t"]
-    single = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.contains(F.element_at(texts, i), longest))
-    rows = rows.withColumn("starts", starts).withColumn("single", F.when(longest.isNotNull(), single))
-    found = F.when(F.size("starts") > 0, F.slice("w", F.try_element_at("starts", F.lit(1)), n)).when(F.size("single") > 0, F.slice("w", F.try_element_at("single", F.lit(1)), F.lit(1)))
-    rows = rows.withColumn("hit", found).where("hit IS NOT NULL")
+    place = lambda c: F.nullif(F.position(F.col(c), F.col("whole")), F.lit(0))
+    rows = rows.withColumn("start", place("run")).withColumn("at", F.coalesce("start", place("longest"))).where("at IS NOT NULL")
+    before = F.substring("whole", F.lit(1), F.col("at"))
+    number = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    rows = rows.withColumn("hit", F.slice("w", number, F.when(F.col("start").isNotNull(), F.col("n")).otherwise(1)))
     box = [F.array_min(F.transform("hit", lambda x: x["x0"])).alias("x0"), F.array_min(F.transform("hit", lambda x: x["top"])).alias("top"), F.array_max(F.transform("hit", lambda x: x["x1"])).alias("x1"), F.array_max(F.transform("hit", lambda x: x["bottom"])).alias("bottom")]
-    return rows.select("target_id", "doc_id", "page", F.when(F.size("starts") > 0, "sequence").otherwise("word").alias("found_by"), *box)
+    return rows.select("target_id", "doc_id", "page", F.when(F.col("start").isNotNull(), "sequence").otherwise("word").alias("found_by"), *box)
 
 
 def request_rows(test_cases: DataFrame, texts: DataFrame, page_texts: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:

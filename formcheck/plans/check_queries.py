@@ -55,7 +55,16 @@ def page_inventory(t: Tables) -> DataFrame:
     return O.page_inventory(pages, pages.where("doc_id % 2 = 0").select("doc_id", "page", F.lit("line").alias("kind"))).select("doc_id", "page", "words", "has_signature", "lines")
 
 
-@query("find_text_bbox")
+@query("find_text_bbox", f"""
+SELECT target_id, doc_id, page, CASE WHEN start > 0 THEN 'sequence' ELSE 'word' END AS found_by, list_min(x0[a:b]) AS x0, list_min(top[a:b]) AS top, list_max(x1[a:b]) AS x1, list_max(bottom[a:b]) AS bottom FROM (
+  SELECT *, coalesce(start, one) AS a, coalesce(start + len(tokens) - 1, one) AS b FROM (
+    SELECT *, list_filter(list_transform(range(1, len(t) - len(tokens) + 2), lambda i: CASE WHEN t[i] = tokens[1] AND t[i:i + len(tokens) - 1] = tokens THEN i END), lambda i: i IS NOT NULL)[1] AS start,
+      list_position(list_transform(t, lambda x: len(longest) >= 5 AND contains(x, longest)), true) AS one
+    FROM (SELECT *, list_filter(tokens, lambda x: len(x) = list_max(list_transform(tokens, lambda y: len(y))))[1] AS longest
+      FROM (SELECT doc_id * 100000 + line_no AS target_id, doc_id, page, list_filter(regexp_split_to_array(lower(trim(line)), '\\s+'), lambda x: x <> '') AS tokens FROM {{fx_lines}}) l) m
+    JOIN (SELECT doc_id, page, list(lower(text) ORDER BY word_no, lower(text)) AS t, list(x0 ORDER BY word_no, lower(text)) AS x0, list(x1 ORDER BY word_no, lower(text)) AS x1,
+      list(top ORDER BY word_no, lower(text)) AS top, list(bottom ORDER BY word_no, lower(text)) AS bottom FROM ({WORDS_DUCKDB}) w GROUP BY doc_id, page) p USING (doc_id, page)
+    WHERE len(tokens) > 0) n) o WHERE a > 0""")
 def find_text_bbox(t: Tables) -> DataFrame:
     targets = t.fx_lines.select((F.col("doc_id") * 100000 + F.col("line_no")).alias("target_id"), "doc_id", "page", F.col("line").alias("text"))
     return O.find_text_bbox(words(t), targets)

@@ -14,6 +14,15 @@ def test_find_text_bbox_looks_up_every_line(spark):
     assert {(r.target_id, r.found_by) for r in rows} == {(100000 + n, "sequence") for n in range(10)}
 
 
+def test_find_text_bbox_first_place_and_longest_token(spark):
+    """The first of repeated places; else the first word that holds the longest token, the first of equally long ones."""
+    page = ["The", "form\nno", "form", "no", "form", "no", None, "unsigned", "payment"]
+    words = spark.createDataFrame([(1, 1, n, w, float(n), n + 0.5, 1.0 * (n // 3), 2.0 + n // 3) for n, w in enumerate(page)], "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    targets = spark.createDataFrame([(1, 1, 1, " Form  NO "), (2, 1, 1, "no payment signed"), (3, 1, 1, "signed xyzabc"), (4, 1, 1, "pay"), (5, 1, 1, None), (6, 1, 1, ""), (7, 1, 2, "form"), (8, 1, 1, "payment " * 20)], "target_id int, doc_id long, page int, text string")
+    got = {r.target_id: (r.found_by, r.x0, r.x1, r.top, r.bottom) for r in O.find_text_bbox(words, targets).collect()}
+    assert got == {1: ("sequence", 2.0, 3.5, 0.0, 3.0), 2: ("word", 8.0, 8.5, 2.0, 4.0), 3: ("word", 7.0, 7.5, 2.0, 4.0), 8: ("word", 8.0, 8.5, 2.0, 4.0)}
+
+
 def test_named_formats(spark):
     rows = [("MM/DD/YYYY", "02/29/1996", True), ("MM/DD/YYYY", "02/30/1996", False), ("DD/MM/YYYY", "30/01/2020", True), ("YYYY-MM-DD", "2020-1-1", False), ("email", "a@b.org", True), ("email", "a b@c.org", False),
             ("phone", "+1 (555) 010-0000", True), ("postal", "K1A 0B1", True), ("postal", "1234", False), ("currency", "$1,234.50", True), ("currency", "1.2.3", False), ("^x+$", "xx", True), ("^x+$", "xy", False), (None, "x", False), ("email", "", False)]
