@@ -62,8 +62,7 @@ def find_text_bbox(words: DataFrame, targets: DataFrame) -> DataFrame:
     pages = pages.select("doc_id", "page", F.concat(F.lit("\n"), F.array_join(F.transform("w", lambda x: x["text"]), "\n"), F.lit("\n")).alias("whole"), F.transform("w", lambda x: F.struct(x["x0"], x["x1"], x["top"], x["bottom"])).alias("w"))
     tokens = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda x: x != "")
     wanted = targets.select("target_id", "doc_id", "page", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    size = F.array_max(F.transform("tokens", F.length))
-    longest = F.when(size >= 5, F.element_at(F.filter("tokens", lambda t: F.length(t) == size), 1))
+    longest = F.aggregate("tokens", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a), lambda a: F.when(F.length(a) >= 5, a))
     wanted = wanted.select("target_id", "doc_id", "page", F.size("tokens").alias("n"), F.concat(F.lit("\n"), F.array_join("tokens", "\n"), F.lit("\n")).alias("run"), longest.alias("longest"))
     rows = wanted.join(pages, ["doc_id", "page"])
     place = lambda c: F.nullif(F.position(F.col(c), F.col("whole")), F.lit(0))
