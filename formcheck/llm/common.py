@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most rows of a batch that goes to a Python worker: whole texts are in it, so its bytes follow the texts' lengths.
+BATCH_ROWS, BATCH_SETTING = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,9 +31,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors. Batches for Python are
+    small meanwhile, unless the session has a still lower setting."""
+    path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH_SETTING)
+    own = int(before)
+    conf.set(BATCH_SETTING, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_SETTING, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.table_path = path
     return table
