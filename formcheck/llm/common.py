@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors. Batches for Python are
     small meanwhile, unless the session has a still lower setting."""
     path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
@@ -38,7 +39,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     own = int(before)
     conf.set(BATCH_SETTING, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
     try:
-        df.write.parquet(path)
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
     finally:
         conf.set(BATCH_SETTING, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -54,6 +55,13 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver drop what finished phases have left: Spark deletes shuffle files when their plans are collected,
+    which an idle driver puts off for up to half an hour (spark.cleaner.periodicGC.interval)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
