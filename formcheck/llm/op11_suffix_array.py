@@ -37,6 +37,8 @@ GRAM, LEAST, BLOCK = 16, 50, 1 << 17
 GATHERED = 1 << 20
 #: Different snippets of a bin, about; an anchor that has more goes by windows.
 BIN = 20_000
+#: At most this many anchors can have more than 1/HOT of all kinds each.
+HOT = 200
 #: Random 64-bit value of each byte, from a fixed seed.
 BYTE = np.random.default_rng(20240311).integers(0, 2**64, 256, dtype=np.uint64)
 FACTOR = np.uint64(0x9FB21C651E98DF25)
@@ -268,40 +270,75 @@ def _groups(table: pa.Table, least: int) -> pa.Table:
     return pa.table([pa.array(name), pa.array(depth, pa.int32()), table.column("h").take(pa.array(owner)), table.column("d").take(pa.array(owner)), pa.array(place, pa.int32())], ["repeat", "length", "h", "d", "place"])
 
 
+def _shared(texts: DataFrame, least: int) -> DataFrame:
+    """(id, hs): the anchors of each document that another one has as well."""
+    # A row that is not known to be shared meets the others of its anchor; a known one stands alone.
+    same = Window.partitionBy("h", F.when(F.col("known"), F.col("id")))
+    met = _anchors(texts, least).withColumns({"low": F.min("id").over(same), "high": F.max("id").over(same)})
+    return materialise(met.where("known OR low < high").groupBy("id").agg(F.collect_list("h").alias("hs")), "shared-anchors")
+
+
 class Repeats:
     """Snippets of the shared anchors of texts(id long, text): tables `places` (h, d, id, at, size) and `kinds`, the different
-    ones (h, d, snippet, low and high: smallest and largest document, n: rows, unlike: snippets of the anchor)."""
+    ones (h, d, snippet, low and high: smallest and largest document, n: rows); `sizes`: of each anchor with several
+    kinds, how many (unlike)."""
 
     def __init__(self, texts: DataFrame, least: int):
         if least < GRAM:
             raise ValueError(f"repeats of fewer than {GRAM} bytes are not looked for")
-        self.least = least
-        # A row that is not known to be shared meets the others of its anchor; a known one stands alone.
-        same = Window.partitionBy("h", F.when(F.col("known"), F.col("id")))
-        met = _anchors(texts, least).withColumns({"low": F.min("id").over(same), "high": F.max("id").over(same)})
-        lists = materialise(met.where("known OR low < high").groupBy("id").agg(F.collect_list("h").alias("hs")), "shared-anchors")
-        settle(texts.sparkSession)
+        self.least, self.spark = least, texts.sparkSession
+        lists = _shared(texts, least)
+        settle(self.spark)
         rows = materialise(_snippets(texts.join(lists.hint("merge"), "id"), least), "snippets", "zstd")
         release(lists)
-        settle(texts.sparkSession)
+        settle(self.spark)
         self.places = rows.select("h", "d", "id", "at", F.length("snippet").alias("size"))
-        kinds = materialise(rows.groupBy("h", "d", "snippet").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")), "kinds", "zstd")
-        self.tables = [rows, kinds]
-        sizes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("unlike"))
-        self.kinds = join_groups(kinds, sizes, ["h"], "unlike")
+        self.kinds = materialise(rows.groupBy("h", "d", "snippet").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")), "kinds", "zstd")
+        self.sizes = materialise(self.kinds.groupBy("h").agg(F.count(F.lit(1)).alias("unlike")).where("unlike > 1"), "sizes")
+        self.tables = [rows, self.kinds, self.sizes]
+        settle(self.spark)
 
     def in_bins(self, step, schema: str, columns: list[str]) -> DataFrame:
-        """step(table, least) for the kinds of the anchors that have several, in bins of whole anchors."""
-        several = self.kinds.where(F.col("unlike").between(2, BIN))
-        bins = max(1, -(-several.count() // BIN))
+        """step(table, least) for the kinds of the anchors that have several but no more than BIN: each task takes them in
+        the order of their anchors, in bins of whole anchors."""
         least = self.least
-        return several.select("h", "d", "snippet", *columns, F.pmod(F.xxhash64("h"), F.lit(bins)).alias("bin")).groupBy("bin").applyInArrow(lambda table: step(table, least), schema)
 
-    def windows(self) -> DataFrame:
-        """(h, d, low, place, content, least_low, greatest_high) of the windows of the anchors with more kinds than a bin holds:
-        what documents have the same bytes."""
-        large = self.kinds.where(F.col("unlike") > BIN).select("h", "d", "snippet", "low", "high")
-        cut = large.select("h", "d", "low", "high", "snippet", F.explode(F.sequence(F.lit(0), F.length("snippet") - self.least)).alias("place"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            rows = 0
+            for batch in batches:
+                if rows + batch.num_rows >= BIN and rows:
+                    # The last anchor may go on in this batch: it is kept back.
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    cut = int(np.searchsorted(whole.column("h").to_numpy(), whole.column("h")[-1].as_py()))
+                    if cut:
+                        yield from step(whole.slice(0, cut).combine_chunks(), least).to_batches()
+                    held = whole.slice(cut).to_batches()
+                    rows = len(whole) - cut
+                held.append(batch)
+                rows += batch.num_rows
+            if held:
+                yield from step(pa.Table.from_batches(held).combine_chunks(), least).to_batches()
+
+        # No range of a repartition that is asked for by number is split or moved: an anchor stays in one task.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        calm = self.kinds.select("h", "d", "snippet", *columns).join(F.broadcast(self._hot()), "h", "left_anti")
+        some = calm.repartition(parts, "h").join(self.sizes.where(F.col("unlike") <= BIN).select("h").hint("merge"), "h").sortWithinPartitions("h")
+        return some.mapInArrow(run, schema)
+
+    def _hot(self) -> DataFrame:
+        """The anchors with more than BIN kinds and more than 1/HOT of all: at most HOT."""
+        total = self.sizes.agg(F.sum("unlike")).first()[0] or 0
+        return self.sizes.where((F.col("unlike") > BIN) & (F.col("unlike") * HOT > F.lit(total))).select("h")
+
+    def windows(self) -> DataFrame | None:
+        """(h, d, low, place, content, least_low, greatest_high) of the windows of the anchors with more than BIN kinds, and
+        what documents have the same bytes; None where there are no such anchors."""
+        large = self.sizes.where(F.col("unlike") > BIN)
+        if not large.limit(1).count():
+            return None
+        cut = join_groups(self.kinds, large, ["h"], "unlike")
+        cut = cut.select("h", "d", "low", "high", "snippet", F.explode(F.sequence(F.lit(0), F.length("snippet") - self.least)).alias("place"))
         cut = cut.select("h", "d", "low", "high", "place", F.substring("snippet", F.col("place") + 1, self.least).alias("content"))
         same = cut.groupBy("content").agg(F.min("low").alias("least_low"), F.max("high").alias("greatest_high"), F.count(F.lit(1)).alias("n"))
         return join_groups(cut, same, ["content"])
@@ -328,11 +365,28 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
     """texts(id long, unique; text): per document with repeats of smaller documents: id, spans (start, end in bytes), sorted;
     together they hold every byte covered by a string of `least` bytes that a smaller document has too. Spans may overlap."""
     found = Repeats(texts, least)
-    bins = found.in_bins(_covered, "h long, d long, starts array<int>, ends array<int>", ["low"])
-    windows = found.windows().where("low > least_low").groupBy("h", "d").agg(F.sort_array(F.collect_list("place")).alias("starts"))
-    covered = materialise(bins.unionByName(windows.select("h", "d", "starts", F.transform("starts", lambda p: p + least).alias("ends"))), "covered")
+    spark = texts.sparkSession
+    verdicts = _verdicts(found)
+    settle(spark)
+    spans = _placed(found, verdicts)
+    found.release()
+    release(verdicts)
+    settle(spark)
+    return spans
+
+
+def _verdicts(found: Repeats) -> DataFrame:
+    """Of the kinds that some document loses: h, d, low, n, and starts and ends of what the smallest document loses."""
+    covered = found.in_bins(_covered, "h long, d long, starts array<int>, ends array<int>", ["low"])
+    if (windows := found.windows()) is not None:
+        places = windows.where("low > least_low").groupBy("h", "d").agg(F.sort_array(F.collect_list("place")).alias("starts"))
+        covered = covered.unionByName(places.select("h", "d", "starts", F.transform("starts", lambda p: p + found.least).alias("ends")))
     verdicts = found.kinds.select("h", "d", "low", "high", "n").join(covered, ["h", "d"], "left").where("low < high OR starts IS NOT NULL")
-    verdicts = materialise(verdicts, "verdicts")
+    return materialise(verdicts.drop("high"), "verdicts")
+
+
+def _placed(found: Repeats, verdicts: DataFrame) -> DataFrame:
+    """id, spans: what each document loses."""
     met = join_groups(found.places, verdicts, ["h", "d"])
     # All windows of a snippet that a smaller document has whole are repeats; its first document loses the covered bytes.
     own = F.arrays_zip("starts", "ends")
@@ -340,11 +394,7 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
     spans = spans.otherwise(F.transform(own, lambda s: F.struct((F.col("at") + s["starts"]).alias("start"), (F.col("at") + s["ends"]).alias("end"))))
     rows = met.select("id", F.explode(spans).alias("span"))
     # A group is what one document repeats: bounded by its text.
-    out = materialise(rows.groupBy("id").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans")
-    found.release()
-    release(covered, verdicts)
-    settle(texts.sparkSession)
-    return out
+    return materialise(rows.groupBy("id").agg(F.sort_array(F.collect_list("span")).alias("spans")), "spans")
 
 
 def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
@@ -354,10 +404,12 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bytes. Null texts are empty; rows with a null id or a repeated one stand for themselves."""
     rows, key = _keyed(df, id_col)
     found = Repeats(_texts(rows, key, text_col), least)
-    bins = found.in_bins(_groups, "repeat long, length int, h long, d long, place int", ["low", "high"])
-    windows = found.windows().where("least_low < greatest_high").select(F.xxhash64("content").alias("repeat"), F.lit(least).alias("length"), "h", "d", "place")
+    groups = found.in_bins(_groups, "repeat long, length int, h long, d long, place int", ["low", "high"])
+    if (windows := found.windows()) is not None:
+        groups = groups.unionByName(windows.where("least_low < greatest_high").select(F.xxhash64("content").alias("repeat"), F.lit(least).alias("length"), "h", "d", "place"))
+    # d is the digest that names a repeat: of a snippet that two documents share whole.
     whole = found.kinds.where("low < high").select(F.col("d").alias("repeat"), F.length("snippet").alias("length"), "h", "d", F.lit(0).alias("place"))
-    groups = materialise(bins.unionByName(windows).unionByName(whole).distinct(), "repeat-groups")
+    groups = materialise(groups.unionByName(whole).distinct(), "repeat-groups")
     sizes = found.kinds.select("h", "d", "n").join(groups.groupBy("h", "d").agg(F.collect_list(F.struct("repeat", "length", "place")).alias("own")), ["h", "d"])
     met = join_groups(found.places, sizes, ["h", "d"]).select("id", "at", F.explode("own").alias("own"))
     out = met.select("own.repeat", "own.length", F.col("id").alias("__fc_key"), (F.col("at") + F.col("own.place")).alias("start")).distinct()
