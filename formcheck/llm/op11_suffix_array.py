@@ -6,7 +6,8 @@ all occurrences of a repeat meet under one anchor. Neighbouring windows of one a
 snippet of at most 84 bytes (for windows of 50).
 
 1. Anchors of one document alone hold no repeat and go: one row per anchor and batch of documents is shuffled.
-2. Snippets of the other anchors are written once; equal ones are reduced to their smallest and largest document.
+2. Digests and places of the other anchors' snippets are written once; equal ones are reduced to their smallest and
+   largest document.
 3. Where an anchor has several different snippets, their suffixes are sorted in bins (a suffix array with its
    LCP array), a scan with a stack finds the intervals of the common-prefix tree, and intervals whose left
    neighbours differ are the maximal repeats, with all their occurrences.
@@ -117,8 +118,9 @@ def _anchors(texts: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, id long, known boolean")
 
 
-def _snippets(texts: DataFrame, least: int) -> DataFrame:
-    """texts(id, text, hs): (h, d, id, at, snippet) of the runs of windows whose anchor is in hs. d: 64 bits of a digest."""
+def _places(texts: DataFrame, least: int) -> DataFrame:
+    """texts(id, text, hs): (h, d, id, at, size) of the snippets, the runs of windows whose anchor is in hs. d: 64 bits of a
+    digest of the snippet."""
     most = least - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,15 +141,30 @@ def _snippets(texts: DataFrame, least: int) -> DataFrame:
                     number = np.arange(len(h)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                     start = np.repeat(begin, pieces) + number * most
                     stop = np.minimum(start + most, np.repeat(end, pieces)) + least - 1
-                    size = stop - start
-                    flat = ragged(text, start, size)
-                    ends = np.cumsum(size)
-                    data, bounds = flat.tobytes(), np.append(0, ends).tolist()
-                    d = np.frombuffer(b"".join(blake(data[a:b], digest_size=8).digest() for a, b in zip(bounds, bounds[1:], strict=False)), np.int64)
-                    snippet = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (h, d, ids[row], start - offsets[row])), snippet], ["h", "d", "id", "at", "snippet"])
+                    data = memoryview(text)
+                    d = np.frombuffer(b"".join(blake(data[x:y], digest_size=8).digest() for x, y in zip(start.tolist(), stop.tolist(), strict=True)), np.int64)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (h, d, ids[row], start - offsets[row], (stop - start).astype(np.int32)))], ["h", "d", "id", "at", "size"])
 
-    return texts.mapInArrow(run, "h long, d long, id long, at long, snippet binary")
+    return texts.mapInArrow(run, "h long, d long, id long, at long, size int")
+
+
+def _with_bytes(texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """kinds(h, d, low, high, at, size) as (h, d, low, high, snippet): size bytes at `at` of document low."""
+    # A group is what one document has: bounded by its text.
+    own = kinds.groupBy(F.col("low").alias("id")).agg(F.collect_list(F.struct("h", "d", "high", "at", "size")).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                text, offsets = bytes_of(part.column(1))
+                row = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
+                h, d, high, at, size = part.column(2).flatten().flatten()
+                size = size.to_numpy().astype(np.int64)
+                data = ragged(text, offsets[row] + at.to_numpy(), size)
+                snippet = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([h, d, part.column(0).take(pa.array(row)), high, snippet], ["h", "d", "low", "high", "snippet"])
+
+    return texts.join(own.hint("merge"), "id").mapInArrow(run, "h long, d long, low long, high long, snippet binary")
 
 
 def suffix_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,27 +297,27 @@ def _shared(texts: DataFrame, least: int) -> DataFrame:
 
 class Repeats:
     """Snippets of the shared anchors of texts(id long, text): tables `places` (h, d, id, at, size) and `kinds`, the different
-    ones (h, d, snippet, low and high: smallest and largest document, n: rows); `sizes`: of each anchor with several
-    kinds, how many (unlike)."""
+    ones (h, d, low and high: smallest and largest document, at: a place in the smallest, size, n: rows); `sizes`: of
+    each anchor with several kinds, how many (unlike). Bytes are fetched for the kinds of such anchors only."""
 
     def __init__(self, texts: DataFrame, least: int):
         if least < GRAM:
             raise ValueError(f"repeats of fewer than {GRAM} bytes are not looked for")
-        self.least, self.spark = least, texts.sparkSession
+        self.texts, self.least, self.spark = texts, least, texts.sparkSession
         lists = _shared(texts, least)
         settle(self.spark)
-        rows = materialise(_snippets(texts.join(lists.hint("merge"), "id"), least), "snippets", "zstd")
+        self.places = materialise(_places(texts.join(lists.hint("merge"), "id"), least), "places", "zstd")
         release(lists)
         settle(self.spark)
-        self.places = rows.select("h", "d", "id", "at", F.length("snippet").alias("size"))
-        self.kinds = materialise(rows.groupBy("h", "d", "snippet").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")), "kinds", "zstd")
+        kinds = self.places.groupBy("h", "d").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("at", "id").alias("at"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        self.kinds = materialise(kinds, "kinds", "zstd")
         self.sizes = materialise(self.kinds.groupBy("h").agg(F.count(F.lit(1)).alias("unlike")).where("unlike > 1"), "sizes")
-        self.tables = [rows, self.kinds, self.sizes]
+        del kinds
         settle(self.spark)
 
-    def in_bins(self, step, schema: str, columns: list[str]) -> DataFrame:
-        """step(table, least) for the kinds of the anchors that have several but no more than BIN: each task takes them in
-        the order of their anchors, in bins of whole anchors."""
+    def in_bins(self, step, schema: str) -> DataFrame:
+        """step(table, least) for the kinds (h, d, low, high, snippet) of the anchors that have several but no more than BIN:
+        each task takes them in the order of their anchors, in bins of whole anchors."""
         least = self.least
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,11 +337,11 @@ class Repeats:
             if held:
                 yield from step(pa.Table.from_batches(held).combine_chunks(), least).to_batches()
 
-        # No range of a repartition that is asked for by number is split or moved: an anchor stays in one task.
+        calm = self.kinds.join(F.broadcast(self._hot()), "h", "left_anti")
+        some = _with_bytes(self.texts, calm.join(self.sizes.where(F.col("unlike") <= BIN).hint("merge"), "h"))
+        # No partition of a repartition that is asked for by number is split or moved: an anchor stays in one task.
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        calm = self.kinds.select("h", "d", "snippet", *columns).join(F.broadcast(self._hot()), "h", "left_anti")
-        some = calm.repartition(parts, "h").join(self.sizes.where(F.col("unlike") <= BIN).select("h").hint("merge"), "h").sortWithinPartitions("h")
-        return some.mapInArrow(run, schema)
+        return some.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, schema)
 
     def _hot(self) -> DataFrame:
         """The anchors with more than BIN kinds and more than 1/HOT of all: at most HOT."""
@@ -337,14 +354,14 @@ class Repeats:
         large = self.sizes.where(F.col("unlike") > BIN)
         if not large.limit(1).count():
             return None
-        cut = join_groups(self.kinds, large, ["h"], "unlike")
+        cut = _with_bytes(self.texts, join_groups(self.kinds, large, ["h"], "unlike"))
         cut = cut.select("h", "d", "low", "high", "snippet", F.explode(F.sequence(F.lit(0), F.length("snippet") - self.least)).alias("place"))
         cut = cut.select("h", "d", "low", "high", "place", F.substring("snippet", F.col("place") + 1, self.least).alias("content"))
         same = cut.groupBy("content").agg(F.min("low").alias("least_low"), F.max("high").alias("greatest_high"), F.count(F.lit(1)).alias("n"))
         return join_groups(cut, same, ["content"])
 
     def release(self) -> None:
-        release(*self.tables)
+        release(self.places, self.kinds, self.sizes)
 
 
 def _keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
@@ -377,7 +394,7 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
 
 def _verdicts(found: Repeats) -> DataFrame:
     """Of the kinds that some document loses: h, d, low, n, and starts and ends of what the smallest document loses."""
-    covered = found.in_bins(_covered, "h long, d long, starts array<int>, ends array<int>", ["low"])
+    covered = found.in_bins(_covered, "h long, d long, starts array<int>, ends array<int>")
     if (windows := found.windows()) is not None:
         places = windows.where("low > least_low").groupBy("h", "d").agg(F.sort_array(F.collect_list("place")).alias("starts"))
         covered = covered.unionByName(places.select("h", "d", "starts", F.transform("starts", lambda p: p + found.least).alias("ends")))
@@ -404,11 +421,11 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bytes. Null texts are empty; rows with a null id or a repeated one stand for themselves."""
     rows, key = _keyed(df, id_col)
     found = Repeats(_texts(rows, key, text_col), least)
-    groups = found.in_bins(_groups, "repeat long, length int, h long, d long, place int", ["low", "high"])
+    groups = found.in_bins(_groups, "repeat long, length int, h long, d long, place int")
     if (windows := found.windows()) is not None:
         groups = groups.unionByName(windows.where("least_low < greatest_high").select(F.xxhash64("content").alias("repeat"), F.lit(least).alias("length"), "h", "d", "place"))
     # d is the digest that names a repeat: of a snippet that two documents share whole.
-    whole = found.kinds.where("low < high").select(F.col("d").alias("repeat"), F.length("snippet").alias("length"), "h", "d", F.lit(0).alias("place"))
+    whole = found.kinds.where("low < high").select(F.col("d").alias("repeat"), F.col("size").alias("length"), "h", "d", F.lit(0).alias("place"))
     groups = materialise(groups.unionByName(whole).distinct(), "repeat-groups")
     sizes = found.kinds.select("h", "d", "n").join(groups.groupBy("h", "d").agg(F.collect_list(F.struct("repeat", "length", "place")).alias("own")), ["h", "d"])
     met = join_groups(found.places, sizes, ["h", "d"]).select("id", "at", F.explode("own").alias("own"))
