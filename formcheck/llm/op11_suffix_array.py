@@ -148,10 +148,14 @@ def _places(texts: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, d long, id long, at long, size int")
 
 
-def _with_bytes(texts: DataFrame, kinds: DataFrame) -> DataFrame:
-    """kinds(h, d, low, high, at, size) as (h, d, low, high, snippet): size bytes at `at` of document low."""
+def _listed(kinds: DataFrame) -> DataFrame:
+    """kinds(h, d, low, high, at, size) in lists of their smallest documents, written."""
     # A group is what one document has: bounded by its text.
-    own = kinds.groupBy(F.col("low").alias("id")).agg(F.collect_list(F.struct("h", "d", "high", "at", "size")).alias("own"))
+    return materialise(kinds.groupBy(F.col("low").alias("id")).agg(F.collect_list(F.struct("h", "d", "high", "at", "size")).alias("own")), "listed-kinds", "zstd")
+
+
+def _with_bytes(texts: DataFrame, own: DataFrame) -> DataFrame:
+    """The kinds of _listed() as (h, d, low, high, snippet): size bytes at `at` of document low."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,6 +316,7 @@ class Repeats:
         kinds = self.places.groupBy("h", "d").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("at", "id").alias("at"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
         self.kinds = materialise(kinds, "kinds", "zstd")
         self.sizes = materialise(self.kinds.groupBy("h").agg(F.count(F.lit(1)).alias("unlike")).where("unlike > 1"), "sizes")
+        self.tables = [self.places, self.kinds, self.sizes]
         del kinds
         settle(self.spark)
 
@@ -338,7 +343,10 @@ class Repeats:
                 yield from step(pa.Table.from_batches(held).combine_chunks(), least).to_batches()
 
         calm = self.kinds.join(F.broadcast(self._hot()), "h", "left_anti")
-        some = _with_bytes(self.texts, calm.join(self.sizes.where(F.col("unlike") <= BIN).hint("merge"), "h"))
+        own = _listed(calm.join(self.sizes.where(F.col("unlike") <= BIN).hint("merge"), "h"))
+        self.tables.append(own)
+        settle(self.spark)
+        some = _with_bytes(self.texts, own)
         # No partition of a repartition that is asked for by number is split or moved: an anchor stays in one task.
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return some.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, schema)
@@ -354,14 +362,15 @@ class Repeats:
         large = self.sizes.where(F.col("unlike") > BIN)
         if not large.limit(1).count():
             return None
-        cut = _with_bytes(self.texts, join_groups(self.kinds, large, ["h"], "unlike"))
+        self.tables.append(_listed(join_groups(self.kinds, large, ["h"], "unlike")))
+        cut = _with_bytes(self.texts, self.tables[-1])
         cut = cut.select("h", "d", "low", "high", "snippet", F.explode(F.sequence(F.lit(0), F.length("snippet") - self.least)).alias("place"))
         cut = cut.select("h", "d", "low", "high", "place", F.substring("snippet", F.col("place") + 1, self.least).alias("content"))
         same = cut.groupBy("content").agg(F.min("low").alias("least_low"), F.max("high").alias("greatest_high"), F.count(F.lit(1)).alias("n"))
         return join_groups(cut, same, ["content"])
 
     def release(self) -> None:
-        release(self.places, self.kinds, self.sizes)
+        release(*self.tables)
 
 
 def _keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
@@ -383,22 +392,29 @@ def repeated_spans(texts: DataFrame, least: int = LEAST) -> DataFrame:
     together they hold every byte covered by a string of `least` bytes that a smaller document has too. Spans may overlap."""
     found = Repeats(texts, least)
     spark = texts.sparkSession
-    verdicts = _verdicts(found)
+    covered = _own_losses(found)
+    settle(spark)
+    verdicts = _verdicts(found, covered)
     settle(spark)
     spans = _placed(found, verdicts)
     found.release()
-    release(verdicts)
+    release(covered, verdicts)
     settle(spark)
     return spans
 
 
-def _verdicts(found: Repeats) -> DataFrame:
-    """Of the kinds that some document loses: h, d, low, n, and starts and ends of what the smallest document loses."""
+def _own_losses(found: Repeats) -> DataFrame:
+    """h, d, starts, ends: what the smallest document of a kind loses to smaller ones."""
     covered = found.in_bins(_covered, "h long, d long, starts array<int>, ends array<int>")
     if (windows := found.windows()) is not None:
         places = windows.where("low > least_low").groupBy("h", "d").agg(F.sort_array(F.collect_list("place")).alias("starts"))
         covered = covered.unionByName(places.select("h", "d", "starts", F.transform("starts", lambda p: p + found.least).alias("ends")))
-    verdicts = found.kinds.select("h", "d", "low", "high", "n").join(covered, ["h", "d"], "left").where("low < high OR starts IS NOT NULL")
+    return materialise(covered, "covered")
+
+
+def _verdicts(found: Repeats, covered: DataFrame) -> DataFrame:
+    """Of the kinds that some document loses: h, d, low, n, and starts and ends of what the smallest document loses."""
+    verdicts = found.kinds.select("h", "d", "low", "high", "n").join(covered.hint("merge"), ["h", "d"], "left").where("low < high OR starts IS NOT NULL")
     return materialise(verdicts.drop("high"), "verdicts")
 
 
