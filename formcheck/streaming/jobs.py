@@ -9,45 +9,109 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from formcheck.constants import STUCK_MINUTES
 from formcheck.functions import scalars as S
 
 
-def run_metrics(results: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Totals per run as results(rr_id, run_id, errors, warnings, passed, created_at) arrive; a repeated result within
-    the watermark counts once."""
+#: Class of Spark's state store on local disk with snapshots in the checkpoint: state may outgrow the memory of executors.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_metrics(results: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:
+    """Totals per run and window of time as results(rr_id, run_id, errors, warnings, passed, created_at) arrive; a repeated result
+    within the watermark counts once. For update mode: a row is the window's total so far, and the state of a window ends
+    with the watermark, so it is bounded by what the watermark leaves open. See run_metrics_batch and run_totals."""
     once = results.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["rr_id"])
-    return once.groupBy("run_id").agg(F.count(F.lit(1)).alias("results"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"), F.sum("passed").alias("passed"))
+    sums = [F.sum(c).alias(c) for c in ("errors", "warnings", "passed")]
+    return once.groupBy("run_id", F.window("created_at", size).alias("w")).agg(F.count(F.lit(1)).alias("results"), *sums).select("run_id", F.col("w.start").alias("start"), "results", "errors", "warnings", "passed")
 
 
-def stuck_results(events: DataFrame, minutes: int = STUCK_MINUTES) -> DataFrame:
-    """events(rr_id, state running|other, at): rows (rr_id, status failed) for results that run on for longer than the
-    limit in event time. State is one timestamp per running result and goes when it ends."""
+RUN_WINDOWS = "run_id long, start timestamp, results long, errors long, warnings long, passed long"
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"rr_id": [key[0]], "status": ["failed"]})
+
+def run_metrics_batch(path: str, buckets: int = 64):
+    """foreachBatch function: put the windows of a batch in place of those that the table at a path has."""
+
+    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
+        return old.join(batch, ["run_id", "start"], "left_anti").unionByName(batch)
+
+    return upsert_batch(path, RUN_WINDOWS, "run_id", merge, buckets)
+
+
+def run_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Totals per run of the table that run_metrics_batch keeps."""
+    rows = upserted(spark, path, RUN_WINDOWS)
+    return rows.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("results", "errors", "warnings", "passed")])
+
+
+class StuckProcessor(StatefulProcessor):
+    """State of one result: since when it runs, and when it last ended; both in milliseconds of event time."""
+
+    def __init__(self, minutes: int):
+        self.limit = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", "since long, ended long")
+
+    def _held(self) -> tuple[int | None, int | None]:
+        return tuple(self.state.get()) if self.state.exists() else (None, None)
+
+    def _keep(self, since: int | None, ended: int | None, known: bool) -> None:
+        """Store the state; nothing without a timer stays. known: its timers are set already. A timer that is no longer
+        needed finds nothing to do."""
+        if since is None and ended is None:
+            self.state.clear()
             return
-        rows = pd.concat(list(batches)).sort_values("at")
-        for r in rows.itertuples():
-            if r.state != "running":
-                if state.exists:
-                    state.remove()
-            elif not state.exists:
-                state.update((int(r.at.timestamp() * 1000),))
-        if state.exists:
-            due = state.get[0] + minutes * 60_000
-            if due <= state.getCurrentWatermarkMs():
-                state.remove()
-                yield pd.DataFrame({"rr_id": [key[0]], "status": ["failed"]})
+        self.state.update((since, ended))
+        if not known:
+            for at in {t for t in (since + self.limit if since is not None else None, ended) if t is not None}:
+                self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        since, ended = self._held()
+        failed, now = False, timerValues.getCurrentWatermarkInMs()
+        events = pd.concat(list(rows)).sort_values("at", kind="stable")
+        for at, running in zip(events["at"].astype("datetime64[ms]").astype("int64").tolist(), (events["state"] == "running").tolist(), strict=True):
+            if running:
+                # A start that arrives after its end is over already.
+                if ended is None or at > ended:
+                    since = at if since is None else min(since, at)
+                else:
+                    failed |= ended > at + self.limit
             else:
-                state.setTimeoutTimestamp(due)
+                if since is not None and since <= at:
+                    failed |= at > since + self.limit
+                    since = None
+                ended = at if ended is None else max(ended, at)
+        if since is not None and since + self.limit <= now:
+            failed, since = True, None
+        self._keep(since, ended if ended is not None and ended > now else None, False)
+        if failed:
+            yield pd.DataFrame({"rr_id": [key[0]], "status": ["failed"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        since, ended = self._held()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        failed = since is not None and since + self.limit <= at
+        self._keep(None if failed else since, ended if ended is not None and ended > at else None, True)
+        if failed:
+            yield pd.DataFrame({"rr_id": [key[0]], "status": ["failed"]})
+
+    def close(self) -> None:
+        pass
+
 
-    marked = events.withWatermark("at", "1 minute")
-    return marked.groupBy("rr_id").applyInPandasWithState(step, "rr_id long, status string", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+def stuck_results(events: DataFrame, minutes: int = STUCK_MINUTES, late: str = "1 minute") -> DataFrame:
+    """events(rr_id, state running|other, at): rows (rr_id, status failed) for results that run for longer than the limit
+    in event time: when the watermark passes the limit, or when an end arrives that lies beyond it. An end may arrive before
+    its start; of a result that runs again, an earlier run's start must not arrive after a later one's end. State is two timestamps of a result and goes with its timers; it needs the ROCKSDB store (see start)."""
+    marked = events.withWatermark("at", late).groupBy("rr_id")
+    return marked.transformWithStateInPandas(StuckProcessor(minutes), "rr_id long, status string", "append", "EventTime")
 
 
 def webhook_matches(events: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -64,35 +128,70 @@ def activity_windows(audit: DataFrame, size: str = "7 days", slide: str | None =
 
 
 REVIEWS = "rr_id long, finding_index long, status string, issue_key string"
+VERDICTS = "rr_id long, run_id long, errors long, warnings long, status string, passed int"
 
 
-def review_state(spark: SparkSession, path: str) -> DataFrame:
-    """The review table that review_state_batch keeps at a path; empty before the first batch."""
-    table = f"{path}/reviews"
-    whole = f"{REVIEWS}, bucket int"
-    return spark.read.schema(whole).parquet(table) if _exists(spark, table) else spark.createDataFrame([], whole)
+def upserted(spark: SparkSession, path: str, schema: str, table: str = "rows") -> DataFrame:
+    """The table that upsert_batch keeps at a path; empty before the first batch."""
+    where, whole = f"{path}/{table}", f"{schema}, bucket int"
+    return spark.read.schema(whole).parquet(where) if _exists(spark, where) else spark.createDataFrame([], whole)
 
 
-def review_state_batch(path: str, buckets: int = 64):
-    """foreachBatch function: merge a batch of review actions into the review table at a path. The table is split by a
-    hash of rr_id, and a batch writes only the buckets that it touches: first beside the table, then over them. A
-    batch that failed is tried again from what it had written whole, so no bucket is lost; a repeated batch changes
-    nothing. A path belongs to one stream with its checkpoint. `buckets` must stay what it was when the table was begun; at most that many numbers reach the driver."""
-    from formcheck.operators.reviews import upsert_reviews
+def upsert_batch(path: str, schema: str, key: str, merge, buckets: int = 64, table: str = "rows", after=None):
+    """foreachBatch function: the table at a path becomes merge(old rows, batch). The table is split by a hash of `key`, and a
+    batch writes only the buckets that it touches: first beside the table, then over them. A batch that failed is
+    tried again from what it had written whole, so no bucket is lost; a repeated batch changes nothing. A path belongs
+    to one stream with its checkpoint. `buckets` must stay what it was when the table was begun; at most that many
+    numbers reach the driver. after(spark, numbers of the touched buckets) is called when the table is written."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    def step(batch: DataFrame, batch_id: int) -> None:
         spark, staged = batch.sparkSession, f"{path}/batches/{batch_id}"
-        bucket = F.pmod(F.xxhash64("rr_id"), F.lit(buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         if not _exists(spark, f"{staged}/_SUCCESS"):
             touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
-            old = review_state(spark, path).where(F.col("bucket").isin(touched)).drop("bucket")
-            merged = upsert_reviews(old, batch).withColumn("bucket", bucket)
+            old = upserted(spark, path, schema, table).where(F.col("bucket").isin(touched)).drop("bucket")
+            merged = merge(old, batch).withColumn("bucket", bucket)
             merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
-        rows = spark.read.schema(f"{REVIEWS}, bucket int").parquet(staged)
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/reviews")
+        rows = spark.read.schema(f"{schema}, bucket int").parquet(staged)
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{table}")
+        if after:
+            after(spark, [r.bucket for r in rows.select("bucket").distinct().collect()])
         _delete(spark, f"{path}/batches/{batch_id - 1}")
 
-    return merge
+    return step
+
+
+def review_actions(actions: DataFrame, late: str = "1 day") -> DataFrame:
+    """actions(action_id, rr_id, finding_index, action, issue_key, action_at timestamp), each once: an action that is
+    delivered again within the watermark is dropped, across batches and restarts."""
+    return actions.withWatermark("action_at", late).dropDuplicatesWithinWatermark(["action_id"])
+
+
+def review_state(spark: SparkSession, path: str) -> DataFrame:
+    """The review table that review_state_batch keeps at a path; empty before the first batch."""
+    return upserted(spark, path, REVIEWS, "reviews")
+
+
+def verdict_state(spark: SparkSession, path: str) -> DataFrame:
+    """Errors, warnings and status of the reviewed results that review_state_batch keeps beside the reviews."""
+    return upserted(spark, path, VERDICTS, "verdicts")
+
+
+def review_state_batch(path: str, buckets: int = 64, findings: DataFrame | None = None, results: DataFrame | None = None):
+    """foreachBatch function: merge a batch of review actions into the review table at a path (see upsert_batch). With findings
+    and results, the verdicts of the results in the touched buckets follow: they are taken anew from the reviews that
+    stand there, so a batch that is tried again gives the same."""
+    from formcheck.operators.reviews import recompute_after_review, upsert_reviews
+
+    def judge(spark: SparkSession, touched: list[int]) -> None:
+        own = review_state(spark, path).where(F.col("bucket").isin(touched))
+        keys = own.select("rr_id", "bucket").distinct()
+        part = lambda df: df.join(keys.select("rr_id"), "rr_id", "left_semi")
+        rows = recompute_after_review(part(findings), own.drop("bucket"), part(results)).join(keys, "rr_id")
+        rows = rows.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in VERDICTS.split(", ")), "bucket")
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/verdicts")
+
+    return upsert_batch(path, REVIEWS, "rr_id", upsert_reviews, buckets, "reviews", judge if findings is not None else None)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -110,16 +209,28 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def start(stream: DataFrame, path: str, mode: str = "append", batch=None) -> StreamingQuery:
+    """Start a stream over all that is there, with its checkpoint below a path and its state in the ROCKSDB store. Appended rows
+    go to `{path}/rows`, a complete table in place of the last one; `batch` is a foreachBatch function instead."""
+    conf = stream.sparkSession.conf
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).outputMode(mode)
+    if batch is None and mode == "append":
+        writer = writer.format("parquet").option("path", f"{path}/rows")
+    else:
+        writer = writer.foreachBatch(batch or (lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows")))
+    before = conf.get(STORE)
+    conf.set(STORE, ROCKSDB)
+    try:
+        # A query keeps the settings of its start.
+        return writer.start()
+    finally:
+        conf.set(STORE, before)
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it wrote: appended rows, or the last complete table."""
-    spark = stream.sparkSession
-    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", f"{path}/rows").start()
-    else:
-        query = writer.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/rows")).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    start(stream, path, mode).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
