@@ -55,6 +55,11 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def settle(spark: SparkSession) -> None:
     """Let the driver drop what finished phases have left: Spark deletes shuffle files when their plans are collected,
     which an idle driver puts off for up to half an hour (spark.cleaner.periodicGC.interval)."""
@@ -75,6 +80,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """df with a long key whose order is that of the ids: the id itself, or row numbers where ids are null, repeat or are
+    no whole numbers. Rows of one id stand in an order of their own then; null ids come last."""
+    ids = df.groupBy(id_col).count()
+    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and not ids.where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
+        return df, id_col
+    return materialise(df.orderBy(F.col(id_col).asc_nulls_last()).withColumn("__fc_row", F.monotonically_increasing_id()), "rows"), "__fc_row"
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str = "n", hot: int = 200, total: int | None = None) -> DataFrame:
     """Inner join of rows with one group row per key, without a hot task: keys that hold more than 1/hot of
     all rows, so at most `hot` of them, are joined by broadcast, the others by a merge join. `size` counts the

@@ -103,8 +103,8 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
     urls = urls.select("id", "host", "path", rule.alias("rule"), verdict.alias("listed"), "text")
     held = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long") % HELD_OUT == 0
     # Equal texts score alike: each distinct one is taken once, with its numbers of labelled urls.
-    texts = urls.groupBy("text").agg(F.count_if(F.col("listed") == "allow").alias("accepted"), F.count_if(F.col("listed") == "block").alias("rejected"))
-    texts = materialise(texts.select(F.monotonically_increasing_id().alias("text_id"), "text", "accepted", "rejected", held.alias("held")), "urls")
+    texts = urls.groupBy("text").agg(F.count_if(F.col("listed") == "allow").alias("accepted"), F.count_if(F.col("listed") == "block").alias("rejected"), F.count(F.lit(1)).alias("copies"))
+    texts = materialise(texts.select(F.monotonically_increasing_id().alias("text_id"), "text", "accepted", "rejected", "copies", held.alias("held")), "urls")
     # Urls are short: their table may be one file, their windows are many times as long.
     grams = _windows(texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_id"), order)
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.when(F.col("held"), 0).otherwise(F.col(k))).alias(k) for k in ("accepted", "rejected")])
@@ -112,10 +112,11 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: l
     scores = materialise(window_scores(counts, order, smoothing).join(counts.select("gram", "n"), "gram"), "gram-scores")
     # Numbers stand for the texts here: one row per character must be narrow. The beginnings of urls are hot keys.
     summed = join_groups(grams.select("text_id", "gram"), scores, ["gram"]).groupBy("text_id").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
-    scored = materialise(texts.join(summed, "text_id", "left").select("text", "accepted", "rejected", "held", F.coalesce("score", F.lit(0.0)).alias("score")), "url-scores")
+    scored = materialise(texts.join(summed, "text_id", "left").select("text", "accepted", "rejected", "copies", "held", F.coalesce("score", F.lit(0.0)).alias("score")), "url-scores")
     threshold = F.lit(calibrate(scored.where("held")).first()["threshold"])
     method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
-    judged = urls.join(scored.select("text", "score"), "text")
+    # Null and empty urls, or one that very many pages have, are hot keys.
+    judged = join_groups(urls, scored.select("text", "score", "copies"), ["text"], "copies")
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("listed", method).alias("verdict"), "score", threshold.alias("threshold"))
 
 

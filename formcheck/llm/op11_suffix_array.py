@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formcheck.llm.bpe import ragged
-from formcheck.llm.common import join_groups, materialise, read_table, release, settle, text_or_empty
+from formcheck.llm.common import join_groups, keyed, materialise, read_table, release, settle, text_or_empty
 from formcheck.llm.words import bytes_of, mix, slices
 
 #: Bytes of a gram; bytes from which on a repeat counts (at least GRAM); windows hashed at a time.
@@ -373,16 +373,6 @@ class Repeats:
         release(*self.tables)
 
 
-def _keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, str]:
-    """df with a long key whose order is that of the ids: the id itself, or row numbers where ids are null, repeat or are
-    no whole numbers. Rows of one id stand in an order of their own then; null ids come last."""
-    ids = df.groupBy(id_col).count()
-    whole = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
-    if whole and not ids.where(F.col(id_col).isNull() | (F.col("count") > 1)).limit(1).count():
-        return df, id_col
-    return materialise(df.orderBy(F.col(id_col).asc_nulls_last()).withColumn("__fc_row", F.monotonically_increasing_id()), "rows"), "__fc_row"
-
-
 def _texts(rows: DataFrame, key: str, text_col: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
 
@@ -435,7 +425,7 @@ def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     length, id, start (bytes). A repeat is maximal within the snippets of its anchor (2 * least - 16 bytes at most), so
     a longer one comes as the chain of its parts; those of anchors with more than BIN snippets come as windows of `least`
     bytes. Null texts are empty; rows with a null id or a repeated one stand for themselves."""
-    rows, key = _keyed(df, id_col)
+    rows, key = keyed(df, id_col)
     found = Repeats(_texts(rows, key, text_col), least)
     groups = found.in_bins(_groups, "repeat long, length int, h long, d long, place int")
     if (windows := found.windows()) is not None:
@@ -471,7 +461,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """The same rows and columns; from each text goes every byte that a string of `least` bytes covers which also starts in
     a row of a smaller id. Bytes of a character that is cut in two go as well. Nulls stay null. Rows that repeat an id
     stand in an order of their own; null ids come last."""
-    rows, key = _keyed(df, id_col)
+    rows, key = keyed(df, id_col)
     joined = _with_spans(rows, key, text_col, least).select(*df.columns, "__fc_spans")
     at = df.columns.index(text_col)
 
@@ -501,7 +491,7 @@ def _kept(texts: pa.Array, spans: pa.Array) -> Iterator[tuple[int, bytes]]:
 def removal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining bytes. A
     null text is empty. See remove()."""
-    rows, key = _keyed(df.select(id_col, text_col), id_col)
+    rows, key = keyed(df.select(id_col, text_col), id_col)
     joined = _with_spans(rows, key, text_col, least).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), "__fc_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

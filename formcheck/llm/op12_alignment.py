@@ -59,6 +59,7 @@ class PieceEncoder(Encoder):
             raise ValueError(f"pieces with inner blanks: {path}")
         #: Bytes of each id.
         self.pieces = [bytes([int(p[3:-1], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.blank = self.library.piece_to_id("▁")
         self.vocabulary, self.pattern, self.special = self._Plain, None, None
         self._forget()
 
@@ -69,8 +70,8 @@ class PieceEncoder(Encoder):
         return np.flatnonzero(begin)
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        # The library puts one blank before what it encodes.
-        lists = self.library.encode([p[1:].decode() for p in pieces], num_threads=1)
+        # The library puts one blank before what it encodes, save before nothing.
+        lists = [x if x else [self.blank] for x in self.library.encode([p[1:].decode() for p in pieces], num_threads=1)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum())), sizes
 

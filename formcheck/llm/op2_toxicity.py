@@ -192,7 +192,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     Labels with a null are left out; repeated ids count once each. The sample is taken by hash of the id, so
     it is the same for any partitioning, and per class (junk or not, toxic or not): all rows of a class up to
     its part of the sample. Rows stand for as many as their class has for each drawn. Without labelled rows every weight is zero."""
-    told = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    # An id counts once for each of the four classes that its labels name.
+    told = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, 0).otherwise(1).alias("quality"), F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic")).distinct()
     kind = [F.col("quality") == 0, F.col("toxic") == 1]
     drawn = shares({(r["junk"], r["bad"]): r["count"] for r in told.groupBy(kind[0].alias("junk"), kind[1].alias("bad")).count().collect()}, sample)
     share = F.lit(1.0)
@@ -209,6 +210,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 
     # What is drawn is bounded by `sample`, so it is sent to the texts.
     rows = F.broadcast(chosen).join(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "id")
+    # Of several texts of an id one is taken, by hash, so what is fitted is bounded by `sample` as well.
+    rows = rows.groupBy("id", "quality", "toxic", "share").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one")).select("id", "quality", "toxic", "share", "one.text")
     rows = rows.select("id", "quality", "toxic", (1 / F.col("share")).alias("stands"), F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:5])
     rows = rows.mapInArrow(words, f"{kinds}, words array<int>")

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formcheck.llm.common import join_groups, lower_ascii, materialise, read_table, shared_path, text_or_empty
+from formcheck.llm.common import join_groups, lower_ascii, materialise, path_exists, read_table, shared_path, text_or_empty
 
 #: Batches in which the query feeds its table to the index.
 BATCHES = 2
@@ -25,21 +25,40 @@ def digest(text: Column) -> Column:
 
 class DigestIndex:
     """Persistent table (digest, keep_id, group_size, batch), bucketed and sorted by digest. It exists, empty, from the
-    start, so that every batch is joined with it."""
+    start, so that every batch is joined with it.
+
+    It outlives the session: opened again by its path in a session whose catalog does not know it, its files are
+    registered as they are, with the buckets they were written in, and nothing is written over them. A name that the
+    catalog knows opens that table; with the path of another one it is an error."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None, id_type: str = "long"):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
+        if spark.catalog.tableExists(self.name):
+            told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {self.name}").collect()}
+            if path and not told["Location"].rstrip("/").endswith(path.rstrip("/").removeprefix("file:")):
+                raise ValueError(f"{self.name} lies at {told['Location']}, not at {path}")
+            self.path, self.buckets = path or told["Location"], int(told["Num Buckets"])
+            return
         self.path = path or shared_path(spark, "digest-index")
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if not spark.catalog.tableExists(self.name):
-            self._write(spark.createDataFrame([], f"digest string, keep_id {id_type}, group_size long, batch string"))
+        # A folder whose name begins with _ is none of the table's data. It is written whole before the first batch.
+        about = f"{self.path}/_about"
+        if path_exists(spark, f"{about}/_SUCCESS"):
+            kept = spark.read.schema("buckets int, id_type string").parquet(about).first()
+            self.buckets, id_type = kept["buckets"], kept["id_type"]
+        else:
+            spark.createDataFrame([(self.buckets, id_type)], "buckets int, id_type string").coalesce(1).write.mode("overwrite").parquet(about)
+        spark.sql(
+            f"CREATE TABLE {self.name} (digest STRING, keep_id {id_type}, group_size BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+        )
 
     def _write(self, rows: DataFrame) -> None:
         """One file a bucket and call."""
         (
             rows.select("digest", "keep_id", "group_size", "batch").repartition(self.buckets, "digest").write.format("parquet").mode("append")
-            .option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
 
     def table(self) -> DataFrame:
@@ -50,8 +69,9 @@ class DigestIndex:
         return groups.join(self.table().where(F.col("batch") != batch).hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame, batch: str) -> None:
-        """Add groups (digest, keep_id, group_size) of a batch; those that an earlier try added are left as they are."""
-        fresh = groups.join(self.table().where(F.col("batch") == batch).hint("merge"), "digest", "left_anti")
+        """Add those groups (digest, keep_id, group_size) of a batch whose digest is new; what an earlier try of the batch
+        added is in the index already and stays as it is."""
+        fresh = groups.join(self.table().hint("merge"), "digest", "left_anti")
         self._write(materialise(fresh.withColumn("batch", F.lit(batch)), "index-batch"))
 
     def compact(self) -> None:
@@ -59,12 +79,12 @@ class DigestIndex:
         The old files stay until the caller clears them: a job that still reads them goes on."""
         # The files as a plain table: Spark would take a bucketed one as dealt out already and skip the shuffle.
         rows = self.spark.read.schema(self.table().schema).parquet(self.path)
-        self.path, kept = shared_path(self.spark, "digest-index"), self.name
-        self.name = f"{kept}_compact"
-        self._write(rows)
-        self.spark.sql(f"DROP TABLE {kept}")
-        self.spark.sql(f"ALTER TABLE {self.name} RENAME TO {kept}")
-        self.name = kept
+        kind = self.table().schema["keep_id"].dataType.simpleString()
+        new = DigestIndex(self.spark, f"{self.name}_compact", shared_path(self.spark, "digest-index"), self.buckets, kind)
+        new._write(rows)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {new.name} RENAME TO {self.name}")
+        self.path = new.path
 
     def drop(self) -> None:
         """Take the index out of the catalog; its files stay in the shared folder."""
@@ -99,7 +119,7 @@ def mark(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: st
     rows = _digests(df, id_col, text_col)
     groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = materialise(groups, "digest-groups")
-    index.append(materialise(index.new(groups, batch), "new-digests"), batch)
+    index.append(groups, batch)
     # Of each digest of the batch: what the index says, and how many rows of the batch have it.
     known = index.table().join(groups.select("digest", F.col("group_size").alias("n")).hint("merge"), "digest")
     known = known.select("digest", "keep_id", "group_size", "n", (F.col("batch") == batch).alias("fresh"))
@@ -119,7 +139,7 @@ def mark_in_batches(df: DataFrame, index: DigestIndex, batches: int = BATCHES, i
     groups = materialise(groups, "digest-groups")
     for k in range(batches):
         name = f"batch-{k}"
-        index.append(materialise(index.new(groups.where(F.col("part") == k).drop("part"), name), "new-digests"), name)
+        index.append(groups.where(F.col("part") == k).drop("part"), name)
     sizes = groups.groupBy("digest").agg(F.sum("group_size").alias("n"))
     known = index.table().select("digest", "keep_id").join(sizes.hint("merge"), "digest").select("digest", "keep_id", F.col("n").alias("group_size"), "n", F.lit(True).alias("fresh"))
     marked = _marked(rows, known, rows.count())

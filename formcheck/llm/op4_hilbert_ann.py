@@ -31,10 +31,11 @@ BITS = 5
 CODE = 64
 #: Vectors on each side of a query in an ordering: WIDTH times the root of their number.
 WIDTH = 0.8
-#: Candidates that a query keeps of an ordering, and that are scored for it in the end.
+#: Candidates that a query keeps of an ordering, and that are scored for it in the end, at least: 2 and 4 times as many as
+#: neighbours are asked for.
 KEPT, SHORTLIST = 16, 64
-#: Keys of a range partition: its ends, where a window is cut short, are a small part of it.
-PART = 65536
+#: Keys of a range partition at least; it holds SPAN windows, so that its ends, where one is cut short, are a small part.
+PART, SPAN = 65536, 16
 SEED = 11
 
 
@@ -141,7 +142,8 @@ def knn(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col:
     asked = rows.groupBy("v").agg(F.max("query").alias("asked"), F.count(F.lit(1)).alias("copies"))
     # Numbers name the points from here on; the written table fixes them.
     points = materialise(points.join(asked, "v").withColumn("point", F.monotonically_increasing_id()), "points")
-    width = max(2 * k, ceil(WIDTH * sqrt(points.count())))
+    count = points.count()
+    width, kept, shortlist = max(2 * k, ceil(WIDTH * sqrt(count))), max(KEPT, 2 * k), max(SHORTLIST, 4 * k)
 
     def curve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,20 +156,20 @@ def knn(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, c, np.int32)), pa.array(own[:, c]), part.column(0), part.column(2), words], ["curve", "key", "point", "asked", "code"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A range partition of about PART narrow rows.
+        # A range partition: narrow rows, as many as some windows have.
         whole = pa.Table.from_batches(list(batches), pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("point", pa.int64()), ("asked", pa.bool_()), ("code", pa.binary())])).combine_chunks()
         if len(whole):
             code = np.frombuffer(b"".join(whole["code"].to_pylist()), np.int8).reshape(len(whole), -1)
-            q, row, close = neighbours(whole["curve"].to_numpy(), code, np.flatnonzero(whole["asked"].to_numpy(zero_copy_only=False)), width, KEPT)
+            q, row, close = neighbours(whole["curve"].to_numpy(), code, np.flatnonzero(whole["asked"].to_numpy(zero_copy_only=False)), width, kept)
             name = whole["point"].combine_chunks()
             yield pa.RecordBatch.from_arrays([name.take(pa.array(q)), name.take(pa.array(row)), pa.array(close)], ["query", "point", "close"])
 
     ordered = points.select("point", "v", "asked").mapInArrow(curve_rows, "curve int, key long, point long, asked boolean, code binary")
-    parts = max(1, ceil(points.count() * CURVES / PART))
+    parts = max(1, ceil(count * CURVES / max(PART, SPAN * width)))
     ordered = ordered.repartitionByRange(parts, "curve", "key", "point").sortWithinPartitions("curve", "key", "point")
     met = ordered.mapInArrow(windows, "query long, point long, close float").groupBy("query", "point").agg(F.max("close").alias("close"))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("close"), "point"))
-    short = met.withColumn("nth", best).where(F.col("nth") <= SHORTLIST).select("query", "point")
+    short = met.withColumn("nth", best).where(F.col("nth") <= shortlist).select("query", "point")
     pairs = short.join(points.select("point", F.col("v").alias("candidate"), "ids"), "point").join(points.select(F.col("point").alias("query"), "v", "copies"), "query").select("query", "v", "candidate", "ids", "copies")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,6 +35,8 @@ VALUES = BANDS * ROWS
 BATCH, MISS = 24, 1e-5
 #: Members of a block in which the pairs of a bucket are screened.
 BLOCK = 512
+#: Pairs in which one copy of a document's set takes part, about.
+LED = 256
 _random = np.random.default_rng(5)
 FIRST = _random.integers(0, 2**32, VALUES, dtype=np.uint32) | np.uint32(1)
 SECOND = _random.integers(0, 2**32, VALUES, dtype=np.uint32) | np.uint32(1)
@@ -169,7 +171,11 @@ def verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 yield part.select([0, 1]).take(pa.array(sure, pa.int64()))
 
     side = lambda a, s, v: full.select(F.col("id").alias(a), F.col("signature").alias(s), F.col("shingles").alias(v)).hint("merge")
-    both = pairs.join(side("a", "s1", "v1"), "a").join(side("b", "s2", "v2"), "b").select("a", "b", "s1", "s2", "v1", "v2")
+    # A document that leads very many pairs comes in as many copies of its set as it has hundreds of them.
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / LED).cast("int"))
+    dealt = join_groups(pairs, sizes, ["a"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part")
+    leads = side("a", "s1", "v1").join(sizes.hint("merge"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("n", "parts")
+    both = dealt.join(leads.hint("merge"), ["a", "part"]).join(side("b", "s2", "v2"), "b").select("a", "b", "s1", "s2", "v1", "v2")
     kind = full.schema["id"].dataType.simpleString()
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -262,7 +268,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     final = components(links.unionByName(late))
     # The result reads sketches, classes and the final labels alone.
     release(reps, banded, leads, inside, full, links, members, late)
-    joined = member.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    # A text of very many copies is a hot key.
+    named = classes.select("class_id", "members").join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("class_id", F.coalesce("component", "class_id").alias("component_id"), "members")
+    named = named.groupBy("class_id").agg(F.min("component_id").alias("component_id"), F.sum("members").alias("members"))
+    joined = join_groups(member, named, ["class_id"], "members").select("id", F.col("n").alias("n_shingles"), "class_id", "component_id")
     alone = sketches.where("n = 0 OR id IS NULL").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("class_id"), F.col("id").alias("component_id"))
     return joined.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

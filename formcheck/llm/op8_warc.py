@@ -98,8 +98,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    """A header field, from the header bytes; null where absent."""
-    return F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    """A header field, from the header bytes; null where absent. Lines end with LF alone (d), not with what else Java takes
+    for an end of line."""
+    return F.nullif(F.regexp_extract(F.decode("header", "UTF-8"), rf"(?md)^{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
 def archive_summary(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formcheck.llm.common import materialise, read_table, release, text_or_empty
+from formcheck.llm.common import keyed, materialise, read_table, release, text_or_empty
 from formcheck.llm.words import Words, bytes_of, slices
 
 #: A chunk begins where the hash is least among this many words on each side: REACH + 1 words at least.
@@ -165,11 +165,16 @@ def _without(text: str, starts: list[int], ends: list[int]) -> str:
 
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """The same rows and columns; from each text the stretches of copies are cut out. A text that is wholly
-    copied becomes empty; nulls stay null.
+    copied becomes empty; nulls stay null. Rows with a null id are left as they are; rows that repeat an id are cut each by
+    its own text, and stand in an order of their own.
 
     Spans grow with the corpus, so the join is a merge join at every size: texts are shuffled once."""
-    spans = duplicate_spans(df, id_col, text_col, least).select(F.col(id_col).alias("__fc_id"), F.col("starts").alias("__fc_starts"), F.col("ends").alias("__fc_ends"))
-    joined = df.join(spans.hint("merge"), F.col(id_col) == F.col("__fc_id"), "left").select(*df.columns, "__fc_starts", "__fc_ends")
+    rows, key = df, id_col
+    if df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count():
+        rows, key = keyed(df, id_col)
+        rows = rows.withColumn(key, F.when(F.col(id_col).isNotNull(), F.col(key)))
+    spans = duplicate_spans(rows, key, text_col, least).select(F.col(key).alias("__fc_id"), F.col("starts").alias("__fc_starts"), F.col("ends").alias("__fc_ends"))
+    joined = rows.join(spans.hint("merge"), F.col(key) == F.col("__fc_id"), "left").select(*df.columns, "__fc_starts", "__fc_ends")
     at = df.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
