@@ -33,7 +33,7 @@ from formcheck.llm.words import bytes_of, slices
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text in a batch, about.
-BATCH = 1 << 21
+BATCH = 1 << 19
 BLANK = 0x20
 
 
@@ -192,7 +192,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = side(first), side(second)
         for batch in batches:
-            for part in slices(batch, 1, BATCH // 4):
+            for part in slices(batch, 1, BATCH):
                 own = Alignment(one, two, *_full(part))
                 row = own.a_row[own.link_a]
                 starts = [np.searchsorted(x, np.arange(own.documents)) for x in (own.a_row, own.b_row)]
