@@ -115,28 +115,6 @@ def diff_flags(rows: DataFrame) -> DataFrame:
     return rows.withColumn("major", major & ~clear_major).withColumn("warn", warn & ~clear_both & (~major | clear_major))
 
 
-def align(n: int, m: int, similarity: np.ndarray) -> list[tuple[str, int | None, int | None]]:
-    """Cheapest alignment of two page sequences: a match costs twice the dissimilarity, a deletion or insertion
-    one. On the way back ties go to match, then deletion."""
-    cost = np.zeros((n + 1, m + 1))
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + 2 * (1 - similarity[i - 1, j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
-    steps, i, j = [], n, m
-    while i or j:
-        if i and j and abs(cost[i, j] - cost[i - 1, j - 1] - 2 * (1 - similarity[i - 1, j - 1])) < 1e-9:
-            i, j = i - 1, j - 1
-            steps.append(("matched", i, j))
-        elif i and (not j or abs(cost[i, j] - cost[i - 1, j] - 1) < 1e-9):
-            i -= 1
-            steps.append(("deleted", i, None))
-        else:
-            j -= 1
-            steps.append(("inserted", None, j))
-    return steps[::-1]
-
-
 def page_similarity(pages: DataFrame) -> DataFrame:
     """pages(pair_id, side expected|actual, page, text): token overlap (Jaccard) of the pages of a pair that share
     a word. Joined on (pair, word), so pages without a common word form no row."""
@@ -149,33 +127,6 @@ def page_similarity(pages: DataFrame) -> DataFrame:
     return rows.select("pair_id", "expected_page", "actual_page", (F.col("same") / (F.col("en") + F.col("an") - F.col("same"))).alias("similarity"))
 
 
-def align_pages(counts: DataFrame, similarity: DataFrame) -> DataFrame:
-    """counts(pair_id, n_expected, n_actual) and similarity(pair_id, expected_page, actual_page, similarity), pages
-    from 1: (pair_id, row_no, op, expected_page, actual_page). Equal page counts align one to one."""
-    equal = counts.where("n_expected = n_actual AND n_expected > 0").select("pair_id", F.explode(F.sequence(F.lit(1), F.col("n_expected").cast("int"))).alias("row_no"))
-    direct = equal.select("pair_id", "row_no", F.lit("matched").alias("op"), F.col("row_no").alias("expected_page"), F.col("row_no").alias("actual_page"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"pair_id": [], "row_no": [], "op": [], "expected_page": [], "actual_page": []})
-        n, m = int(left.n_expected.iloc[0]), int(left.n_actual.iloc[0])
-        matrix = np.zeros((n, m))
-        for r in right.itertuples():
-            matrix[r.expected_page - 1, r.actual_page - 1] = r.similarity
-        steps = align(n, m, matrix)
-        return pd.DataFrame({
-            "pair_id": left.pair_id.iloc[0], "row_no": range(1, len(steps) + 1), "op": [s[0] for s in steps],
-            "expected_page": pd.array([None if s[1] is None else s[1] + 1 for s in steps], "Int32"), "actual_page": pd.array([None if s[2] is None else s[2] + 1 for s in steps], "Int32"),
-        })
-
-    other = counts.where("n_expected <> n_actual")
-    kind = counts.schema["pair_id"].dataType.simpleString()
-    # Renamed, as both sides may stem from one table.
-    pairs = similarity.select(F.col("pair_id").alias("pair"), "expected_page", "actual_page", "similarity")
-    aligned = other.groupBy("pair_id").cogroup(pairs.join(other.select(F.col("pair_id").alias("pair")), "pair", "left_semi").groupBy("pair")).applyInPandas(run, f"pair_id {kind}, row_no int, op string, expected_page int, actual_page int")
-    return direct.unionByName(aligned)
-
-
 def alignment_rows(aligned: DataFrame, blank: DataFrame | None = None) -> DataFrame:
     """Rows of deleted and inserted pages: no similarity, all changed; an inserted blank page only warns.
     blank(pair_id, actual_page, is_blank)."""

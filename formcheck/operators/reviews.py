@@ -6,9 +6,13 @@ patterns(pattern_id, project_id, form_id, category, match_mode, pattern, is_acti
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from formcheck import constants as K
 from formcheck.functions import scalars as S
@@ -54,29 +58,97 @@ def valid_patterns(patterns: DataFrame) -> DataFrame:
     return active.where((F.coalesce("match_mode", F.lit("")) != "regex") | S.compiles(F.concat(F.lit("(?i)"), F.col("pattern"))))
 
 
+#: `contains` patterns of one automaton, and findings of a project in one part of it, about.
+AUTOMATON, PART = 50_000, 200_000
+
+
+def contains_hits(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(rr_id, bucket, bucket_pos, pattern_id): for each finding the least of the patterns that its text contains. rows(rr_id,
+    bucket, bucket_pos, project_id, form_id, told) and patterns(pattern_id, project_id, pattern_form, category, pattern);
+    texts and patterns of one case, no pattern empty.
+
+    A project's patterns become automata (Aho-Corasick), one for each AUTOMATON of them; a text goes through each once, so
+    the work grows with the texts and with what is found in them, not with the number of patterns. Both sides are
+    dealt by project, automaton and part, the patterns first in each: a task holds one automaton at a time. A
+    project with very many findings has several parts, each with its own copy of the patterns."""
+    scoped = patterns.groupBy("project_id", "pattern_form", "category", "pattern").agg(F.min("pattern_id").alias("pattern_id"))
+    automata = scoped.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / AUTOMATON).cast("int").alias("automata"))
+    sizes = rows.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).join(automata, "project_id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    found_key, text_key = ["rr_id", "bucket", "bucket_pos"], ["project_id", "automaton", "part"]
+    part = F.pmod(F.xxhash64(*found_key), F.col("parts")).cast("int")
+    texts = rows.join(sizes, "project_id").withColumn("part", part).withColumn("automaton", each(F.col("automata")))
+    entry = F.struct("pattern", "pattern_id", "pattern_form", "category")
+    dealt = scoped.join(sizes, "project_id").withColumn("automaton", F.pmod(F.xxhash64("pattern"), F.col("automata")).cast("int"))
+    lists = dealt.groupBy("project_id", "automaton", "parts").agg(F.collect_list(entry).alias("patterns")).withColumn("part", each(F.col("parts")))
+    texts = texts.select(*text_key, F.lit(1).alias("order"), *found_key, "form_id", "told", F.lit(None).cast(lists.schema["patterns"].dataType).alias("patterns"))
+    both = lists.select(*text_key, F.lit(0).alias("order"), *(F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in (*found_key, "form_id", "told")), "patterns").unionByName(texts)
+    kinds = {c: texts.schema[c].dataType.simpleString() for c in found_key} | {"pattern_id": patterns.schema["pattern_id"].dataType.simpleString()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = None
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            order, told, form, bucket = (batch.column(c).to_pylist() for c in ("order", "told", "form_id", "bucket"))
+            for k in range(batch.num_rows):
+                if order[k] == 0:
+                    automaton = _automaton(batch.column("patterns")[k].as_py())
+                    continue
+                best = None
+                for _, entries in automaton.iter(told[k]):
+                    for pattern_id, pattern_form, category in entries:
+                        fits = (not category or category == bucket[k]) and (pattern_form is None or (form[k] not in (None, 0) and pattern_form == form[k]))
+                        if fits and (best is None or pattern_id < best):
+                            best = pattern_id
+                if best is not None:
+                    out[0].append(k)
+                    out[1].append(best)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(out[0], pa.int32())) for c in found_key), pa.array(out[1], spark_type)], [*found_key, "pattern_id"])
+
+    spark_type = to_arrow_type(patterns.schema["pattern_id"].dataType)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = both.repartition(parts, *text_key).sortWithinPartitions(*text_key, "order")
+    hits = ordered.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    return hits.groupBy(*found_key).agg(F.min("pattern_id").alias("pattern_id"))
+
+
+def _automaton(patterns: list[dict]) -> ahocorasick.Automaton:
+    """Automaton of pattern texts; the value of each is its (pattern_id, form, category), least id first."""
+    values: dict[str, list[tuple]] = {}
+    for p in patterns:
+        values.setdefault(p["pattern"], []).append((p["pattern_id"], p["pattern_form"], p["category"]))
+    automaton = ahocorasick.Automaton()
+    for pattern, entries in values.items():
+        automaton.add_word(pattern, sorted(entries, key=lambda e: e[0]))
+    automaton.make_automaton()
+    return automaton
+
+
 def pattern_hits(findings: DataFrame, patterns: DataFrame, results: DataFrame) -> DataFrame:
     """(rr_id, bucket, bucket_pos, pattern_id): for each finding of a review bucket that a pattern of its project
     matches, the first pattern. Matching ignores case; an empty category fits all buckets, a null form all forms.
 
-    The join is on the project and a key: an exact pattern meets the findings of its text's hash, another one those of its
-    category, or all of the project where it names none. The least pattern id is taken with partial aggregation."""
+    Texts that contain a pattern are found by automata (contains_hits). The others are joined on the project and a key: an
+    exact pattern meets the findings of its text's hash, an expression those of its category, or all of the project
+    where it names none. The least pattern id is taken with partial aggregation."""
     text = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("description", "text", "field_name") if c in findings.columns])
     rows = findings.where(F.col("bucket").isin(K.REVIEW_BUCKETS)).select("rr_id", "bucket", "bucket_pos", text.alias("told")).join(results.select("rr_id", "project_id", "form_id"), "rr_id")
     own = valid_patterns(patterns).select("pattern_id", "project_id", F.col("form_id").alias("pattern_form"), "category", "match_mode", "pattern")
+    within = F.coalesce("match_mode", F.lit("")).isin("exact", "regex") | (F.col("pattern") == "")
+    inside = own.where(~within).withColumn("pattern", F.lower("pattern")).withColumn("category", F.coalesce("category", F.lit("")))
+    own = own.where(within)
     scope = (F.coalesce("category", F.lit("")) == "") | (F.col("category") == F.col("bucket"))
     form = F.col("pattern_form").isNull() | ((F.coalesce("form_id", F.lit(0)) != 0) & (F.col("pattern_form") == F.col("form_id")))
     told, pattern = F.lower("told"), F.lower("pattern")
     hashed = lambda c: F.concat(F.lit("text:"), F.xxhash64(c).cast("string"))
     of = lambda c: F.concat(F.lit("bucket:"), c)
-    rows = rows.withColumn("key", F.explode(F.array(hashed(told), of(F.col("bucket")), of(F.lit("")))))
+    keyed = rows.withColumn("key", F.explode(F.array(hashed(told), of(F.col("bucket")), of(F.lit("")))))
     own = own.withColumn("key", F.when(F.col("match_mode") == "exact", hashed(pattern)).otherwise(of(F.coalesce("category", F.lit("")))))
-    match = (
-        F.when(F.col("match_mode") == "exact", told == pattern)
-        .when(F.col("match_mode") == "regex", F.regexp_like("told", F.concat(F.lit("(?i)"), F.col("pattern"))))
-        .otherwise(F.contains(told, pattern))
-    )
-    joined = rows.join(own, ["project_id", "key"]).where(scope & form & match)
-    return joined.groupBy("rr_id", "bucket", "bucket_pos").agg(F.min("pattern_id").alias("pattern_id"))
+    # What is left beside these two is an empty pattern, which every text contains.
+    match = F.when(F.col("match_mode") == "exact", told == pattern).when(F.col("match_mode") == "regex", F.regexp_like("told", F.concat(F.lit("(?i)"), F.col("pattern")))).otherwise(True)
+    joined = keyed.join(own, ["project_id", "key"]).where(scope & form & match).select("rr_id", "bucket", "bucket_pos", "pattern_id")
+    hits = joined.unionByName(contains_hits(rows.withColumn("told", told), inside))
+    return hits.groupBy("rr_id", "bucket", "bucket_pos").agg(F.min("pattern_id").alias("pattern_id"))
 
 
 def suppress_false_positives(findings: DataFrame, patterns: DataFrame, results: DataFrame) -> DataFrame:

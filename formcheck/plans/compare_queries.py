@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formcheck import constants as K
+from formcheck.operators import alignment as A
 from formcheck.operators import compare as O
 from formcheck.plans.registry import query
 from formcheck.plans.sqltext import among
@@ -116,25 +117,64 @@ def aligned(t: Tables) -> tuple[DataFrame, DataFrame]:
     both = pages.where("side = 'expected'").unionByName(actual).withColumn("page", nth)
     counts = both.groupBy("pair_id").agg(F.count_if(F.col("side") == "expected").alias("n_expected"), F.count_if(F.col("side") == "actual").alias("n_actual"))
     unequal = counts.where("n_expected <> n_actual").select("pair_id")
-    return O.align_pages(counts, O.page_similarity(both.join(unequal, "pair_id", "left_semi"))), counts
-
-
-@query("align_pages")
+    return A.align_pages(counts, O.page_similarity(both.join(unequal, "pair_id", "left_semi"))), counts
+
+
+#: The sides as aligned() numbers them, and both page counts.
+_PAGED = f"""SELECT pair_id, side, dense_rank() OVER (PARTITION BY pair_id, side ORDER BY page) AS page, line FROM ({_SIDES}) s WHERE side = 'expected' OR pair_id % 2 = 0 OR page <> 2"""
+_COUNTS = "SELECT pair_id, count(DISTINCT page) FILTER (WHERE side = 'expected') AS n, count(DISTINCT page) FILTER (WHERE side = 'actual') AS m FROM paged GROUP BY pair_id"
+#: The alignment by recursion: one row of the cost matrix after another, then the way back from its corner.
+ALIGNED = f"""WITH RECURSIVE paged AS MATERIALIZED ({_PAGED}), counts AS MATERIALIZED ({_COUNTS}),
+w AS MATERIALIZED (SELECT DISTINCT pair_id, side, page, w FROM (SELECT pair_id, side, page, unnest(regexp_split_to_array(lower(line), '\\s+')) AS w FROM paged WHERE pair_id IN (SELECT pair_id FROM counts WHERE n <> m)) x WHERE w <> ''),
+sizes AS (SELECT pair_id, side, page, count(*) AS n FROM w GROUP BY ALL),
+s AS MATERIALIZED (SELECT b.pair_id, b.i, b.j, same / (e.n + a.n - same) AS s FROM (SELECT e.pair_id, e.page AS i, a.page AS j, count(*) AS same FROM w e JOIN w a ON e.pair_id = a.pair_id AND e.w = a.w WHERE e.side = 'expected' AND a.side = 'actual' GROUP BY ALL) b
+  JOIN sizes e ON e.pair_id = b.pair_id AND e.page = b.i AND e.side = 'expected' JOIN sizes a ON a.pair_id = b.pair_id AND a.page = b.j AND a.side = 'actual'),
+likeness AS MATERIALIZED (SELECT g.pair_id, g.i, list(coalesce(s, 0.0) ORDER BY g.j) AS s FROM (SELECT pair_id, i, unnest(range(1, m + 1)) AS j FROM (SELECT pair_id, m, unnest(range(1, n + 1)) AS i FROM counts WHERE n <> m) x) g LEFT JOIN s ON s.pair_id = g.pair_id AND s.i = g.i AND s.j = g.j GROUP BY ALL),
+costs AS (SELECT pair_id, 0::BIGINT AS i, n, m, list_transform(range(0, m + 1), lambda x: x::DOUBLE) AS c FROM counts WHERE n <> m
+  UNION ALL SELECT pair_id, i, n, m, list_transform(range(1, m + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: t[k] + (j - k)))) FROM (
+    SELECT c.pair_id, c.i + 1 AS i, n, m, list_concat([(c.i + 1)::DOUBLE], CASE WHEN m = 0 THEN [] ELSE list_transform(range(1, m + 1), lambda j: least(c.c[j] + 2 * (1 - l.s[j]), c.c[j + 1] + 1)) END) AS t
+    FROM costs c LEFT JOIN likeness l ON l.pair_id = c.pair_id AND l.i = c.i + 1 WHERE c.i < n) x),
+kept AS MATERIALIZED (SELECT * FROM costs),
+back AS (SELECT pair_id, n AS i, m AS j, 0::BIGINT AS k, NULL::VARCHAR AS op, NULL::BIGINT AS e, NULL::BIGINT AS a FROM counts WHERE n <> m
+  UNION ALL SELECT pair_id, CASE WHEN op = 'inserted' THEN i ELSE i - 1 END, CASE WHEN op = 'deleted' THEN j ELSE j - 1 END, k + 1, op, CASE WHEN op <> 'inserted' THEN i END, CASE WHEN op <> 'deleted' THEN j END FROM (
+    SELECT b.pair_id, b.i, b.j, b.k, CASE WHEN b.i > 0 AND b.j > 0 AND abs(o.c[b.j + 1] - p.c[b.j] - 2 * (1 - l.s[b.j])) < 1e-9 THEN 'matched'
+      WHEN b.i > 0 AND (b.j = 0 OR abs(o.c[b.j + 1] - p.c[b.j + 1] - 1) < 1e-9) THEN 'deleted' ELSE 'inserted' END AS op
+    FROM back b JOIN kept o ON o.pair_id = b.pair_id AND o.i = b.i LEFT JOIN kept p ON p.pair_id = b.pair_id AND p.i = b.i - 1 LEFT JOIN likeness l ON l.pair_id = b.pair_id AND l.i = b.i WHERE b.i > 0 OR b.j > 0) x),
+aligned AS (SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY k DESC) AS INT) AS row_no, op, CAST(e AS INT) AS expected_page, CAST(a AS INT) AS actual_page FROM back WHERE op IS NOT NULL
+  UNION ALL SELECT pair_id, CAST(x AS INT), 'matched', CAST(x AS INT), CAST(x AS INT) FROM (SELECT pair_id, unnest(range(1, n + 1)) AS x FROM counts WHERE n = m) y)
+"""
+
+
+@query("align_pages", ALIGNED + "SELECT pair_id, row_no, op, expected_page, actual_page FROM aligned")
 def align_pages(t: Tables) -> DataFrame:
     return aligned(t)[0]
 
 
-@query("alignment_rows")
+@query("alignment_rows", ALIGNED + "SELECT pair_id, row_no, op, expected_page, actual_page, 0.0::DOUBLE AS similarity, 100.0::DOUBLE AS diff_pixels_pct, true AS major, false AS warn FROM aligned WHERE op <> 'matched'")
 def alignment_rows(t: Tables) -> DataFrame:
     return O.alignment_rows(aligned(t)[0])
 
 
-@query("direct_comparison_rows")
+@query("direct_comparison_rows", ALIGNED + """SELECT d.pair_id, CAST(l.last + row_number() OVER (PARTITION BY d.pair_id ORDER BY expected_page) AS INT) AS row_no, 'direct' AS op, expected_page, expected_page AS actual_page
+FROM aligned d JOIN counts c ON c.pair_id = d.pair_id JOIN (SELECT pair_id, max(row_no) AS last FROM aligned GROUP BY pair_id) l ON l.pair_id = d.pair_id WHERE op = 'deleted' AND expected_page <= m""")
 def direct_comparison_rows(t: Tables) -> DataFrame:
     rows, counts = aligned(t)
     return O.direct_comparison_rows(rows, counts)
 
 
+@query("align_page_rasters", """
+WITH p AS (SELECT vec_id // 12 AS pair_id, vec_id % 12 AS page, vec_id % 7 = 3 OR vec_id % 11 = 5 AS gone FROM embeddings),
+e AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY page) AS whole, CASE WHEN NOT gone THEN count(*) FILTER (WHERE NOT gone) OVER (PARTITION BY pair_id ORDER BY page) END AS part FROM p)
+SELECT pair_id, CAST(whole AS INT) AS row_no, CASE WHEN NOT gone THEN 'matched' WHEN pair_id % 2 = 0 THEN 'deleted' ELSE 'inserted' END AS op,
+  CAST(CASE WHEN pair_id % 2 = 0 THEN whole ELSE part END AS INT) AS expected_page, CAST(CASE WHEN pair_id % 2 = 0 THEN part ELSE whole END AS INT) AS actual_page FROM e""")
+def align_page_rasters(t: Tables) -> DataFrame:
+    """Twelve vectors a document; one copy of it lacks some pages."""
+    page = F.col("page")
+    both = rasters(t).select(F.floor(page / 12).alias("pair_id"), (page % 12).alias("n"), ((page % 7 == 3) | (page % 11 == 5)).alias("gone"), "width", "height", "pixels", F.explode(F.array(F.lit("expected"), F.lit("actual"))).alias("side"))
+    lacks = F.col("gone") & (F.col("side") == F.when(F.col("pair_id") % 2 == 0, "actual").otherwise("expected"))
+    return A.align_page_rasters(both.where(~lacks).withColumnRenamed("n", "page"))
+
+
 #: Lines with a word that is neither blank nor a stamp, numbered by page: the words' tops tell the lines apart.
 _LINES = f"""SELECT doc_id, page, line_no, count(*) AS words, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS line
   FROM ({WORDS_DUCKDB}) w WHERE upper(trim(text)) NOT IN {among(["", *K.WATERMARKS])} GROUP BY doc_id, page, line_no"""

@@ -146,4 +146,5 @@ def duckdb_sql(query: str) -> str:
     body = plain(query).strip()
     if not views:
         return body
-    return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views}\n{body}"
+    head = re.match(r"WITH (RECURSIVE )?", body, re.IGNORECASE)
+    return f"{head[0]}{views}, {body[head.end() :]}" if head else f"WITH {views}\n{body}"

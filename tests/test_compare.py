@@ -2,15 +2,93 @@
 
 import numpy as np
 
+from formcheck.operators import alignment as A
 from formcheck.operators import compare as O
 
 
 def test_align():
     same = np.eye(3)
-    assert [s[0] for s in O.align(3, 2, same[:, [0, 2]])] == ["matched", "deleted", "matched"]
-    assert [s[0] for s in O.align(2, 3, same[[0, 2], :])] == ["matched", "inserted", "matched"]
-    assert [s[0] for s in O.align(0, 2, np.zeros((0, 2)))] == ["inserted", "inserted"]
-    assert O.align(1, 1, np.array([[0.5]])) == [("matched", 0, 0)]
+    assert [s[0] for s in A.align(3, 2, same[:, [0, 2]])] == ["matched", "deleted", "matched"]
+    assert [s[0] for s in A.align(2, 3, same[[0, 2], :])] == ["matched", "inserted", "matched"]
+    assert [s[0] for s in A.align(0, 2, np.zeros((0, 2)))] == ["inserted", "inserted"]
+    assert A.align(1, 1, np.array([[0.5]])) == [("matched", 0, 0)]
+
+
+def whole_matrix(n, m, similarity):
+    """The cost matrix cell by cell, and the way back."""
+    cost = np.zeros((n + 1, m + 1))
+    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            cost[i, j] = min(cost[i - 1, j - 1] + 2 * (1 - similarity[i - 1, j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+    steps, i, j = [], n, m
+    while i or j:
+        if i and j and abs(cost[i, j] - cost[i - 1, j - 1] - 2 * (1 - similarity[i - 1, j - 1])) < 1e-9:
+            i, j = i - 1, j - 1
+            steps.append(("matched", i, j))
+        elif i and (not j or abs(cost[i, j] - cost[i - 1, j] - 1) < 1e-9):
+            i -= 1
+            steps.append(("deleted", i, None))
+        else:
+            j -= 1
+            steps.append(("inserted", None, j))
+    return steps[::-1]
+
+
+def test_band_equals_the_whole_matrix():
+    random = np.random.default_rng(4)
+    for case in range(120):
+        n, m = random.integers(0, 30, 2)
+        # Coarse values give many ties; near-diagonal ones narrow bands.
+        similarity = np.round(random.random((n, m)) * (1, 4, 2)[case % 3]) / (1, 4, 2)[case % 3]
+        if case % 2 and n and m:
+            similarity[np.abs(np.subtract.outer(np.arange(n), np.arange(m))) > 2] = 0
+        assert A.align(int(n), int(m), similarity) == whole_matrix(n, m, similarity)
+
+
+def test_long_documents_ask_for_few_similarities():
+    asked = []
+
+    def likeness(i, j):
+        asked.append(len(i))
+        # Page 700 of 2,000 is gone, and ten pages changed.
+        return np.where(j + (j >= 700) == i, np.where(i % 200 == 7, 0.6, 1.0), 0.1)
+
+    steps = A.align(2000, 1999, likeness)
+    assert [s for s in steps if s[0] != "matched"] == [("deleted", 700, None)] and sum(asked) < 80_000
+
+
+def test_thumbnails():
+    assert (A.thumbnail(np.full((300, 200), 77, np.uint8)) == 77).all()
+    same = np.random.default_rng(1).integers(0, 256, (210, 150)).astype(np.uint8)
+    assert (A.thumbnail(same) == same).all()  # nothing to resample
+    half = np.repeat(np.array([[0, 255]], np.uint8), 400, 0).repeat(300, 1)
+    small = A.thumbnail(half).astype(int)
+    assert small.shape == (210, 150) and (small[:, :70] == 0).all() and (small[:, 80:] == 255).all()
+    # One row by the filter's definition, in exact fractions of its weights.
+    row = np.random.default_rng(2).integers(0, 256, (1, 40)).astype(np.uint8)
+    out, scale = A.thumbnail(row, (10, 1))[0], 4.0
+    for x in range(10):
+        centre = (x + 0.5) * scale
+        at = np.arange(max(0, int(centre - 3 * scale + 0.5)), min(40, int(centre + 3 * scale + 0.5)))
+        t = (at + 0.5 - centre) / scale
+        w = np.sinc(t) * np.sinc(t / 3)
+        assert abs(out[x] - np.clip((w / w.sum() * row[0, at]).sum(), 0, 255)) <= 0.51
+
+
+def test_align_page_rasters(spark):
+    random = np.random.default_rng(3)
+    pages = [(random.integers(0, 2, (40, 30)) * 255).astype(np.uint8).repeat(5, 0).repeat(5, 1) for _ in range(6)]
+    rows = [(pair, side, no, 150, 200, pages[k].tobytes()) for pair, side, numbers in ((1, "expected", [0, 1, 2, 3]), (1, "actual", [0, 2, 3]), (2, "expected", [4]), (2, "actual", [5, 4, 1]), (3, "actual", [1]), (4, "expected", [1, 2]), (4, "actual", [2, 1])) for no, k in enumerate(numbers, 1)]
+    rows += [(5, "expected", 1, 1, 1, None), (5, "expected", 2, 2, 1, bytes([9, 9, 9, 200, 1, 1])), (5, "actual", 1, 1, 1, b"")]
+    df = spark.createDataFrame(rows, "pair_id long, side string, page int, width int, height int, pixels binary")
+    got = {}
+    for r in A.align_page_rasters(df).orderBy("pair_id", "row_no").collect():
+        got.setdefault(r.pair_id, []).append((r.op[0], r.expected_page, r.actual_page))
+    assert got[1] == [("m", 1, 1), ("d", 2, None), ("m", 3, 2), ("m", 4, 3)]
+    assert got[2] == [("i", None, 1), ("m", 1, 2), ("i", None, 3)]
+    assert got[3] == [("i", None, 1)] and got[4] == [("m", 1, 1), ("m", 2, 2)]
+    assert got[5] == [("m", 1, 1), ("d", 2, None)]
 
 
 def test_merge_boxes():

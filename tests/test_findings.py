@@ -79,3 +79,26 @@ def test_description_falls_back(spark):
     told = '{"missing_content": [{"details": "d"}, {"reason": "r"}, {"note": "n"}, {"evidence": "e"}, {"description": "", "note": "x"}, {}]}'
     rows = O.issue_rows(O.parse_findings(spark.createDataFrame([(1, told)], "rr_id int, result_json string"))).orderBy("bucket_pos").collect()
     assert [r.description for r in rows] == ["d", "r", "n", "e", "x", "Missing content"]
+
+
+def test_contained_patterns_by_automata(spark, monkeypatch):
+    """Many patterns and one project with most findings, in several automata and parts, against every pattern in turn."""
+    monkeypatch.setattr(R, "AUTOMATON", 7)
+    monkeypatch.setattr(R, "PART", 20)
+    words = ["stamp", "Footer", "page", "æøå", "x", "(see", "a.b", "page footer", "STAMP", ""]
+    patterns = [(k, k % 3, None if k % 4 else k % 5, ["", "missing_content", None, "value_mismatches"][k % 4], "contains" if k % 5 else None, words[k % 10] + ("" if k % 2 else words[k % 7]), k % 11 != 0) for k in range(60)]
+    results = [(r, 0 if r < 25 else r % 4, r % 6) for r in range(40)]
+    told = ["The page Footer STAMP", "ÆØÅ x", "nothing", "a.b (see page)", "axb"]
+    findings = [(r, bucket, pos, told[(r + pos) % 5]) for r, *_ in results for pos, bucket in enumerate(["missing_content", "value_mismatches", "value_mismatches"])]
+    hits = R.pattern_hits(
+        spark.createDataFrame(findings, "rr_id long, bucket string, bucket_pos int, description string"),
+        spark.createDataFrame(patterns, "pattern_id long, project_id long, form_id long, category string, match_mode string, pattern string, is_active boolean"),
+        spark.createDataFrame(results, "rr_id long, project_id long, form_id long"),
+    )
+    expected = {}
+    for rr, bucket, pos, text in findings:
+        _, project, form = results[rr]
+        fits = [p[0] for p in patterns if p[6] and p[1] == project and p[3] in ("", None, bucket) and (p[2] is None or (form and p[2] == form)) and p[5].lower() in text.lower()]
+        if fits:
+            expected[rr, bucket, pos] = min(fits)
+    assert {(h.rr_id, h.bucket, h.bucket_pos): h.pattern_id for h in hits.collect()} == expected and len(expected) > 20
