@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formcheck.llm.common import read_table, text_or_empty
+from formcheck.llm.common import materialise, read_table, text_or_empty
 from formcheck.llm.words import slices
 
 #: Lengths of prefixes (characters); one that is frequent at the last length is told apart by a hash of the text.
@@ -187,8 +187,8 @@ def masks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_co
     repeat an id are no smaller than one another."""
     text = text_or_empty(text_col)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), failures(text).alias("mask"), F.lit(1).cast("long").alias("n"), text.alias("text"))
-    local = _flagged(rows, True).withColumn("text", F.col("text").cast("string"))
-    # Both uses of `local` compute it alike; copies found in a task have no text left to move.
+    # Written once, as the ranges are sampled, then dealt; copies found in a task have no text left to move.
+    local = materialise(_flagged(rows, True).withColumn("text", F.col("text").cast("string")), "local-masks", "zstd")
     open_ = _dealt(local.where("text IS NOT NULL"), df.select(text.alias("text")))
     known = local.where("text IS NULL")
     return _flagged(open_, False).drop("text").unionByName(known.drop("text"))
