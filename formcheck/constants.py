@@ -78,3 +78,20 @@ NAMED_PATTERNS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "phone": r"^\+?[0-9][0-9 ().-]{6,18}[0-9]$", "postal": r"^([0-9]{5}(-[0-9]{4})?|[A-Za-z][0-9][A-Za-z] ?[0-9][A-Za-z][0-9])$",
     "currency": r"^[$€£]?\s?-?[0-9]{1,3}((,[0-9]{3})*|[0-9]*)(\.[0-9]{2})?$",
 }
+
+# Texts of the block of differences in a request, and how many entries or characters of each kind it shows.
+CONTEXT_EMPTY = "No visual diff data available."
+CONTEXT_DELETED = "DELETED — entire page removed from current PDF."
+CONTEXT_BLANK = "INSERTED (is_blank_page=true) — blank/empty page added. Likely an intentional separator. Low severity."
+CONTEXT_INSERTED = "INSERTED (is_blank_page=false) — new content page with no baseline counterpart."
+CONTEXT_LINES = "LINE DIFF (line-by-line comparison):"
+CONTEXT_SAME_TEXT = "TEXT DIFF: Content identical — pixel differences are visual/graphical noise"
+CONTEXT_LISTS = [("bold_changed", "BOLD CHANGED: "), ("size_changed", "FONT SIZE CHANGED: "), ("list_shifted", "LIST ALIGNMENT SHIFTED: ")]
+CONTEXT_FORMATTING, CONTEXT_GRAPHICS, CONTEXT_SIGNATURE = "FORMATTING: ", "GRAPHICS CHANGE: ", "[SIGNATURE CANDIDATE near '%s']"
+CONTEXT_DOCUMENT, CONTEXT_METADATA, CONTEXT_FIELDS = "\nDOCUMENT-LEVEL CHANGES:", "METADATA CHANGES (document properties):", "FORM FIELD STRUCTURE CHANGES:"
+CONTEXT_REMOVED, CONTEXT_ADDED, CONTEXT_TYPE = "  REMOVED FIELDS: ", "  ADDED FIELDS: ", "  FIELD TYPE CHANGED: "
+CONTEXT_CHANGES, CONTEXT_WORDS, CONTEXT_TYPES, CONTEXT_LONG, CONTEXT_SHORT, CONTEXT_BLOCK = 20, 6, 5, 120, 80, 100
+
+# Labels of page images in a request.
+IMAGE_DELETED, IMAGE_INSERTED = "BASELINE page %s — DELETED (no match in current)", "CURRENT page %s — INSERTED (no match in baseline)"
+IMAGE_MATCHED, IMAGE_PAGE = "BASELINE page %s matched to CURRENT page %s", "page %s"

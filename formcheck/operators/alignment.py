@@ -122,6 +122,44 @@ def align_pages(counts: DataFrame, similarity: DataFrame) -> DataFrame:
     return _one_to_one(counts).unionByName(aligned)
 
 
+def align_page_texts(pages: DataFrame) -> DataFrame:
+    """pages(pair_id, side expected|actual, page, text): as align_pages() by token overlap (Jaccard), which is taken for the page
+    pairs of the band alone, whatever words the pages share. Pages are taken in the order of their numbers and
+    numbered from 1. Pairs of unequal counts are grouped with one 64-bit number a different word and page."""
+    from formcheck.operators.compare import page_words
+
+    sided = lambda s: F.count_if(F.col("side") == s)
+    counts = pages.groupBy("pair_id").agg(sided("expected").alias("n_expected"), sided("actual").alias("n_actual"))
+    words = F.coalesce(F.array_sort(F.transform(page_words(), lambda w: F.xxhash64(w))), F.array().cast("array<bigint>"))
+    told = pages.select("pair_id", "side", "page", words.alias("words"))
+    told = told.join(counts.where("n_expected <> n_actual").select("pair_id"), "pair_id", "left_semi")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        some = left if len(left) else right
+        if not len(some):
+            return EMPTY
+        sides = [list(x.sort_values("number").listed) for x in (left, right)]
+        vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *sides[0], *sides[1]]))
+        numbers = [[np.searchsorted(vocabulary, w) for w in side] for side in sides]
+        seen = np.zeros(len(vocabulary), bool)
+
+        def likeness(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(i))
+            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                a, b = numbers[0][x], numbers[1][y]
+                seen[a] = True
+                same = int(seen[b].sum())
+                seen[a] = False
+                out[k] = same / max(1, len(a) + len(b) - same)
+            return out
+
+        return _frame(some.iloc[0, 0], align(len(sides[0]), len(sides[1]), likeness))
+
+    kind = pages.schema["pair_id"].dataType.simpleString()
+    side = lambda s, name: told.where(F.col("side") == s).select(F.col("pair_id").alias(name), F.col("page").alias("number"), F.col("words").alias("listed")).groupBy(name)
+    return _one_to_one(counts).unionByName(side("expected", "pair").cogroup(side("actual", "other")).applyInPandas(run, f"pair_id {kind}, {SCHEMA}"))
+
+
 @lru_cache(maxsize=64)
 def _weights(size: int, to: int) -> np.ndarray:
     """(to, size) weights of Lanczos resampling with three lobes, in units of 2^-22: public definition of the filter, stretched

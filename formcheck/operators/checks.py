@@ -7,6 +7,8 @@ cond_value).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,20 +98,6 @@ def request_rows(test_cases: DataFrame, texts: DataFrame, page_texts: DataFrame
     return rows.select("test_case_id", "doc_id", "mode", cut("text", 0), *more)
 
 
-def compare_context_text(changes: DataFrame, limit: int = 20) -> DataFrame:
-    """Text block of each page's changes for a request: at most `limit`."""
-    line = F.when(F.col("kind") == "deleted", F.concat(F.lit("DELETED: "), "expected")).when(F.col("kind") == "inserted", F.concat(F.lit("INSERTED: "), "actual")).otherwise(F.concat(F.upper("kind"), F.lit(": "), "expected", F.lit(" -> "), "actual"))
-    rows = changes.where(F.col("change_no") < limit).withColumn("line", line)
-    return rows.groupBy("pair_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_no", "line"))), lambda x: x["line"]), "\n").alias("context"))
-
-
-def page_image_pairs(aligned: DataFrame, pages: DataFrame) -> DataFrame:
-    """Baseline page beside the page it was aligned to; one side is null for deleted and inserted pages.
-    pages(pair_id, side, page, image)."""
-    side = lambda s: pages.where(F.col("side") == s).select("pair_id", F.col("page").alias(f"{s}_page"), F.col("image").alias(f"{s}_image"))
-    return aligned.join(side("expected"), ["pair_id", "expected_page"], "left").join(side("actual"), ["pair_id", "actual_page"], "left").select("pair_id", "row_no", "op", "expected_image", "actual_image")
-
-
 def _issue(rows: DataFrame, kind: str, severity: str, criterion: str, text: Column, field: Column | None = None, page: Column | None = None) -> DataFrame:
     return rows.select("doc_id", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), (F.lit(None) if field is None else field).cast("string").alias("field_name"), (F.lit(None) if page is None else page).cast("int").alias("page"), text.alias("description"), F.lit(criterion).alias("wcag_criterion"))
 
@@ -264,17 +252,49 @@ def layout_outliers(boxes: DataFrame, share: float = 0.15, margin: float = 0.0,
     return boxes.join(middle, ["doc_id", "kind"]).withColumn("reason", reason).where("reason IS NOT NULL").select("doc_id", "page", "box_id", "reason")
 
 
-def overlapping_boxes(boxes: DataFrame, cell: float = 100.0) -> DataFrame:
-    """Pairs of boxes (box_id < other_id) of a page whose areas overlap; boxes that only touch do not. Boxes meet in the
-    grid cells that they cover, and a pair counts in the one cell that holds the corner of what they share."""
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    rows = boxes.where("x0 < x1 AND top < bottom").select("doc_id", "page", "box_id", "x0", "top", "x1", "bottom").distinct()
-    placed = rows.withColumn("cx", span("x0", "x1")).withColumn("cy", span("top", "bottom"))
-    other = placed.select("doc_id", "page", "cx", "cy", F.col("box_id").alias("other_id"), *[F.col(c).alias(f"o_{c}") for c in ("x0", "top", "x1", "bottom")])
-    left, high = F.greatest("x0", "o_x0"), F.greatest("top", "o_top")
-    shared = (left < F.least("x1", "o_x1")) & (high < F.least("bottom", "o_bottom")) & (F.floor(left / cell) == F.col("cx")) & (F.floor(high / cell) == F.col("cy"))
-    hits = placed.join(other, ["doc_id", "page", "cx", "cy"]).where((F.col("box_id") < F.col("other_id")) & shared)
-    return hits.select("doc_id", "page", "box_id", "other_id").distinct().withColumn("severity", F.lit("high"))
+def swept_pairs(x0: np.ndarray, x1: np.ndarray, top: np.ndarray, bottom: np.ndarray, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of boxes whose areas overlap, by a sweep from left to right: a box meets those that begin before it ends, which
+    stand next to it in the order of left sides. `at_once` bounds the meetings held at a time."""
+    order = np.argsort(x0, kind="stable")
+    x0, x1, top, bottom = x0[order], x1[order], top[order], bottom[order]
+    n = len(order)
+    met = np.searchsorted(x0, x1, "left") - np.arange(n) - 1
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    begin = 0
+    total = np.cumsum(met)
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + at_once, "right")))
+        size = met[begin:end]
+        a = np.repeat(np.arange(begin, end), size)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+        on = (np.maximum(top[a], top[b]) < np.minimum(bottom[a], bottom[b])) & (x0[b] < x1[a])
+        left.append(order[a[on]])
+        right.append(order[b[on]])
+        begin = end
+    return np.concatenate(left), np.concatenate(right)
+
+
+def overlapping_boxes(boxes: DataFrame) -> DataFrame:
+    """Pairs of boxes (box_id < other_id) of a page whose areas overlap; boxes that only touch do not, nor boxes without an
+    area or with missing sides. Each page is swept once, whatever the size and scale of its boxes; what is written out is
+    the pairs there are."""
+    rows = boxes.where("x0 < x1 AND top < bottom").select("doc_id", "page", "box_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top", "bottom")]).distinct()
+    # A group is the boxes of one page.
+    pages = rows.groupBy("doc_id", "page").agg(F.collect_list(F.struct("box_id", "x0", "x1", "top", "bottom")).alias("boxes")).where(F.size("boxes") > 1)
+
+    @F.pandas_udf("array<struct<a:int,b:int>>")
+    def met(x0: pd.Series, x1: pd.Series, top: pd.Series, bottom: pd.Series) -> pd.Series:
+        out = []
+        for page in zip(x0, x1, top, bottom, strict=True):
+            a, b = swept_pairs(*(np.asarray(side, np.float64) for side in page))
+            out.append([{"a": i, "b": j} for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        return pd.Series(out)
+
+    side = lambda c: F.transform("boxes", lambda b: b[c])
+    hits = pages.select("doc_id", "page", side("box_id").alias("ids"), F.explode(met(*map(side, ("x0", "x1", "top", "bottom")))).alias("m"))
+    one, two = F.col("ids")[F.col("m.a")], F.col("ids")[F.col("m.b")]
+    pairs = hits.select("doc_id", "page", F.least(one, two).alias("box_id"), F.greatest(one, two).alias("other_id"))
+    return pairs.where("box_id < other_id").distinct().withColumn("severity", F.lit("high"))
 
 
 def required_empty(fields: DataFrame) -> DataFrame:

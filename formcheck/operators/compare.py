@@ -115,16 +115,47 @@ def diff_flags(rows: DataFrame) -> DataFrame:
     return rows.withColumn("major", major & ~clear_major).withColumn("warn", warn & ~clear_both & (~major | clear_major))
 
 
-def page_similarity(pages: DataFrame) -> DataFrame:
-    """pages(pair_id, side expected|actual, page, text): token overlap (Jaccard) of the pages of a pair that share
-    a word. Joined on (pair, word), so pages without a common word form no row."""
-    words = pages.select("pair_id", "side", "page", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))).alias("word"))
-    sizes = words.groupBy("pair_id", "side", "page").agg(F.count(F.lit(1)).alias("n"))
-    side = lambda s, p: words.where(F.col("side") == s).select("pair_id", "word", F.col("page").alias(p))
-    size = lambda s, p, n: sizes.where(F.col("side") == s).select("pair_id", F.col("page").alias(p), F.col("n").alias(n))
-    both = side("expected", "expected_page").join(side("actual", "actual_page"), ["pair_id", "word"]).groupBy("pair_id", "expected_page", "actual_page").agg(F.count(F.lit(1)).alias("same"))
-    rows = both.join(size("expected", "expected_page", "en"), ["pair_id", "expected_page"]).join(size("actual", "actual_page", "an"), ["pair_id", "actual_page"])
-    return rows.select("pair_id", "expected_page", "actual_page", (F.col("same") / (F.col("en") + F.col("an") - F.col("same"))).alias("similarity"))
+def page_words() -> Column:
+    """The different words of a page's text, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
+
+
+def page_similarity(pages: DataFrame, least: float = 0.0) -> DataFrame:
+    """pages(pair_id, side expected|actual, page, text): token overlap (Jaccard) of the pages of a pair, from `least` on; at 0
+    of all that share a word.
+
+    Above 0 the join is on prefixes: a page's words stand with the rarest of the pair first, and two pages that are similar
+    enough share one of so many first words that the rest could not make up for it. Words of most pages come last, so
+    they form no rows; what meets is then compared whole. Pages of fewer than `least` times the other's words never meet."""
+    told = pages.select("pair_id", "side", "page", page_words().alias("words"))
+    words = told.select("pair_id", "side", "page", F.explode("words").alias("word"))
+    if least <= 0:
+        sizes = words.groupBy("pair_id", "side", "page").agg(F.count(F.lit(1)).alias("n"))
+        side = lambda s, p: words.where(F.col("side") == s).select("pair_id", "word", F.col("page").alias(p))
+        size = lambda s, p, n: sizes.where(F.col("side") == s).select("pair_id", F.col("page").alias(p), F.col("n").alias(n))
+        both = side("expected", "expected_page").join(side("actual", "actual_page"), ["pair_id", "word"]).groupBy("pair_id", "expected_page", "actual_page").agg(F.count(F.lit(1)).alias("same"))
+        rows = both.join(size("expected", "expected_page", "en"), ["pair_id", "expected_page"]).join(size("actual", "actual_page", "an"), ["pair_id", "actual_page"])
+        return rows.select("pair_id", "expected_page", "actual_page", (F.col("same") / (F.col("en") + F.col("an") - F.col("same"))).alias("similarity"))
+    met = similar_candidates(words, least)
+    side = lambda s, p, w: told.where(F.col("side") == s).select("pair_id", F.col("page").alias(p), F.col("words").alias(w))
+    whole = met.join(side("expected", "expected_page", "ew"), ["pair_id", "expected_page"]).join(side("actual", "actual_page", "aw"), ["pair_id", "actual_page"])
+    same = F.size(F.array_intersect("ew", "aw"))
+    rows = whole.select("pair_id", "expected_page", "actual_page", (same / (F.size("ew") + F.size("aw") - same)).alias("similarity"))
+    return rows.where(F.col("similarity") >= least)
+
+
+def similar_candidates(words: DataFrame, least: float) -> DataFrame:
+    """words(pair_id, side, page, word), each once: (pair_id, expected_page, actual_page) of the pages that share a word of their
+    prefixes and may be similar by their sizes."""
+    common = words.groupBy("pair_id", "word").agg(F.count(F.lit(1)).alias("pages"))
+    ordered = words.join(common, ["pair_id", "word"]).groupBy("pair_id", "side", "page").agg(F.array_sort(F.collect_list(F.struct("pages", "word"))).alias("words"))
+    n = F.size("words")
+    # Rounding must not shorten a prefix.
+    first = n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1
+    heads = ordered.select("pair_id", "side", "page", n.alias("n"), F.explode(F.slice("words", 1, first)).alias("w")).select("pair_id", "side", "page", "n", "w.word")
+    side = lambda s, p, n: heads.where(F.col("side") == s).select("pair_id", "word", F.col("page").alias(p), F.col("n").alias(n))
+    both = side("expected", "expected_page", "en").join(side("actual", "actual_page", "an"), ["pair_id", "word"])
+    return both.where(F.least("en", "an") >= F.greatest("en", "an") * least - 1e-9).select("pair_id", "expected_page", "actual_page").distinct()
 
 
 def alignment_rows(aligned: DataFrame, blank: DataFrame | None = None) -> DataFrame:
@@ -145,21 +176,39 @@ def direct_comparison_rows(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("pair_id", (F.col("last") + nth).alias("row_no"), F.lit("direct").alias("op"), "expected_page", F.col("expected_page").alias("actual_page"))
 
 
+def line_numbers(tops: np.ndarray, tolerance: float) -> np.ndarray:
+    """Line of each word, from 1; tops in order. Each line is one search for the first word too far below its anchor; a
+    missing top (first in order) is a line of its own."""
+    missing = int(np.isnan(tops).sum())
+    starts, at = list(range(missing)), missing
+    while at < len(tops):
+        starts.append(at)
+        end = int(np.searchsorted(tops, tops[at] + tolerance, "right"))
+        # The sum may round to either side of the difference that counts.
+        while end < len(tops) and tops[end] - tops[at] <= tolerance:
+            end += 1
+        while end > at + 1 and tops[end - 1] - tops[at] > tolerance:
+            end -= 1
+        at = end
+    lines = np.zeros(len(tops), np.int32)
+    lines[starts] = 1
+    return np.cumsum(lines, dtype=np.int32)
+
+
 def cluster_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
     """words(doc_id, page, word_no, text, x0, x1, top, bottom, ...): line number of each word. A line begins at a word
-    more than the tolerance below the line's first word; stamps and blanks are left out. One ordered pass over the
-    page's array, as the anchor is not the word before."""
+    more than the tolerance below the line's first word; stamps and blanks are left out. One search a line in the page's
+    ordered array, as the anchor is not the word before."""
     kept = words.where(~S.is_watermark(F.col("text")))
-    item = F.struct("top", "word_no")
-    pages = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("line"), F.array().cast("array<struct<word_no:int,line:int>>").alias("out"))
+    pages = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), "word_no"))).alias("items"))
 
-    def step(acc: Column, w: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(w["top"] - acc["anchor"]) > tolerance)
-        line = acc["line"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, w["top"]).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.concat(acc["out"], F.array(F.struct(w["word_no"].cast("int").alias("word_no"), line.alias("line")))).alias("out"))
+    @F.pandas_udf("array<int>")
+    def numbered(tops: pd.Series) -> pd.Series:
+        return tops.map(lambda x: line_numbers(np.array(x, np.float64), tolerance))
 
-    lined = pages.select("doc_id", "page", F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("x")).select("doc_id", "page", "x.word_no", "x.line")
+    # Missing tops stand first in an array in ascending order; array_sort puts whole null elements last, not null fields.
+    lines = pages.select("doc_id", "page", "items", numbered(F.transform("items", lambda w: w["top"])).alias("lines"))
+    lined = lines.select("doc_id", "page", F.explode(F.arrays_zip("items", "lines")).alias("x")).select("doc_id", "page", F.col("x.items.word_no").cast("int").alias("word_no"), F.col("x.lines").alias("line"))
     position = F.row_number().over(Window.partitionBy("doc_id", "page", "line").orderBy("x0", "top", "word_no"))
     return kept.withColumn("word_no", F.col("word_no").cast("int")).join(lined, ["doc_id", "page", "word_no"]).withColumn("pos", position)
 
@@ -211,19 +260,24 @@ def paragraph_diff(pages: DataFrame) -> DataFrame:
 
 def format_changes(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0) -> DataFrame:
     """words(pair_id, page, side, para, line, pos, text, fontname, size, x0) of corresponding paragraphs: one row per
-    bold, size or shift change of words at the same place."""
-    cols = ("text", "fontname", "size", "x0")
-    written = words.where(F.trim("text") != "")
-    side = lambda s, p: written.where(F.col("side") == s).select("pair_id", "page", "para", "line", "pos", *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    both = side("expected", "e").join(side("actual", "a"), PLACE)
-    eb, ab, marker = S.is_bold_font(F.col("e_fontname")), S.is_bold_font(F.col("a_fontname")), S.is_list_marker(F.col("a_text"))
-    shift, grown = F.col("a_x0") - F.col("e_x0"), F.col("a_size") - F.col("e_size")
+    bold, size or shift change of words at the same place.
+
+    Both sides are dealt by page at once, and a page in order has the two words of a place next to each other; what ranks
+    or counts by page after that needs no further shuffle. Font names and the expected text stay behind."""
+    now = F.col("side") == "actual"
+    text = F.trim("text")
+    written = words.where((text != "") & F.col("side").isin("expected", "actual")).select(*PLACE, now.alias("now"), F.when(now, text).alias("text"), S.is_bold_font(F.col("fontname")).alias("bold"), "size", "x0")
+    before = F.lag(F.struct("para", "line", "pos", "now", "bold", "size", "x0")).over(Window.partitionBy("pair_id", "page").orderBy("para", "line", "pos", "now"))
+    e = F.col("e")
+    same = F.col("now") & ~e["now"] & (e["para"] == F.col("para")) & (e["line"] == F.col("line")) & (e["pos"] == F.col("pos"))
+    both = written.withColumn("e", before).where(same)
+    marker, shift, grown = S.is_list_marker(F.col("text")), F.col("x0") - e["x0"], F.col("size") - e["size"]
     kinds = F.array_compact(F.array(
-        F.when(ab & ~eb, "bold_added").when(eb & ~ab, "bold_removed"),
-        F.when((F.col("e_size") > 0) & (F.col("a_size") > 0) & (F.abs(grown) > size_tolerance), F.when(grown > 0, "larger").otherwise("smaller")),
+        F.when(F.col("bold") & ~e["bold"], "bold_added").when(e["bold"] & ~F.col("bold"), "bold_removed"),
+        F.when((e["size"] > 0) & (F.col("size") > 0) & (F.abs(grown) > size_tolerance), F.when(grown > 0, "larger").otherwise("smaller")),
         F.when(marker & (F.abs(shift) > list_shift), "list_shift").when(~marker & (F.abs(shift) > body_shift), "body_shift"),
     ))
-    return both.select(*PLACE, F.trim("a_text").alias("text"), F.round(shift, 1).alias("x_shift"), "e_size", "a_size", F.explode(kinds).alias("change"))
+    return both.select(*PLACE, "text", F.round(shift, 1).alias("x_shift"), e["size"].alias("e_size"), F.col("size").alias("a_size"), F.explode(kinds).alias("change"))
 
 
 def format_diff(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0, least_body: int = 3, most: int = 30) -> DataFrame:

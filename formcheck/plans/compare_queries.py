@@ -109,12 +109,17 @@ def page_similarity(t: Tables) -> DataFrame:
     return O.page_similarity(page_texts(t))
 
 
-def aligned(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Alignment of the two copies, one page of the current copy left out where the document number is odd."""
+def numbered_pages(t: Tables) -> DataFrame:
+    """The two copies, one page of the current copy left out where the document number is odd."""
     pages = page_texts(t)
     actual = pages.where((F.col("side") == "actual") & ((F.col("pair_id") % 2 == 0) | (F.col("page") != 2)))
     nth = F.expr("row_number() OVER (PARTITION BY pair_id, side ORDER BY page)")
-    both = pages.where("side = 'expected'").unionByName(actual).withColumn("page", nth)
+    return pages.where("side = 'expected'").unionByName(actual).withColumn("page", nth)
+
+
+def aligned(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Alignment of the two copies."""
+    both = numbered_pages(t)
     counts = both.groupBy("pair_id").agg(F.count_if(F.col("side") == "expected").alias("n_expected"), F.count_if(F.col("side") == "actual").alias("n_actual"))
     unequal = counts.where("n_expected <> n_actual").select("pair_id")
     return A.align_pages(counts, O.page_similarity(both.join(unequal, "pair_id", "left_semi"))), counts
@@ -145,6 +150,20 @@ aligned AS (SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER B
 """
 
 
+@query("page_similarity_above", f"""
+WITH w AS MATERIALIZED ({_TOKENS}), n AS (SELECT pair_id, side, page, count(*) AS n FROM w GROUP BY ALL)
+SELECT b.pair_id, b.ep AS expected_page, b.ap AS actual_page, same / (e.n + a.n - same) AS similarity
+FROM (SELECT e.pair_id, e.page AS ep, a.page AS ap, count(*) AS same FROM w e JOIN w a ON e.pair_id = a.pair_id AND e.w = a.w WHERE e.side = 'expected' AND a.side = 'actual' GROUP BY ALL) b
+JOIN n e ON e.pair_id = b.pair_id AND e.page = b.ep AND e.side = 'expected' JOIN n a ON a.pair_id = b.pair_id AND a.page = b.ap AND a.side = 'actual' WHERE same / (e.n + a.n - same) >= 0.6""")
+def page_similarity_above(t: Tables) -> DataFrame:
+    return O.page_similarity(page_texts(t), 0.6)
+
+
+@query("align_page_texts", ALIGNED + "SELECT pair_id, row_no, op, expected_page, actual_page FROM aligned")
+def align_page_texts(t: Tables) -> DataFrame:
+    return A.align_page_texts(numbered_pages(t))
+
+
 @query("align_pages", ALIGNED + "SELECT pair_id, row_no, op, expected_page, actual_page FROM aligned")
 def align_pages(t: Tables) -> DataFrame:
     return aligned(t)[0]

@@ -11,9 +11,28 @@ FORMS_PER_PROJECT = 10
 MODES = ["basic", "specific", "benchmark"]
 
 
-def read_tables(spark: SparkSession, path: str, schemas: dict[str, StructType | str]) -> dict[str, DataFrame]:
-    """Tables below a path, each with its declared schema: nothing is inferred."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}.parquet") for name, schema in schemas.items()}
+def read_tables(spark: SparkSession, source: str, schemas: dict[str, StructType | str], keys: dict[str, str] | None = None, parts: int = 16, options: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Tables of a source, each with its declared schema: nothing is inferred. A source is a folder of Parquet files or, where it
+    begins with `jdbc:`, a database: see read_jdbc."""
+    if source.startswith("jdbc:"):
+        return {name: read_jdbc(spark, source, name, schema, (keys or {}).get(name), parts, options) for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).parquet(f"{source}/{name}.parquet") for name, schema in schemas.items()}
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, schema: StructType | str, key: str | None = None, parts: int = 16, options: dict[str, str] | None = None) -> DataFrame:
+    """A database table with the declared columns and types. With a numeric or date `key` it is read in `parts` ranges of the
+    key at a time, between the bounds that the database gives (one row); a null key is in the first. Filters and the
+    choice of columns are the database's work. Without a key, or where the table is empty, one task reads all."""
+    declared = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    reader = lambda **told: spark.read.format("jdbc").options(**{"url": url} | (options or {}) | told).load()
+    columns = ", ".join(f.name for f in declared)
+    told = {"dbtable": f"(SELECT {columns} FROM {table}) told", "customSchema": declared.toDDL(), "fetchsize": "10000"}
+    if key:
+        low, high = reader(query=f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {table}").first()
+        if low is not None:
+            told |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    # A database may tell names in another case.
+    return reader(**told).toDF(*declared.names)
 
 
 def ingest_form_files(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:

@@ -1,5 +1,6 @@
 from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from formcheck.operators import checks as O
@@ -58,3 +59,63 @@ def test_rules_that_do_not_compile_are_left_out(spark):
     rules = spark.createDataFrame([(1, None, "pattern", "f", "(", None, None, None), (2, None, "pattern", "f", "^y$", None, None, None), (3, None, "pattern", "f", "email", None, None, None), (4, 2, "exact", "f", "z", None, None, None), (5, 1, "exact", "f", "z", None, None, None)],
                                   "rule_id int, doc_scope long, kind string, field_name string, arg1 string, arg2 string, cond_field string, cond_value string")
     assert sorted(r.rule_id for r in O.check_rules(fields, rules).collect()) == [2, 3, 5]
+
+
+def test_context_of_odd_pairs(spark):
+    """Nulls everywhere, more entries than are shown, quotes, a page without a comparison and a pair of which nothing is told."""
+    from formcheck.operators import context
+
+    rows = "pair_id long, row_no int, page int, op string, similarity double, diff_pct double, major boolean, warn boolean, is_blank boolean, has_text_changes boolean, has_formatting_changes boolean, formatting string, bold_changed array<string>, size_changed array<string>, list_shifted array<string>, graphics string, signature_label string"
+    none = (None,) * 11
+    told = spark.createDataFrame(
+        [
+            (1, 2, 2, "matched", 0.98765, 1.25, False, True, None, False, False, "kept back", [f"w{k}" for k in range(9)], ["'it's' (9pt)"], ["don't", 'say "no"', "a\\b"], "shapes 1 to 2", "SIGNATURE"),
+            (1, 1, 1, None, None, None, *none), (1, 3, None, "inserted", 0.0, 100.0, *none), (2, 1, 1, "single", *(None,) * 13),
+        ],
+        rows,
+    )
+    changes = spark.createDataFrame([(1, 2, k, "deleted", f"line {k}", None) for k in range(25)] + [(1, 1, 0, "modified", "x" * 200, None)], "pair_id long, page int, change_no int, kind string, expected string, actual string")
+    metadata = spark.createDataFrame([(3, "Title", None, "B")], "pair_id long, key string, expected string, actual string")
+    fields = spark.createDataFrame([(3, f"f{k}", "type_changed", "text", "date") for k in range(8)] + [(3, "gone", "removed", None, None)], "pair_id long, field_name string, status string, expected_type string, actual_type string")
+    out = {r.pair_id: r.context for r in context.compare_context_text(told, changes, metadata, fields).collect()}
+    first, second, third = out[1].split("\n\n")
+    assert first == '  Page 1: OK | similarity=1.000 (0.0% pixels differ)\nLINE DIFF (line-by-line comparison):\n    CHANGED: was="' + "x" * 80 + '"\n             now=""'
+    assert second.startswith("  Page 2: WARN | similarity=0.988 (1.2% pixels differ)\nLINE DIFF") and second.count("REMOVED") == 20
+    assert "BOLD CHANGED: 'w0', 'w1', 'w2', 'w3', 'w4', 'w5'\nFONT SIZE CHANGED: 'it's' (9pt)\n" in second
+    assert "LIST ALIGNMENT SHIFTED: \"don't\", 'say \"no\"', 'a\\\\b'\nGRAPHICS CHANGE: shapes 1 to 2\n[SIGNATURE CANDIDATE near 'SIGNATURE']" in second and "kept back" not in second
+    assert third.startswith("  Page ?: INSERTED (is_blank_page=false)")
+    assert out[2] == "No visual diff data available."
+    assert out[3].startswith("\nDOCUMENT-LEVEL CHANGES:\nMETADATA CHANGES (document properties):\n  Title: '' → 'B'\nFORM FIELD STRUCTURE CHANGES:\n  REMOVED FIELDS: gone\n  FIELD TYPE CHANGED: 'f0' text → date\n") and out[3].count("TYPE CHANGED") == 5
+    assert context.compare_context_text(told.where("false"), changes.where("false"), metadata.where("false"), fields.where("false")).count() == 0
+
+
+def test_page_images_without_alignment(spark):
+    from formcheck.operators import context
+
+    pages = spark.createDataFrame([(1, "expected", 1, "a"), (1, "actual", 1, "b"), (2, "expected", 3, "c"), (2, "actual", 5, "d"), (2, "actual", 3, None)], "pair_id long, side string, page int, image string")
+    aligned = spark.createDataFrame([(1, 1, "deleted", 1, None), (1, 2, "inserted", None, 1)], "pair_id long, row_no int, op string, expected_page int, actual_page int")
+    got = sorted((r.pair_id, r.row_no, r.op, r.expected_image or "", r.actual_image or "", r.label) for r in context.page_image_pairs(aligned, pages).collect())
+    assert got == [
+        (1, 1, "deleted", "a", "", "BASELINE page 1 — DELETED (no match in current)"), (1, 2, "inserted", "", "b", "CURRENT page 1 — INSERTED (no match in baseline)"),
+        (2, 1, "page", "c", "", "page 3"), (2, 2, "page", "", "d", "page 5"),
+    ]
+
+
+def test_overlapping_boxes_of_any_scale(spark):
+    """A box of a million points a side among small ones, against every pair; two boxes of one number are no pair."""
+    random = np.random.default_rng(5)
+    rows = [(1, 1, 0, -5e5, -5e5, 5e5, 5e5), (1, 1, 1, 1e6, 0.0, 2e6, 1e6), (1, 2, 0, 0.0, 0.0, 1e9, 1e9), (1, 2, 5, 0.0, 0.0, 0.0, 9.0), (1, 2, 6, None, 0.0, 1.0, 1.0)]
+    for k in range(2, 120):
+        x, y = random.random(2) * 900
+        w, h = random.random(2) * 60
+        rows.append((1, 1, k, float(x), float(y), float(x + w), float(y + h)))
+    rows += [(2, 1, 1, 0.0, 0.0, 5.0, 5.0), (2, 1, 1, 1.0, 1.0, 6.0, 6.0), (2, 1, 2, 5.0, 5.0, 9.0, 9.0)]
+    boxes = spark.createDataFrame(rows, "doc_id long, page int, box_id int, x0 double, top double, x1 double, bottom double")
+    expected = set()
+    for a in rows:
+        for b in rows:
+            if a[:2] == b[:2] and a[2] < b[2] and None not in (a[3], b[3]) and a[3] < a[5] and b[3] < b[5] and a[3] < b[5] and b[3] < a[5] and a[4] < b[6] and b[4] < a[6]:
+                expected.add((a[0], a[1], a[2], b[2]))
+    assert {(r.doc_id, r.page, r.box_id, r.other_id) for r in O.overlapping_boxes(boxes).collect()} == expected
+    sides = [np.array(x) for x in zip(*((r[3], r[5], r[4], r[6]) for r in rows if r[:2] == (1, 1)), strict=True)]
+    assert {tuple(sorted(p)) for p in zip(*(x.tolist() for x in O.swept_pairs(*sides, at_once=7)), strict=True)} == {(a, b) for _, page, a, b in expected if page == 1 and _ == 1}

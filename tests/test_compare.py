@@ -1,6 +1,9 @@
 """Comparison helpers: alignment, regions, lines, shapes, text changes."""
 
+import time
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from formcheck.operators import alignment as A
 from formcheck.operators import compare as O
@@ -170,3 +173,82 @@ def test_formatting_sentences(spark):
     out = {r.pair_id: r.summary for r in O.diff_summaries(changes, formats=sentences).collect()}
     assert out == {1: '  REMOVED: "x"\n  FORMATTING: ' + text, 2: '  REMOVED: "y"'}
     assert [r.summary for r in O.diff_summaries(changes.where("pair_id = 3"), formats=sentences).collect()] == ["FORMATTING: " + text]
+
+
+def test_page_similarity_by_prefixes(spark):
+    """As the whole join above the bound, with a word on every page; frequent words form no rows."""
+    random = np.random.default_rng(6)
+    rows = []
+    for pair in range(3):
+        for page in range(1, 31):
+            own = [f"w{k}" for k in random.integers(0, 20_000, 40)] + [f"hot{k}" for k in range(10)]
+            rows.append((pair, "expected", page, " ".join(own)))
+            changed = [w if random.random() > 0.1 else f"new{random.integers(0, 900)}" for w in own]
+            rows.append((pair, "actual", page, " ".join(changed)))
+    rows += [(9, "expected", 1, ""), (9, "actual", 1, None), (9, "expected", 2, "one"), (9, "actual", 2, "One one")]
+    pages = spark.createDataFrame(rows, "pair_id long, side string, page int, text string")
+    key = lambda df: {(r.pair_id, r.expected_page, r.actual_page): round(r.similarity, 12) for r in df.collect()}
+    whole = key(O.page_similarity(pages))
+    for least in (0.3, 0.5, 0.6, 0.9, 1.0):
+        assert key(O.page_similarity(pages, least)) == {k: v for k, v in whole.items() if v >= least}
+    words = pages.selectExpr("pair_id", "side", "page", "explode(array_distinct(split(lower(text), ' '))) AS word").where("word <> ''")
+    assert len(whole) > 2700 and O.similar_candidates(words, 0.6).count() < len(whole) / 10
+
+
+def test_align_page_texts_equals_the_joined_similarity(spark):
+    random = np.random.default_rng(7)
+    rows = []
+    for pair in range(12):
+        texts = [" ".join(f"w{k}" for k in random.integers(0, 30, 12)) for _ in range(12)]
+        for side in ("expected", "actual"):
+            kept = [t for t in texts if random.random() > 0.2]
+            rows += [(pair, side, 3 * k, t + (" x" if random.random() > 0.5 else "")) for k, t in enumerate(kept)]
+    rows += [(90, "actual", 1, None), (91, "expected", 5, "a"), (91, "expected", 6, "b"), (91, "actual", 1, "b")]
+    pages = spark.createDataFrame(rows, "pair_id long, side string, page int, text string")
+    numbered = pages.selectExpr("pair_id", "side", "text", "row_number() OVER (PARTITION BY pair_id, side ORDER BY page) AS page")
+    counts = pages.groupBy("pair_id").pivot("side", ["expected", "actual"]).count().fillna(0).toDF("pair_id", "n_expected", "n_actual")
+    own = lambda df: sorted(map(tuple, df.select("pair_id", "row_no", "op", F.coalesce("expected_page", F.lit(0)), F.coalesce("actual_page", F.lit(0))).collect()))
+    assert own(A.align_page_texts(pages)) == own(A.align_pages(counts, O.page_similarity(numbered)))
+
+
+def test_line_numbers():
+    random = np.random.default_rng(8)
+    for _ in range(200):
+        tops = np.sort(np.round(random.random(random.integers(0, 60)) * 40, random.integers(0, 3)))
+        anchor, line, expected = None, 0, []
+        for top in tops:
+            if anchor is None or top - anchor > 4.0:
+                anchor, line = top, line + 1
+            expected.append(line)
+        assert O.line_numbers(tops, 4.0).tolist() == expected
+    assert O.line_numbers(np.array([np.nan, np.nan, 1.0, 2.0]), 4.0).tolist() == [1, 2, 3, 3]
+
+    def taken(n):
+        tops = np.arange(n) * 0.5
+        at = time.perf_counter()
+        O.line_numbers(tops, 4.0)
+        return time.perf_counter() - at
+
+    taken(1000)
+    assert taken(100_000) < 400 * max(taken(1000), 1e-4)  # in proportion; by squares it would be 10,000 times
+
+
+def test_cluster_lines_of_one_large_page(spark):
+    words = spark.range(30_000).selectExpr("1L AS doc_id", "1 AS page", "CAST(id AS INT) AS word_no", "'word' AS text", "CAST(id % 10 AS DOUBLE) AS x0", "0.0D AS x1", "CAST(floor(id / 10) * 12 AS DOUBLE) AS top", "0.0D AS bottom")
+    lined = O.cluster_lines(words)
+    assert lined.count() == 30_000 and lined.agg(F.max("line"), F.max("pos")).first()[:] == (3000, 10)
+
+
+def test_format_changes_with_odd_words(spark):
+    one = (7, 1, 1, 1)
+    rows = [
+        (*one, 1, "expected", "a", "Arial", 10.0, 0.0), (*one, 1, "actual", "a", "Arial-Bold", 10.0, 0.0),
+        (*one, 2, "expected", "b", None, 10.0, None), (*one, 2, "actual", "b", "Arial", 14.0, 9.0),
+        (*one, 3, "expected", " ", "Arial", 10.0, 0.0), (*one, 3, "actual", "c", "Arial", 20.0, 90.0),
+        (*one, 4, "actual", "d", "Arial", 20.0, 90.0), (*one, 5, "expected", "(a)", "Arial", 9.0, 0.0), (*one, 5, "actual", "(a)", "Arial", 9.0, 6.0),
+        (7, None, 1, 1, 1, "expected", "x", "Arial", 9.0, 0.0), (7, None, 1, 1, 1, "actual", "x", "Arial", 19.0, 0.0), (*one, 6, "other", "x", "Arial", 19.0, 0.0),
+    ]
+    words = spark.createDataFrame(rows, "pair_id long, page int, para int, line int, pos int, side string, text string, fontname string, size double, x0 double")
+    got = {(r.pos, r.change): (r.e_size, r.a_size, r.x_shift) for r in O.format_changes(words).where("page IS NOT NULL").collect()}
+    assert got == {(1, "bold_added"): (10.0, 10.0, 0.0), (2, "larger"): (10.0, 14.0, None), (5, "list_shift"): (9.0, 9.0, 6.0)}
+    assert O.format_changes(words.where("false")).count() == 0
