@@ -32,14 +32,16 @@ from formcheck.llm.words import bytes_of, slices
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: Bytes of text in a batch, about.
-BATCH = 1 << 19
+#: Bytes of text in a batch, about: its row stays small for the JVM. Bytes of pre-tokens that a worker keeps for each side.
+BATCH, KEPT = 3 << 17, 12_000_000
 BLANK = 0x20
 
 
 class PlainEncoder(Encoder):
     """The byte-level tokenizer; special strings inside texts are plain text."""
 
+    most = KEPT
+
     def __init__(self, path: str):
         super().__init__(path)
         self.special = None
@@ -49,6 +51,8 @@ class PieceEncoder(Encoder):
     """A piece tokenizer whose pieces have blanks only at their start: a text is cut before each run of blanks, and the
     library encodes each such part once. Ids as the library gives them for the whole text without its first blank."""
 
+    most = KEPT
+
     class _Plain:
         special: dict = {}
 
@@ -205,7 +209,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first:
 
 def _batches(rows: DataFrame, first: str, second: str) -> DataFrame:
     """One row per batch of documents: batch (its name), per document id, n_a, n_b, n_groups, n_links, sha; its different
-    pairs (a << 32 | b), the most frequent first, with counts; and pair by pair number of all its links."""
+    pairs (a << 32 | b), the most frequent first, with counts; and pair by pair number of all its links, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = side(first), side(second)
@@ -219,6 +223,7 @@ def _batches(rows: DataFrame, first: str, second: str) -> DataFrame:
                 sha = [hashlib.sha256(s).hexdigest() if has else "" for s, has in zip(strings, (n_a > 0).tolist(), strict=True)]
                 pair = own.a[own.link_a].astype(np.int64) << 32 | own.b[own.link_b]
                 kinds, number, times = np.unique(pair, return_inverse=True, return_counts=True)
+                # Small numbers for frequent pairs: they compress well.
                 order = np.argsort(-times, kind="stable")
                 rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(len(order), dtype=np.int32)
@@ -226,12 +231,12 @@ def _batches(rows: DataFrame, first: str, second: str) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column(0))
                 numbers = (n_a, count(own.b_row), count(own.group_row), count(own.a_row[own.link_a]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([secrets.token_hex(12)]), listed, *(whole(x, pa.int64()) for x in numbers), whole(sha, pa.string()), whole(kinds[order], pa.int64()), whole(times[order], pa.int64()), whole(rank[number], pa.int32())],
+                    [pa.array([secrets.token_hex(12)]), listed, *(whole(x, pa.int64()) for x in numbers), whole(sha, pa.string()), whole(kinds[order], pa.int64()), whole(times[order], pa.int64()), pa.array([pa.compress(rank[number].tobytes(), "zstd", asbytes=True)], pa.binary())],
                     ["batch", "ids", "n_a", "n_b", "n_groups", "n_links", "sha", "pairs", "times", "linked"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"batch string, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, pairs array<long>, times array<long>, linked array<int>")
+    return rows.mapInArrow(run, f"batch string, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, pairs array<long>, times array<long>, linked binary")
 
 
 def _counted(written: DataFrame) -> DataFrame:
@@ -262,15 +267,15 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, n_a, n_b, n_groups, n_links, sha, linked = (batch.column(c)[k].values for c in range(7))
+                ids, n_a, n_b, n_groups, n_links, sha = (batch.column(c)[k].values for c in range(6))
                 count, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if batch.column(7)[k].is_valid:
                     own = batch.column(7)[k].values
                     place = own.field(0).to_numpy()
                     count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
                     count[place], best[place] = own.field(1).to_numpy(), own.field(2).to_numpy(zero_copy_only=False)
-                linked = linked.to_numpy()
                 bound = np.append(0, np.cumsum(n_links.to_numpy()))
+                linked = np.frombuffer(pa.decompress(batch.column(6)[k].as_py(), int(bound[-1]) * 4, "zstd", asbytes=True), np.int32)
                 over = lambda x: np.diff(np.append(0, np.cumsum(x[linked]))[bound])  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([ids, n_a, n_b, n_groups, n_links, pa.array(over(best)), pa.array(over(count)), sha], ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
