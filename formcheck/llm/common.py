@@ -62,8 +62,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def settle(spark: SparkSession) -> None:
     """Let the driver drop what finished phases have left: Spark deletes shuffle files when their plans are collected,
-    which an idle driver puts off for up to half an hour (spark.cleaner.periodicGC.interval)."""
+    which an idle driver puts off for up to half an hour (spark.cleaner.periodicGC.interval). The scheduler holds the last
+    job's plan until the next one, so a small one is run."""
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
 
 

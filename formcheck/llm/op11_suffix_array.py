@@ -35,9 +35,9 @@ from formcheck.llm.words import bytes_of, mix, slices
 #: Bytes of a gram; bytes from which on a repeat counts (at least GRAM); windows hashed at a time.
 GRAM, LEAST, BLOCK = 16, 50, 1 << 17
 #: Anchors that a task gathers before it passes them on.
-GATHERED = 1 << 20
-#: Different snippets of a bin, about; an anchor that has more goes by windows.
-BIN = 20_000
+GATHERED = 1 << 19
+#: Different snippets of a bin, about; an anchor that has more than MOST goes by windows.
+BIN, MOST = 5_000, 20_000
 #: At most this many anchors can have more than 1/HOT of all kinds each.
 HOT = 200
 #: Random 64-bit value of each byte, from a fixed seed.
@@ -148,42 +148,49 @@ def _places(texts: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, "h long, d long, id long, at long, size int")
 
 
-def _listed(kinds: DataFrame) -> DataFrame:
-    """kinds(h, d, low, high, at, size) in lists of their smallest documents, written."""
+def _listed(kinds: DataFrame, high: bool) -> DataFrame:
+    """kinds(h, d, low, high, at, size) in lists of their smallest documents, written. high: with the largest one as well."""
     # A group is what one document has: bounded by its text.
-    return materialise(kinds.groupBy(F.col("low").alias("id")).agg(F.collect_list(F.struct("h", "d", "high", "at", "size")).alias("own")), "listed-kinds", "zstd")
+    own = F.struct("h", "d", *(["high"] if high else []), "at", "size")
+    return materialise(kinds.groupBy(F.col("low").alias("id")).agg(F.collect_list(own).alias("own")), "listed-kinds", "zstd")
 
 
 def _with_bytes(texts: DataFrame, own: DataFrame) -> DataFrame:
-    """The kinds of _listed() as (h, d, low, high, snippet): size bytes at `at` of document low."""
+    """The kinds of _listed() as (h, d, low, high if listed, snippet): size bytes at `at` of document low."""
+    names = own.schema["own"].dataType.elementType.names[:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 text, offsets = bytes_of(part.column(1))
                 row = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
-                h, d, high, at, size = part.column(2).flatten().flatten()
+                h, d, *high, at, size = part.column(2).flatten().flatten()
                 size = size.to_numpy().astype(np.int64)
                 data = ragged(text, offsets[row] + at.to_numpy(), size)
                 snippet = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([h, d, part.column(0).take(pa.array(row)), high, snippet], ["h", "d", "low", "high", "snippet"])
+                yield pa.RecordBatch.from_arrays([h, d, *high, part.column(0).take(pa.array(row)), snippet], [*names, "low", "snippet"])
 
-    return texts.join(own.hint("merge"), "id").mapInArrow(run, "h long, d long, low long, high long, snippet binary")
+    return texts.join(own.hint("merge"), "id").mapInArrow(run, ", ".join(f"{n} long" for n in (*names, "low")) + ", snippet binary")
 
 
 def suffix_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of the suffixes data[start:end], shorter ones first among equals; lcp[k] is what order[k - 1] and
     order[k] have in common, lcp[0] = 0."""
     size = end - start
-    width = int(size.max())
-    rows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(width, np.uint8)), width)[start]
-    rows[np.arange(width) >= size[:, None]] = 0
-    keyed = np.concatenate([rows, size[:, None].astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
-    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{width + 4}").ravel(), kind="stable")
-    rows, size = rows[order], size[order]
-    unlike = rows[1:] != rows[:-1]
-    common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
-    return order, np.append(0, np.minimum(common, np.minimum(size[1:], size[:-1])))
+    n, width = len(size), int(size.max())
+    # Each suffix, zeros after its end, and its size, which tells zeros of its own from those.
+    rows = np.empty((n, width + 4), np.uint8)
+    rows[:, :width] = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(width, np.uint8)), width)[start]
+    rows[:, :width][np.arange(width) >= size[:, None]] = 0
+    rows[:, width:] = size[:, None].astype(">u4").view(np.uint8).reshape(-1, 4)
+    order = np.argsort(rows.view(f"S{width + 4}").ravel(), kind="stable")
+    lcp = np.zeros(n, np.int64)
+    for k in range(1, n, 1 << 15):
+        a, b = order[k - 1 : min(n, k + (1 << 15)) - 1], order[k : k + (1 << 15)]
+        unlike = rows[a, :width] != rows[b, :width]
+        common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width)
+        lcp[k : k + len(a)] = np.minimum(common, np.minimum(size[a], size[b]))
+    return order, lcp
 
 
 def intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -320,8 +327,8 @@ class Repeats:
         del kinds
         settle(self.spark)
 
-    def in_bins(self, step, schema: str) -> DataFrame:
-        """step(table, least) for the kinds (h, d, low, high, snippet) of the anchors that have several but no more than BIN:
+    def in_bins(self, step, schema: str, high: bool = False) -> DataFrame:
+        """step(table, least) for the kinds (h, d, low, high if asked for, snippet) of the anchors that have several but no more than MOST:
         each task takes them in the order of their anchors, in bins of whole anchors."""
         least = self.least
 
@@ -342,8 +349,8 @@ class Repeats:
             if held:
                 yield from step(pa.Table.from_batches(held).combine_chunks(), least).to_batches()
 
-        calm = self.kinds.join(F.broadcast(self._hot()), "h", "left_anti")
-        own = _listed(calm.join(self.sizes.where(F.col("unlike") <= BIN).hint("merge"), "h"))
+        calm = self.kinds.select("h", "d", "low", *(["high"] if high else []), "at", "size").join(F.broadcast(self._hot()), "h", "left_anti")
+        own = _listed(calm.join(self.sizes.where(F.col("unlike") <= MOST).select("h").hint("merge"), "h"), high)
         self.tables.append(own)
         settle(self.spark)
         some = _with_bytes(self.texts, own)
@@ -352,17 +359,17 @@ class Repeats:
         return some.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, schema)
 
     def _hot(self) -> DataFrame:
-        """The anchors with more than BIN kinds and more than 1/HOT of all: at most HOT."""
+        """The anchors with more than MOST kinds and more than 1/HOT of all: at most HOT."""
         total = self.sizes.agg(F.sum("unlike")).first()[0] or 0
-        return self.sizes.where((F.col("unlike") > BIN) & (F.col("unlike") * HOT > F.lit(total))).select("h")
+        return self.sizes.where((F.col("unlike") > MOST) & (F.col("unlike") * HOT > F.lit(total))).select("h")
 
     def windows(self) -> DataFrame | None:
-        """(h, d, low, place, content, least_low, greatest_high) of the windows of the anchors with more than BIN kinds, and
+        """(h, d, low, place, content, least_low, greatest_high) of the windows of the anchors with more than MOST kinds, and
         what documents have the same bytes; None where there are no such anchors."""
-        large = self.sizes.where(F.col("unlike") > BIN)
+        large = self.sizes.where(F.col("unlike") > MOST)
         if not large.limit(1).count():
             return None
-        self.tables.append(_listed(join_groups(self.kinds, large, ["h"], "unlike")))
+        self.tables.append(_listed(join_groups(self.kinds, large, ["h"], "unlike"), True))
         cut = _with_bytes(self.texts, self.tables[-1])
         cut = cut.select("h", "d", "low", "high", "snippet", F.explode(F.sequence(F.lit(0), F.length("snippet") - self.least)).alias("place"))
         cut = cut.select("h", "d", "low", "high", "place", F.substring("snippet", F.col("place") + 1, self.least).alias("content"))
@@ -423,11 +430,11 @@ def _placed(found: Repeats, verdicts: DataFrame) -> DataFrame:
 def maximal_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Repeats of at least `least` bytes that two rows share, with all their occurrences: repeat (64 bits of a digest),
     length, id, start (bytes). A repeat is maximal within the snippets of its anchor (2 * least - 16 bytes at most), so
-    a longer one comes as the chain of its parts; those of anchors with more than BIN snippets come as windows of `least`
+    a longer one comes as the chain of its parts; those of anchors with more than MOST snippets come as windows of `least`
     bytes. Null texts are empty; rows with a null id or a repeated one stand for themselves."""
     rows, key = keyed(df, id_col)
     found = Repeats(_texts(rows, key, text_col), least)
-    groups = found.in_bins(_groups, "repeat long, length int, h long, d long, place int")
+    groups = found.in_bins(_groups, "repeat long, length int, h long, d long, place int", True)
     if (windows := found.windows()) is not None:
         groups = groups.unionByName(windows.where("least_low < greatest_high").select(F.xxhash64("content").alias("repeat"), F.lit(least).alias("length"), "h", "d", "place"))
     # d is the digest that names a repeat: of a snippet that two documents share whole.

@@ -60,7 +60,8 @@ def test_op11_equals_brute_force(spark, monkeypatch):
     check_removal(spark, [(2 * i, t) for i, t in rows], 50)
     check_removal(spark, rows[:60], 20)
     # Small bins and blocks, and anchors with more snippets than a bin holds.
-    monkeypatch.setattr(op11_suffix_array, "BIN", 3)
+    monkeypatch.setattr(op11_suffix_array, "BIN", 2)
+    monkeypatch.setattr(op11_suffix_array, "MOST", 3)
     monkeypatch.setattr(op11_suffix_array, "BLOCK", 64)
     monkeypatch.setattr(op11_suffix_array, "GATHERED", 200)
     check_removal(spark, rows[:80], 50)
