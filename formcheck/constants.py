@@ -95,3 +95,20 @@ CONTEXT_CHANGES, CONTEXT_WORDS, CONTEXT_TYPES, CONTEXT_LONG, CONTEXT_SHORT, CONT
 # Labels of page images in a request.
 IMAGE_DELETED, IMAGE_INSERTED = "BASELINE page %s — DELETED (no match in current)", "CURRENT page %s — INSERTED (no match in baseline)"
 IMAGE_MATCHED, IMAGE_PAGE = "BASELINE page %s matched to CURRENT page %s", "page %s"
+
+# Accessibility findings: type to severity, criterion and text.
+_LABEL = "1.3.1 Info and Relationships (Level A)"
+ACCESSIBILITY = {
+    "missing_label": ("high", _LABEL, "Form field '%s' has no accessible label or tooltip."),
+    "missing_language": ("medium", "3.1.1 Language of Page (Level A)", "PDF document does not declare a language (lang attribute missing)."),
+    "missing_title": ("medium", "2.4.2 Page Titled (Level A)", "PDF does not have a descriptive document title."),
+    "unlabeled_signature": ("high", _LABEL, "Signature field '%s' lacks an accessible label."),
+    "image_only_page": ("medium", "1.1.1 Non-text Content (Level A)", "Page %s appears to contain little or no text — may be an image-only page with no alt text."),
+    "unexplained_required_indicator": ("low", "3.3.2 Labels or Instructions (Level A)", "Form uses asterisks (*) or 'required' labels but may not explain their meaning to all users."),
+}
+
+# Expressions for list markers, bold fonts, signature fields, required marks and what explains them.
+LIST_MARKER = r"^(\([a-zA-Z0-9]\)|[a-zA-Z]\.|[0-9]+\.|\([ivxIVX]+\)|[ivxIVX]+\.|[•‣◦⁃∙\-–])$"
+BOLD_FONT = "bold|heavy|black|,b|-bd|-b,|-b$"
+SIGNATURE_FIELD = "(?i)sign|signature|authorized|approval"
+REQUIRED_MARK, REQUIRED_TOLD = r"(?i)\*|required|mandatory", r"(?i)\*\s*(=|means?|denotes?|indicates?|required)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from formcheck.constants import OTHER_SEVERITY, SEVERITIES, SIGNATURE_WORDS, WATERMARKS
+from formcheck.constants import BOLD_FONT, LIST_MARKER, OTHER_SEVERITY, SEVERITIES, SIGNATURE_WORDS, WATERMARKS
 
 
 def rank_of(column: Column, order: list[str], other: int) -> Column:
@@ -99,11 +99,11 @@ def time_ago(ts: Column, now: Column) -> Column:
 
 
 def is_list_marker(text: Column) -> Column:
-    return F.trim(F.coalesce(text, F.lit(""))).rlike(r"^(\([a-zA-Z0-9]\)|[a-zA-Z]\.|[0-9]+\.|\([ivxIVX]+\)|[ivxIVX]+\.|[•‣◦⁃∙\-–])$")
+    return F.trim(F.coalesce(text, F.lit(""))).rlike(LIST_MARKER)
 
 
 def is_bold_font(font: Column) -> Column:
-    return F.lower(F.coalesce(font, F.lit(""))).rlike("bold|heavy|black|,b|-bd|-b,|-b$")
+    return F.lower(F.coalesce(font, F.lit(""))).rlike(BOLD_FONT)
 
 
 def is_watermark(text: Column) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from formcheck import constants as K
 from formcheck.functions import scalars as S
 
-LABEL, LANGUAGE, TITLE, IMAGE, REQUIRED = "1.3.1 Info and Relationships (Level A)", "3.1.1 Language of Page (Level A)", "2.4.2 Page Titled (Level A)", "1.1.1 Non-text Content (Level A)", "3.3.2 Labels or Instructions (Level A)"
 PLACEHOLDER = r"(?i)lorem ipsum|\btest data\b|\bsample\b|\btbd\b|\bn/a\b|\[insert"
 
 
@@ -98,15 +97,20 @@ def request_rows(test_cases: DataFrame, texts: DataFrame, page_texts: DataFrame
     return rows.select("test_case_id", "doc_id", "mode", cut("text", 0), *more)
 
 
-def _issue(rows: DataFrame, kind: str, severity: str, criterion: str, text: Column, field: Column | None = None, page: Column | None = None) -> DataFrame:
-    return rows.select("doc_id", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), (F.lit(None) if field is None else field).cast("string").alias("field_name"), (F.lit(None) if page is None else page).cast("int").alias("page"), text.alias("description"), F.lit(criterion).alias("wcag_criterion"))
+def _issue(rows: DataFrame, kind: str, field: Column | None = None, page: Column | None = None) -> DataFrame:
+    """Findings of a kind; its text names the field or the page, if it has a place for one."""
+    severity, criterion, text = K.ACCESSIBILITY[kind]
+    named = [c.cast("string") for c in (field, page) if c is not None]
+    told = F.format_string(text, *named) if "%s" in text else F.lit(text)
+    null = F.lit(None)
+    return rows.select("doc_id", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), (null if field is None else field).cast("string").alias("field_name"), (null if page is None else page).cast("int").alias("page"), told.alias("description"), F.lit(criterion).alias("wcag_criterion"))
 
 
 def missing_label(fields: DataFrame, most: int = 10) -> DataFrame:
     label = F.trim(S.pick_first(F.col("label"), F.col("tooltip"), F.lit(" ")))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("tab_order", "field_name"))
     rows = fields.where(F.length(label) < 2).withColumn("nth", nth).where(F.col("nth") <= most)
-    return _issue(rows, "missing_label", "high", LABEL, F.concat(F.lit("Form field '"), "field_name", F.lit("' has no accessible label or tooltip.")), F.col("field_name"))
+    return _issue(rows, "missing_label", F.col("field_name"))
 
 
 def _meta(docs: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
@@ -115,26 +119,26 @@ def _meta(docs: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def missing_language(docs: DataFrame, meta: DataFrame) -> DataFrame:
-    return _issue(_meta(docs, meta, ["language", "lang"]).where("value IS NULL"), "missing_language", "medium", LANGUAGE, F.lit("PDF document does not declare a language (lang attribute missing)."))
+    return _issue(_meta(docs, meta, ["language", "lang"]).where("value IS NULL"), "missing_language")
 
 
 def missing_title(docs: DataFrame, meta: DataFrame) -> DataFrame:
-    return _issue(_meta(docs, meta, ["title"]).where("value IS NULL OR lower(value) = 'untitled'"), "missing_title", "medium", TITLE, F.lit("PDF does not have a descriptive document title."))
+    return _issue(_meta(docs, meta, ["title"]).where("value IS NULL OR lower(value) = 'untitled'"), "missing_title")
 
 
 def unlabeled_signature(fields: DataFrame) -> DataFrame:
-    rows = fields.where(F.col("field_name").rlike("(?i)sign|signature|authorized|approval") & (F.coalesce("label", F.lit("")) == ""))
-    return _issue(rows, "unlabeled_signature", "high", LABEL, F.concat(F.lit("Signature field '"), "field_name", F.lit("' lacks an accessible label.")), F.col("field_name"))
+    rows = fields.where(F.col("field_name").rlike(K.SIGNATURE_FIELD) & (F.coalesce("label", F.lit("")) == ""))
+    return _issue(rows, "unlabeled_signature", F.col("field_name"))
 
 
 def image_only_page(pages: DataFrame) -> DataFrame:
     rows = pages.where(F.length(F.trim("text")) < 20)
-    return _issue(rows, "image_only_page", "medium", IMAGE, F.format_string("Page %d appears to contain little or no text — may be an image-only page with no alt text.", "page"), page=F.col("page"))
+    return _issue(rows, "image_only_page", page=F.col("page"))
 
 
 def unexplained_required(texts: DataFrame) -> DataFrame:
-    rows = texts.where(F.col("text").rlike(r"(?i)\*|required|mandatory") & ~F.col("text").rlike(r"(?i)\*\s*(=|means?|denotes?|indicates?|required)"))
-    return _issue(rows, "unexplained_required_indicator", "low", REQUIRED, F.lit("Form uses asterisks (*) or 'required' labels but may not explain their meaning to all users."))
+    rows = texts.where(F.col("text").rlike(K.REQUIRED_MARK) & ~F.col("text").rlike(K.REQUIRED_TOLD))
+    return _issue(rows, "unexplained_required_indicator")
 
 
 def check_accessibility(pages: DataFrame, fields: DataFrame, meta: DataFrame) -> DataFrame:

@@ -178,15 +178,22 @@ def unexplained_required(t: Tables) -> DataFrame:
     return O.unexplained_required(O.document_text(doc_pages(t))).select("doc_id")
 
 
-_FINDING = "SELECT doc_id, '{}' AS type, '{}' AS severity, {} AS field_name, CAST({} AS INT) AS page, {} AS description, '{}' AS wcag_criterion FROM ({}) x"
+def _finding(kind: str, name: str | None, rows: str) -> str:
+    """A kind of accessibility finding in SQL; name: what its text names."""
+    severity, criterion, text = K.ACCESSIBILITY[kind]
+    told = " || ".join(_text(x) for x in text.split("%s")) if name is None else f" || {name} || ".join(_text(x) for x in text.split("%s"))
+    field, page = (name if name == c else "NULL" for c in ("field_name", "page"))
+    return f"SELECT doc_id, '{kind}' AS type, '{severity}' AS severity, {field} AS field_name, CAST({page} AS INT) AS page, {told} AS description, '{criterion}' AS wcag_criterion FROM ({rows}) x"
+
+
 _META_DUCKDB = "SELECT d.doc_id, v FROM (SELECT DISTINCT doc_id FROM ({})) d LEFT JOIN (SELECT page_id, nullif(trim({}), '') AS v FROM pages) m ON d.doc_id = page_id"
-_ACCESS = " UNION ALL ".join(_FINDING.format(*x) for x in [
-    ("missing_label", "high", "field_name", "NULL", "'Form field ''' || field_name || ''' has no accessible label or tooltip.'", O.LABEL, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tab_order, field_name) AS n FROM ({FIELDS}) f WHERE length(trim(coalesce(nullif(label, ''), nullif(tooltip, ''), ''))) < 2) y WHERE n <= 10"),
-    ("missing_language", "medium", "NULL", "NULL", "'PDF document does not declare a language (lang attribute missing).'", O.LANGUAGE, f"SELECT * FROM ({_META_DUCKDB.format(PAGES, """CASE WHEN page_id % 5 = 0 THEN '' ELSE regexp_extract(html, 'lang="([a-z]*)"', 1) END""")}) y WHERE v IS NULL"),
-    ("missing_title", "medium", "NULL", "NULL", "'PDF does not have a descriptive document title.'", O.TITLE, f"SELECT * FROM ({_META_DUCKDB.format(PAGES, "CASE WHEN page_id % 7 = 0 THEN ' Untitled ' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END")}) y WHERE v IS NULL OR lower(v) = 'untitled'"),
-    ("unlabeled_signature", "high", "field_name", "NULL", "'Signature field ''' || field_name || ''' lacks an accessible label.'", O.LABEL, f"SELECT * FROM ({FIELDS}) f WHERE regexp_matches(lower(field_name), 'sign|signature|authorized|approval') AND coalesce(label, '') = ''"),
-    ("image_only_page", "medium", "NULL", "page", "'Page ' || page || ' appears to contain little or no text — may be an image-only page with no alt text.'", O.IMAGE, f"SELECT * FROM ({PAGES}) p WHERE length(trim(text)) < 20"),
-    ("unexplained_required_indicator", "low", "NULL", "NULL", "'Form uses asterisks (*) or ''required'' labels but may not explain their meaning to all users.'", O.REQUIRED, f"SELECT * FROM (SELECT doc_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY page) AS text FROM ({PAGES}) p WHERE trim(text) <> '' GROUP BY doc_id) y WHERE regexp_matches(text, '(?i)\\*|required|mandatory') AND NOT regexp_matches(text, '(?i)\\*\\s*(=|means?|denotes?|indicates?|required)')"),
+_ACCESS = " UNION ALL ".join(_finding(*x) for x in [
+    ("missing_label", "field_name", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tab_order, field_name) AS n FROM ({FIELDS}) f WHERE length(trim(coalesce(nullif(label, ''), nullif(tooltip, ''), ''))) < 2) y WHERE n <= 10"),
+    ("missing_language", None, f"SELECT * FROM ({_META_DUCKDB.format(PAGES, """CASE WHEN page_id % 5 = 0 THEN '' ELSE regexp_extract(html, 'lang="([a-z]*)"', 1) END""")}) y WHERE v IS NULL"),
+    ("missing_title", None, f"SELECT * FROM ({_META_DUCKDB.format(PAGES, "CASE WHEN page_id % 7 = 0 THEN ' Untitled ' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END")}) y WHERE v IS NULL OR lower(v) = 'untitled'"),
+    ("unlabeled_signature", "field_name", f"SELECT * FROM ({FIELDS}) f WHERE regexp_matches(lower(field_name), 'sign|signature|authorized|approval') AND coalesce(label, '') = ''"),
+    ("image_only_page", "page", f"SELECT * FROM ({PAGES}) p WHERE length(trim(text)) < 20"),
+    ("unexplained_required_indicator", None, f"SELECT * FROM (SELECT doc_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY page) AS text FROM ({PAGES}) p WHERE trim(text) <> '' GROUP BY doc_id) y WHERE regexp_matches(text, '(?i)\\*|required|mandatory') AND NOT regexp_matches(text, '(?i)\\*\\s*(=|means?|denotes?|indicates?|required)')"),
 ])
 
 
