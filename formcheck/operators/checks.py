@@ -307,6 +307,6 @@ def required_empty(fields: DataFrame) -> DataFrame:
 
 
 def watermark_once(words: DataFrame) -> DataFrame:
-    """The first stamp word of each document."""
+    """The first stamp word of each document; of words at one place the least."""
     rows = words.where(S.is_watermark(F.col("text")) & (F.trim("text") != ""))
-    return rows.groupBy("doc_id").agg(F.min_by(F.struct("page", F.upper(F.trim("text")).alias("stamp")), F.struct("page", "word_no")).alias("x")).select("doc_id", "x.page", "x.stamp")
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("page", F.upper(F.trim("text")).alias("stamp")), F.struct("page", "word_no", F.upper(F.trim("text")).alias("stamp"))).alias("x")).select("doc_id", "x.page", "x.stamp")

@@ -318,7 +318,7 @@ def required_empty(t: Tables) -> DataFrame:
 _STAMPS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS page, CAST(l_partkey AS BIGINT) AS word_no, CASE l_suppkey % 4 WHEN 0 THEN 'Draft' WHEN 1 THEN ' SAMPLE ' ELSE 'text' END AS text FROM {lineitem}"
 
 
-@query("watermark_once", f"SELECT doc_id, arg_min(page, k) AS page, arg_min(upper(trim(text)), k) AS stamp FROM (SELECT *, CAST(page AS BIGINT) * 1000000000 + word_no AS k FROM ({_STAMPS}) s WHERE upper(trim(text)) IN ('{K.WATERMARKS[2]}', '{K.WATERMARKS[1]}')) x GROUP BY doc_id")
+@query("watermark_once", f"SELECT doc_id, arg_min(page, k) AS page, arg_min(upper(trim(text)), row(k, upper(trim(text)))) AS stamp FROM (SELECT *, CAST(page AS BIGINT) * 1000000000 + word_no AS k FROM ({_STAMPS}) s WHERE upper(trim(text)) IN ('{K.WATERMARKS[2]}', '{K.WATERMARKS[1]}')) x GROUP BY doc_id")
 def watermark_once(t: Tables) -> DataFrame:
     return O.watermark_once(t.spark.sql(_STAMPS, lineitem=t.lineitem))
 
