@@ -19,6 +19,8 @@ from formcheck.functions import scalars as S
 THRESHOLD = 25
 GRID_COLUMNS, GRID_ROWS, CELL_PCT, REGIONS = 8, 14, 8.0, 8
 RASTER = "struct<diff_pct:double,similarity:double,bbox:array<int>,bbox_area_pct:double,zone_pcts:map<string,double>,regions:array<array<int>>,blank:boolean>"
+#: Pairs of pages of one document pair that are compared in one task.
+TOGETHER = 1 << 18
 PLACE = ["pair_id", "page", "para", "line", "pos"]
 RASTER_COLUMNS = ["diff_pct", "similarity", "bbox", "bbox_area_pct", "zone_pcts", "regions", "blank"]
 
@@ -115,15 +117,43 @@ def diff_flags(rows: DataFrame) -> DataFrame:
     return rows.withColumn("major", major & ~clear_major).withColumn("warn", warn & ~clear_both & (~major | clear_major))
 
 
-def page_words() -> Column:
+def page_words(text: Column | str = "text") -> Column:
     """The different words of a page's text, lower-cased."""
-    return F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != ""))
 
 
 def page_similarity(pages: DataFrame, least: float = 0.0) -> DataFrame:
     """pages(pair_id, side expected|actual, page, text): token overlap (Jaccard) of the pages of a pair, from `least` on; at 0
     of all that share a word.
 
+    A pair's texts are brought together once and its pages compared where they are; words form no rows. Pairs with more
+    than TOGETHER pairs of pages, if there are any, are too much for a task and go by joins (far_similarity)."""
+    sided = lambda s: F.count_if(F.col("side") == s)
+    pages = pages.where("pair_id IS NOT NULL AND page IS NOT NULL")
+    far = pages.groupBy("pair_id").agg((sided("expected") * sided("actual")).alias("met")).where(F.col("met") > TOGETHER).select("pair_id")
+    if not far.limit(1).count():
+        return near_similarity(pages, least)
+    return near_similarity(pages.join(far, "pair_id", "left_anti"), least).unionByName(far_similarity(pages.join(far, "pair_id", "left_semi"), least))
+
+
+def near_similarity(pages: DataFrame, least: float) -> DataFrame:
+    """page_similarity() of pairs whose pages fit one task: a pair's texts in one row."""
+    listed = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("page", "text")))
+    pairs = pages.groupBy("pair_id").agg(listed("expected").alias("e"), listed("actual").alias("a"))
+    words = lambda c: F.transform(c, lambda p: F.struct(p["page"].alias("page"), page_words(p["text"]).alias("words"))).alias(c)
+    size = lambda p: F.size(p["words"])
+    near = lambda x, y: F.least(size(x), size(y)) >= F.greatest(size(x), size(y)) * F.lit(least) - 1e-9
+    met = lambda x, y: F.struct(x["page"].alias("expected_page"), y["page"].alias("actual_page"), F.size(F.array_intersect(x["words"], y["words"])).alias("same"), (size(x) + size(y)).alias("n"))
+    others = lambda x: F.filter("a", lambda y: near(x, y)) if least > 0 else F.col("a")
+    rows = F.flatten(F.transform("e", lambda x: F.transform(others(x), lambda y: met(x, y))))
+    likeness = lambda m: m["same"] / (m["n"] - m["same"])
+    told = F.transform(F.filter(rows, lambda m: m["same"] > 0), lambda m: F.struct(m["expected_page"].alias("expected_page"), m["actual_page"].alias("actual_page"), likeness(m).alias("similarity")))
+    return pairs.select("pair_id", words("e"), words("a")).select("pair_id", F.inline(F.filter(told, lambda m: m["similarity"] >= least)))
+
+
+def far_similarity(pages: DataFrame, least: float) -> DataFrame:
+    """page_similarity() by joins, for pairs of any number of pages.
+
     Above 0 the join is on prefixes: a page's words stand with the rarest of the pair first, and two pages that are similar
     enough share one of so many first words that the rest could not make up for it. Words of most pages come last, so
     they form no rows; what meets is then compared whole. Pages of fewer than `least` times the other's words never meet."""

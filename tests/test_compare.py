@@ -252,3 +252,33 @@ def test_format_changes_with_odd_words(spark):
     got = {(r.pos, r.change): (r.e_size, r.a_size, r.x_shift) for r in O.format_changes(words).where("page IS NOT NULL").collect()}
     assert got == {(1, "bold_added"): (10.0, 10.0, 0.0), (2, "larger"): (10.0, 14.0, None), (5, "list_shift"): (9.0, 9.0, 6.0)}
     assert O.format_changes(words.where("false")).count() == 0
+
+
+def test_page_texts_of_a_document_travel_once(spark):
+    """The words of pages form no rows that are shuffled: texts are dealt by pair, and pages are cut where documents stand."""
+    from formcheck.plans.compare_queries import page_texts
+    from formcheck.sources.fixtures import Tables
+
+    texts = page_texts(Tables(spark, "/root/testdata/sf0.001"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(texts)
+    assert plan(O.page_similarity(texts, 0.6)).count("Exchange hashpartitioning") == 1
+
+
+def test_page_similarity_of_large_pairs_goes_by_joins(spark, monkeypatch):
+    from formcheck.plans.compare_queries import page_texts
+    from formcheck.sources.fixtures import Tables
+
+    pages = page_texts(Tables(spark, "/root/testdata/sf0.001")).where("pair_id < 60")
+    rows = lambda least: sorted((*r[:3], round(r[3], 12)) for r in O.page_similarity(pages, least).collect())
+    near = rows(0.0), rows(0.6)
+    monkeypatch.setattr(O, "TOGETHER", 4)
+    assert (rows(0.0), rows(0.6)) == near and len(near[0]) > len(near[1]) > 0
+
+
+def test_repeated_documents_are_paged_as_their_lines(spark, tmp_path):
+    from formcheck.sources.fixtures import Tables
+
+    spark.createDataFrame([(1, "a\nb\nc\nd\ne\nf"), (2, "x"), (1, "a\ng"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: [(p.page, [(x.line_no, x.line) for x in p.lines]) for p in r.pages] for r in Tables(spark, str(tmp_path)).paged_documents().collect()}
+    assert got == {1: [(1, [(0, "a"), (0, "a"), (1, "b"), (1, "g"), (2, "c"), (3, "d"), (4, "e")]), (2, [(5, "f")])], 2: [(1, [(0, "x")])]}
