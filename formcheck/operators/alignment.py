@@ -23,8 +23,10 @@ Likeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Size of a thumbnail (columns, rows), and the luma difference from which on a pixel has changed.
 THUMBNAIL, CHANGED = (150, 210), 25
 MATCH, DELETE, INSERT = 0, 1, 2
-#: Thumbnails compared at a time.
+#: Thumbnails made or compared at a time.
 AT_ONCE = 64
+#: Pairs that are aligned at a time, and cells (pages x different words) of a pair whose overlaps are taken all at once.
+ROWS, CELLS = 256, 1 << 22
 #: First width of the band beyond the difference of the page counts.
 SLACK = 8
 SCHEMA = "row_no int, op string, expected_page int, actual_page int"
@@ -95,69 +97,122 @@ def _one_to_one(counts: DataFrame) -> DataFrame:
     return equal.select("pair_id", "row_no", F.lit("matched").alias("op"), F.col("row_no").alias("expected_page"), F.col("row_no").alias("actual_page"))
 
 
+def _rows(pairs: pa.Array, aligned: list[list[tuple[str, int | None, int | None]]]) -> pa.RecordBatch:
+    """Rows of the alignments of some pairs, pages from 1."""
+    sizes = [len(steps) for steps in aligned]
+    steps = [s for own in aligned for s in own]
+    page = lambda k: pa.array([None if s[k] is None else s[k] + 1 for s in steps], pa.int32())
+    numbers = np.concatenate([np.zeros(0, np.int32), *(np.arange(1, n + 1, dtype=np.int32) for n in sizes)])
+    columns = [pairs.take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(numbers, pa.int32()), pa.array([s[0] for s in steps], pa.string()), page(1), page(2)]
+    return pa.RecordBatch.from_arrays(columns, ["pair_id", "row_no", "op", "expected_page", "actual_page"])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, ROWS):
+        yield batch.slice(k, ROWS)
+
+
+def one_to_one(n: int) -> list[tuple[str, int, int]]:
+    return [("matched", k, k) for k in range(n)]
+
+
 def align_pages(counts: DataFrame, similarity: DataFrame) -> DataFrame:
     """counts(pair_id, n_expected, n_actual) and similarity(pair_id, expected_page, actual_page, similarity), pages
     from 1: (pair_id, row_no, op, expected_page, actual_page). Pairs of pages without a row have similarity 0. Equal page
-    counts align one to one."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return EMPTY
-        n, m = int(left.n_expected.iloc[0]), int(left.n_actual.iloc[0])
-        key = (right.expected_page.to_numpy(np.int64) - 1) * m + right.actual_page.to_numpy(np.int64) - 1
-        order = np.argsort(key)
-        key, value = np.append(key[order], n * m), np.append(right.similarity.to_numpy(float)[order], 0.0)
+    counts align one to one. A pair is one row with its similarities, so a batch holds many."""
 
-        def likeness(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(key, i * m + j)
-            return np.where(key[at] == i * m + j, value[at], 0.0)
-
-        return _frame(left.pair_id.iloc[0], align(n, m, likeness))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole)):
+            out, listed = [], batch.column("listed")
+            starts, items = listed.offsets.to_numpy(), listed.values
+            i, j, s = (items.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for row, (n, m) in enumerate(zip(batch.column("n_expected").to_pylist(), batch.column("n_actual").to_pylist(), strict=True)):
+                if n == m:
+                    out.append(one_to_one(n))
+                    continue
+                own = slice(starts[row], starts[row + 1])
+                out.append(align(n, m, _listed(i[own].astype(np.int64) - 1, j[own].astype(np.int64) - 1, s[own].astype(float), n, m)))
+            yield _rows(batch.column("pair_id"), out)
 
-    other = counts.where("n_expected <> n_actual")
     kind = counts.schema["pair_id"].dataType.simpleString()
     # Renamed, as both sides may stem from one table.
-    pairs = similarity.select(F.col("pair_id").alias("pair"), "expected_page", "actual_page", "similarity")
-    aligned = other.groupBy("pair_id").cogroup(pairs.join(other.select(F.col("pair_id").alias("pair")), "pair", "left_semi").groupBy("pair")).applyInPandas(run, f"pair_id {kind}, {SCHEMA}")
-    return _one_to_one(counts).unionByName(aligned)
+    pairs = similarity.groupBy(F.col("pair_id").alias("pair")).agg(F.collect_list(F.struct("expected_page", "actual_page", "similarity")).alias("listed"))
+    rows = counts.select("pair_id", "n_expected", "n_actual").join(pairs, F.col("pair_id") == F.col("pair"), "left")
+    listed = F.when((F.col("n_expected") != F.col("n_actual")) & F.col("listed").isNotNull(), F.col("listed")).otherwise(F.array().cast(pairs.schema["listed"].dataType))
+    return rows.select("pair_id", "n_expected", "n_actual", listed.alias("listed")).mapInArrow(run, f"pair_id {kind}, {SCHEMA}")
+
+
+def _listed(i: np.ndarray, j: np.ndarray, s: np.ndarray, n: int, m: int) -> Likeness:
+    """Likeness by listed cells; the others have none."""
+    key = i * m + j
+    order = np.argsort(key)
+    key, value = np.append(key[order], n * m), np.append(s[order], 0.0)
+
+    def likeness(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(key, i * m + j)
+        return np.where(key[at] == i * m + j, value[at], 0.0)
+
+    return likeness
+
+
+def _overlap(sides: list[list[np.ndarray]]) -> Likeness:
+    """Likeness by the words of pages, given as numbers: each different word of a page once."""
+    whole = np.concatenate([np.zeros(0, np.int64), *sides[0], *sides[1]])
+    vocabulary, codes = np.unique(whole, return_inverse=True)
+    ends = np.cumsum([len(w) for side in sides for w in side])
+    parts = np.split(codes, ends[:-1]) if len(ends) else []
+    numbers = parts[: len(sides[0])], parts[len(sides[0]) :]
+    sizes = [np.array([len(w) for w in side], np.int64) for side in sides]
+    if (len(sides[0]) + len(sides[1])) * len(vocabulary) <= CELLS:
+        held = [np.zeros((len(side), len(vocabulary)), np.float32) for side in sides]
+        for rows, side in zip(held, numbers, strict=True):
+            for k, w in enumerate(side):
+                rows[k, w] = 1
+        # Sums of ones below 2^24 are exact.
+        same = (held[0] @ held[1].T).astype(np.int64)
+        table = same / np.maximum(1, sizes[0][:, None] + sizes[1][None, :] - same)
+        return lambda i, j: table[i, j]
+    seen = np.zeros(len(vocabulary), bool)
+
+    def likeness(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i))
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            a, b = numbers[0][x], numbers[1][y]
+            seen[a] = True
+            same = int(seen[b].sum())
+            seen[a] = False
+            out[k] = same / max(1, len(a) + len(b) - same)
+        return out
+
+    return likeness
 
 
 def align_page_texts(pages: DataFrame) -> DataFrame:
     """pages(pair_id, side expected|actual, page, text): as align_pages() by token overlap (Jaccard), which is taken for the page
-    pairs of the band alone, whatever words the pages share. Pages are taken in the order of their numbers and
-    numbered from 1. Pairs of unequal counts are grouped with one 64-bit number a different word and page."""
+    pairs of the band alone where a pair is large, whatever words the pages share. Pages are taken in the order of their
+    numbers and numbered from 1. Texts are dealt once by pair; to Python go pairs of unequal counts, with one 64-bit number a
+    different word and page."""
     from formcheck.operators.compare import page_words
 
-    sided = lambda s: F.count_if(F.col("side") == s)
-    counts = pages.groupBy("pair_id").agg(sided("expected").alias("n_expected"), sided("actual").alias("n_actual"))
-    words = F.coalesce(F.array_sort(F.transform(page_words(), lambda w: F.xxhash64(w))), F.array().cast("array<bigint>"))
-    told = pages.select("pair_id", "side", "page", words.alias("words"))
-    told = told.join(counts.where("n_expected <> n_actual").select("pair_id"), "pair_id", "left_semi")
+    listed = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("page", "text")))).alias(s)
+    pairs = pages.groupBy("pair_id").agg(listed("expected"), listed("actual"))
+    n, m = F.size("expected"), F.size("actual")
+    empty = F.array().cast("array<bigint>")
+    words = lambda c: F.when(n != m, F.transform(c, lambda p: F.coalesce(F.transform(page_words(p["text"]), lambda w: F.xxhash64(w)), empty))).otherwise(F.array().cast("array<array<bigint>>")).alias(c)
+    rows = pairs.select("pair_id", n.alias("n_expected"), m.alias("n_actual"), words("expected"), words("actual"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        some = left if len(left) else right
-        if not len(some):
-            return EMPTY
-        sides = [list(x.sort_values("number").listed) for x in (left, right)]
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *sides[0], *sides[1]]))
-        numbers = [[np.searchsorted(vocabulary, w) for w in side] for side in sides]
-        seen = np.zeros(len(vocabulary), bool)
-
-        def likeness(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(i))
-            for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-                a, b = numbers[0][x], numbers[1][y]
-                seen[a] = True
-                same = int(seen[b].sum())
-                seen[a] = False
-                out[k] = same / max(1, len(a) + len(b) - same)
-            return out
-
-        return _frame(some.iloc[0, 0], align(len(sides[0]), len(sides[1]), likeness))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole)):
+            out, sides = [], []
+            for c in ("expected", "actual"):
+                column = batch.column(c)
+                sides.append((column.offsets.to_numpy(), column.values.offsets.to_numpy(), column.values.values.to_numpy()))
+            own = lambda side, row: [side[2][side[1][k] : side[1][k + 1]] for k in range(side[0][row], side[0][row + 1])]
+            for row, (n, m) in enumerate(zip(batch.column("n_expected").to_pylist(), batch.column("n_actual").to_pylist(), strict=True)):
+                out.append(one_to_one(n) if n == m else align(n, m, _overlap([own(side, row) for side in sides])))
+            yield _rows(batch.column("pair_id"), out)
 
-    kind = pages.schema["pair_id"].dataType.simpleString()
-    side = lambda s, name: told.where(F.col("side") == s).select(F.col("pair_id").alias(name), F.col("page").alias("number"), F.col("words").alias("listed")).groupBy(name)
-    return _one_to_one(counts).unionByName(side("expected", "pair").cogroup(side("actual", "other")).applyInPandas(run, f"pair_id {kind}, {SCHEMA}"))
+    return rows.mapInArrow(run, f"pair_id {pages.schema['pair_id'].dataType.simpleString()}, {SCHEMA}")
 
 
 @lru_cache(maxsize=64)
@@ -190,7 +245,7 @@ def thumbnails(pages: DataFrame) -> DataFrame:
     from formcheck.operators.compare import luma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, AT_ONCE) for whole in batches for k in range(0, whole.num_rows, AT_ONCE)):
             out = []
             for w, h, data in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "pixels")), strict=True):
                 if not data:

@@ -282,3 +282,42 @@ def test_repeated_documents_are_paged_as_their_lines(spark, tmp_path):
     spark.createDataFrame([(1, "a\nb\nc\nd\ne\nf"), (2, "x"), (1, "a\ng"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: [(p.page, [(x.line_no, x.line) for x in p.lines]) for p in r.pages] for r in Tables(spark, str(tmp_path)).paged_documents().collect()}
     assert got == {1: [(1, [(0, "a"), (0, "a"), (1, "b"), (1, "g"), (2, "c"), (3, "d"), (4, "e")]), (2, [(5, "f")])], 2: [(1, [(0, "x")])]}
+
+
+def test_alignment_takes_many_pairs_in_a_task_at_once(spark):
+    """No group of frames for each pair: pairs are rows of batches."""
+    pages = spark.createDataFrame([(1, "expected", 1, "a b"), (1, "expected", 2, "c"), (1, "actual", 1, "c"), (2, "actual", 4, "x"), (2, "expected", 4, "y")], "pair_id long, side string, page int, text string")
+    counts = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 0, 0), (4, 0, 1)], "pair_id long, n_expected int, n_actual int")
+    own = lambda df: sorted(map(tuple, df.select("pair_id", "row_no", "op", F.coalesce("expected_page", F.lit(0)), F.coalesce("actual_page", F.lit(0))).collect()))
+    similar = O.page_similarity(pages)
+    for df, more in ((A.align_page_texts(pages), []), (A.align_pages(counts, similar), [(4, 1, "inserted", 0, 1)])):
+        assert "CoGroup" not in df._jdf.queryExecution().executedPlan().toString()
+        assert own(df) == [(1, 1, "deleted", 1, 0), (1, 2, "matched", 2, 1), (2, 1, "matched", 1, 1), *more]
+
+
+def test_overlap_of_a_large_pair_equals_the_table(monkeypatch):
+    random = np.random.default_rng(8)
+    sides = [[np.unique(random.integers(0, 40, size)) for size in random.integers(0, 30, 9)] for _ in range(2)]
+    i, j = (x.ravel() for x in np.indices((9, 9)))
+    table = A._overlap(sides)(i, j)
+    monkeypatch.setattr(A, "CELLS", 0)
+    assert np.array_equal(A._overlap(sides)(i, j), table)
+
+
+def test_thumbnails_leave_in_small_batches():
+    """A batch of pages is turned into thumbnails some at a time, so what a worker holds does not follow the batch."""
+    import pyarrow as pa
+
+    class Pages:
+        schema = {c: type("Field", (), {"dataType": type("Kind", (), {"simpleString": staticmethod(lambda: "int")})}) for c in ("pair_id", "side", "page")}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            n = 200
+            columns = [pa.array([1] * n), pa.array(["actual"] * n), pa.array(range(n)), pa.array([1] * n), pa.array([1] * n), pa.array([b"\0"] * n)]
+            return list(run(iter([pa.RecordBatch.from_arrays(columns, ["pair_id", "side", "page", "width", "height", "pixels"])])))
+
+    sizes = [b.num_rows for b in A.thumbnails(Pages())]
+    assert sum(sizes) == 200 and max(sizes) <= A.AT_ONCE
