@@ -288,36 +288,49 @@ def paragraph_diff(pages: DataFrame) -> DataFrame:
     return rows.select("pair_id", "page", "change_no", "c.*")
 
 
+def page_changes(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0, each: bool = False) -> DataFrame:
+    """(pair_id, page, changes): for each page its bold, size or shift changes of words at the same place, in order. words(pair_id, page,
+    side, para, line, pos, text, fontname, size, x0) of corresponding paragraphs, or pages of them (pair_id, page, words): these
+    are compared where they stand, while single words are dealt by page first. `each`: a row for each change. Memory is that of a page."""
+    place = ["para", "line", "pos"]
+    if "words" not in words.columns:
+        own = F.struct(*place, "side", "text", "fontname", "size", "x0")
+        words = words.repartition("pair_id", "page").groupBy("pair_id", "page").agg(F.collect_list(own).alias("words"))
+    held = F.filter("words", lambda w: (F.trim(w["text"]) != "") & w["side"].isin("expected", "actual"))
+    # The two words of a place come next to each other.
+    told = lambda w: F.struct(*[w[c].alias(c) for c in place], (w["side"] == "actual").alias("now"), F.trim(w["text"]).alias("text"), S.is_bold_font(w["fontname"]).alias("bold"), w["size"].alias("size"), w["x0"].alias("x0"))
+    pages = words.select("pair_id", "page", F.sort_array(F.transform(held, told)).alias("w"))
+    met = F.filter(F.transform("w", lambda a, k: F.struct(a.alias("a"), F.get("w", k - 1).alias("e"))), lambda m: m["a"]["now"] & ~m["e"]["now"] & (m["e"]["para"] == m["a"]["para"]) & (m["e"]["line"] == m["a"]["line"]) & (m["e"]["pos"] == m["a"]["pos"]))
+
+    def changes(m: Column) -> Column:
+        a, e = m["a"], m["e"]
+        marker, shift, grown = S.is_list_marker(a["text"]), a["x0"] - e["x0"], a["size"] - e["size"]
+        kinds = F.array_compact(F.array(
+            F.when(a["bold"] & ~e["bold"], "bold_added").when(e["bold"] & ~a["bold"], "bold_removed"),
+            F.when((e["size"] > 0) & (a["size"] > 0) & (F.abs(grown) > size_tolerance), F.when(grown > 0, "larger").otherwise("smaller")),
+            F.when((F.abs(shift) > list_shift) & marker, "list_shift").when((F.abs(shift) > body_shift) & ~marker, "body_shift"),
+        ))
+        row = lambda kind: F.struct(*[a[c].alias(c) for c in place], a["text"].alias("text"), F.round(shift, 1).alias("x_shift"), e["size"].alias("e_size"), a["size"].alias("a_size"), kind.alias("change"))
+        return F.transform(kinds, row)
+
+    told = F.flatten(F.transform(met, changes))
+    return pages.select("pair_id", "page", F.inline(told) if each else told.alias("changes"))
+
+
 def format_changes(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0) -> DataFrame:
-    """words(pair_id, page, side, para, line, pos, text, fontname, size, x0) of corresponding paragraphs: one row per
-    bold, size or shift change of words at the same place.
-
-    Both sides are dealt by page at once, and a page in order has the two words of a place next to each other; what ranks
-    or counts by page after that needs no further shuffle. Font names and the expected text stay behind."""
-    now = F.col("side") == "actual"
-    text = F.trim("text")
-    written = words.where((text != "") & F.col("side").isin("expected", "actual")).select(*PLACE, now.alias("now"), F.when(now, text).alias("text"), S.is_bold_font(F.col("fontname")).alias("bold"), "size", "x0")
-    before = F.lag(F.struct("para", "line", "pos", "now", "bold", "size", "x0")).over(Window.partitionBy("pair_id", "page").orderBy("para", "line", "pos", "now"))
-    e = F.col("e")
-    same = F.col("now") & ~e["now"] & (e["para"] == F.col("para")) & (e["line"] == F.col("line")) & (e["pos"] == F.col("pos"))
-    both = written.withColumn("e", before).where(same)
-    marker, shift, grown = S.is_list_marker(F.col("text")), F.col("x0") - e["x0"], F.col("size") - e["size"]
-    kinds = F.array_compact(F.array(
-        F.when(F.col("bold") & ~e["bold"], "bold_added").when(e["bold"] & ~F.col("bold"), "bold_removed"),
-        F.when((e["size"] > 0) & (F.col("size") > 0) & (F.abs(grown) > size_tolerance), F.when(grown > 0, "larger").otherwise("smaller")),
-        F.when(marker & (F.abs(shift) > list_shift), "list_shift").when(~marker & (F.abs(shift) > body_shift), "body_shift"),
-    ))
-    return both.select(*PLACE, "text", F.round(shift, 1).alias("x_shift"), e["size"].alias("e_size"), F.col("size").alias("a_size"), F.explode(kinds).alias("change"))
+    """The changes of page_changes(), each a row."""
+    return page_changes(words, size_tolerance, body_shift, list_shift, each=True)
 
 
 def format_diff(words: DataFrame, size_tolerance: float = 1.2, body_shift: float = 15.0, list_shift: float = 5.0, least_body: int = 3, most: int = 30) -> DataFrame:
-    """The first 30 format changes of each kind on a page; shifts of body text count from three a page on. The rank
-    is limited in each task before the shuffle, and counts are taken of what it leaves."""
-    rows = format_changes(words, size_tolerance, body_shift, list_shift)
-    w = Window.partitionBy("pair_id", "page", "change")
-    rows = rows.withColumn("nth", F.row_number().over(w.orderBy("para", "line", "pos"))).where(F.col("nth") <= max(most, least_body))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(w)).where((F.col("nth") <= most) & ((F.col("change") != "body_shift") | (F.col("n") >= least_body)))
-    return rows.drop("n", "e_size", "a_size")
+    """The first 30 format changes of each kind on a page; shifts of body text count from three a page on."""
+    pages = page_changes(words, size_tolerance, body_shift, list_shift)
+    kinds = ["bold_added", "bold_removed", "larger", "smaller", "list_shift", "body_shift"]
+    kind = lambda k: lambda c: c["change"] == k
+    own = pages.select("pair_id", "page", F.explode(F.array(*[F.filter("changes", kind(k)) for k in kinds])).alias("own"))
+    own = own.where((F.size("own") >= least_body) | ((F.size("own") > 0) & (F.col("own")[0]["change"] != "body_shift")))
+    rows = own.select("pair_id", "page", F.posexplode(F.slice("own", 1, most)).alias("nth", "c"))
+    return rows.select("pair_id", "page", *[F.col(f"c.{c}").alias(c) for c in ("para", "line", "pos", "text", "x_shift", "change")], (F.col("nth") + 1).alias("nth"))
 
 
 def _quoted(text: Column) -> Column:
@@ -325,20 +338,23 @@ def _quoted(text: Column) -> Column:
 
 
 def formatting_sentences(changes: DataFrame, shown: int = 5, least_body: int = 3) -> DataFrame:
-    """format_changes -> (pair_id, page, formatting): one sentence per page with changes: the first five words of a
-    kind, and the numbers of body words moved right and left from three a page on."""
-    size = F.col("change").isin("larger", "smaller")
-    group = F.when(size, "size").otherwise(F.col("change"))
-    text = F.when(size, F.concat(_quoted(F.col("text")), F.lit(" ("), F.col("e_size").cast("string"), F.lit("pt→"), F.col("a_size").cast("string"), F.lit("pt)"))).otherwise(_quoted(F.col("text")))
-    rows = changes.where("change <> 'body_shift'").select(*PLACE, group.alias("kind"), text.alias("word"))
-    nth = F.row_number().over(Window.partitionBy("pair_id", "page", "kind").orderBy("para", "line", "pos"))
-    item = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("nth", "word")))), lambda x: x["word"]), ", ")
-    first = rows.withColumn("nth", nth).where(F.col("nth") <= shown).groupBy("pair_id", "page").agg(*[item(k).alias(k) for k, _ in K.FORMAT_TEXTS])
-    moved = changes.where("change = 'body_shift'").groupBy("pair_id", "page").agg(F.count_if(F.col("x_shift") > 0).alias("right"), F.count_if(F.col("x_shift") < 0).alias("left")).where(F.col("right") + F.col("left") >= least_body)
-    both = first.join(moved, ["pair_id", "page"], "full_outer")
+    """Changes of format_changes() or page_changes() -> (pair_id, page, formatting): one sentence per page with changes: the first
+    five words of a kind, and the numbers of body words moved right and left from three a page on."""
+    if "changes" not in changes.columns:
+        row = F.struct("para", "line", "pos", "text", "x_shift", "e_size", "a_size", "change")
+        changes = changes.repartition("pair_id", "page").groupBy("pair_id", "page").agg(F.sort_array(F.collect_list(row)).alias("changes"))
+    size = lambda c: c["change"].isin("larger", "smaller")
+    kind = lambda k: lambda c: size(c) if k == "size" else c["change"] == k
+    word = lambda c: F.when(size(c), F.concat(_quoted(c["text"]), F.lit(" ("), c["e_size"].cast("string"), F.lit("pt→"), c["a_size"].cast("string"), F.lit("pt)"))).otherwise(_quoted(c["text"]))
+    first = [F.array_join(F.transform(F.slice(F.filter("changes", kind(k)), 1, shown), word), ", ").alias(k) for k, _ in K.FORMAT_TEXTS]
+    moved = lambda on: lambda c: (c["change"] == "body_shift") & on(c["x_shift"])
+    counts = [F.size(F.filter("changes", moved(on))).alias(d) for d, on in (("right", lambda x: x > 0), ("left", lambda x: x < 0))]
+    both = changes.select("pair_id", "page", *first, *counts)
     parts = [F.when(F.col(k) != "", F.concat(F.lit(t), F.col(k))) for k, t in K.FORMAT_TEXTS]
-    parts += [F.when(F.col(d) > 0, F.concat(F.col(d).cast("string"), F.lit(f" body text element(s) indented {d}"))) for d in ("right", "left")]
-    return both.select("pair_id", "page", F.concat_ws(" | ", *parts).alias("formatting")).where("formatting <> ''")
+    enough = F.col("right") + F.col("left") >= least_body
+    parts += [F.when(enough & (F.col(d) > 0), F.concat(F.col(d).cast("string"), F.lit(f" body text element(s) indented {d}"))) for d in ("right", "left")]
+    # A filter on the sentence would be evaluated again on what it is made of.
+    return both.select("pair_id", "page", F.explode(F.filter(F.array(F.concat_ws(" | ", *parts)), lambda x: x != "")).alias("formatting"))
 
 
 def diff_summaries(changes: DataFrame, limit: int = 20, formats: DataFrame | None = None) -> DataFrame:

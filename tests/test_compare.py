@@ -321,3 +321,15 @@ def test_thumbnails_leave_in_small_batches():
 
     sizes = [b.num_rows for b in A.thumbnails(Pages())]
     assert sum(sizes) == 200 and max(sizes) <= A.AT_ONCE
+
+
+def test_formats_of_pages_are_compared_where_they_stand(spark):
+    """No shuffle of words, and the ordered words of a page are made once."""
+    from formcheck.plans import compare_queries as Q
+    from formcheck.sources.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df in (Q.formatting_sentences(t), Q.format_diff(t)):
+        execution = df._jdf.queryExecution()
+        assert "Exchange" not in execution.executedPlan().toString()
+        assert execution.optimizedPlan().toString().count("sort_array(") == 1
