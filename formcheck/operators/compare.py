@@ -225,32 +225,60 @@ def line_numbers(tops: np.ndarray, tolerance: float) -> np.ndarray:
     return np.cumsum(lines, dtype=np.int32)
 
 
+def lined_pages(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """(doc_id, page, words): the words of a page as structs with `line` and `pos`, in that order. words(doc_id, page, word_no, text, x0,
+    x1, top, bottom, ...), or pages of them (doc_id, page, words array of structs): these are lined where they stand, while
+    single words are dealt by page once. Memory is that of a page."""
+    own = words.schema["words"].dataType.elementType.names if "words" in words.columns else [c for c in words.columns if c not in ("doc_id", "page")]
+    if "words" not in words.columns:
+        stamp = S.is_watermark(F.col("text"))
+        words = words.where(~stamp).groupBy("doc_id", "page").agg(F.collect_list(F.struct(*own)).alias("words"))
+    rest = [c for c in own if c not in ("x0", "top", "word_no")]
+    item = lambda w: F.struct(w["top"].cast("double").alias("top"), w["word_no"].cast("int").alias("word_no"), w["x0"].alias("x0"), *[w[c].alias(c) for c in rest])
+    # Missing tops stand first.
+    kept = F.sort_array(F.transform(F.filter("words", lambda w: ~S.is_watermark(w["text"])), item))
+    pages = words.select("doc_id", "page", F.explode(F.filter(F.array(kept), lambda a: F.size(a) > 0)).alias("items"))
+
+    @F.pandas_udf("struct<line:array<int>,first:array<int>>")
+    def numbered(tops: pd.Series) -> pd.DataFrame:
+        lines = [line_numbers(np.array(x, np.float64), tolerance) for x in tops]
+        return pd.DataFrame({"line": lines, "first": [np.searchsorted(x, x, "left").astype(np.int32) for x in lines]})
+
+    lines = pages.select("doc_id", "page", "items", numbered(F.transform("items", lambda w: w["top"])).alias("n"))
+    place = lambda w, k: F.struct(F.col("n.line")[k].alias("line"), *[w[c].alias(c) for c in ("x0", "top", "word_no")], F.col("n.first")[k].alias("first"), *[w[c].alias(c) for c in rest])
+    told = lambda p, k: F.struct(*[p[c].alias(c) for c in own], p["line"].alias("line"), (k - p["first"] + 1).alias("pos"))
+    return lines.select("doc_id", "page", F.transform(F.sort_array(F.transform("items", place)), told).alias("words"))
+
+
 def cluster_lines(words: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """words(doc_id, page, word_no, text, x0, x1, top, bottom, ...): line number of each word. A line begins at a word
-    more than the tolerance below the line's first word; stamps and blanks are left out. One search a line in the page's
-    ordered array, as the anchor is not the word before."""
-    kept = words.where(~S.is_watermark(F.col("text")))
-    pages = kept.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(F.col("top").cast("double").alias("top"), "word_no"))).alias("items"))
+    """words(doc_id, page, word_no, text, x0, x1, top, bottom, ...), or pages of them: line number of each word, and its place in it.
+    A line begins at a word more than the tolerance below the line's first word; stamps and blanks are left out. One search a line in
+    the page's ordered array, as the anchor is not the word before."""
+    return lined_pages(words, tolerance).select("doc_id", "page", F.inline("words"))
 
-    @F.pandas_udf("array<int>")
-    def numbered(tops: pd.Series) -> pd.Series:
-        return tops.map(lambda x: line_numbers(np.array(x, np.float64), tolerance))
 
-    # Missing tops stand first in an array in ascending order; array_sort puts whole null elements last, not null fields.
-    lines = pages.select("doc_id", "page", "items", numbered(F.transform("items", lambda w: w["top"])).alias("lines"))
-    lined = lines.select("doc_id", "page", F.explode(F.arrays_zip("items", "lines")).alias("x")).select("doc_id", "page", F.col("x.items.word_no").cast("int").alias("word_no"), F.col("x.lines").alias("line"))
-    position = F.row_number().over(Window.partitionBy("doc_id", "page", "line").orderBy("x0", "top", "word_no"))
-    return kept.withColumn("word_no", F.col("word_no").cast("int")).join(lined, ["doc_id", "page", "word_no"]).withColumn("pos", position)
+def _cut(rows: DataFrame, items: str, begins, out: str) -> DataFrame:
+    """Column `items` of rows, an array, in its runs; begins(item, the one before) tells where one begins, as it does at the first."""
+    at = F.array_compact(F.transform(items, lambda x, k: F.when((k == 0) | F.coalesce(begins(x, F.get(items, k - 1)), F.lit(True)), k)))
+    run = lambda k, n: F.slice(items, k + 1, F.coalesce(F.get("at", n + 1), F.size(items)) - k)
+    # The places are a column of their own, else they would be sought again for each run.
+    return rows.withColumn("at", at).select("doc_id", "page", F.transform("at", run).alias(out))
 
 
 def cluster_paragraphs(lines: DataFrame, gap: float = 0.7) -> DataFrame:
-    """Lined words -> one row per paragraph: text, words, first and last line. A gap of more than 0.7 of the line's
-    tallest word begins a new one."""
-    per = lines.groupBy("doc_id", "page", "line").agg(F.max("bottom").alias("low"), F.min("top").alias("high"), F.max(F.col("bottom") - F.col("top")).alias("tall"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("words"))
-    w = Window.partitionBy("doc_id", "page").orderBy("line")
-    new = F.coalesce((F.col("high") - F.lag("low").over(w) > F.col("tall") * gap).cast("int"), F.lit(1))
-    numbered = per.withColumn("new", new).withColumn("para", F.sum("new").over(w))
-    return numbered.groupBy("doc_id", "page", "para").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("text"), F.sum("words").alias("words"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    """Lined words, or pages of them as lined_pages() has them -> one row per paragraph: text, words, first and last line. A gap of more
+    than 0.7 of the line's tallest word begins a new one. Memory is that of a page."""
+    if "words" not in lines.columns:
+        own = F.struct("line", "pos", "text", "top", "bottom")
+        lines = lines.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(own)).alias("words"))
+    of = lambda run, c: F.transform(run, lambda w: w[c])
+    text = lambda run: F.array_join(of(run, "text"), " ").alias("text")
+    line = lambda r: F.struct(F.array_max(of(r, "bottom")).alias("low"), F.array_min(of(r, "top")).alias("high"), F.array_max(F.transform(r, lambda w: w["bottom"] - w["top"])).alias("tall"), text(r), F.size(r).cast("long").alias("words"), r[0]["line"].alias("line"))
+    runs = _cut(lines.select("doc_id", "page", "words"), "words", lambda w, before: w["line"] != before["line"], "runs")
+    per = runs.select("doc_id", "page", F.transform("runs", line).alias("lines"))
+    paras = _cut(per, "lines", lambda x, before: x["high"] - before["low"] > x["tall"] * gap, "paras")
+    told = lambda p, k: F.struct((k + 1).cast("long").alias("para"), text(p), F.aggregate(of(p, "words"), F.lit(0).cast("long"), lambda a, n: a + n).alias("words"), p[0]["line"].alias("first_line"), F.element_at(p, -1)["line"].alias("last_line"))
+    return paras.select("doc_id", "page", F.inline(F.transform("paras", told)))
 
 
 def sequence_changes(expected: list[str], actual: list[str]) -> list[tuple[str, str, str, list[str], list[str]]]:

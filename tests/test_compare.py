@@ -333,3 +333,24 @@ def test_formats_of_pages_are_compared_where_they_stand(spark):
         execution = df._jdf.queryExecution()
         assert "Exchange" not in execution.executedPlan().toString()
         assert execution.optimizedPlan().toString().count("sort_array(") == 1
+
+
+def test_lines_and_paragraphs_of_pages_where_they_stand(spark):
+    """Single words, with a missing top, a missing left side and a number that comes twice, give what pages of them give; nothing of
+    pages is dealt anew."""
+    from formcheck.plans.compare_queries import cluster_lines, cluster_paragraphs
+    from formcheck.sources.fixtures import Tables
+
+    rows = [(1, 1, n, t, x, 9.0, y, b) for n, t, x, y, b in [(0, "b", 5.0, 0.0, 10.0), (1, "a", 1.0, 3.0, 13.0), (2, "c", None, 6.0, 16.0), (2, "d", 2.0, 6.0, 16.0), (3, "e", 0.0, 40.0, 50.0), (4, "f", 0.0, None, None), (5, "DRAFT", 0.0, 0.0, 9.0), (6, " ", 0.0, 0.0, 9.0)]]
+    rows += [(2, 1, 0, "void", 0.0, 9.0, 0.0, 10.0), (3, 1, 0, "", 0.0, 9.0, 0.0, 10.0)]
+    words = spark.createDataFrame(rows, "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    pages = words.groupBy("doc_id", "page").agg(F.collect_list(F.struct("word_no", "text", "x0", "x1", "top", "bottom")).alias("words"))
+    lined = lambda df: sorted((r.doc_id, r.word_no, r.text, r.line, r.pos) for r in O.cluster_lines(df).collect())
+    told = lambda df: sorted((r.doc_id, r.para, r.text, r.words, r.first_line, r.last_line) for r in df.collect())
+    assert lined(words) == lined(pages)
+    assert [r[1:] for r in lined(words) if r[0] == 1] == [(0, "b", 2, 2), (1, "a", 2, 1), (2, "c", 3, 1), (2, "d", 3, 2), (3, "e", 4, 1), (4, "f", 1, 1)]
+    assert told(O.cluster_paragraphs(O.cluster_lines(words))) == told(O.cluster_paragraphs(O.lined_pages(pages)))
+    assert [r[1:] for r in told(O.cluster_paragraphs(O.lined_pages(pages))) if r[0] == 1] == [(1, "f", 1, 1, 1), (2, "a b c d", 4, 2, 3), (3, "e", 1, 4, 4)]
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for rows in (cluster_lines(t), cluster_paragraphs(t)):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
