@@ -53,26 +53,38 @@ def page_inventory(pages: DataFrame, shapes: DataFrame) -> DataFrame:
     return rows.join(kinds, ["doc_id", "page"], "left").fillna(0, ["images", "lines", "rects", "curves"])
 
 
-def find_text_bbox(words: DataFrame, targets: DataFrame) -> DataFrame:
+def find_text_bbox(words: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """targets(target_id, doc_id, page, text): box of the first place where its tokens follow one another in the
     page's words, else of the first word that contains its longest token (the first of these) of five letters or more.
+    words(doc_id, page, word_no, text, x0, x1, top, bottom), or pages of both (doc_id, page, words, targets) alone: these are
+    looked up where they stand. Memory is that of a page.
 
     A page's words are one string, each between line feeds, so a place is found by one string search."""
-    word = F.translate(F.lower(F.coalesce("text", F.lit(""))), "\n", " ")
-    pages = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("word_no", word.alias("text"), "x0", "x1", "top", "bottom"))).alias("w"))
-    pages = pages.select("doc_id", "page", F.concat(F.lit("\n"), F.array_join(F.transform("w", lambda x: x["text"]), "\n"), F.lit("\n")).alias("whole"), F.transform("w", lambda x: F.struct(x["x0"], x["x1"], x["top"], x["bottom"])).alias("w"))
-    tokens = F.filter(F.split(F.lower(F.trim("text")), r"\s+"), lambda x: x != "")
-    wanted = targets.select("target_id", "doc_id", "page", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    longest = F.aggregate("tokens", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a), lambda a: F.when(F.length(a) >= 5, a))
-    wanted = wanted.select("target_id", "doc_id", "page", F.size("tokens").alias("n"), F.concat(F.lit("\n"), F.array_join("tokens", "\n"), F.lit("\n")).alias("run"), longest.alias("longest"))
-    rows = wanted.join(pages, ["doc_id", "page"])
-    place = lambda c: F.nullif(F.position(F.col(c), F.col("whole")), F.lit(0))
-    rows = rows.withColumn("start", place("run")).withColumn("at", F.coalesce("start", place("longest"))).where("at IS NOT NULL")
-    before = F.substring("whole", F.lit(1), F.col("at"))
-    number = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("hit", F.slice("w", number, F.when(F.col("start").isNotNull(), F.col("n")).otherwise(1)))
-    box = [F.array_min(F.transform("hit", lambda x: x["x0"])).alias("x0"), F.array_min(F.transform("hit", lambda x: x["top"])).alias("top"), F.array_max(F.transform("hit", lambda x: x["x1"])).alias("x1"), F.array_max(F.transform("hit", lambda x: x["bottom"])).alias("bottom")]
-    return rows.select("target_id", "doc_id", "page", F.when(F.col("start").isNotNull(), "sequence").otherwise("word").alias("found_by"), *box)
+    text = lambda w: F.translate(F.lower(F.coalesce(w["text"], F.lit(""))), "\n", " ")
+    if targets is None:
+        pages = words.where("doc_id IS NOT NULL AND page IS NOT NULL")
+    else:
+        own = F.struct("word_no", "text", "x0", "x1", "top", "bottom")
+        pages = words.groupBy("doc_id", "page").agg(F.collect_list(own).alias("words"))
+        pages = targets.select("doc_id", "page", F.array(F.struct("target_id", "text")).alias("targets")).join(pages, ["doc_id", "page"])
+    word = lambda w: F.struct(w["word_no"].alias("word_no"), text(w).alias("text"), *[w[c].alias(c) for c in ("x0", "x1", "top", "bottom")])
+    pages = pages.select("doc_id", "page", "targets", F.sort_array(F.transform("words", word)).alias("w"))
+    pages = pages.select("doc_id", "page", "targets", "w", F.concat(F.lit("\n"), F.array_join(F.transform("w", lambda x: x["text"]), "\n"), F.lit("\n")).alias("whole"))
+    tokens = lambda t: F.filter(F.split(F.lower(F.trim(t["text"])), r"\s+"), lambda x: x != "")
+    longest = lambda all_: F.aggregate(all_, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a), lambda a: F.when(F.length(a) >= 5, a))
+    place = lambda c: F.nullif(F.position(c, F.col("whole")), F.lit(0))
+    run = lambda all_: F.concat(F.lit("\n"), F.array_join(all_, "\n"), F.lit("\n"))
+    wanted = F.filter(F.transform("targets", lambda t: F.struct(t["target_id"].alias("target_id"), tokens(t).alias("tokens"))), lambda t: F.size(t["tokens"]) > 0)
+    told = F.transform(wanted, lambda t: F.struct(t["target_id"].alias("target_id"), place(run(t["tokens"])).alias("start"), t["tokens"].alias("tokens")))
+    # Only where the tokens do not follow one another is the longest looked for.
+    told = F.transform(told, lambda t: F.struct(t["target_id"].alias("target_id"), t["start"].alias("start"), F.size(t["tokens"]).alias("n"), F.when(t["start"].isNotNull(), t["start"]).otherwise(place(longest(t["tokens"]))).alias("at")))
+    before = lambda t: F.substring(F.col("whole"), F.lit(1), t["at"])
+    number = lambda t: F.length(before(t)) - F.length(F.replace(before(t), F.lit("\n"), F.lit("")))
+    hits = F.transform(F.filter(told, lambda t: t["at"].isNotNull()), lambda t: F.struct(t["target_id"].alias("target_id"), t["start"].alias("start"), F.slice("w", number(t), F.when(t["start"].isNotNull(), t["n"]).otherwise(1)).alias("hit")))
+    side = lambda of, t, c: of(F.transform(t["hit"], lambda x: x[c])).alias(c)
+    box = lambda t: [side(F.array_min, t, "x0"), side(F.array_min, t, "top"), side(F.array_max, t, "x1"), side(F.array_max, t, "bottom")]
+    rows = F.transform(hits, lambda t: F.struct(t["target_id"].alias("target_id"), F.when(t["start"].isNotNull(), "sequence").otherwise("word").alias("found_by"), *box(t)))
+    return pages.select("doc_id", "page", F.inline(rows)).select("target_id", "doc_id", "page", "found_by", "x0", "top", "x1", "bottom")
 
 
 def request_rows(test_cases: DataFrame, texts: DataFrame, page_texts: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
