@@ -248,15 +248,38 @@ def number_gaps(numbers: DataFrame) -> DataFrame:
     return gaps.select("doc_id", F.col("value").alias("after"), F.col("next").alias("before"), "kind", F.when(page, "missing_content").otherwise("format_issues").alias("bucket"), F.when(page, "medium").otherwise("low").alias("severity"))
 
 
+def _most_frequent(rows: DataFrame, items: dict[str, Column]) -> DataFrame:
+    """Rows with the most frequent item of each array, of equally frequent ones the smallest; a null is an item, too. Each step is a column
+    of its own, else it would be made again for each of its items."""
+    own = rows.columns
+    rows = rows.select(*own, *[F.sort_array(items[c]).alias(f"{c}_sorted") for c in items])
+    begins = lambda c: F.array_compact(F.transform(f"{c}_sorted", lambda x, k: F.when((k == 0) | ~x.eqNullSafe(F.get(f"{c}_sorted", k - 1)), k)))
+    rows = rows.select("*", *[begins(c).alias(f"{c}_begins") for c in items])
+    end = lambda c, n: F.coalesce(F.get(f"{c}_begins", n + 1), F.size(f"{c}_sorted"))
+    most = lambda c: F.array_min(F.transform(f"{c}_begins", lambda k, n: F.struct((k - end(c, n)).alias("n"), F.get(f"{c}_sorted", k).alias("item"))))["item"]
+    return rows.select(*own, *[most(c).alias(c) for c in items])
+
+
 def font_outliers(words: DataFrame) -> DataFrame:
     """Words whose size is over two points off their document's usual one, or whose font family differs; under eight
-    points is low, under six high."""
-    family = F.split("fontname", "-")[0]
+    points is low, under six high. words(doc_id, page, word_no, text, size, fontname), or documents of them (doc_id, words): these
+    are looked through where they stand, so the memory is that of a document."""
+    family = lambda w: F.split(w["fontname"], "-")[0]
+
+    def severity(w: Column, size: Column, usual: Column) -> Column:
+        return F.when(w["size"] < 6, "high").when(family(w) != usual, "high").when(F.abs(w["size"] - size) > 2, "medium").when(w["size"] < 8, "low")
+
+    if "words" in words.columns:
+        items = {"usual_size": F.transform("words", lambda w: w["size"]), "usual_family": F.transform("words", family)}
+        rows = _most_frequent(words.where("doc_id IS NOT NULL").select("doc_id", "words"), items)
+        judged = lambda w: F.struct(*[w[c].alias(c) for c in ("page", "word_no", "text", "size")], severity(w, F.col("usual_size"), F.col("usual_family")).alias("severity"))
+        return rows.select("doc_id", F.inline(F.filter(F.transform("words", judged), lambda w: w["severity"].isNotNull())))
+    whole = F.struct("size", "fontname")
     counts = words.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.min_by("size", F.struct((-F.col("n")).alias("n"), "size")).alias("usual_size"))
-    fonts = words.groupBy("doc_id", family.alias("family")).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.min_by("family", F.struct((-F.col("n")).alias("n"), "family")).alias("usual_family"))
+    fonts = words.groupBy("doc_id", family(whole).alias("family")).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.min_by("family", F.struct((-F.col("n")).alias("n"), "family")).alias("usual_family"))
     rows = words.join(counts, "doc_id").join(fonts, "doc_id")
-    severity = F.when(F.col("size") < 6, "high").when(family != F.col("usual_family"), "high").when(F.abs(F.col("size") - F.col("usual_size")) > 2, "medium").when(F.col("size") < 8, "low")
-    return rows.withColumn("severity", severity).where("severity IS NOT NULL").select("doc_id", "page", "word_no", "text", "size", "severity")
+    rows = rows.withColumn("severity", severity(whole, F.col("usual_size"), F.col("usual_family")))
+    return rows.where("severity IS NOT NULL").select("doc_id", "page", "word_no", "text", "size", "severity")
 
 
 def layout_outliers(boxes: DataFrame, share: float = 0.15, margin: float = 0.0, page_width: float = 612.0) -> DataFrame:

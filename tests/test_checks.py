@@ -119,3 +119,25 @@ def test_overlapping_boxes_of_any_scale(spark):
     assert {(r.doc_id, r.page, r.box_id, r.other_id) for r in O.overlapping_boxes(boxes).collect()} == expected
     sides = [np.array(x) for x in zip(*((r[3], r[5], r[4], r[6]) for r in rows if r[:2] == (1, 1)), strict=True)]
     assert {tuple(sorted(p)) for p in zip(*(x.tolist() for x in O.swept_pairs(*sides, at_once=7)), strict=True)} == {(a, b) for _, page, a, b in expected if page == 1 and _ == 1}
+
+
+def test_words_are_looked_up_where_pages_stand(spark):
+    """Pages of words and targets give what single ones give, and are not dealt anew; so are documents of words."""
+    from formcheck.plans.check_queries import font_outliers
+    from formcheck.sources.fixtures import Tables
+
+    page = ["The", "form", "no", "unsigned", None]
+    words = spark.createDataFrame([(1, 1, n, w, float(n), n + 0.5, 0.0, 1.0) for n, w in enumerate(page)], "doc_id long, page int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    targets = spark.createDataFrame([(1, 1, 1, "form  NO"), (2, 1, 1, "signed"), (3, 1, 1, ""), (4, 1, 1, None), (5, 1, 1, "x")], "target_id int, doc_id long, page int, text string")
+    listed = lambda df, c, n: df.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*c)).alias(n))
+    pages = listed(words, ["word_no", "text", "x0", "x1", "top", "bottom"], "words").join(listed(targets, ["target_id", "text"], "targets"), ["doc_id", "page"])
+    assert sorted(O.find_text_bbox(pages).collect()) == sorted(O.find_text_bbox(words, targets).collect())
+    assert {r.target_id: (r.found_by, r.x0) for r in O.find_text_bbox(pages).collect()} == {1: ("sequence", 1.0), 2: ("word", 3.0)}
+    rows = [(1, 1, n, "w", s, f) for n, (s, f) in enumerate([(10.0, "A"), (10.0, "A-Bold"), (13.0, "B"), (13.0, "A"), (7.0, "A"), (12.5, None), (5.0, "A")])] + [(2, 1, 0, "w", None, "A"), (2, 1, 1, "w", None, None), (2, 1, 2, "w", 30.0, None), (3, 2, 0, "w", 9.0, "A")]
+    single = spark.createDataFrame(rows, "doc_id long, page int, word_no int, text string, size double, fontname string")
+    whole = single.groupBy("doc_id").agg(F.collect_list(F.struct("page", "word_no", "text", "size", "fontname")).alias("words"))
+    told = lambda df: sorted((r.doc_id, r.word_no, r.severity) for r in O.font_outliers(df).collect())
+    assert told(single) == told(whole) == [(1, 2, "high"), (1, 3, "medium"), (1, 4, "medium"), (1, 5, "medium"), (1, 6, "high")]
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for df in (find_text_bbox(t), font_outliers(t)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
