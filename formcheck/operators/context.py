@@ -17,63 +17,92 @@ def quoted(text: Column) -> Column:
     return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-def _joined(order: Column, text: Column, sep: str) -> Column:
-    """Aggregate: texts in order, joined; those that are null are left out."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(order.alias("o"), text.alias("t"))))), lambda x: x["t"]), sep)
+def _told(items: Column, order: str, text, sep: str, keep=None) -> Column:
+    """Text of each struct of an array, in the order of one of its fields, joined; those that are null are left out."""
+    rows = F.transform(items if keep is None else F.filter(items, keep), lambda x: F.struct(x[order].alias("o"), text(x).alias("t")))
+    return F.array_join(F.transform(F.sort_array(F.filter(rows, lambda x: x["t"].isNotNull())), lambda x: x["t"]), sep)
+
+
+def change_line(change: Column) -> Column:
+    """Line of one change: struct of kind, expected and actual."""
+    cut = lambda c, n: F.substring(F.coalesce(change[c], F.lit("")), 1, n)
+    one = lambda head, c: F.concat(F.lit(head), cut(c, K.CONTEXT_LONG), F.lit('"'))
+    two = lambda was, now, n: F.concat(F.lit(was), cut("expected", n), F.lit(f'"\n{now}'), cut("actual", n), F.lit('"'))
+    return (
+        F.when(change["kind"] == "deleted", one('    REMOVED: "', "expected"))
+        .when(change["kind"] == "inserted", one('    ADDED:   "', "actual"))
+        .when(change["kind"] == "modified", two('    CHANGED: was="', '             now="', K.CONTEXT_SHORT))
+        .when(change["kind"] == "replaced_block", two('    BLOCK WAS: "', '    BLOCK NOW: "', K.CONTEXT_BLOCK))
+    )
+
+
+def page_lines(changes: Column) -> Column:
+    """Lines of the first CONTEXT_CHANGES of the changes of one page: array of struct of change_no, kind, expected, actual."""
+    return _told(changes, "change_no", change_line, "\n", lambda x: x["change_no"] < K.CONTEXT_CHANGES)
 
 
 def change_lines(changes: DataFrame) -> DataFrame:
     """changes(pair_id, page, change_no, kind, expected, actual): (pair_id, page, lines), the first CONTEXT_CHANGES of a page."""
-    cut = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n)
-    two = lambda a, x, b, y, n: F.concat(F.lit(a), cut(F.col(x), n), F.lit(f'"\n{b}'), cut(F.col(y), n), F.lit('"'))
-    line = (
-        F.when(F.col("kind") == "deleted", F.concat(F.lit('    REMOVED: "'), cut(F.col("expected"), K.CONTEXT_LONG), F.lit('"')))
-        .when(F.col("kind") == "inserted", F.concat(F.lit('    ADDED:   "'), cut(F.col("actual"), K.CONTEXT_LONG), F.lit('"')))
-        .when(F.col("kind") == "modified", two('    CHANGED: was="', "expected", '             now="', "actual", K.CONTEXT_SHORT))
-        .when(F.col("kind") == "replaced_block", two('    BLOCK WAS: "', "expected", '    BLOCK NOW: "', "actual", K.CONTEXT_BLOCK))
-    )
-    first = changes.where(F.col("change_no") < K.CONTEXT_CHANGES).withColumn("line", line)
-    return first.groupBy("pair_id", "page").agg(_joined(F.col("change_no"), F.col("line"), "\n").alias("lines"))
+    first = changes.where(F.col("change_no") < K.CONTEXT_CHANGES)
+    items = F.collect_list(F.struct("change_no", change_line(F.struct("kind", "expected", "actual")).alias("line")))
+    return first.groupBy("pair_id", "page").agg(_told(items, "change_no", lambda x: x["line"], "\n").alias("lines"))
 
 
-def page_block() -> Column:
-    """Text of one page of the rows of compare_context_text, with `lines` of change_lines."""
-    page = F.concat(F.lit("  Page "), F.coalesce(F.col("page").cast("string"), F.lit("?")), F.lit(": "))
-    status = F.when(F.col("major"), "MAJOR").when(F.col("warn"), "WARN").otherwise("OK")
-    number = lambda c, other, n: F.format_string(f"%.{n}f", F.bround(F.coalesce(F.col(c), F.lit(other)), n))
+def page_block(row: Column, lines: Column) -> Column:
+    """Text of one page: a row of compare_context_text as a struct, and the lines of its changes."""
+    page = F.concat(F.lit("  Page "), F.coalesce(row["page"].cast("string"), F.lit("?")), F.lit(": "))
+    status = F.when(row["major"], "MAJOR").when(row["warn"], "WARN").otherwise("OK")
+    number = lambda c, other, n: F.format_string(f"%.{n}f", F.bround(F.coalesce(row[c], F.lit(other)), n))
     header = F.concat(page, status, F.lit(" | similarity="), number("similarity", 1.0, 3), F.lit(" ("), number("diff_pct", 0.0, 1), F.lit("% pixels differ)"))
-    some = lambda c: F.coalesce(F.size(F.col(c)) > 0, F.lit(False))
-    noise = ~F.coalesce("has_text_changes", F.lit(False)) & ~F.coalesce("has_formatting_changes", F.lit(False)) & (F.col("major") | F.col("warn"))
-    parts = [header, F.when(F.col("lines").isNotNull(), F.concat(F.lit(K.CONTEXT_LINES + "\n"), F.col("lines"))).when(noise, K.CONTEXT_SAME_TEXT)]
+    some = lambda c: F.coalesce(F.size(row[c]) > 0, F.lit(False))
+    noise = ~F.coalesce(row["has_text_changes"], F.lit(False)) & ~F.coalesce(row["has_formatting_changes"], F.lit(False)) & (row["major"] | row["warn"])
+    parts = [header, F.when(lines.isNotNull(), F.concat(F.lit(K.CONTEXT_LINES + "\n"), lines)).when(noise, K.CONTEXT_SAME_TEXT)]
     for name, head in K.CONTEXT_LISTS:
         # Sizes are told as they are, words in quotes.
-        words = F.slice(name, 1, K.CONTEXT_WORDS)
+        words = F.slice(row[name], 1, K.CONTEXT_WORDS)
         listed = F.array_join(words if name == "size_changed" else F.transform(words, quoted), ", ")
         parts.append(F.when(some(name), F.concat(F.lit(head), listed)))
-    other = F.coalesce(F.col("formatting"), F.lit("")) != ""
-    parts.append(F.when(other & ~(some("bold_changed") | some("size_changed") | some("list_shifted")), F.concat(F.lit(K.CONTEXT_FORMATTING), F.col("formatting"))))
-    parts.append(F.when(F.coalesce(F.col("graphics"), F.lit("")) != "", F.concat(F.lit(K.CONTEXT_GRAPHICS), F.col("graphics"))))
-    parts.append(F.when(F.col("signature_label").isNotNull(), F.format_string(K.CONTEXT_SIGNATURE, "signature_label")))
-    inserted = F.when(F.coalesce("is_blank", F.lit(False)), K.CONTEXT_BLANK).otherwise(K.CONTEXT_INSERTED)
-    return F.when(F.col("op") == "deleted", F.concat(page, F.lit(K.CONTEXT_DELETED))).when(F.col("op") == "inserted", F.concat(page, inserted)).otherwise(F.concat_ws("\n", *parts))
-
-
-def document_block(metadata: DataFrame, fields: DataFrame) -> DataFrame:
-    """(pair_id, document): changed properties, then fields that went, came or changed their type (of these the first few).
-    metadata(pair_id, key, expected, actual); fields(pair_id, field_name, status removed|added|type_changed, expected_type,
-    actual_type). Names in their order."""
+    other = F.coalesce(row["formatting"], F.lit("")) != ""
+    parts.append(F.when(other & ~(some("bold_changed") | some("size_changed") | some("list_shifted")), F.concat(F.lit(K.CONTEXT_FORMATTING), row["formatting"])))
+    parts.append(F.when(F.coalesce(row["graphics"], F.lit("")) != "", F.concat(F.lit(K.CONTEXT_GRAPHICS), row["graphics"])))
+    parts.append(F.when(row["signature_label"].isNotNull(), F.format_string(K.CONTEXT_SIGNATURE, row["signature_label"])))
+    inserted = F.when(F.coalesce(row["is_blank"], F.lit(False)), K.CONTEXT_BLANK).otherwise(K.CONTEXT_INSERTED)
+    return F.when(row["op"] == "deleted", F.concat(page, F.lit(K.CONTEXT_DELETED))).when(row["op"] == "inserted", F.concat(page, inserted)).otherwise(F.concat_ws("\n", *parts))
+
+
+def document_text(metadata: Column, fields: Column) -> Column:
+    """Changed properties, then fields that went, came or changed their type (of these the first few), names in their order; null
+    where both arrays are null or empty. metadata: structs of key, expected, actual; fields: structs of field_name,
+    status removed|added|type_changed, expected_type, actual_type."""
     told = lambda c: F.coalesce(c, F.lit(""))
-    entry = F.concat(F.lit("  "), F.col("key"), F.lit(": '"), told("expected"), F.lit("' → '"), told("actual"), F.lit("'"))
-    properties = metadata.groupBy("pair_id").agg(F.concat(F.lit(K.CONTEXT_METADATA + "\n"), _joined(F.col("key"), entry, "\n")).alias("properties"))
-    kind = F.concat(F.lit(K.CONTEXT_TYPE + "'"), F.col("field_name"), F.lit("' "), told("expected_type"), F.lit(" → "), told("actual_type"))
-    of = lambda status, value: F.when(F.col("status") == status, value)
-    names = lambda status: _joined(F.col("field_name"), of(status, F.col("field_name")), ", ")
-    types = F.slice(F.array_sort(F.collect_list(of("type_changed", F.struct("field_name", kind.alias("told"))))), 1, K.CONTEXT_TYPES)
-    lists = fields.groupBy("pair_id").agg(names("removed").alias("removed"), names("added").alias("added"), F.array_join(F.transform(types, lambda x: x["told"]), "\n").alias("types"))
-    line = lambda head, c: F.when(F.col(c) != "", F.concat(F.lit(head), F.col(c)))
-    structure = lists.select("pair_id", F.concat_ws("\n", F.lit(K.CONTEXT_FIELDS), line(K.CONTEXT_REMOVED, "removed"), line(K.CONTEXT_ADDED, "added"), line("", "types")).alias("structure"))
-    both = properties.join(structure, "pair_id", "full_outer")
-    return both.select("pair_id", F.concat_ws("\n", F.lit(K.CONTEXT_DOCUMENT), "properties", "structure").alias("document"))
+    some = lambda items: F.coalesce(F.size(items) > 0, F.lit(False))
+    entry = lambda x: F.concat(F.lit("  "), x["key"], F.lit(": '"), told(x["expected"]), F.lit("' → '"), told(x["actual"]), F.lit("'"))
+    properties = F.when(some(metadata), F.concat(F.lit(K.CONTEXT_METADATA + "\n"), _told(metadata, "key", entry, "\n")))
+    kind = lambda x: F.concat(F.lit(K.CONTEXT_TYPE + "'"), x["field_name"], F.lit("' "), told(x["expected_type"]), F.lit(" → "), told(x["actual_type"]))
+    names = lambda status: _told(fields, "field_name", lambda x: x["field_name"], ", ", lambda x: x["status"] == status)
+    typed = F.transform(F.filter(fields, lambda x: x["status"] == "type_changed"), lambda x: F.struct(x["field_name"], kind(x).alias("told")))
+    types = F.array_join(F.transform(F.slice(F.sort_array(typed), 1, K.CONTEXT_TYPES), lambda x: x["told"]), "\n")
+    lists = F.array(*[F.struct(F.lit(head).alias("head"), text.alias("text")) for head, text in ((K.CONTEXT_REMOVED, names("removed")), (K.CONTEXT_ADDED, names("added")), ("", types))])
+    line = F.transform(F.filter(lists, lambda x: x["text"] != ""), lambda x: F.concat(x["head"], x["text"]))
+    structure = F.when(some(fields), F.concat_ws("\n", F.lit(K.CONTEXT_FIELDS), line))
+    return F.when(some(metadata) | some(fields), F.concat_ws("\n", F.lit(K.CONTEXT_DOCUMENT), properties, structure))
+
+
+def _listed(rows: DataFrame, name: str) -> DataFrame:
+    """(pair_id, name): the rows of a pair as an array of structs."""
+    return rows.groupBy("pair_id").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "pair_id"])).alias(name))
+
+
+def pair_contexts(pairs: DataFrame) -> DataFrame:
+    """(pair_id, context) of pairs(pair_id, rows, lines, metadata, fields) that stand together already: arrays of structs with
+    the columns of compare_context_text, and a map from page to the lines of its changes (see page_lines). Nothing is
+    shuffled; null arrays are empty."""
+    line = lambda x: F.when(x["page"].isNotNull(), F.col("lines")[x["page"]])
+    told = F.filter("rows", lambda x: F.coalesce(x["op"], F.lit("matched")) != "single")
+    both = F.array(_told(told, "row_no", lambda x: page_block(x, line(x)), "\n\n"), document_text(F.col("metadata"), F.col("fields")))
+    # A text of its own column is made once, though it is looked at twice.
+    context = pairs.select("pair_id", F.array_join(F.filter(both, lambda x: x != ""), "\n\n").alias("context"))
+    return context.select("pair_id", F.when(F.col("context") == "", K.CONTEXT_EMPTY).otherwise(F.col("context")).alias("context"))
 
 
 def compare_context_text(rows: DataFrame, changes: DataFrame, metadata: DataFrame, fields: DataFrame) -> DataFrame:
@@ -81,12 +110,13 @@ def compare_context_text(rows: DataFrame, changes: DataFrame, metadata: DataFram
 
     rows(pair_id, row_no, page, op, similarity, diff_pct, major, warn, is_blank, has_text_changes, has_formatting_changes,
     formatting, bold_changed, size_changed, list_shifted (arrays of strings), graphics, signature_label): pages without a
-    comparison have the op single and are left out. For changes see change_lines, for metadata and fields document_block.
-    A pair of which nothing is told has a fixed text. A group is one pair: bounded by its pages."""
-    told = rows.join(change_lines(changes), ["pair_id", "page"], "left").where(F.coalesce("op", F.lit("matched")) != "single").withColumn("block", page_block())
-    pages = told.groupBy("pair_id").agg(_joined(F.col("row_no"), F.col("block"), "\n\n").alias("pages"))
-    both = rows.select("pair_id").distinct().join(pages, "pair_id", "left").join(document_block(metadata, fields), "pair_id", "full_outer")
-    return both.select("pair_id", F.coalesce(F.nullif(F.concat_ws("\n\n", "pages", "document"), F.lit("")), F.lit(K.CONTEXT_EMPTY)).alias("context"))
+    comparison have the op single and are left out. For changes see change_lines, for metadata(pair_id, ...) and
+    fields(pair_id, ...) document_text. A pair of which nothing is told has a fixed text. A group is one pair: bounded by
+    its pages. Everything is brought together by pair_id alone."""
+    entry = F.struct(F.col("page").cast(rows.schema["page"].dataType).alias("page"), "lines")
+    lines = change_lines(changes).where("page IS NOT NULL").groupBy("pair_id").agg(F.map_from_entries(F.collect_list(entry)).alias("lines"))
+    documents = _listed(metadata, "metadata").join(_listed(fields, "fields"), "pair_id", "full_outer")
+    return pair_contexts(_listed(rows, "rows").join(lines, "pair_id", "left").join(documents, "pair_id", "full_outer"))
 
 
 def page_image_pairs(aligned: DataFrame, pages: DataFrame) -> DataFrame:

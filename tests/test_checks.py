@@ -141,3 +141,29 @@ def test_words_are_looked_up_where_pages_stand(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     for df in (find_text_bbox(t), font_outliers(t)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_context_of_pairs_that_stand_together(spark):
+    """The query brings the lines of a result together once, as the views give them, and deals nothing anew by page."""
+    from formcheck.operators import context
+    from formcheck.plans import check_queries as C
+    from formcheck.plans.registry import QUERIES
+    from formcheck.sources.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    lists = t.result_lists()
+    for view, name in ((t.fx_findings, "findings"), (t.fx_visual, "visual")):
+        rows = lists.select("rr_id", F.inline(name))
+        own = view.select(*rows.columns)
+        assert rows.count() == own.count() and rows.exceptAll(own).count() == 0
+    part = lambda text: spark.sql(text, **{v: getattr(t, v) for v in ("fx_visual", "fx_findings", "fx_results") if f"{{{v}}}" in text})
+    empty = F.array().cast("array<string>")
+    rows = part(C._CTX_ROWS).select("*", *[empty.alias(name) for name in ("bold_changed", "size_changed", "list_shifted")])
+    apart = context.compare_context_text(rows, part(C._CTX_CHANGES), part(C._CTX_METADATA), part(C._CTX_FIELDS))
+    together = QUERIES["compare_context_text"](spark, "/root/testdata/sf0.001")
+    assert together.count() == apart.count()
+    # Where a pair has none of the listed words, both ways tell the same.
+    words = ("BOLD CHANGED", "FONT SIZE CHANGED", "LIST ALIGNMENT SHIFTED", "FORMATTING: ")
+    plain = lambda df: {(r.pair_id, r.context) for r in df.collect() if not any(w in r.context for w in words)}
+    assert plain(together) and plain(together) <= {(r.pair_id, r.context) for r in apart.collect()}
+    assert QUERIES["compare_context_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
