@@ -449,26 +449,48 @@ def metadata_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return both.where("expected <> actual")
 
 
+CORNERS = ["x0", "top", "x1", "bottom"]
+
+
 def graphics_diff(expected: DataFrame, actual: DataFrame, snap: float = 5.0) -> DataFrame:
     """shapes(pair_id, page, x0, top, x1, bottom): those of one side without a counterpart within the tolerance in
-    all four coordinates. Equal shapes go first, by key; the rest is joined on a grid cell a little wider than twice
-    the tolerance, so a shape is probed in four cells at most and meets only neighbours."""
-    corners = ["x0", "top", "x1", "bottom"]
-    key, width = ["pair_id", "page", *corners], 2 * snap + 0.01
-    rounded = lambda df: df.select("pair_id", "page", *[F.bround(c, 1).alias(c) for c in corners])
-    cell = lambda c: F.floor(c / width)
-    near = lambda c: F.explode(F.array_distinct(F.array(cell(F.col(c) - snap - 1e-6), cell(F.col(c) + snap + 1e-6))))
-
-    def missing(a: DataFrame, b: DataFrame, change: str) -> DataFrame:
-        left = a.join(b, key, "left_anti")
-        probe = left.withColumn("cx", near("x0")).withColumn("cy", near("top"))
-        other = b.select("pair_id", "page", cell(F.col("x0")).alias("cx"), cell(F.col("top")).alias("cy"), *[F.col(c).alias(f"b_{c}") for c in corners])
-        close = [F.bround(F.abs(F.col(c) - F.col(f"b_{c}")), 6) <= snap for c in corners]
-        hit = probe.join(other, ["pair_id", "page", "cx", "cy"]).where(close[0] & close[1] & close[2] & close[3]).select(key).distinct()
-        return left.join(hit, key, "left_anti").select("pair_id", "page", F.lit(change).alias("change"), *corners)
-
-    e, a = rounded(expected), rounded(actual)
-    return missing(e, a, "removed").unionByName(missing(a, e, "added"))
+    all four coordinates."""
+    side = lambda df, e: df.select("pair_id", "page", *CORNERS, F.lit(e).alias("e"), F.lit(1 - e).alias("a"))
+    return unmatched_shapes(side(expected, 1).unionByName(side(actual, 0)), snap)
+
+
+def unmatched_shapes(shapes: DataFrame, snap: float = 5.0, agg=F.sum) -> DataFrame:
+    """graphics_diff of shapes(pair_id, page, x0, top, x1, bottom, e, a) that tell how often they stand on the expected and on the
+    actual side; with agg F.max, equal shapes of a side are one.
+
+    Equal shapes are one place, with its numbers of both sides. Places go to their block of the page, 20 tolerances wide in each
+    coordinate, and to those that begin within the tolerance; there the places of one side look for the first of the
+    other that is near, so a dense page costs no more than a thin one. What has a missing value is near to nothing."""
+    width, pad = 20 * snap + 0.01, snap + 1e-6
+    cells = [f"in_{c}" for c in CORNERS]
+    places = shapes.select("pair_id", "page", *[F.bround(c, 1).alias(c) for c in CORNERS], "e", "a").groupBy("pair_id", "page", *CORNERS).agg(agg("e").alias("e"), agg("a").alias("a"))
+    blocks, home = places, F.lit(True)
+    for c, cell in zip(CORNERS, cells, strict=True):
+        at = lambda d, c=c: F.floor((F.col(c) + d) / width)
+        blocks = blocks.withColumn(cell, F.explode(F.array_distinct(F.array(at(-pad), at(pad)))))
+        home &= F.col(cell).eqNullSafe(at(0))
+    known = F.col("pair_id").isNotNull() & F.col("page").isNotNull()
+    lone = ~known
+    for c in CORNERS:
+        lone |= F.col(c).isNull()
+    alone = lambda own, other: F.collect_list(F.when(home & (F.col(own) > 0) & ((F.col(other) == 0) | lone), F.struct(*CORNERS, F.col(own).alias("n"))))
+    all_of = lambda side: F.collect_list(F.when(F.col(side) > 0, F.struct(*CORNERS)))
+    held = blocks.groupBy("pair_id", "page", *cells).agg(alone("e", "a").alias("removed"), alone("a", "e").alias("added"), all_of("e").alias("expected"), all_of("a").alias("actual"))
+
+    def near(x: Column, y: Column) -> Column:
+        close = [F.abs(x[c] - y[c]) <= snap + 1e-9 for c in CORNERS]
+        return close[0] & close[1] & close[2] & close[3]
+
+    def missing(change: str, others: str) -> Column:
+        rows = F.filter(change, lambda x: ~F.coalesce(known & F.exists(others, lambda y: near(x, y)), F.lit(False)))
+        return F.flatten(F.transform(rows, lambda x: F.array_repeat(F.struct(F.lit(change).alias("change"), *[x[c].alias(c) for c in CORNERS]), x["n"].cast("int"))))
+
+    return held.select("pair_id", "page", F.inline(F.concat(missing("removed", "actual"), missing("added", "expected"))))
 
 
 def signature_candidates(boxes: DataFrame, words: DataFrame, pad_x: float = 120.0, pad_y: float = 70.0) -> DataFrame:

@@ -354,3 +354,22 @@ def test_lines_and_paragraphs_of_pages_where_they_stand(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     for rows in (cluster_lines(t), cluster_paragraphs(t)):
         assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graphics_diff_looks_where_places_stand(spark):
+    """As all pairs tell: shapes on the borders of blocks, repeated ones, missing values; dealt by place and by block only, without a join."""
+    import random
+
+    r = random.Random(4)
+    at = lambda: r.choice([99.9, 100.0, 100.1, 94.9, 95.0, 105.0, 105.1, -0.1, 0.0, 4.9, -5.0, 200.0, float(r.randrange(300))])
+    rows = [(r.randrange(2), r.randrange(3), at(), at(), at() if r.random() < 0.3 else 100.0, r.choice([100.0, 105.0, 105.1])) for _ in range(500)]
+    rows += [(1, 1, None, 5.0, 6.0, 7.0), (None, 1, 1.0, 2.0, 3.0, 4.0)]
+    e, a = rows[:300] + rows[:40] + rows[-2:], rows[260:]
+    schema = "pair_id long, page int, x0 double, top double, x1 double, bottom double"
+    near = lambda x, y: None not in x + y and x[:2] == y[:2] and all(round(abs(p - q), 6) <= 5 for p, q in zip(x[2:], y[2:], strict=True))
+    want = [("removed", *x) for x in e if not any(near(x, y) for y in a)] + [("added", *y) for y in a if not any(near(x, y) for x in e)]
+    out = O.graphics_diff(spark.createDataFrame(e, schema), spark.createDataFrame(a, schema))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(((x.change, x.pair_id, x.page, x.x0, x.top, x.x1, x.bottom) for x in out.collect()), key=key) == sorted(want, key=key)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
