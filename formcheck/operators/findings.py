@@ -16,18 +16,26 @@ from formcheck.functions import scalars as S
 ITEM = ["page", "severity", "category", "field", "field_name", "name", "label", "description", "text", "expected_value", "actual_value", "baseline_value", "current_value", "evidence", "details", "reason", "note", "observation", "confidence", "current_page"]
 
 
+def _item_lists(results: DataFrame) -> DataFrame:
+    """results(rr_id, result_json) -> (rr_id, x), x a struct a bucket: bucket, listed array<string> (raw JSON of the items) and, only where the
+    document holds anything but lists or nulls under a bucket, raw string (JSON of the value). A document of lists is thus read
+    once. Of a key that is told twice the last counts."""
+    buckets, corrupt = [*K.LIST_KEYS, "observations"], "_corrupt_record"
+    fields = lambda kind: ", ".join(f"{b} {kind}" for b in buckets)
+    document = F.when(F.trim("result_json").startswith("{"), F.col("result_json"))
+    lists = F.from_json(document, f"{fields('array<string>')}, {corrupt} string", {"columnNameOfCorruptRecord": corrupt})
+    rows = results.select("rr_id", "result_json", lists.alias("lists"))
+    odd = F.when(F.col("lists")[corrupt].isNotNull(), F.from_json("result_json", fields("string")))
+    of = lambda b: F.struct(F.lit(b).alias("bucket"), F.col("lists")[b].alias("listed"), F.col("odd")[b].alias("raw"))
+    return rows.select("rr_id", "lists", odd.alias("odd")).select("rr_id", F.explode(F.array(*[of(b) for b in buckets])).alias("x"))
+
+
 def schema_defaults(results: DataFrame) -> DataFrame:
     """results(rr_id, result_json) -> one row per (rr_id, bucket) with items array<string> (raw JSON): null and
     missing lists are empty, a scalar or object is a list of one, a non-object document has none."""
-    document = F.from_json("result_json", "map<string,string>")
-    rows = results.select("rr_id", F.when(F.trim("result_json").startswith("{"), document).alias("doc"))
-    rows = rows.select("rr_id", F.explode(F.array(*[F.struct(F.lit(k).alias("bucket"), F.col("doc")[k].alias("raw")) for k in [*K.LIST_KEYS, "observations"]])).alias("x")).select("rr_id", "x.*")
-    raw = F.trim("raw")
-    listed = F.from_json(raw, "array<string>")
-    return rows.select(
-        "rr_id", "bucket",
-        F.when(F.col("raw").isNull() | (raw == "null"), F.array().cast("array<string>")).when(raw.startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.array(F.col("raw"))).alias("items"),
-    )
+    none, raw = F.array().cast("array<string>"), F.trim("x.raw")
+    one = F.when(raw == "null", none).when(raw.startswith("["), F.coalesce(F.from_json(raw, "array<string>"), none)).otherwise(F.array("x.raw"))
+    return _item_lists(results).select("rr_id", "x.bucket", F.when(F.col("x.raw").isNull(), F.coalesce(F.col("x.listed"), none)).otherwise(one).alias("items"))
 
 
 def parse_findings(results: DataFrame) -> DataFrame:
@@ -45,10 +53,13 @@ def parse_findings(results: DataFrame) -> DataFrame:
 
 
 def write_result_json(findings: DataFrame) -> DataFrame:
-    """Findings back to one JSON document per result: bucket -> list of items in order."""
-    item = F.struct("bucket_pos", F.struct(*[c for c in ("page", "severity", "field", "description") if c in findings.columns]).alias("item"))
-    lists = findings.groupBy("rr_id", "bucket").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("items"))
-    return lists.groupBy("rr_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "items"))))).alias("result_json"))
+    """Findings back to one JSON document per result: bucket -> list of items in order. The findings of a result are brought
+    together once; its buckets, which are few, are lists made where they stand."""
+    item = F.struct("bucket", "bucket_pos", F.struct(*[c for c in ("page", "severity", "field", "description") if c in findings.columns]).alias("item"))
+    rows = findings.groupBy("rr_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    rows = rows.select("rr_id", "items", F.array_distinct(F.col("items")["bucket"]).alias("buckets"))
+    lists = F.transform("buckets", lambda b: F.filter("items", lambda x: x["bucket"].eqNullSafe(b))["item"])
+    return rows.select("rr_id", F.to_json(F.map_from_arrays("buckets", lists)).alias("result_json"))
 
 
 def filter_ocr_artifacts(findings: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def filter_ocr_artifacts(t: Tables) -> DataFrame:
 
 @query("schema_defaults", f"SELECT rr_id, CAST({len(K.LIST_KEYS) + 1} AS BIGINT) AS keys, count(*) AS items FROM {{fx_findings}} GROUP BY rr_id")
 def schema_defaults(t: Tables) -> DataFrame:
-    return FO.schema_defaults(FO.write_result_json(t.fx_findings)).groupBy("rr_id").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.size("items")).alias("items"))
+    return FO.schema_defaults(FO.write_result_json(t.result_findings())).groupBy("rr_id").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.size("items")).alias("items"))
 
 
 _STANDARDS = "SELECT CAST(p_partkey AS STRING) AS requirement_id, p_brand AS standard, p_type AS title FROM {part}"

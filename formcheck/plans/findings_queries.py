@@ -195,5 +195,5 @@ def reconcile_visual(t: Tables) -> DataFrame:
 @query("result_json_round_trip", "SELECT rr_id, bucket, count(*) AS items, sum(page) AS pages FROM {fx_findings} GROUP BY rr_id, bucket")
 def result_json_round_trip(t: Tables) -> DataFrame:
     """Findings written as JSON documents and parsed back."""
-    back = O.parse_findings(O.write_result_json(t.fx_findings))
+    back = O.parse_findings(O.write_result_json(t.result_findings()))
     return back.groupBy("rr_id", "bucket").agg(F.count(F.lit(1)).alias("items"), F.sum("page").alias("pages"))
