@@ -331,9 +331,9 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps what it has learnt of short pre-tokens for the next batch, in `most` bytes."""
+    """Encodes batches of texts; keeps what it has learnt of short pre-tokens for the next batch, in `most` bytes (None: KEPT_BYTES)."""
 
-    most = KEPT_BYTES
+    most: int | None = None
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.vocabulary = vocabulary(path)
@@ -412,7 +412,7 @@ class Encoder:
     def numbered(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, ends): of the pre-tokens of all texts, and after how many of them each text ends. Numbers hold until
         the next call; special strings are learnt as pre-tokens of one id."""
-        if self.text.n + 4 * self.ids.n + EACH * self.start.n > self.most:
+        if self.text.n + 4 * self.ids.n + EACH * self.start.n > (KEPT_BYTES if self.most is None else self.most):
             self._forget()
         specials = self._specials(text)
         specials = [s for s in specials if np.searchsorted(offsets, s[0], "right") == np.searchsorted(offsets, s[1], "left")]
